@@ -22,15 +22,16 @@ def exact_quantiles(
     """``keys`` + one column per ``{name: probability}``, linear interpolation.
 
     NULL values are ignored; groups without values are absent.  A bracket spans
-    ``6 / accuracy`` of the group's ranks (the sketch promises ``1 / accuracy``),
-    so a group of ``n`` rows ranks about ``6 n / accuracy`` distinct candidates:
-    raise ``accuracy`` with the size of the largest group.
+    ``8 / accuracy`` of the group's ranks (the sketch promises ``1 / accuracy``),
+    so a group of ``n`` rows ranks about ``8 n / accuracy`` distinct candidates:
+    raise ``accuracy`` with the size of the largest group.  Groups of up to
+    ``accuracy`` rows are ranked whole.
     """
     if not keys:
         whole = df.select(F.lit(0).alias("__all"), F.col(value))
         return exact_quantiles(whole, ["__all"], value, probabilities, accuracy).drop("__all")
     names = sorted(probabilities, key=probabilities.get)
-    margin = 3.0 / accuracy
+    margin = 4.0 / accuracy
     marks: list[float] = []
     for name in names:
         p = probabilities[name]
@@ -44,10 +45,10 @@ def exact_quantiles(
     )
 
     def low(i: int) -> Column:
-        return F.when(F.lit(marks[2 * i] <= 0.0), F.col("__min")).otherwise(F.col("__q")[2 * i])
+        return F.when((F.col("__n") <= accuracy) | F.lit(marks[2 * i] <= 0.0), F.col("__min")).otherwise(F.col("__q")[2 * i])
 
     def high(i: int) -> Column:
-        return F.when(F.lit(marks[2 * i + 1] >= 1.0), F.col("__max")).otherwise(F.col("__q")[2 * i + 1])
+        return F.when((F.col("__n") <= accuracy) | F.lit(marks[2 * i + 1] >= 1.0), F.col("__max")).otherwise(F.col("__q")[2 * i + 1])
 
     segment = F.lit(2 * len(names))
     for i in reversed(range(len(names))):

@@ -4,6 +4,7 @@ from plumbline.plans.registry import ORACLES, QUERIES
 from plumbline.plans import (  # noqa: F401  (importing registers the queries)
     integrity_queries,
     pixel_queries,
+    surface_queries,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
