@@ -131,3 +131,23 @@ def ring_edges(points: Column) -> Column:
     rotated = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
     return F.transform(F.arrays_zip(points.alias("a"), rotated.alias("b")),
                        lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b")))
+
+
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once per row, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def distance(a: Column, b: Column, n: int = 3) -> Column:
+    """Distance of two array points."""
+    return norm(sub(items(a, n), items(b, n)))
+
+
+def over(a: Column, b: Column) -> Column:
+    """``a / b``, NULL for a zero divisor (ANSI division would fail the job)."""
+    return a / F.nullif(b, F.lit(0.0))
+
+
+def unit(a: Vec) -> tuple[Column, ...]:
+    length = norm(a)
+    return tuple(over(x, length) for x in a)

@@ -18,26 +18,42 @@ MIN_SPAN = 1e-8
 FIT_ROUNDS = 5
 
 
-def inside_ring(x: Column, y: Column, ring: Column, tolerance: float = 1e-9) -> Column:
-    """Even-odd test of a 2-D point against an array of ``{x, y}``; the boundary counts as inside."""
+def edges_of(ring: Column) -> Column:
+    """Edges ``{ax, ay, bx, by}`` of an array of ``{x, y}``; computed once per polygon."""
     n = F.size(ring)
-    edges = F.transform(ring, lambda p, i: F.struct(
+    return F.transform(ring, lambda p, i: F.struct(
         p["x"].alias("ax"), p["y"].alias("ay"),
         ring[(i + 1) % n]["x"].alias("bx"), ring[(i + 1) % n]["y"].alias("by")))
 
-    def crossing(e: Column) -> Column:
-        straddles = (e["ay"] > y) != (e["by"] > y)
-        at = e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0))
-        return F.when(straddles & (x < at), 1).otherwise(0)
 
-    def touching(e: Column) -> Column:
+def inside_edges(x: Column, y: Column, edges: Column, tolerance: float = 1e-9) -> Column:
+    """Even-odd test of a 2-D point against ring edges; the boundary counts as inside.
+
+    The point is bound as a one-element array so its expressions run once per row
+    and not once per edge.
+    """
+    def crossing(q: Column, e: Column) -> Column:
+        straddles = (e["ay"] > q["y"]) != (e["by"] > q["y"])
+        at = e["ax"] + (q["y"] - e["ay"]) * (e["bx"] - e["ax"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0))
+        return F.when(straddles & (q["x"] < at), 1).otherwise(0)
+
+    def touching(q: Column, e: Column) -> Column:
         dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
         length = dx * dx + dy * dy
-        t = F.when(length == 0, 0.0).otherwise(V.clamp(((x - e["ax"]) * dx + (y - e["ay"]) * dy) / F.nullif(length, F.lit(0.0)), 0.0, 1.0))
-        return F.hypot(x - e["ax"] - t * dx, y - e["ay"] - t * dy) <= tolerance
+        t = F.when(length == 0, 0.0).otherwise(
+            V.clamp(((q["x"] - e["ax"]) * dx + (q["y"] - e["ay"]) * dy) / F.nullif(length, F.lit(0.0)), 0.0, 1.0))
+        return F.hypot(q["x"] - e["ax"] - t * dx, q["y"] - e["ay"] - t * dy) <= tolerance
+
+    def holds(q: Column) -> Column:
+        odd = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossing(q, e)) % 2 == 1
+        return odd | F.exists(edges, lambda e: touching(q, e))
 
-    odd = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossing(e)) % 2 == 1
-    return odd | F.exists(edges, touching)
+    return F.exists(F.array(F.struct(x.alias("x"), y.alias("y"))), holds)
+
+
+def inside_ring(x: Column, y: Column, ring: Column, tolerance: float = 1e-9) -> Column:
+    """:func:`inside_edges` for a ring of ``{x, y}`` vertices."""
+    return inside_edges(x, y, edges_of(ring), tolerance)
 
 
 def polygon_select_pixels(px: DataFrame, patches: DataFrame, keys: Sequence[str] = ("capture_id", "frame_id")) -> DataFrame:
@@ -47,14 +63,13 @@ def polygon_select_pixels(px: DataFrame, patches: DataFrame, keys: Sequence[str]
     ``polygon`` (array of ``{x, y}``), ``orientation`` and ``rgb_height``.  The exact
     even-odd rule with an inclusive boundary replaces a rasterised mask.
     """
-    joined = px.join(patches.select(*keys, "patch_id", "polygon", "orientation", "rgb_height"), list(keys))
+    limits = [f(F.col(f"polygon.{c}")).alias(f"__{s}{c}") for s, f in (("min", F.array_min), ("max", F.array_max)) for c in "xy"]
+    joined = px.join(patches.select(*keys, "patch_id", "orientation", "rgb_height", edges_of(F.col("polygon")).alias("__edges"), *limits), list(keys))
     x, y = display_pixel(F.col("rgb_u"), F.col("rgb_v"), F.col("orientation"), F.col("rgb_height"))
     x, y = x.cast("double"), y.cast("double")
-    box = (
-        (x >= F.array_min(F.col("polygon.x"))) & (x <= F.array_max(F.col("polygon.x")))
-        & (y >= F.array_min(F.col("polygon.y"))) & (y <= F.array_max(F.col("polygon.y")))
-    )
-    return joined.where(box).where(inside_ring(x, y, F.col("polygon"))).drop("polygon", "orientation", "rgb_height")
+    box = (x >= F.col("__minx")) & (x <= F.col("__maxx")) & (y >= F.col("__miny")) & (y <= F.col("__maxy"))
+    return joined.where(box & inside_edges(x, y, F.col("__edges"))).drop(
+        "orientation", "rgb_height", "__edges", "__minx", "__maxx", "__miny", "__maxy")
 
 
 def patch_summary(selected: DataFrame, confidence_value: int = 255, max_depth_m: float = 5.0) -> DataFrame:
@@ -183,7 +198,7 @@ def polygon_frames(polygons: DataFrame) -> DataFrame:
             .when(size[1] <= size[2], F.array(*map(F.lit, (0.0, 1.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 0.0, 1.0)))))
     raw = raw.withColumn("__axis", axis)
     along = V.cross(V.items("__axis"), n)
-    raw = raw.withColumn("along", F.array(*V.scale(along, 1 / V.norm(along))))
+    raw = raw.withColumn("along", F.array(*V.unit(along)))
     raw = raw.withColumn("across", F.array(*V.cross(n, V.items("along"))))
     origin = V.items(F.col("vertices")[0])
 
@@ -208,41 +223,45 @@ def nearest_support_polygon(
     group, point_key = list(group), list(point_key)
     box = points.groupBy(*group).agg(*[f(a).alias(f"__{s}{a}") for s, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"])
     box = box.withColumn("__cell", F.greatest(*[F.col(f"__hi{a}") - F.col(f"__lo{a}") for a in "xyz"], F.lit(1e-6)) / cells)
-    # written out once: every voxel row and ring test below reads the frame several times
-    framed = cut_lineage(polygon_frames(polygons))
+    framed = polygon_frames(polygons)
+    limits = [f(F.col(f"ring.{c}")).alias(f"__{s}{c}") for s, f in (("min", F.array_min), ("max", F.array_max)) for c in "xy"]
+    spans = [f(_entries("vertices", i)).alias(f"__{s}{a}") for s, f in (("low", F.array_min), ("high", F.array_max)) for i, a in enumerate("xyz")]
+    scalars = [F.col(v)[i].alias(f"{v}_{a}") for v in ("normal", "origin", "along", "across") for i, a in enumerate("xyz")]
+    # written out once as plain numbers: the voxel rows below read the frame many times
+    framed = cut_lineage(framed.select(*group, "polygon_ordinal", *scalars, *spans, *limits, edges_of(F.col("ring")).alias("__edges")))
+    vec = lambda v: V.cols(*[f"{v}_{a}" for a in "xyz"])
+    n, o = vec("normal"), vec("origin")
     if source_normal is not None:
-        facing = V.dot(V.items("normal"), [F.lit(float(c)) for c in source_normal])
-        framed = framed.withColumn("__sign", F.when(facing < 0, -1.0).otherwise(1.0))
+        sign = F.when(V.dot(n, [F.lit(float(c)) for c in source_normal]) < 0, -1.0).otherwise(1.0)
     else:
-        framed = framed.withColumn("__sign", F.lit(1.0))
-    placed = framed.join(box, group)
-    n, o = V.items("normal"), V.items("origin")
+        sign = F.lit(1.0)
+    placed = framed.withColumn("__sign", sign).join(box, group)
     half = [(F.col(f"__hi{a}") - F.col(f"__lo{a}")) / 2 for a in "xyz"]
     mid = [(F.col(f"__hi{a}") + F.col(f"__lo{a}")) / 2 for a in "xyz"]
     middle = V.dot(n, V.sub(mid, o))
     reach = sum((F.abs(c) * h for c, h in zip(n[1:], half[1:])), F.abs(n[0]) * half[0])
     near, far = middle - reach, middle + reach
-    ranges = {}
+    spread = []
     for i, a in enumerate("xyz"):
-        coordinates = _entries("vertices", i)
-        low = F.array_min(coordinates) + F.least(n[i] * near, n[i] * far) - boundary_tolerance
-        high = F.array_max(coordinates) + F.greatest(n[i] * near, n[i] * far) + boundary_tolerance
-        ranges[f"__from{a}"] = grid.cell_of(F.greatest(low, F.col(f"__lo{a}")) - F.col(f"__lo{a}"), F.col("__cell"))
-        ranges[f"__to{a}"] = grid.cell_of(F.least(high, F.col(f"__hi{a}")) - F.col(f"__lo{a}"), F.col("__cell"))
-    swept = placed.withColumns(ranges)
+        low = F.col(f"__low{a}") + F.least(n[i] * near, n[i] * far) - boundary_tolerance
+        high = F.col(f"__high{a}") + F.greatest(n[i] * near, n[i] * far) + boundary_tolerance
+        start = grid.cell_of(F.greatest(low, F.col(f"__lo{a}")) - F.col(f"__lo{a}"), F.col("__cell"))
+        stop = grid.cell_of(F.least(high, F.col(f"__hi{a}")) - F.col(f"__lo{a}"), F.col("__cell"))
+        spread.append(F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>")).alias(f"__c{a}"))
+    carried = ["polygon_ordinal", *[f"{v}_{a}" for v in ("normal", "origin", "along", "across") for a in "xyz"],
+               "__sign", "__edges", *[f"__{s}{c}" for s in ("min", "max") for c in "xy"]]
+    polygon_side = placed.select(*group, *carried, *spread)
     for a in "xyz":
-        swept = swept.where(F.col(f"__from{a}") <= F.col(f"__to{a}")).withColumn(f"__c{a}", F.explode(F.sequence(f"__from{a}", f"__to{a}")))
+        polygon_side = polygon_side.withColumn(f"__c{a}", F.explode(f"__c{a}"))
     voxels = ["__cx", "__cy", "__cz"]
-    limits = [f(F.col(f"ring.{c}")).alias(f"__{s}{c}") for s, f in (("min", F.array_min), ("max", F.array_max)) for c in "xy"]
-    polygon_side = swept.select(*group, *voxels, "polygon_ordinal", "normal", "origin", "along", "across", "ring", "__sign", *limits)
     located = points.join(box, group).withColumns(
         {f"__c{a}": grid.cell_of(F.col(a) - F.col(f"__lo{a}"), F.col("__cell")) for a in "xyz"})
     met = located.select(*group, *point_key, "x", "y", "z", *voxels).join(polygon_side, [*group, *voxels])
     rel = V.sub(V.cols("x", "y", "z"), o)
-    met = met.withColumns({"__s": V.dot(rel, n) * F.col("__sign"), "__px": V.dot(rel, V.items("along")), "__py": V.dot(rel, V.items("across"))})
+    met = met.withColumns({"__s": V.dot(rel, n) * F.col("__sign"), "__px": V.dot(rel, vec("along")), "__py": V.dot(rel, vec("across"))})
     for a in "xy":  # plain comparisons first: the ring test is the costly part
         met = met.where((F.col(f"__p{a}") >= F.col(f"__min{a}") - boundary_tolerance) & (F.col(f"__p{a}") <= F.col(f"__max{a}") + boundary_tolerance))
-    held = met.where(inside_ring(F.col("__px"), F.col("__py"), F.col("ring"), boundary_tolerance))
+    held = met.where(inside_edges(F.col("__px"), F.col("__py"), F.col("__edges"), boundary_tolerance))
     best = held.groupBy(*group, *point_key).agg(
         F.min(F.struct(F.abs("__s").alias("d"), F.col("polygon_ordinal").alias("o"), F.col("__s").alias("s"))).alias("__b"))
     chosen = best.select(*group, *point_key, F.col("__b.o").alias("supporting_polygon"), F.col("__b.s").alias("residual_m"))
@@ -267,7 +286,7 @@ def convex_overlap(first: DataFrame, second: DataFrame, key: str, tolerance: flo
         ax, ay = F.get("hull", 2 * i), F.get("hull", 2 * i + 1)
         bx, by = F.get("hull", 2 * j), F.get("hull", 2 * j + 1)
         turn = (bx - ax) * (F.col("py") - ay) - (by - ay) * (F.col("px") - ax)
-        return turn / F.hypot(bx - ax, by - ay) >= -tolerance
+        return V.over(turn, F.hypot(bx - ax, by - ay)) >= -tolerance
 
     return joined.where(F.forall(F.sequence(F.lit(0), (n - 1).cast("int")), left_of)).drop("hull")
 
