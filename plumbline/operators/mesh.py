@@ -229,8 +229,9 @@ def nearest_vertex_match(native: DataFrame, exported: DataFrame, tolerance: floa
     a = native.select(key, *axes).distinct()
     b = exported.select(key, *[F.col(c).alias(f"e{c}") for c in axes]).distinct()
     cells = ["__ix", "__iy", "__iz"]
-    home = a.withColumns({n: grid.cell_of(F.col(c), tolerance) for n, c in zip(cells, axes)})
-    around = grid.neighbours(b, [F.col(f"e{c}") for c in axes], tolerance, cells)
+    size = 32 * tolerance
+    home = a.withColumns({n: grid.cell_of(F.col(c), size) for n, c in zip(cells, axes)})
+    around = grid.neighbours(b, [F.col(f"e{c}") for c in axes], tolerance, size, cells)
     gap = V.norm(V.sub(V.cols(*axes), V.cols("ex", "ey", "ez")))
     close = home.join(around, [key, *cells]).withColumn("gap", gap).where(F.col("gap") < tolerance)
     per_native = close.groupBy(key, *axes).agg(F.min("gap").alias("gap")).groupBy(key).agg(F.max("gap").alias("g1"), F.count("*").alias("m1"))
