@@ -193,16 +193,27 @@ def split_at_junctions(edges: DataFrame, tolerance: float, cell_m: float) -> Dat
     """
     a, b = V.cols("ax", "ay", "az"), V.cols("bx", "by", "bz")
     cells = ["__ix", "__iy", "__iz"]
-    ends = edges.select("group_id", F.col("piece_id").alias("other"), F.explode(F.array(F.array(*a), F.array(*b))).alias("p")).distinct()
-    ends = ends.withColumns({n: grid.cell_of(F.col("p")[i], cell_m) for i, n in enumerate(cells)})
-    covered = grid.cover(edges, [F.least(x, y) - tolerance for x, y in zip(a, b)], [F.greatest(x, y) + tolerance for x, y in zip(a, b)], cell_m, cells)
-    met = covered.join(ends, ["group_id", *cells]).where(F.col("other") != F.col("piece_id"))
-    delta, rel = V.sub(b, a), V.sub(V.items("p"), a)
+    corner = F.explode(F.array(*[F.struct(*[F.col(f"{e}{c}").alias(f"p{c}") for c in "xyz"]) for e in "ab"]))
+    # a corner shared by many pieces is one row: it splits an edge when any owner is another piece
+    ends = edges.select("group_id", "piece_id", corner.alias("p")).groupBy("group_id", "p.px", "p.py", "p.pz").agg(
+        F.min("piece_id").alias("__first"), F.max("piece_id").alias("__last"))
+    shift = 0.381966 * cell_m  # keeps corners on round coordinates away from cell borders
+    p = V.cols("px", "py", "pz")
+    ends = ends.withColumns({n: grid.cell_of(c + shift, cell_m) for n, c in zip(cells, p)})
+    lows, highs = [F.least(x, y) - tolerance for x, y in zip(a, b)], [F.greatest(x, y) + tolerance for x, y in zip(a, b)]
+    covered = grid.cover(edges, [c + shift for c in lows], [c + shift for c in highs], cell_m, cells)
+    met = covered.join(ends, ["group_id", *cells]).where(
+        (F.col("__first") != F.col("piece_id")) | (F.col("__last") != F.col("piece_id")))
+    for c, low, high in zip(p, lows, highs):
+        met = met.where((c >= low) & (c <= high))
+    delta, rel = V.sub(b, a), V.sub(p, a)
     t = V.over(V.dot(rel, delta), V.dot(delta, delta))
-    met = met.withColumn("__t", t)
-    gap = V.norm(V.sub(rel, V.scale(delta, F.col("__t"))))
-    met = met.where((F.col("__t") >= -tolerance) & (F.col("__t") <= 1 + tolerance) & (gap <= tolerance))
-    inner = F.when(V.norm(rel) <= tolerance, 0.0).when(V.norm(V.sub(V.items("p"), b)) <= tolerance, 1.0).otherwise(V.clamp(F.col("__t"), 0.0, 1.0))
+
+    def on_edge(t: Column) -> Column:
+        return (t >= -tolerance) & (t <= 1 + tolerance) & (V.norm(V.sub(rel, V.scale(delta, t))) <= tolerance)
+
+    met = met.where(V.let(t, on_edge)).withColumn("__t", t)
+    inner = F.when(V.norm(rel) <= tolerance, 0.0).when(V.norm(V.sub(p, b)) <= tolerance, 1.0).otherwise(V.clamp(F.col("__t"), 0.0, 1.0))
     marks = met.select("group_id", "piece_id", "edge", F.round(inner, 12).alias("t")).distinct()
     listed = marks.groupBy("group_id", "piece_id", "edge").agg(F.collect_list("t").alias("ts"))
     joined = edges.join(listed, ["group_id", "piece_id", "edge"], "left")
