@@ -99,7 +99,7 @@ def sample_every_nth_point(df: DataFrame, step: int, keys: Sequence[str] = FRAME
 
 def frame_key(frame_id: Column) -> tuple[Column, Column, Column]:
     """Sort key: all-digit ids first by value, then the rest as text."""
-    digits = frame_id.rlike(r"^[0-9]+$")
+    digits = frame_id.rlike(r"\A[0-9]+\z")
     return (~digits), F.when(digits, frame_id.cast("decimal(38,0)")), frame_id
 
 

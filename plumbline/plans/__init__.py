@@ -2,6 +2,7 @@
 
 from plumbline.plans.registry import ORACLES, QUERIES
 from plumbline.plans import (  # noqa: F401  (importing registers the queries)
+    check_queries,
     drawing_queries,
     integrity_queries,
     mesh_queries,
