@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions import vectors as V
 from plumbline.rules import findings
@@ -140,8 +140,13 @@ def feature_coverage(features: DataFrame, samples: DataFrame, visibility: DataFr
         F.explode("object_ids").alias("object_id"), "view_intents").withColumn("intent", F.explode("view_intents")).drop("view_intents")
     seen = visibility.join(samples.select("frame_id", "intent"), "frame_id").join(
         sample_findings.where("status = 'pass'").select("frame_id", "finding_id"), "frame_id")
-    # distinct evidence levels per combination: many samples collapse before the join
-    evidence = seen.groupBy("object_id", "intent", "finding_id", "visible_pixels", "projected_area_px2").agg(F.count("*").alias("n"))
+    # Only evidence no other sample beats on both counts can decide.  Visible pixels are
+    # bounded by the image, so the window sees at most one row per pixel count.
+    combo = ["object_id", "intent", "finding_id"]
+    levels = seen.groupBy(*combo, "visible_pixels").agg(F.max("projected_area_px2").alias("projected_area_px2"))
+    larger = Window.partitionBy(*combo).orderBy(F.col("visible_pixels").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    evidence = levels.withColumn("__best", F.max("projected_area_px2").over(larger)).where(
+        F.col("__best").isNull() | (F.col("projected_area_px2") > F.col("__best"))).drop("__best")
     met = wanted.join(evidence, ["object_id", "intent", "finding_id"]).where(
         (F.col("visible_pixels") >= F.col("minimum_visible_pixels")) & (F.col("projected_area_px2") >= F.col("minimum_projected_area_px2")))
     keys = ["feature_id", "object_id", "intent"]

@@ -2,7 +2,9 @@
 
 from plumbline.plans.registry import ORACLES, QUERIES
 from plumbline.plans import (  # noqa: F401  (importing registers the queries)
+    appearance_queries,
     check_queries,
+    coverage_queries,
     drawing_queries,
     integrity_queries,
     mesh_queries,
