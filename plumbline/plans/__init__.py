@@ -9,6 +9,7 @@ from plumbline.plans import (  # noqa: F401  (importing registers the queries)
     integrity_queries,
     mesh_queries,
     pixel_queries,
+    source_queries,
     surface_queries,
 )
 
