@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import grid, vectors as V
-from plumbline.operators.surfaces import edges_of, inside_edges
+from plumbline.operators.surfaces import UNROLLED, edges_of, few_edges, inside_edges
 from plumbline.session import cut_lineage
 
 # fixed values: acceptance of a photo sample
@@ -156,7 +156,7 @@ def source_contributions(contributions: DataFrame, keys: Sequence[str], toleranc
     return photo_weights(contributions, tolerance_m).groupBy(*keys, "source_id").agg(F.count_if(F.col("weight") > 0).alias("texels"))
 
 
-def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_id", cell_m: float = 2.0) -> DataFrame:
+def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_id", cell_m: float = 1.0) -> DataFrame:
     """Lowest face height above ``floor_z`` at ``x, y``; NULL when no face covers the point.
 
     ``faces(polygon)``; near-vertical faces are ignored.  Points meet only the faces
@@ -186,10 +186,11 @@ def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
         at = e["ax"] + V.over((y - e["ay"]) * (e["bx"] - e["ax"]), e["by"] - e["ay"])
         return F.when(((e["ay"] > y) != (e["by"] > y)) & (x < at), 1).otherwise(0)
 
-    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossing(e)) % 2 == 1
+    count, odd, _ = few_edges(edges, crossing)
+    return F.when(count <= UNROLLED, odd).otherwise(F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossing(e)) % 2 == 1)
 
 
-def lowest_above(lights: DataFrame, faces: DataFrame, clearance: str = "clearance", cell_m: float = 2.0) -> DataFrame:
+def lowest_above(lights: DataFrame, faces: DataFrame, clearance: str = "clearance", cell_m: float = 1.0) -> DataFrame:
     """Light positions below the lowest ceiling; ``placed`` is false without one or below the floor."""
     found = ceiling_above(lights, faces, "light_id", cell_m)
     z = F.col("ceiling_z") - F.col(clearance)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import grid, vectors as V
+from plumbline.functions.joins import join_model
 from plumbline.functions.linalg import eig3, merge_hull, partial_hulls
 from plumbline.functions.quantiles import residual_stats
 from plumbline.operators.pixels import display_pixel
@@ -29,26 +30,46 @@ def edges_of(ring: Column) -> Column:
 def inside_edges(x: Column, y: Column, edges: Column, tolerance: float = 1e-9) -> Column:
     """Even-odd test of a 2-D point against ring edges; the boundary counts as inside.
 
-    The point is bound as a one-element array so its expressions run once per row
-    and not once per edge.
+    Longer rings bind the point as a one-element array, so its expressions run once
+    per row and not once per edge.
     """
-    def crossing(q: Column, e: Column) -> Column:
-        straddles = (e["ay"] > q["y"]) != (e["by"] > q["y"])
-        at = e["ax"] + (q["y"] - e["ay"]) * (e["bx"] - e["ax"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0))
-        return F.when(straddles & (q["x"] < at), 1).otherwise(0)
+    def crossing(px: Column, py: Column, e: Column) -> Column:
+        straddles = (e["ay"] > py) != (e["by"] > py)
+        at = e["ax"] + (py - e["ay"]) * (e["bx"] - e["ax"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0))
+        return F.when(straddles & (px < at), 1).otherwise(0)
 
-    def touching(q: Column, e: Column) -> Column:
+    def touching(px: Column, py: Column, e: Column) -> Column:
         dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
         length = dx * dx + dy * dy
         t = F.when(length == 0, 0.0).otherwise(
-            V.clamp(((q["x"] - e["ax"]) * dx + (q["y"] - e["ay"]) * dy) / F.nullif(length, F.lit(0.0)), 0.0, 1.0))
-        return F.hypot(q["x"] - e["ax"] - t * dx, q["y"] - e["ay"] - t * dy) <= tolerance
+            V.clamp(((px - e["ax"]) * dx + (py - e["ay"]) * dy) / F.nullif(length, F.lit(0.0)), 0.0, 1.0))
+        return F.hypot(px - e["ax"] - t * dx, py - e["ay"] - t * dy) <= tolerance
 
     def holds(q: Column) -> Column:
-        odd = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossing(q, e)) % 2 == 1
-        return odd | F.exists(edges, lambda e: touching(q, e))
+        odd = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossing(q["x"], q["y"], e)) % 2 == 1
+        return odd | F.exists(edges, lambda e: touching(q["x"], q["y"], e))
 
-    return F.exists(F.array(F.struct(x.alias("x"), y.alias("y"))), holds)
+    count, odd, near = few_edges(edges, lambda e: crossing(x, y, e), lambda e: touching(x, y, e))
+    many = F.exists(F.array(F.struct(x.alias("x"), y.alias("y"))), holds)
+    return F.when(count <= UNROLLED, odd | near).otherwise(many)
+
+
+UNROLLED = 4  # rings of up to this many edges run as compiled expressions
+
+
+def few_edges(edges: Column, crossing: Callable[[Column], Column], touching: Callable[[Column], Column] | None = None) -> tuple[Column, Column, Column]:
+    """Edge count, odd-crossings flag and any-touch flag over the first few edges.
+
+    Triangles and quads are nearly all rings, and a lambda over an array is
+    interpreted: unrolled, the same test is compiled.
+    """
+    count, crossings, near = F.size(edges), F.lit(0), F.lit(False)
+    for i in range(UNROLLED):
+        e = F.get(edges, F.lit(i))
+        crossings = crossings + F.when(count > i, crossing(e)).otherwise(0)
+        if touching is not None:
+            near = near | F.when(count > i, touching(e)).otherwise(False)
+    return count, crossings % 2 == 1, near
 
 
 def inside_ring(x: Column, y: Column, ring: Column, tolerance: float = 1e-9) -> Column:
@@ -131,8 +152,9 @@ def plane_fit(points: DataFrame, keys: Sequence[str], rejection_m: float = 0.02,
               up: Sequence[float] = (0.0, 1.0, 0.0), materialize: bool = True) -> DataFrame:
     """Least-squares plane per key with up to five rejection rounds and a final refit.
 
-    Each round is one aggregation of moments over all points and a join of the small
-    model table back to them, so a patch of any size is spread over the cluster.
+    Each round is one aggregation of moments over all points and a join of the model
+    table back to them; the model is broadcast when its counted size allows, so points
+    are scanned but not shuffled and a patch of any size is spread over the cluster.
     Once a round keeps the same points the later ones repeat it, so no early exit is
     needed.  ``status`` is ``fitted``, ``too_few_samples``, ``no_span`` or
     ``too_few_inliers``; model columns are NULL unless fitted.
@@ -144,10 +166,11 @@ def plane_fit(points: DataFrame, keys: Sequence[str], rejection_m: float = 0.02,
     first = _moments(cloud, keys, F.lit(True), [F.lit(None).cast("string").alias("status")])
     model = _solved(first.withColumn("status", F.when(F.col("n") < min_inliers, "too_few_samples")), keys, min_inliers)
     for _ in range(FIT_ROUNDS):
-        placed = cloud.join(model.select(*keys, *_MODEL), keys)
+        placed = join_model(cloud, model.select(*keys, *_MODEL), keys)
         keep = F.col("status").isNull() & (_distance() <= rejection_m)
         model = _solved(_moments(placed, keys, keep, [F.max("status").alias("status")]), keys, min_inliers)
-    placed = cloud.join(model.select(*keys, *_MODEL), keys)
+    model = cut_lineage(model)
+    placed = join_model(cloud, model.select(*keys, *_MODEL), keys)
     final = placed.groupBy(*keys).agg(F.count_if(F.col("status").isNull() & (_distance() <= rejection_m)).alias("inliers"))
     out = model.join(final, keys)
     status = F.coalesce(F.col("status"), F.when(F.col("inliers") < min_inliers, "too_few_inliers"), F.lit("fitted"))
@@ -211,7 +234,7 @@ def polygon_frames(polygons: DataFrame) -> DataFrame:
 
 def nearest_support_polygon(
     points: DataFrame, polygons: DataFrame, group: Sequence[str], point_key: Sequence[str],
-    source_normal: Sequence[float] | None = None, boundary_tolerance: float = 1e-9, cells: int = 16,
+    source_normal: Sequence[float] | None = None, boundary_tolerance: float = 1e-9, cells: int = 32,
 ) -> DataFrame:
     """Closest supporting polygon per point, signed distance kept, unmatched points kept.
 
