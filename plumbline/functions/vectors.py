@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 Vec = Sequence[Column]
 
@@ -151,3 +151,12 @@ def over(a: Column, b: Column) -> Column:
 def unit(a: Vec) -> tuple[Column, ...]:
     length = norm(a)
     return tuple(over(x, length) for x in a)
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row, however often later steps use them.
+
+    A plain projection is merged into its users, which repeats costly expressions; a
+    one-element ``inline`` is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))))

@@ -21,23 +21,21 @@ def face_frame(faces: DataFrame) -> DataFrame:
     coordinates from the lower corner; ``extent_u, extent_v`` and ``area`` in metres.
     Degenerate or bent faces have ``usable`` false.
     """
-    rows = faces.withColumn("__n", V.fan_normal(F.col("polygon")))
+    rows = V.once(faces, {"__n": V.fan_normal(F.col("polygon"))})
     longest = F.aggregate(
         V.ring_edges(F.col("polygon")), F.struct(F.lit(-1.0).alias("len"), F.array(*[F.lit(0.0)] * 3).alias("dir")),
         lambda acc, e: V.let(F.zip_with(e["b"], e["a"], lambda x, y: x - y), lambda d: F.when(
             V.norm(V.items(d)) > acc["len"], F.struct(V.norm(V.items(d)).alias("len"), d.alias("dir"))).otherwise(acc)))
-    rows = rows.withColumns({"__len": V.norm(V.items("__n")), "__e": longest})
-    rows = rows.withColumns({
+    rows = V.once(rows, {"__len": V.norm(V.items("__n")), "__e": longest})
+    rows = V.once(rows, {
         "normal": F.array(*[V.over(c, F.col("__len")) for c in V.items("__n")]),
         "basis_u": F.array(*[V.over(c, F.col("__e.len")) for c in V.items(F.col("__e.dir"))])})
-    # written out once: the local ring below reads these vectors for every vertex
-    rows = cut_lineage(rows.drop("__n", "__e"))
-    rows = rows.withColumn("basis_v", F.array(*V.cross(V.items("normal"), V.items("basis_u"))))
+    rows = V.once(rows.drop("__n", "__e"), {"basis_v": F.array(*V.cross(V.items("normal"), V.items("basis_u")))})
     first = V.items(F.col("polygon")[0])
     local = F.transform("polygon", lambda p: F.struct(
         V.dot(V.sub(V.items(p), first), V.items("basis_u")).alias("x"), V.dot(V.sub(V.items(p), first), V.items("basis_v")).alias("y")))
     bend = F.array_max(F.transform("polygon", lambda p: F.abs(V.dot(V.sub(V.items(p), first), V.items("normal")))))
-    rows = rows.withColumns({"__ring": local, "usable": F.coalesce((F.col("__len") > 1e-10) & (bend < 1e-5), F.lit(False))})
+    rows = V.once(rows, {"__ring": local, "usable": F.coalesce((F.col("__len") > 1e-10) & (bend < 1e-5), F.lit(False))})
     low = [F.array_min(F.col(f"__ring.{c}")) for c in "xy"]
     high = [F.array_max(F.col(f"__ring.{c}")) for c in "xy"]
     rows = rows.withColumns({"__lx": low[0], "__ly": low[1], "extent_u": high[0] - low[0], "extent_v": high[1] - low[1]})
@@ -162,8 +160,8 @@ def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_i
     ``faces(polygon)``; near-vertical faces are ignored.  Points meet only the faces
     whose footprint touches their grid cell.
     """
-    rows = faces.select(F.col("polygon"), V.fan_normal(F.col("polygon")).alias("__n"))
-    rows = rows.withColumn("__len", V.norm(V.items("__n"))).where(F.col("__len") > 1e-10)
+    rows = V.once(faces.select("polygon"), {"__n": V.fan_normal(F.col("polygon"))})
+    rows = V.once(rows, {"__len": V.norm(V.items("__n"))}).where(F.col("__len") > 1e-10)
     xs, ys = F.transform("polygon", lambda p: p[0]), F.transform("polygon", lambda p: p[1])
     flat = rows.select(
         *[F.col("polygon")[0][i].alias(f"__o{c}") for i, c in enumerate("xyz")], *[V.over(F.col("__n")[i], F.col("__len")).alias(f"__n{c}") for i, c in enumerate("xyz")],

@@ -212,24 +212,22 @@ def _entries(points: str, i: int) -> Column:
 
 def polygon_frames(polygons: DataFrame) -> DataFrame:
     """Adds the plane frame of 3-D rings: origin, unit normal, in-plane axes, 2-D ring."""
-    raw = polygons.withColumn("__area", V.fan_normal(F.col("vertices")))
-    length = V.norm(V.items("__area"))
-    raw = raw.withColumn("normal", F.transform("__area", lambda c: c / F.nullif(length, F.lit(0.0))))
+    raw = V.once(polygons, {"__area": V.fan_normal(F.col("vertices"))})
+    raw = V.once(raw, {"normal": F.array(*V.unit(V.items("__area")))})
     n = V.items("normal")
     size = [F.abs(c) for c in n]
     axis = (F.when((size[0] <= size[1]) & (size[0] <= size[2]), F.array(*map(F.lit, (1.0, 0.0, 0.0))))
             .when(size[1] <= size[2], F.array(*map(F.lit, (0.0, 1.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 0.0, 1.0)))))
-    raw = raw.withColumn("__axis", axis)
-    along = V.cross(V.items("__axis"), n)
-    raw = raw.withColumn("along", F.array(*V.unit(along)))
-    raw = raw.withColumn("across", F.array(*V.cross(n, V.items("along"))))
+    raw = V.once(raw, {"__axis": axis})
+    raw = V.once(raw, {"along": F.array(*V.unit(V.cross(V.items("__axis"), n)))})
+    raw = V.once(raw, {"across": F.array(*V.cross(n, V.items("along")))})
     origin = V.items(F.col("vertices")[0])
 
     def flat(p: Column) -> Column:
         rel = V.sub(V.items(p), origin)
         return F.struct(V.dot(rel, V.items("along")).alias("x"), V.dot(rel, V.items("across")).alias("y"))
 
-    return raw.withColumns({"origin": F.col("vertices")[0], "ring": F.transform("vertices", flat)}).drop("__area", "__axis")
+    return V.once(raw, {"origin": F.col("vertices")[0], "ring": F.transform("vertices", flat)}).drop("__area", "__axis")
 
 
 def nearest_support_polygon(
