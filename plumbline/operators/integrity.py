@@ -168,6 +168,11 @@ def inventory_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("group
     return sides.select(*keys, kind.alias("change")).where(F.col("change").isNotNull())
 
 
+def name_order(inventory: DataFrame, keys: Sequence[str] = ("group", "name")) -> DataFrame:
+    """An inventory sorted by group and name (a range-partitioned sort)."""
+    return inventory.orderBy(*keys)
+
+
 def snapshots_comparable(old: DataFrame, new: DataFrame, versions: Sequence[str]) -> DataFrame:
     """Header versions that differ between two snapshots; compare only when empty."""
     pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.col(v).cast("string").alias("value")) for v in versions])).alias("p")

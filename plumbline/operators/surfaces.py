@@ -283,12 +283,21 @@ def nearest_support_polygon(
     for a in "xy":  # plain comparisons first: the ring test is the costly part
         met = met.where((F.col(f"__p{a}") >= F.col(f"__min{a}") - boundary_tolerance) & (F.col(f"__p{a}") <= F.col(f"__max{a}") + boundary_tolerance))
     held = met.where(inside_edges(F.col("__px"), F.col("__py"), F.col("__edges"), boundary_tolerance))
-    best = held.groupBy(*group, *point_key).agg(
-        F.min(F.struct(F.abs("__s").alias("d"), F.col("polygon_ordinal").alias("o"), F.col("__s").alias("s"))).alias("__b"))
-    chosen = best.select(*group, *point_key, F.col("__b.o").alias("supporting_polygon"), F.col("__b.s").alias("residual_m"))
+    best = closest_support(held.withColumnRenamed("__s", "residual_m"), [*group, *point_key])
+    chosen = best.withColumnRenamed("polygon_ordinal", "supporting_polygon")
     return points.join(chosen, [*group, *point_key], "left").withColumn("overlap", F.col("supporting_polygon").isNotNull())
 
 
+def closest_support(candidates: DataFrame, keys: Sequence[str], residual: str = "residual_m", ordinal: str = "polygon_ordinal") -> DataFrame:
+    """The candidate with the smallest absolute residual per key; ties go to the lower ordinal.
+
+    An aggregation with map-side combining, not a window: a key with very many
+    candidates is reduced where its rows are.
+    """
+    best = F.min(F.struct(F.abs(residual).alias("d"), F.col(ordinal).alias("o"), F.col(residual).alias("r")))
+    return candidates.groupBy(*keys).agg(best.alias("__b")).select(*keys, F.col("__b.o").alias(ordinal), F.col("__b.r").alias(residual))
+
+
 def convex_overlap(first: DataFrame, second: DataFrame, key: str, tolerance: float = 1e-9) -> DataFrame:
     """Rows of ``first(key, px, py)`` inside the convex hull of ``second(key, px, py)``.
 

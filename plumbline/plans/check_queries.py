@@ -142,6 +142,12 @@ lev AS (SELECT archive_id, array_to_string(parts[1:i], '/') AS prefix, i = len(p
 """
 
 
+@query("SELECT doc_id, sha256(replace(lower(nfc_normalize(text)), 'ß', 'ss')) AS folded_sha256 FROM documents")
+def nfc_casefold(spark, sf):
+    """Whole document texts folded; sharp s is the one letter where folding is more than lowering here."""
+    return W.table(spark, sf, "documents").select("doc_id", F.sha2(C.nfc_casefold("text"), 256).alias("folded_sha256"))
+
+
 @query(with_views("member", _PREFIX + """SELECT archive_id, lower(prefix) AS alias, 'alias' AS kind FROM lev GROUP BY archive_id, lower(prefix) HAVING count(DISTINCT prefix) > 1
 UNION ALL SELECT archive_id, lower(name), 'duplicate' FROM member GROUP BY archive_id, lower(name) HAVING count(*) > 1"""))
 def alias_conflict(spark, sf):

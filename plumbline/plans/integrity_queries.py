@@ -104,6 +104,11 @@ def inventory_diff(spark, sf):
     return I.inventory_diff(*inventories(spark, sf), keys=["grp", "name"])
 
 
+@query(with_views("old_inv", "SELECT grp, name, record_sha256 FROM old_inv"))
+def name_order(spark, sf):
+    return I.name_order(inventories(spark, sf)[0], ["grp", "name"])
+
+
 @query(with_views("old_inv new_inv", """SELECT name, CASE WHEN n.name IS NULL THEN 'lost' ELSE 'changed' END AS kind
 FROM old_inv o LEFT JOIN new_inv n USING (name) WHERE o.record_sha256 IS DISTINCT FROM n.record_sha256"""))
 def preservation_check(spark, sf):

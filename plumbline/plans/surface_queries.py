@@ -266,6 +266,15 @@ def nearest_support_polygon(spark, sf):
     return rounded(out.select(*PIXEL, "supporting_polygon", "residual_m", "overlap"), "residual_m", places=9)
 
 
+@query("""WITH c AS (SELECT l_orderkey AS point_id, l_partkey AS polygon_ordinal, round((l_linenumber - 4) * 0.1, 1) AS residual_m FROM lineitem)
+SELECT point_id, polygon_ordinal, residual_m FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY abs(residual_m), polygon_ordinal, residual_m) AS r FROM c) WHERE r = 1""")
+def closest_support(spark, sf):
+    """Line items as candidate supports of their order, with many equal distances."""
+    c = W.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("point_id"), F.col("l_partkey").alias("polygon_ordinal"), F.round((F.col("l_linenumber") - 4) * 0.1, 1).alias("residual_m"))
+    return S.closest_support(c, ["point_id"])
+
+
 _HULL = """, pair AS (SELECT DISTINCT label AS a, label + 1 AS b FROM vec WHERE label < 9),
 {points},
 edge AS (SELECT i.pair_id, i.px AS ax, i.py AS ay, j.px AS bx, j.py AS by FROM bp i JOIN bp j ON i.pair_id = j.pair_id AND i.vec_id <> j.vec_id
