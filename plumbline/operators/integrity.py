@@ -29,16 +29,18 @@ def both_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], payload:
     """``keys`` + ``in_left, in_right`` + ``left_*, right_*`` payloads, one row per key."""
 
     def tagged(df: DataFrame, side: str) -> DataFrame:
-        mine = F.struct(*[F.col(c) for c in payload]) if payload else F.struct(F.lit(1).alias("one"))
-        both = {s: (mine if s == side else F.lit(None)) for s in ("left", "right")}
-        return df.select(*keys, *[v.alias(f"__{s}") for s, v in both.items()])
-
+        flags = [F.lit(s == side).alias(f"in_{s}") for s in ("left", "right")]
+        if not payload:
+            return df.select(*keys, *flags)
+        mine = F.struct(*[F.col(c) for c in payload])
+        return df.select(*keys, *flags, *[(mine if s == side else F.lit(None)).alias(f"__{s}") for s in ("left", "right")])
+
+    # plain flags aggregate by hash; payload structs need a sort, so they are only carried when asked for
+    kept = [F.max(f"__{s}").alias(f"__{s}") for s in ("left", "right")] if payload else []
     merged = tagged(left, "left").unionByName(tagged(right, "right")).groupBy(*keys).agg(
-        F.max("__left").alias("__left"), F.max("__right").alias("__right"))
+        F.bool_or("in_left").alias("in_left"), F.bool_or("in_right").alias("in_right"), *kept)
     return merged.select(
-        *keys, F.col("__left").isNotNull().alias("in_left"), F.col("__right").isNotNull().alias("in_right"),
-        *[F.col(f"__left.{c}").alias(f"left_{c}") for c in payload],
-        *[F.col(f"__right.{c}").alias(f"right_{c}") for c in payload])
+        *keys, "in_left", "in_right", *[F.col(f"__{s}.{c}").alias(f"{s}_{c}") for s in ("left", "right") for c in payload])
 
 
 def missing_orphan(expected: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -221,7 +221,7 @@ def _event_stream(spark, sf):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     return stream.select(
         F.col("user_id").alias("capture_id"), W.component_name(F.col("event_type")).alias("component"),
-        F.floor(F.unix_timestamp("ts") / 604800).alias("frame_id"), F.sha2("props", 256).alias("sha256"), F.col("ts").cast("timestamp").alias("ts"))
+        F.floor(W.epoch_seconds("ts") / 604800).alias("frame_id"), F.sha2("props", 256).alias("sha256"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def _run_to_end(stream, path: str, checkpoint: str):

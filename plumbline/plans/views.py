@@ -109,12 +109,17 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
     """Component arrivals: user = capture, week = frame, event type = component."""
     return table(spark, sf, "events").select(
         F.col("user_id").alias("capture_id"),
-        F.floor(F.unix_timestamp("ts") / 604800).alias("frame_id"),
+        F.floor(epoch_seconds("ts") / 604800).alias("frame_id"),
         component_name(F.col("event_type")).alias("component"),
         F.col("ts"), F.col("event_id"),
     )
 
 
+def epoch_seconds(column: str) -> Column:
+    """Seconds since 1970 of a zoneless timestamp, whatever the session time zone."""
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
+
+
 # fixed values: how the driver's event types stand for components
 COMPONENT_OF_EVENT = {
     "click": "rgb", "view": "raw_camera", "purchase": "raw_depth", "signup": "raw_confidence", "error": "corrected_camera",
