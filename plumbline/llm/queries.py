@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import arc_convert, fingerprints, mixing, url_filter
+from plumbline.llm import arc_convert, fingerprints, html_extract, mixing, piece_tokens, url_filter
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,22 @@ def query(fn):
     return fn
 
 
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))).alias("mark"))
+    back = piece_tokens.decode(piece_tokens.encode(docs, MODEL_FILE, keep=("mark",)), MODEL_FILE, keep=("mark",))
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.xxhash64("text") == F.col("mark")).alias("round_trip"))
+
+
 RULES = (url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
          url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"))
 
