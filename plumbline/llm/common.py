@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.session import fresh_path
@@ -34,3 +38,17 @@ def crc_fold(key: Column, folds: int) -> Column:
 def share_of(key: Column, salt: str) -> Column:
     """A number in [0, 1) that depends on the key alone."""
     return (F.pmod(F.xxhash64(key.cast("string"), F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+
+
+SLICE_CHARS = 4_000_000
+
+
+def slices(batch: pa.RecordBatch, column: int = 1, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Rows of an Arrow batch in slices of about ``size`` bytes of the text column, a row at least; whole texts always."""
+    lengths = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)]
+    ends = np.cumsum([0, *lengths])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to

@@ -26,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.llm.common import slices
+
 MARK = "▁"
 WORDS = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNKNOWN_COST = 10.0
 KEPT_WORDS = 400_000  # encodings a task keeps between slices; it starts anew beyond, with equal results
 KEPT_PAIRS = 1_000_000
-SLICE_CHARS = 4_000_000
 # fixed values of the model format: kinds of pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2  # kind of model; 1 is unigram
@@ -207,17 +208,6 @@ def decode_ids(ids: Iterable[int], vocabulary: Vocabulary) -> str:
     return out[1:] if vocabulary.dummy_prefix and out.startswith(" ") else out
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in slices of some SLICE_CHARS bytes of text (column 1), a row at least."""
-    text = batch.column(1)
-    size = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in text)])
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(size, size[at] + SLICE_CHARS, "right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """``doc_id, ids`` of every whole text, with the columns named in ``keep``.
 
