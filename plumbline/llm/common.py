@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.session import fresh_path
 
@@ -43,12 +43,35 @@ def share_of(key: Column, salt: str) -> Column:
 SLICE_CHARS = 4_000_000
 
 
-def slices(batch: pa.RecordBatch, column: int = 1, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Rows of an Arrow batch in slices of about ``size`` bytes of the text column, a row at least; whole texts always."""
-    lengths = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)]
+def slices(batch: pa.RecordBatch, text: pa.Array | None = None, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Rows of an Arrow batch in slices of about ``size`` bytes of the text (column 1 if not given), a row at least; whole texts always."""
+    lengths = [len(x.as_buffer()) if x.is_valid else 0 for x in (batch.column(1) if text is None else text)]
     ends = np.cumsum([0, *lengths])
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+
+
+def with_features(docs: DataFrame, text_col: str, names: tuple[str, ...], compute, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """``row`` (each input row whole, as a struct), the columns in ``keep``, and a list of numbers for each of ``names``.
+
+    ``compute(text, row)`` gives the lists of one row, from its whole text (null: empty). Rows stay as they are, so names cannot clash
+    and nothing is joined back.
+    """
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keep)
+    floats = pa.list_(pa.float64())
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in names)])
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.column(0).field(at)):
+                texts = part.column(0).field(at).to_pylist()
+                kept = zip(*(c.to_pylist() for c in part.columns[1:])) if len(part.columns) > 1 else [()] * len(texts)
+                lists = [compute("" if t is None else str(t), k) for t, k in zip(texts, kept)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[k] for x in lists], floats) for k in range(len(names)))],
+                                                 [*part.schema.names, *names])
+
+    return rows.mapInArrow(run, schema)

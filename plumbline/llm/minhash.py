@@ -262,6 +262,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with one of each component: the one with its smallest id. All columns stay; of rows equal in id and text one stays."""
+    """The documents with one of each component, the one with its smallest id, and all their columns.
+
+    Of rows that repeat an id one stays; rows without an id cannot be told apart and all stay.
+    """
     kept = components(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
+    named = docs.filter(docs[id_col].isNotNull())
+    one = named.join(kept, named[id_col].cast("long") == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.filter(docs[id_col].isNull()))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import arc_convert, cross_polytope, fingerprints, html_extract, minhash, mixing, piece_tokens, url_filter
-from plumbline.llm.common import table
+from plumbline.llm import arc_convert, cotraining, cross_polytope, fingerprints, html_extract, minhash, mixing, piece_tokens, toxicity, url_filter
+from plumbline.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,16 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_fold(F.col("doc_id"), 5)
+    scored = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 0).select("row.doc_id", "score")
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("row.doc_id", "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("kept"))
