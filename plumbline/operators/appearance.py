@@ -154,17 +154,18 @@ def source_contributions(contributions: DataFrame, keys: Sequence[str], toleranc
     return photo_weights(contributions, tolerance_m).groupBy(*keys, "source_id").agg(F.count_if(F.col("weight") > 0).alias("texels"))
 
 
-def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_id", cell_m: float = 1.0) -> DataFrame:
+def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_id", cell_m: float = 1.0, scene: Sequence[str] = ()) -> DataFrame:
     """Lowest face height above ``floor_z`` at ``x, y``; NULL when no face covers the point.
 
     ``faces(polygon)``; near-vertical faces are ignored.  Points meet only the faces
-    whose footprint touches their grid cell.
+    of their scene (columns named in ``scene``, on both tables) whose footprint touches
+    their grid cell.
     """
-    rows = V.once(faces.select("polygon"), {"__n": V.fan_normal(F.col("polygon"))})
+    rows = V.once(faces.select(*scene, "polygon"), {"__n": V.fan_normal(F.col("polygon"))})
     rows = V.once(rows, {"__len": V.norm(V.items("__n"))}).where(F.col("__len") > 1e-10)
     xs, ys = F.transform("polygon", lambda p: p[0]), F.transform("polygon", lambda p: p[1])
     flat = rows.select(
-        *[F.col("polygon")[0][i].alias(f"__o{c}") for i, c in enumerate("xyz")], *[V.over(F.col("__n")[i], F.col("__len")).alias(f"__n{c}") for i, c in enumerate("xyz")],
+        *scene, *[F.col("polygon")[0][i].alias(f"__o{c}") for i, c in enumerate("xyz")], *[V.over(F.col("__n")[i], F.col("__len")).alias(f"__n{c}") for i, c in enumerate("xyz")],
         F.array_min(xs).alias("__x0"), F.array_max(xs).alias("__x1"), F.array_min(ys).alias("__y0"), F.array_max(ys).alias("__y1"),
         edges_of(F.transform("polygon", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("__edges"))
     flat = cut_lineage(flat).where(F.abs("__nz") >= 0.01)  # plain numbers, read several times below
@@ -172,10 +173,10 @@ def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_i
     located = points.withColumns({"__i": grid.cell_of(F.col("x"), cell_m), "__j": grid.cell_of(F.col("y"), cell_m)})
     x, y = F.col("x"), F.col("y")
     height = F.col("__oz") - V.over((x - F.col("__ox")) * F.col("__nx") + (y - F.col("__oy")) * F.col("__ny"), F.col("__nz"))
-    met = located.join(celled, ["__i", "__j"]).where((x >= F.col("__x0")) & (x <= F.col("__x1")) & (y >= F.col("__y0")) & (y <= F.col("__y1")))
+    met = located.join(celled, [*scene, "__i", "__j"]).where((x >= F.col("__x0")) & (x <= F.col("__x1")) & (y >= F.col("__y0")) & (y <= F.col("__y1")))
     met = met.withColumn("__h", height).where((F.col("__h") > F.col("floor_z")) & strictly_inside(x, y, F.col("__edges")))
-    best = met.groupBy(point_key).agg(F.min("__h").alias("ceiling_z"))
-    return points.join(best, point_key, "left")
+    best = met.groupBy(*scene, point_key).agg(F.min("__h").alias("ceiling_z"))
+    return points.join(best, [*scene, point_key], "left")
 
 
 def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
@@ -188,8 +189,8 @@ def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
     return F.when(count <= UNROLLED, odd).otherwise(F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossing(e)) % 2 == 1)
 
 
-def lowest_above(lights: DataFrame, faces: DataFrame, clearance: str = "clearance", cell_m: float = 1.0) -> DataFrame:
+def lowest_above(lights: DataFrame, faces: DataFrame, clearance: str = "clearance", cell_m: float = 1.0, scene: Sequence[str] = ()) -> DataFrame:
     """Light positions below the lowest ceiling; ``placed`` is false without one or below the floor."""
-    found = ceiling_above(lights, faces, "light_id", cell_m)
+    found = ceiling_above(lights, faces, "light_id", cell_m, scene)
     z = F.col("ceiling_z") - F.col(clearance)
     return found.withColumns({"light_z": z, "placed": F.coalesce(z > F.col("floor_z"), F.lit(False))})

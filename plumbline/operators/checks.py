@@ -168,7 +168,7 @@ def nfc_casefold(text: pd.Series) -> pd.Series:
 
 
 def check_archive_paths(members: DataFrame) -> DataFrame:
-    """Unsafe member names, links, special files and reserved roots.
+    """Unsafe member names (NUL included), links, special files and reserved roots.
 
     ``members(archive_id, name, is_dir, mode)``; ``mode`` is the Unix mode.
     """
@@ -177,7 +177,7 @@ def check_archive_paths(members: DataFrame) -> DataFrame:
     parts = F.split(bare, "/", -1)
     trailing = name != F.concat(bare, F.when(F.col("is_dir"), "/").otherwise(""))
     unsafe = (
-        (name == "") | name.contains("\\") | name.startswith("/") | name.rlike("^[A-Za-z]:") | trailing
+        (name == "") | name.contains("\\") | name.contains("\0") | name.startswith("/") | name.rlike("^[A-Za-z]:") | trailing
         | F.exists(parts, lambda p: p.isin("", ".", "..")))
     return findings(members, F.concat_ws("/", F.col("archive_id").cast("string"), name), {
         "unsafe_path": (unsafe, None),

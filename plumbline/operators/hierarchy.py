@@ -7,7 +7,6 @@ round produced rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -16,23 +15,11 @@ from plumbline.functions import vectors as V
 from plumbline.session import cut_lineage
 
 
-def walk(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 10_000) -> DataFrame:
-    """Union of ``seed`` and every non-empty ``step`` of the newest rows."""
-    frontier = cut_lineage(seed)
-    parts = [frontier]
-    for _ in range(max_rounds):
-        frontier = cut_lineage(step(frontier))
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        parts.append(frontier)
-    raise ValueError("hierarchy deeper than max_rounds; is there a cycle?")
-
-
-def ancestors(edges: DataFrame, child: str = "id", parent: str = "parent_id", max_depth: int = 1 << 20) -> DataFrame:
+def ancestors(edges: DataFrame, child: str = "id", parent: str = "parent_id") -> DataFrame:
     """All ``(id, ancestor, depth)`` pairs of single-parent edges, by pointer doubling.
 
     A tree of depth ``d`` takes ``log2(d)`` rounds.  Self-loops mark roots and are
-    dropped; a longer cycle ends in an error instead of an endless loop.
+    dropped; a longer cycle ends in an error as soon as an id meets itself.
     """
     jump = cut_lineage(
         edges.where(F.col(parent).isNotNull() & (F.col(child) != F.col(parent)))
@@ -40,12 +27,12 @@ def ancestors(edges: DataFrame, child: str = "id", parent: str = "parent_id", ma
     closure = [jump.withColumn("depth", F.lit(1).cast("long"))]
     reach = 1
     while not jump.isEmpty():
-        if reach > max_depth:
-            raise ValueError("parent edges contain a cycle")
         known = reduce(DataFrame.unionByName, closure)
         further = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("__up"), "depth")
         closure.append(cut_lineage(
             jump.join(further, "ancestor").select("id", F.col("__up").alias("ancestor"), (F.col("depth") + reach).alias("depth"))))
+        if not closure[-1].where("id = ancestor").isEmpty():
+            raise ValueError("parent edges contain a cycle")
         hop = jump.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("__up"))
         jump = cut_lineage(jump.join(hop, "ancestor").select("id", F.col("__up").alias("ancestor")))
         reach *= 2
@@ -87,18 +74,29 @@ def renderable_objects(closure: DataFrame, objects: DataFrame) -> DataFrame:
     return objects.where(~F.col("hide_render")).join(closure.withColumnRenamed("id", "collection_id"), "collection_id", "left_semi").select("object_id").distinct()
 
 
-def hierarchy_transforms(nodes: DataFrame) -> DataFrame:
-    """World matrix of every node: the product of node matrices from its root.
+def hierarchy_transforms(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """World matrix of every node, and findings on the nodes that have none.
 
     ``nodes(id, parent_id, matrix)`` with row-major 16-element matrices; roots have
-    a NULL parent.
+    a NULL parent.  Every node holds the product of the matrices from just below
+    ``up`` down to itself; a round multiplies by ``up``'s product and takes over
+    its pointer, so depth ``d`` needs ``log2(d)`` rounds.  A node whose chain ends
+    at an absent id is ``unknown_parent``; what still points somewhere after as many
+    rounds as the node count can need hangs in a cycle.
     """
-    nodes = cut_lineage(nodes.select("id", "parent_id", "matrix"))  # read once, not once per level
-    local = nodes.select(F.col("id").alias("__id"), F.col("parent_id").alias("__parent"), F.col("matrix").alias("__m"))
-    roots = nodes.where(F.col("parent_id").isNull()).select("id", F.col("matrix").alias("world"))
-
-    def step(frontier: DataFrame) -> DataFrame:
-        return frontier.join(local, frontier["id"] == local["__parent"]).select(
-            F.col("__id").alias("id"), V.multiply4(F.col("world"), F.col("__m")).alias("world"))
-
-    return walk(roots, step)
+    state = cut_lineage(nodes.select("id", F.col("parent_id").alias("up"), "matrix", F.lit(False).alias("lost")))
+    rounds = max(1, state.count()).bit_length() + 1
+    for _ in range(rounds):
+        if state.where("up IS NOT NULL AND NOT lost").isEmpty():
+            break
+        target = state.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("matrix").alias("__m"), F.col("lost").alias("__lost"), F.lit(True).alias("__there"))
+        moving = state.where("up IS NOT NULL AND NOT lost").join(target, "up", "left")
+        there = F.coalesce("__there", F.lit(False))
+        moved = moving.select(
+            "id", F.when(there, F.col("__up")).otherwise(F.col("up")).alias("up"),
+            F.when(there, V.multiply4(F.col("__m"), F.col("matrix"))).otherwise(F.col("matrix")).alias("matrix"), (~there | F.coalesce("__lost", F.lit(False))).alias("lost"))
+        state = cut_lineage(state.where("up IS NULL OR lost").unionByName(moved))
+    bad = state.where("up IS NOT NULL").select(
+        F.when(F.col("lost"), "unknown_parent").otherwise("cycle").alias("rule"), F.col("id").cast("string").alias("entity_id"),
+        F.when(F.col("lost"), F.col("up").cast("string")).alias("detail"))
+    return state.where("up IS NULL").select("id", F.col("matrix").alias("world")), bad

@@ -26,7 +26,10 @@ VARIANT_NEEDS = {
 
 
 def both_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], payload: Sequence[str] = ()) -> DataFrame:
-    """``keys`` + ``in_left, in_right`` + ``left_*, right_*`` payloads, one row per key."""
+    """``keys`` + ``in_left, in_right, repeated`` + ``left_*, right_*`` payloads, one row per key.
+
+    ``repeated`` tells that a side holds the key more than once; its payload is then only one of several.
+    """
 
     def tagged(df: DataFrame, side: str) -> DataFrame:
         flags = [F.lit(s == side).alias(f"in_{s}") for s in ("left", "right")]
@@ -38,9 +41,10 @@ def both_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], payload:
     # plain flags aggregate by hash; payload structs need a sort, so they are only carried when asked for
     kept = [F.max(f"__{s}").alias(f"__{s}") for s in ("left", "right")] if payload else []
     merged = tagged(left, "left").unionByName(tagged(right, "right")).groupBy(*keys).agg(
-        F.bool_or("in_left").alias("in_left"), F.bool_or("in_right").alias("in_right"), *kept)
+        F.bool_or("in_left").alias("in_left"), F.bool_or("in_right").alias("in_right"),
+        F.greatest(F.count_if("in_left"), F.count_if("in_right")).alias("__most"), *kept)
     return merged.select(
-        *keys, "in_left", "in_right", *[F.col(f"__{s}.{c}").alias(f"{s}_{c}") for s in ("left", "right") for c in payload])
+        *keys, "in_left", "in_right", (F.col("__most") > 1).alias("repeated"), *[F.col(f"__{s}.{c}").alias(f"{s}_{c}") for s in ("left", "right") for c in payload])
 
 
 def missing_orphan(expected: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -161,10 +165,10 @@ def set_identity_hash(df: DataFrame, keys: Sequence[str], name: str, sha256: str
 
 
 def inventory_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("group", "name"), sha256: str = "record_sha256") -> DataFrame:
-    """``added``, ``removed`` and ``changed`` names per group of two snapshots."""
+    """``added``, ``removed`` and ``changed`` names per group of two snapshots; a name that one snapshot repeats is ``duplicate``."""
     sides = both_sides(old, new, keys, [sha256])
     kind = (
-        F.when(~F.col("in_left"), "added").when(~F.col("in_right"), "removed")
+        F.when(F.col("repeated"), "duplicate").when(~F.col("in_left"), "added").when(~F.col("in_right"), "removed")
         .when(~F.col(f"left_{sha256}").eqNullSafe(F.col(f"right_{sha256}")), "changed")
     )
     return sides.select(*keys, kind.alias("change")).where(F.col("change").isNotNull())
@@ -182,17 +186,17 @@ def snapshots_comparable(old: DataFrame, new: DataFrame, versions: Sequence[str]
 
 
 def preservation_check(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Every baseline property must still be there and equal; additions are allowed."""
+    """Every baseline property must still be there, once, and equal; additions are allowed."""
     sides = both_sides(before, after, keys, [value]).where("in_left")
-    broken = F.when(~F.col("in_right"), "lost").when(~F.col(f"left_{value}").eqNullSafe(F.col(f"right_{value}")), "changed")
+    broken = F.when(F.col("repeated"), "duplicate").when(~F.col("in_right"), "lost").when(~F.col(f"left_{value}").eqNullSafe(F.col(f"right_{value}")), "changed")
     return sides.select(*keys, broken.alias("kind")).where(F.col("kind").isNotNull())
 
 
 def artifact_verify(recorded: DataFrame, present: DataFrame, keys: Sequence[str] = ("path",), sha256: str = "sha256",
                     allow_extra: bool = False) -> DataFrame:
-    """Recorded hash against present hash: ``missing``, ``changed`` and ``undeclared`` files."""
+    """Recorded hash against present hash: ``missing``, ``changed``, ``undeclared`` and repeated (``duplicate``) files."""
     sides = both_sides(recorded, present, keys, [sha256])
-    kind = F.when(~F.col("in_right"), "missing").when(
+    kind = F.when(F.col("repeated"), "duplicate").when(~F.col("in_right"), "missing").when(
         F.col("in_left") & ~F.col(f"left_{sha256}").eqNullSafe(F.col(f"right_{sha256}")), "changed")
     if not allow_extra:
         kind = kind.when(~F.col("in_left"), "undeclared")
@@ -268,9 +272,9 @@ def used_source_closure(sources: DataFrame, objects: DataFrame, materials: DataF
 
 def membership_receipt(membership: DataFrame, receipt: DataFrame, keys: Sequence[str] = ("room_id", "group", "ordinal"),
                        name: str = "target_name") -> DataFrame:
-    """Targets must be the same names in the same order: ``missing``, ``extra``, ``renamed``."""
+    """Targets must be the same names in the same order: ``missing``, ``extra``, ``renamed``; repeated places are ``duplicate``."""
     sides = both_sides(membership, receipt, keys, [name])
-    kind = (F.when(~F.col("in_right"), "missing").when(~F.col("in_left"), "extra")
+    kind = (F.when(F.col("repeated"), "duplicate").when(~F.col("in_right"), "missing").when(~F.col("in_left"), "extra")
             .when(~F.col(f"left_{name}").eqNullSafe(F.col(f"right_{name}")), "renamed"))
     return sides.select(*keys, F.col(f"left_{name}").alias("declared"), F.col(f"right_{name}").alias("received"), kind.alias("kind")).where(
         F.col("kind").isNotNull())
@@ -293,12 +297,12 @@ def group_target_counts(membership: DataFrame, totals: DataFrame, room: str = "r
 
 def material_override_match(declared: DataFrame, received: DataFrame, keys: Sequence[str] = ("ordinal",),
                             columns: Sequence[str] = ("object_id", "original_material_id", "render_material_id", "intent")) -> DataFrame:
-    """Override rows must agree position by position."""
+    """Override rows must agree position by position; a position used twice is ``duplicate``."""
     sides = both_sides(declared, received, keys, columns)
     same = F.col("in_left") & F.col("in_right")
     for c in columns:
         same = same & F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}"))
-    kind = F.when(~F.col("in_right"), "missing").when(~F.col("in_left"), "extra").when(~same, "different")
+    kind = F.when(F.col("repeated"), "duplicate").when(~F.col("in_right"), "missing").when(~F.col("in_left"), "extra").when(~same, "different")
     return sides.select(*keys, kind.alias("kind")).where(F.col("kind").isNotNull())
 
 

@@ -59,11 +59,11 @@ def degenerate_faces(faces: DataFrame, vertices: DataFrame, tolerance: float = T
     return sized.where(F.col("length") <= tolerance**2).select("object_id", "face")
 
 
-def triangle_points(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+def triangle_points(triangles: DataFrame, vertices: DataFrame, scene: Sequence[str] = ()) -> DataFrame:
     """Triangles with corner coordinates ``ax..cz``; one join, one aggregation."""
-    corners = triangles.select("object_id", "face", "triangle", F.posexplode("vertices").alias("pos", "vertex"))
-    placed = corners.join(vertices, ["object_id", "vertex"])
-    return placed.groupBy("object_id", "face", "triangle").agg(*[
+    corners = triangles.select(*scene, "object_id", "face", "triangle", F.posexplode("vertices").alias("pos", "vertex"))
+    placed = corners.join(vertices, [*scene, "object_id", "vertex"])
+    return placed.groupBy(*scene, "object_id", "face", "triangle").agg(*[
         F.max(F.when(F.col("pos") == i, F.col(c))).alias(f"{p}{c}") for i, p in enumerate("abc") for c in "xyz"])
 
 
@@ -84,13 +84,15 @@ def inverted_closed_mesh(faces: DataFrame, triangles: DataFrame, vertices: DataF
     return volumes.join(closed.select("object_id"), "object_id", "left_semi")
 
 
-def coplanar_overlap_pairs(triangles: DataFrame, vertices: DataFrame, tolerance: float = TOLERANCE, cell_m: float = 1.0) -> DataFrame:
+def coplanar_overlap_pairs(triangles: DataFrame, vertices: DataFrame, tolerance: float = TOLERANCE, cell_m: float = 1.0,
+                           scene: Sequence[str] = ()) -> DataFrame:
     """Triangle pairs of different faces that share a plane and whose boxes touch.
 
-    Triangles meet only inside the same rounded normal and grid cell; the pair is
-    kept by the one cell that owns it.  ``cell_m`` should be near the triangle size.
+    Triangles meet only inside the same scene (the columns named in ``scene``, on both
+    tables), rounded normal and grid cell; the pair is kept by the one cell that owns
+    it.  ``cell_m`` should be near the triangle size.
     """
-    points = triangle_points(triangles, vertices)
+    points = triangle_points(triangles, vertices, scene)
     a, b, c = _corner("a"), _corner("b"), _corner("c")
     n = V.cross(V.sub(b, a), V.sub(c, a))
     sized = points.withColumns({f"__n{k}": e for k, e in zip("xyz", n)})
@@ -101,7 +103,7 @@ def coplanar_overlap_pairs(triangles: DataFrame, vertices: DataFrame, tolerance:
     sized = sized.withColumn("outward", F.when(leading < 0, -1).otherwise(1))
     sized = sized.withColumns({f"n{k}": u * F.col("outward") for k, u in zip("xyz", unit)})
     rows = sized.select(
-        "object_id", "face", "triangle", "outward", "nx", "ny", "nz", *[f"{p}{k}" for p in "abc" for k in "xyz"],
+        *scene, "object_id", "face", "triangle", "outward", "nx", "ny", "nz", *[f"{p}{k}" for p in "abc" for k in "xyz"],
         *[F.bround(F.col(f"n{k}") * 10_000).cast("long").alias(f"__k{k}") for k in "xyz"],
         *[F.least(*[F.col(f"{p}{k}") for p in "abc"]).alias(f"lo{k}") for k in "xyz"],
         *[F.greatest(*[F.col(f"{p}{k}") for p in "abc"]).alias(f"hi{k}") for k in "xyz"])
@@ -109,9 +111,10 @@ def coplanar_overlap_pairs(triangles: DataFrame, vertices: DataFrame, tolerance:
     lows, highs = [F.col(f"lo{k}") - tolerance for k in "xyz"], [F.col(f"hi{k}") + tolerance for k in "xyz"]
     celled = grid.cover(rows, lows, highs, cell_m, ["__ix", "__iy", "__iz"])
     keys = ["__kx", "__ky", "__kz", "__ix", "__iy", "__iz"]
-    first = celled.select(*keys, *[F.col(x).alias(f"p_{x}") for x in rows.columns if not x.startswith("__k")])
-    second = celled.select(*keys, *[F.col(x).alias(f"q_{x}") for x in rows.columns if not x.startswith("__k")])
-    met = first.join(second, keys)
+    own = [x for x in rows.columns if not x.startswith("__k") and x not in scene]
+    first = celled.select(*scene, *keys, *[F.col(x).alias(f"p_{x}") for x in own])
+    second = celled.select(*scene, *keys, *[F.col(x).alias(f"q_{x}") for x in own])
+    met = first.join(second, [*scene, *keys])
     order = lambda s: F.struct(F.col(f"{s}_object_id"), F.col(f"{s}_face"))
     # q is the later of the two in an x sweep: its plane and basis are used
     met = met.where(order("p") != order("q")).where(
@@ -164,9 +167,10 @@ def clip_area(first: pd.Series, second: pd.Series) -> pd.Series:
     return pd.Series(clip_areas(counterclockwise(p), counterclockwise(q)))
 
 
-def coplanar_overlap_area(triangles: DataFrame, vertices: DataFrame, tolerance: float = TOLERANCE, cell_m: float = 1.0) -> DataFrame:
-    """Overlap area per face pair, ``opposed`` contacts apart from real overlaps."""
-    pairs = coplanar_overlap_pairs(triangles, vertices, tolerance, cell_m)
+def coplanar_overlap_area(triangles: DataFrame, vertices: DataFrame, tolerance: float = TOLERANCE, cell_m: float = 1.0,
+                          scene: Sequence[str] = ()) -> DataFrame:
+    """Overlap area per scene and face pair, ``opposed`` contacts apart from real overlaps."""
+    pairs = coplanar_overlap_pairs(triangles, vertices, tolerance, cell_m, scene)
     origin, normal = V.cols("q_ax", "q_ay", "q_az"), V.cols("q_nx", "q_ny", "q_nz")
     along = V.sub(V.cols("q_bx", "q_by", "q_bz"), origin)
     u = V.unit(along)
@@ -182,27 +186,30 @@ def coplanar_overlap_area(triangles: DataFrame, vertices: DataFrame, tolerance:
     p_first = F.struct("p_object_id", "p_face") < F.struct("q_object_id", "q_face")
     pick = lambda name, low: F.when(p_first if low else ~p_first, F.col(f"p_{name}")).otherwise(F.col(f"q_{name}"))
     areas = pairs.select(
-        pick("object_id", True).alias("object_a"), pick("face", True).alias("face_a"),
+        *scene, pick("object_id", True).alias("object_a"), pick("face", True).alias("face_a"),
         pick("object_id", False).alias("object_b"), pick("face", False).alias("face_b"),
         (facing < OPPOSED).alias("opposed"), clip_area(flat("q"), flat("p")).alias("area"))
-    return areas.where(F.col("area") > tolerance**2).groupBy("object_a", "face_a", "object_b", "face_b", "opposed").agg(F.sum("area").alias("area_m2"))
+    return areas.where(F.col("area") > tolerance**2).groupBy(*scene, "object_a", "face_a", "object_b", "face_b", "opposed").agg(F.sum("area").alias("area_m2"))
 
 
-def sorted_overlaps(areas: DataFrame) -> DataFrame:
-    """Overlap findings ordered by face pair."""
-    return areas.where(~F.col("opposed")).orderBy("object_a", "face_a", "object_b", "face_b")
+def sorted_overlaps(areas: DataFrame, scene: Sequence[str] = ()) -> DataFrame:
+    """Overlap findings ordered by scene and face pair."""
+    return areas.where(~F.col("opposed")).orderBy(*scene, "object_a", "face_a", "object_b", "face_b")
 
 
 def review_meshes(vertices: DataFrame, faces: DataFrame, triangles: DataFrame, tolerance: float = TOLERANCE,
-                  cell_m: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """All mesh findings, and opposed contacts that need a look but do not fail."""
+                  cell_m: float = 1.0, scene: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """All mesh findings, and opposed contacts that need a look but do not fail.
+
+    ``object_id`` names one object over all scenes; ``scene`` keeps overlaps apart.
+    """
     broken = nonfinite_mesh(vertices)
     faces, triangles, vertices = (d.join(broken, "object_id", "left_anti") for d in (faces, triangles, vertices))
 
     def rows(df: DataFrame, rule: str, entity: Sequence[str], detail: Column) -> DataFrame:
         return df.select(F.lit(rule).alias("rule"), F.concat_ws("/", *[F.col(c).cast("string") for c in entity]).alias("entity_id"), detail.cast("string").alias("detail"))
 
-    areas = coplanar_overlap_area(triangles, vertices, tolerance, cell_m)
+    areas = coplanar_overlap_area(triangles, vertices, tolerance, cell_m, scene)
     pair = ["object_a", "face_a", "object_b", "face_b"]
     out = rows(broken, "nonfinite_vertices", ["object_id"], F.lit(None))
     out = out.unionByName(rows(degenerate_faces(faces, vertices, tolerance), "degenerate_face", ["object_id", "face"], F.lit(None)))
@@ -266,15 +273,14 @@ def triangle_multiset_equal(expected: DataFrame, actual: DataFrame, key: str = "
 
 def exported_identity_check(exported: DataFrame, declared: DataFrame, fields: Sequence[str] = ("room", "level", "role"),
                             key: str = "object_id") -> DataFrame:
-    """Findings: unknown, duplicate or missing exported ids and fields that differ."""
+    """Findings: unknown, duplicate (on either side) or missing exported ids and fields that differ."""
     from plumbline.operators.integrity import both_sides
 
-    duplicated = exported.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("duplicate").alias("kind"))
     sides = both_sides(declared, exported, [key], fields)
-    problems = [F.when(~F.col("in_left"), "unknown"), F.when(~F.col("in_right"), "missing")]
+    problems = [F.when(~F.col("in_left"), "unknown"), F.when(~F.col("in_right"), "missing"), F.when(F.col("repeated"), "duplicate")]
     both = F.col("in_left") & F.col("in_right")
     problems += [F.when(both & ~F.col(f"left_{f}").eqNullSafe(F.col(f"right_{f}")), f"{f}_differs") for f in fields]
-    return sides.select(key, F.explode(F.array_compact(F.array(*problems))).alias("kind")).unionByName(duplicated)
+    return sides.select(key, F.explode(F.array_compact(F.array(*problems))).alias("kind"))
 
 
 def texture_binding_check(surfaces: DataFrame, materials: DataFrame, textures: DataFrame, images: DataFrame) -> DataFrame:
@@ -298,7 +304,7 @@ def material_readback_check(assigned: DataFrame, saved: DataFrame, keys: Sequenc
     sides = both_sides(assigned, saved, keys, ["material", "u", "v"])
     # relative part: a UV far from zero may differ by its own rounding
     apart = lambda c: F.abs(F.col(f"left_{c}") - F.col(f"right_{c}")) > tolerance + 1e-5 * F.abs(F.col(f"right_{c}"))
-    kind = (F.when(~F.col("in_right"), "missing").when(~F.col("in_left"), "extra")
+    kind = (F.when(F.col("repeated"), "duplicate").when(~F.col("in_right"), "missing").when(~F.col("in_left"), "extra")
             .when(~F.col("left_material").eqNullSafe(F.col("right_material")), "material_differs")
             .when(F.coalesce(apart("u") | apart("v"), F.lit(True)), "uv_differs"))
     return sides.select(*keys, kind.alias("kind")).where("kind IS NOT NULL")

@@ -19,20 +19,24 @@ def rigid_fit(landmarks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unit-scale rigid transform per key from landmarks whose ``role`` is ``fit``.
 
     One aggregation sums means and covariances; the 3x3 decomposition then runs on
-    one row per transform.  ``status`` is ``fitted``, ``too_few`` or ``collinear``.
+    one row per transform.  ``status`` is ``fitted``, ``too_few``, ``collinear`` or
+    ``not_finite`` (a coordinate is NULL, NaN or infinite).
     """
     fit = landmarks.where(F.col("role") == "fit")
     cov = lambda a, b: F.covar_pop(F.col(a), F.col(b))
+    number = F.lit(True)
+    for c in SOURCE + TARGET:
+        number = number & V.finite(F.col(c))
     m = fit.groupBy(*keys).agg(
-        F.count("*").alias("n"),
+        F.count("*").alias("n"), F.bool_and(F.coalesce(number, F.lit(False))).alias("__number"),
         *[F.avg(c).alias(f"mean_{c}") for c in SOURCE + TARGET],
         F.array(*[cov(s, t) for s in SOURCE for t in TARGET]).alias("__c"),
         F.array(*[cov(SOURCE[i], SOURCE[j]) for i, j in _PAIRS]).alias("__a"),
         F.array(*[cov(TARGET[i], TARGET[j]) for i, j in _PAIRS]).alias("__b"),
     )
     m = m.withColumns({"__r": rotation_from_covariance("__c"), "__ea": eig3("__a"), "__eb": eig3("__b")})
-    spread = lambda e: (F.col(e)[2] > 0) & (F.col(e)[1] > F.col(e)[2] * 1e-14)
-    status = F.when(F.col("n") < 3, "too_few").when(~(spread("__ea") & spread("__eb")), "collinear").otherwise("fitted")
+    spread = lambda e: F.coalesce((F.col(e)[2] > 0) & (F.col(e)[1] > F.col(e)[2] * 1e-14), F.lit(False))
+    status = F.when(F.col("n") < 3, "too_few").when(~F.col("__number"), "not_finite").when(~(spread("__ea") & spread("__eb")), "collinear").otherwise("fitted")
     r = F.col("__r")
     rows = [tuple(r[3 * i + j] for j in range(3)) for i in range(3)]
     mean = V.cols(*[f"mean_{c}" for c in SOURCE])
@@ -43,16 +47,16 @@ def rigid_fit(landmarks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def landmark_residuals(landmarks: DataFrame, transforms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Residual vector ``rx, ry, rz`` and ``error_m`` of every landmark under its transform."""
-    joined = landmarks.join(transforms.where(F.col("matrix").isNotNull()).select(*keys, F.col("matrix").alias("__m")), list(keys))
+    """Residual vector ``rx, ry, rz`` and ``error_m`` of every landmark under its transform; NULL where there is none."""
+    joined = landmarks.join(transforms.where(F.col("matrix").isNotNull()).select(*keys, F.col("matrix").alias("__m")), list(keys), "left")
     residual = V.sub(V.apply_rigid(F.col("__m"), V.cols(*SOURCE)), V.cols(*TARGET))
     out = joined.withColumns(dict(zip(("rx", "ry", "rz"), residual))).drop("__m")
     return out.withColumn("error_m", V.norm(V.cols("rx", "ry", "rz")))
 
 
 def residual_summary_by_role(residuals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Count, median, p95 and maximum error per transform and role."""
-    return residual_stats(residuals, [*keys, "role"], "error_m")
+    """Count, median, p95 and maximum error per transform and role, over landmarks that have one."""
+    return residual_stats(residuals.where(F.col("error_m").isNotNull()), [*keys, "role"], "error_m")
 
 
 def apply_registration_scope(frames: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -157,10 +157,10 @@ def contributions(spark, sf):
         (0.05 + F.col("l_partkey") % 50 * 0.1).alias("distance_m"), (F.col("l_linenumber") / F.lit(7.0)).alias("cosine"), F.col("l_tax").alias("residual_m"), (F.col("l_discount") < 0.08).alias("accepted"), F.lit(True).alias("inside"))
 
 
-@query(with_views("con", _WEIGHT + """SELECT texel_id, CASE WHEN sum(wt) > 0 THEN round(sum(wt * r) / sum(wt), 6) END AS r, CASE WHEN sum(wt) > 0 THEN round(sum(wt * b) / sum(wt), 6) END AS b, sum(wt) > 0 AS covered,
+@query(with_views("con", _WEIGHT + """SELECT texel_id, CASE WHEN sum(wt) > 0 THEN round(sum(wt * r) / sum(wt), 6) END AS r, CASE WHEN sum(wt) > 0 THEN round(sum(wt * b) / sum(wt), 6) END AS b, CASE WHEN sum(wt) > 0 THEN round(sum(wt * g) / sum(wt), 6) END AS g, sum(wt) > 0 AS covered,
  count(*) FILTER (WHERE wt > 0) AS contributions FROM w GROUP BY texel_id"""))
 def photo_blend(spark, sf):
-    return rounded(A.photo_blend(contributions(spark, sf), ["texel_id"]).drop("g"), "r", "b")
+    return rounded(A.photo_blend(contributions(spark, sf), ["texel_id"]), "r", "g", "b")
 
 
 @query(with_views("con", _WEIGHT + """, c AS (SELECT texel_id, sum(wt) > 0 AS covered FROM w GROUP BY texel_id)
@@ -182,33 +182,33 @@ def source_contributions(spark, sf):
 
 # --- ceilings ---------------------------------------------------------------
 
-W.SQL["roofs"] = """SELECT CAST(o_orderkey % 40 AS DOUBLE) AS x0, CAST((o_orderkey * 7) % 30 AS DOUBLE) AS y0, CAST(2 + o_custkey % 4 AS DOUBLE) AS w, CAST(1 + o_custkey % 3 AS DOUBLE) AS h, CAST(o_custkey % 9 AS DOUBLE) AS z, CAST(o_orderkey % 3 AS DOUBLE) AS rise FROM orders WHERE o_orderkey % 5 <> 0"""
-W.SQL["spots"] = """SELECT c_custkey AS point_id, c_custkey % 43 + 0.37 AS x, (c_custkey * 3) % 33 + 0.61 AS y, CAST(c_custkey % 6 AS DOUBLE) AS floor_z FROM customer"""
-_CEILING = """, h AS (SELECT point_id, min(z + rise * (x - x0) / w) AS ceiling_z FROM spots JOIN roofs ON x > x0 AND x < x0 + w AND y > y0 AND y < y0 + h AND z + rise * (x - x0) / w > floor_z GROUP BY point_id)
+W.SQL["roofs"] = """SELECT CAST(o_orderkey % 40 AS DOUBLE) AS x0, CAST((o_orderkey * 7) % 30 AS DOUBLE) AS y0, CAST(2 + o_custkey % 4 AS DOUBLE) AS w, CAST(1 + o_custkey % 3 AS DOUBLE) AS h, CAST(o_custkey % 9 AS DOUBLE) AS z, CAST(o_orderkey % 3 AS DOUBLE) AS rise, o_custkey % 4 AS scene FROM orders WHERE o_orderkey % 5 <> 0"""
+W.SQL["spots"] = """SELECT c_custkey AS point_id, c_custkey % 43 + 0.37 AS x, (c_custkey * 3) % 33 + 0.61 AS y, CAST(c_custkey % 6 AS DOUBLE) AS floor_z, c_custkey // 10 % 4 AS scene FROM customer"""
+_CEILING = """, h AS (SELECT point_id, min(z + rise * (x - x0) / w) AS ceiling_z FROM spots s JOIN roofs r ON r.scene = s.scene AND x > x0 AND x < x0 + w AND y > y0 AND y < y0 + h AND z + rise * (x - x0) / w > floor_z GROUP BY point_id)
 """
 
 
 def roofs(spark, sf):
-    """Sloped rectangles; every fifth is upright and must be ignored."""
+    """Sloped rectangles of four scenes in the same coordinates; every fifth is upright and must be ignored."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     d = lambda e: e.cast("double")
     x0, y0, w, h, z, rise = d(k % 40), d((k * 7) % 30), d(2 + c % 4), d(1 + c % 3), d(c % 9), d(k % 3)
     upright = F.array(F.array(x0, y0, z), F.array(x0 + w, y0, z), F.array(x0 + w, y0, z + 2))
     slope = F.array(F.array(x0, y0, z), F.array(x0 + w, y0, z + rise), F.array(x0 + w, y0 + h, z + rise), F.array(x0, y0 + h, z))
-    return W.table(spark, sf, "orders").select(F.when(k % 5 == 0, upright).otherwise(slope).alias("polygon"))
+    return W.table(spark, sf, "orders").select((c % 4).alias("scene"), F.when(k % 5 == 0, upright).otherwise(slope).alias("polygon"))
 
 
 def spots(spark, sf):
     k = F.col("c_custkey")
-    return W.table(spark, sf, "customer").select(k.alias("point_id"), (k % 43 + 0.37).alias("x"), ((k * 3) % 33 + 0.61).alias("y"), (k % 6).cast("double").alias("floor_z"))
+    return W.table(spark, sf, "customer").select((F.floor(k / 10) % 4).alias("scene"), k.alias("point_id"), (k % 43 + 0.37).alias("x"), ((k * 3) % 33 + 0.61).alias("y"), (k % 6).cast("double").alias("floor_z"))
 
 
 @query(with_views("roofs spots", _CEILING + "SELECT s.point_id, round(ceiling_z, 6) AS ceiling_z FROM spots s LEFT JOIN h USING (point_id)"))
 def ceiling_above(spark, sf):
-    return rounded(A.ceiling_above(spots(spark, sf), roofs(spark, sf)).select("point_id", "ceiling_z"), "ceiling_z")
+    return rounded(A.ceiling_above(spots(spark, sf), roofs(spark, sf), scene=["scene"]).select("point_id", "ceiling_z"), "ceiling_z")
 
 
 @query(with_views("roofs spots", _CEILING + """SELECT s.point_id AS light_id, round(ceiling_z - 0.25, 6) AS light_z, coalesce(ceiling_z - 0.25 > floor_z, false) AS placed FROM spots s LEFT JOIN h USING (point_id)"""))
 def lowest_above(spark, sf):
     lights = spots(spark, sf).withColumnRenamed("point_id", "light_id").withColumn("clearance", F.lit(0.25))
-    return rounded(A.lowest_above(lights, roofs(spark, sf)).select("light_id", "light_z", "placed"), "light_z")
+    return rounded(A.lowest_above(lights, roofs(spark, sf), scene=["scene"]).select("light_id", "light_z", "placed"), "light_z")

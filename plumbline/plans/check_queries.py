@@ -101,14 +101,14 @@ def check_endpoints(spark, sf):
     return C.check_endpoints(_observations(spark, sf)).select("rule", "entity_id")
 
 
-@query("""SELECT 'id_not_safe' AS rule, CAST(doc_id AS VARCHAR) AS entity_id FROM documents WHERE NOT regexp_full_match(left(text, 6), '[A-Za-z0-9][A-Za-z0-9._-]*')
+@query("""SELECT 'id_not_safe' AS rule, CAST(doc_id AS VARCHAR) AS entity_id FROM documents WHERE doc_id % 2 = 0 AND NOT regexp_full_match(text, '[A-Za-z0-9][A-Za-z0-9._-]*')
 UNION ALL SELECT 'sha_not_sha256', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 9 = 0 UNION ALL SELECT 'lang_empty', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 8 = 0
 UNION ALL SELECT 'score_not_finite', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'n_chars_below_minimum', CAST(doc_id AS VARCHAR) FROM documents WHERE n_chars < 500""")
 def check_ids(spark, sf):
     k = F.col("doc_id")
     sha = F.sha2("text", 256)
     docs = W.table(spark, sf, "documents").select(
-        "doc_id", F.substring("text", 1, 6).alias("id"), F.when(k % 9 == 0, F.upper(sha)).otherwise(sha).alias("sha"), F.when(k % 8 == 0, "  ").otherwise(F.col("lang")).alias("lang"),
+        "doc_id", F.when(k % 2 == 0, F.col("text")).otherwise(F.concat("source", F.lit("-"), k.cast("string"))).alias("id"), F.when(k % 9 == 0, F.upper(sha)).otherwise(sha).alias("sha"), F.when(k % 8 == 0, "  ").otherwise(F.col("lang")).alias("lang"),
         F.when(k % 7 == 0, float("inf")).otherwise(F.col("n_chars").cast("double")).alias("score"), "n_chars")
     docs = docs.withColumn("sha", F.when(k % 9 == 0, F.concat(F.lit("Z"), F.col("sha"))).otherwise(F.col("sha")))
     return C.check_ids(docs, "doc_id", ids=("id",), hashes=("sha",), filled=("lang",), numbers=("score",), minima={"n_chars": 500}).select("rule", "entity_id")

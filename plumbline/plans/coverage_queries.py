@@ -114,14 +114,14 @@ def frame_shot_join(spark, sf):
     return C.frame_shot_join(samples, W.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("shot_id")))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, 1.4 + (o_custkey % 100) * 0.005 AS shot, 1.4 + (o_custkey % 100) * 0.005 + CASE WHEN o_orderkey % 11 = 0 THEN 0.002 ELSE 0 END AS eye, o_orderkey % 13 = 0 AS off FROM orders WHERE o_custkey % 100 < 90)
+@query("""WITH s AS (SELECT o_orderkey AS id, 1.4 + (o_custkey % 100) * 0.005 AS shot, 1.4 + (o_custkey % 100) * 0.005 + CASE WHEN o_orderkey % 11 = 0 THEN 0.002 ELSE 0 END AS eye, o_orderkey % 13 = 0 AS off FROM orders)
 SELECT 'eye_not_floor_relative' AS rule, CAST(id AS VARCHAR) AS entity_id FROM s WHERE off UNION ALL SELECT 'eye_differs_from_shot', CAST(id AS VARCHAR) FROM s WHERE id % 11 = 0
 UNION ALL SELECT 'eye_out_of_range', CAST(id AS VARCHAR) FROM s WHERE eye < 1.4525 OR eye > 1.7475""")
 def check_eye_height(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     base = 1.4 + (c % 100) * 0.005
     eye = base + F.when(k % 11 == 0, 0.002).otherwise(0.0)
-    samples = W.table(spark, sf, "orders").where("o_custkey % 100 < 90").select(
+    samples = W.table(spark, sf, "orders").select(
         k.alias("frame_id"), k.alias("shot_id"), (F.lit(2.0) + eye + F.when(k % 13 == 0, 0.01).otherwise(0.0)).alias("camera_elevation_m"), F.lit(2.0).alias("floor_elevation_m"), eye.alias("eye_height_m"))
     shots = W.table(spark, sf, "orders").select(k.alias("shot_id"), base.alias("eye_height_m"))
     return C.check_eye_height(samples, shots, 1.4525, 1.7475).select("rule", "entity_id")

@@ -389,17 +389,35 @@ SELECT id, CAST(CASE k WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS BIGINT) AS m00
  CAST(x AS BIGINT) AS tx, CAST(y AS BIGINT) AS ty, CAST(z AS BIGINT) AS tz FROM w""")
 def hierarchy_transforms(spark, sf):
     """Quarter turns and integer shifts down the part tree, so products are exact."""
+    part = F.col("p_partkey")
+    w = H.hierarchy_transforms(_turned_parts(spark, sf, F.when(part != 0, F.floor(part / 2))))[0]
+    entry = lambda i, name: F.col("world")[i].cast("long").alias(name)
+    return w.select("id", entry(0, "m00"), entry(4, "m10"), entry(3, "tx"), entry(7, "ty"), entry(11, "tz"))
+
+
+def _turned_parts(spark, sf, parent):
     k = F.col("p_partkey") % 4
     c = F.when(k == 0, 1.0).when(k == 2, -1.0).otherwise(0.0)
     s = F.when(k == 1, 1.0).when(k == 3, -1.0).otherwise(0.0)
     zero, one = F.lit(0.0), F.lit(1.0)
     matrix = F.array(c, -s, zero, F.col("p_size").cast("double"), s, c, zero, (F.col("p_partkey") % 5).cast("double"),
                      zero, zero, one, one, zero, zero, zero, one)
-    nodes = W.table(spark, sf, "part").select(
-        F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") != 0, F.floor(F.col("p_partkey") / 2)).alias("parent_id"), matrix.alias("matrix"))
-    w = H.hierarchy_transforms(nodes)
-    entry = lambda i, name: F.col("world")[i].cast("long").alias(name)
-    return w.select("id", entry(0, "m00"), entry(4, "m10"), entry(3, "tx"), entry(7, "ty"), entry(11, "tz"))
+    return W.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), parent.alias("parent_id"), matrix.alias("matrix"))
+
+
+_BROKEN_TREE = """CASE WHEN p_partkey % 50 = 1 THEN NULL WHEN p_partkey % 50 = 20 THEN -p_partkey WHEN p_partkey % 50 = 30 THEN p_partkey + 2
+ ELSE p_partkey - 1 END"""
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT p_partkey AS id, {_BROKEN_TREE} AS parent_id FROM part),
+down AS (SELECT id FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id FROM down JOIN n ON n.parent_id = down.id),
+lost AS (SELECT n.id, n.parent_id AS missing FROM n WHERE n.parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n m WHERE m.id = n.parent_id)
+ UNION ALL SELECT n.id, lost.missing FROM lost JOIN n ON n.parent_id = lost.id)
+SELECT CASE WHEN l.id IS NULL THEN 'cycle' ELSE 'unknown_parent' END AS rule, CAST(n.id AS VARCHAR) AS entity_id, CAST(l.missing AS VARCHAR) AS detail
+FROM n LEFT JOIN lost l ON l.id = n.id WHERE n.id NOT IN (SELECT id FROM down)""")
+def hierarchy_findings(spark, sf):
+    """Chains of fifty parts, with a cycle and an absent parent in each."""
+    return H.hierarchy_transforms(_turned_parts(spark, sf, F.expr(_BROKEN_TREE)))[1]
 
 
 @query(with_views("components", _FLAGS + """, f AS (

@@ -65,12 +65,13 @@ def nonfinite_mesh(spark, sf):
     return M.nonfinite_mesh(boxes(spark, sf)[0])
 
 
-@query("""SELECT p_partkey AS object_id, CAST(CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END * (p_partkey % 3 + 1) * (p_partkey % 5 + 1) * p_size AS DOUBLE) AS volume
-FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 41 <> 0""")
+@query("""SELECT p_partkey AS object_id, CASE WHEN p_partkey % 41 <> 0 THEN round(CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END * (p_partkey % 5 + 1) * p_size
+ * ((p_partkey % 3 + 1) - CASE WHEN p_partkey % 7 = 0 THEN (p_partkey % 50 + p_partkey % 3 + 1) / 6.0 ELSE 0 END), 6) END AS volume FROM part""")
 def signed_volume(spark, sf):
+    """Closed boxes, open ones (their sum lacks one triangle), and NULL for those that are not finite."""
     vertices, triangles = boxes(spark, sf)
-    whole = lambda df: df.where("object_id % 7 <> 0 AND object_id % 41 <> 0")  # noqa: E731  (open boxes have no volume)
-    return rounded(M.signed_volume(whole(triangles), whole(vertices)), "volume")
+    volumes = rounded(M.signed_volume(triangles, vertices), "volume")
+    return volumes.withColumn("volume", F.when(~F.isnan("volume"), F.col("volume")))
 
 
 @query("SELECT p_partkey AS object_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 7 <> 0 AND p_partkey % 41 <> 0")
@@ -85,51 +86,51 @@ def inverted_closed_mesh(spark, sf):
 # --- rectangles on parallel planes: overlaps --------------------------------
 
 W.SQL["rects"] = """SELECT o_orderkey AS object_id, o_custkey % 12 AS plane, o_orderkey % 97 AS x0, (o_orderkey * 7) % 89 AS y0,
- o_orderkey % 97 + o_custkey % 4 AS x1, (o_orderkey * 7) % 89 + 1 + o_orderkey % 2 AS y1, o_orderkey % 3 = 0 AS flipped FROM orders WHERE o_orderkey % 5 = 0"""
+ o_orderkey % 97 + o_custkey % 4 AS x1, (o_orderkey * 7) % 89 + 1 + o_orderkey % 2 AS y1, o_orderkey % 3 = 0 AS flipped, o_orderkey % 5 AS scene FROM orders"""
 
 
 def rectangles(spark, sf):
-    """Integer rectangles on twelve planes; a quarter has no width."""
+    """Integer rectangles on twelve planes of five scenes in the same coordinates; a quarter has no width."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    rect = W.table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(
-        k.alias("object_id"), (c % 12).alias("plane"), (k % 97).alias("x0"), ((k * 7) % 89).alias("y0"), (c % 4).alias("w"), (1 + k % 2).alias("h"))
+    rect = W.table(spark, sf, "orders").select(
+        (k % 5).alias("scene"), k.alias("object_id"), (c % 12).alias("plane"), (k % 97).alias("x0"), ((k * 7) % 89).alias("y0"), (c % 4).alias("w"), (1 + k % 2).alias("h"))
     at = lambda i, x, y: F.struct(F.lit(i).alias("vertex"), x.cast("double").alias("x"), y.cast("double").alias("y"))
     x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
     corners = F.array(at(0, x0, y0), at(1, x1, y0), at(2, x1, y1), at(3, x0, y1))
-    vertices = rect.select("object_id", F.explode(corners).alias("c"), F.col("plane").cast("double").alias("z")).select("object_id", "c.*", "z")
+    vertices = rect.select("scene", "object_id", F.explode(corners).alias("c"), F.col("plane").cast("double").alias("z")).select("scene", "object_id", "c.*", "z")
     flipped = F.col("object_id") % 3 == 0
     ring = F.when(flipped, F.array(*map(F.lit, (3, 2, 1, 0)))).otherwise(F.array(*map(F.lit, (0, 1, 2, 3))))
     faces = rect.select("object_id", F.lit(0).alias("face"), ring.alias("vertices"))
     pair = lambda *t: F.array(*[F.array(*map(F.lit, x)) for x in t])
     tri = F.when(flipped, pair((3, 2, 1), (3, 1, 0))).otherwise(pair((0, 1, 2), (0, 2, 3)))
-    triangles = rect.select("object_id", F.lit(0).alias("face"), F.posexplode(tri).alias("triangle", "vertices"))
+    triangles = rect.select("scene", "object_id", F.lit(0).alias("face"), F.posexplode(tri).alias("triangle", "vertices"))
     return vertices, faces, triangles
 
 
 _OVERLAP = """, o AS (SELECT a.object_id AS object_a, b.object_id AS object_b, a.flipped <> b.flipped AS opposed,
  (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area
- FROM rects a JOIN rects b ON a.plane = b.plane AND a.object_id < b.object_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
+ FROM rects a JOIN rects b ON a.scene = b.scene AND a.plane = b.plane AND a.object_id < b.object_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
  WHERE a.x1 > a.x0 AND b.x1 > b.x0) """
 
 
 @query(with_views("rects", _OVERLAP + "SELECT object_a, CAST(0 AS INTEGER) AS face_a, object_b, CAST(0 AS INTEGER) AS face_b, opposed, CAST(area AS DOUBLE) AS area_m2 FROM o"))
 def coplanar_overlap_area(spark, sf):
     vertices, _, triangles = rectangles(spark, sf)
-    return rounded(M.coplanar_overlap_area(triangles, vertices, cell_m=4.0), "area_m2")
+    return rounded(M.coplanar_overlap_area(triangles, vertices, cell_m=4.0, scene=["scene"]), "area_m2").drop("scene")
 
 
-@query(with_views("rects", """SELECT p.object_id AS p_object_id, q.object_id AS q_object_id FROM rects p JOIN rects q ON p.plane = q.plane AND p.object_id <> q.object_id
+@query(with_views("rects", """SELECT p.object_id AS p_object_id, q.object_id AS q_object_id FROM rects p JOIN rects q ON p.scene = q.scene AND p.plane = q.plane AND p.object_id <> q.object_id
  AND (p.x0 < q.x0 OR (p.x0 = q.x0 AND p.object_id < q.object_id)) AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1 WHERE p.x1 > p.x0 AND q.x1 > q.x0"""))
 def coplanar_overlap_pairs(spark, sf):
     """Touching rectangle pairs: the screening step before clipping."""
     vertices, _, triangles = rectangles(spark, sf)
-    return M.coplanar_overlap_pairs(triangles, vertices, cell_m=4.0).select("p_object_id", "q_object_id").distinct()
+    return M.coplanar_overlap_pairs(triangles, vertices, cell_m=4.0, scene=["scene"]).select("p_object_id", "q_object_id").distinct()
 
 
 @query(with_views("rects", _OVERLAP + "SELECT object_a, object_b, CAST(area AS DOUBLE) AS area_m2 FROM o WHERE NOT opposed"))
 def sorted_overlaps(spark, sf):
     vertices, _, triangles = rectangles(spark, sf)
-    areas = M.coplanar_overlap_area(triangles, vertices, cell_m=4.0)
+    areas = M.coplanar_overlap_area(triangles, vertices, cell_m=4.0, scene=["scene"])
     return rounded(M.sorted_overlaps(areas), "area_m2").select("object_a", "object_b", "area_m2")
 
 
@@ -142,7 +143,7 @@ def degenerate_faces(spark, sf):
 @query(with_views("rects", _OVERLAP + """SELECT 'degenerate_face' AS rule, CAST(object_id AS VARCHAR) || '/0' AS entity_id FROM rects WHERE x1 = x0
  UNION ALL SELECT 'coplanar_overlap', CAST(object_a AS VARCHAR) || '/0/' || CAST(object_b AS VARCHAR) || '/0' FROM o WHERE NOT opposed"""))
 def review_meshes(spark, sf):
-    found, _ = M.review_meshes(*rectangles(spark, sf), cell_m=4.0)
+    found, _ = M.review_meshes(*rectangles(spark, sf), cell_m=4.0, scene=["scene"])
     return found.select("rule", "entity_id")
 
 

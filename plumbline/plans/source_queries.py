@@ -41,14 +41,15 @@ def scan_frame_index(spark, sf):
 
 
 @query("""SELECT s_suppkey AS frame_id, CAST(384 AS DOUBLE) AS width, CAST(300 + s_nationkey AS DOUBLE) AS fx, CASE WHEN s_suppkey % 6 <> 0 THEN CAST(192 AS DOUBLE) END AS cx, s_acctbal AS tx, CAST(1 AS DOUBLE) AS last,
- CASE WHEN s_suppkey % 4 <> 0 THEN CAST(s_suppkey % 3 AS INTEGER) END AS tracking_segment FROM supplier""")
+ CASE WHEN s_suppkey % 4 <> 0 AND s_suppkey % 5 > 2 THEN CAST(s_suppkey % 3 AS INTEGER) END AS tracking_segment FROM supplier""")
 def scan_camera(spark, sf):
-    """Camera JSON text per supplier; some name cx as a string, some have no segment."""
+    """Camera JSON text per supplier; some name cx as a string, some have no segment or one that is text, a boolean or a fraction."""
     k = F.col("s_suppkey")
     text = F.format_string(
         '{"width": 384, "height": 256, "fx": %s, "fy": 300.0, "cx": %s, "cy": 128, "t_00": 1, "t_01": 0, "t_02": 0, "t_03": %s, "t_10": 0, "t_11": 1, "t_12": 0, "t_13": 1.5, "t_20": 0, "t_21": 0, "t_22": 1, "t_23": 2.5%s}',
         (300 + F.col("s_nationkey")).cast("string"), F.when(k % 6 == 0, '"192"').otherwise("192.0"), F.col("s_acctbal").cast("string"),
-        F.when(k % 4 == 0, "").otherwise(F.concat(F.lit(', "tracking_segment": '), (k % 3).cast("string"))))
+        F.when(k % 4 == 0, "").otherwise(F.concat(F.lit(', "tracking_segment": '),
+            F.when(k % 5 == 0, '"2"').when(k % 5 == 1, "true").when(k % 5 == 2, "1.7").otherwise((k % 3).cast("string")))))
     cams = S.scan_camera(W.table(spark, sf, "supplier").select(k.alias("frame_id"), text.alias("text")))
     return cams.select("frame_id", "width", "fx", "cx", F.col("pose")[3].alias("tx"), F.col("pose")[15].alias("last"), "tracking_segment")
 
@@ -57,7 +58,7 @@ def scan_camera(spark, sf):
 
 
 def _encoded(spark, sf, column: str, bit_depth: int, color_type: int):
-    """One PNG per frame of the small tiles; a frame has at most 24x16 pixels."""
+    """One PNG per frame of the small tiles, its rows under all five filters; a frame has at most 24x16 pixels."""
     width, height = W.TILE_SIZE
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -65,28 +66,41 @@ def _encoded(spark, sf, column: str, bit_depth: int, color_type: int):
         values = part[column].to_numpy()
         for channel in range(grid.shape[2]):
             grid[part["v"], part["u"], channel] = (values + channel) % (1 << bit_depth)
-        return pd.DataFrame({"capture_id": [part["capture_id"].iloc[0]], "frame_id": [part["frame_id"].iloc[0]], "content": [png.encode(grid, bit_depth, color_type)]})
+        return pd.DataFrame({"capture_id": [part["capture_id"].iloc[0]], "frame_id": [part["frame_id"].iloc[0]], "content": [png.encode(grid, bit_depth, color_type, np.arange(height) % 5)]})
 
     return W.tile(spark, sf).groupBy("capture_id", "frame_id").applyInPandas(build, "capture_id string, frame_id long, content binary")
 
 
 FRAME = ["capture_id", "frame_id"]
+# every pixel of every frame; those that no table row gives are 0
+_GRID = f"""FROM (SELECT DISTINCT capture_id, frame_id FROM tile) f CROSS JOIN (SELECT unnest(range({W.TILE_SIZE[1]})) AS v) gv CROSS JOIN (SELECT unnest(range({W.TILE_SIZE[0]})) AS u) gu
+ LEFT JOIN tile t ON t.capture_id = f.capture_id AND t.frame_id = f.frame_id AND t.v = gv.v AND t.u = gu.u"""
+_PLACE = "SELECT f.capture_id, f.frame_id, CAST(gv.v AS INTEGER) AS v, CAST(gu.u AS INTEGER) AS u"
 
 
-@query(with_views("tile", "SELECT capture_id, frame_id, CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, CAST(depth_mm AS INTEGER) AS depth_mm FROM tile WHERE depth_mm > 0"))
+@query(with_views("tile", f"{_PLACE}, CAST(coalesce(depth_mm, 0) AS INTEGER) AS depth_mm {_GRID}"))
 def scan_depth(spark, sf):
     """16-bit depth PNGs coded from the pixel table and decoded again."""
-    return S.scan_depth(_encoded(spark, sf, "depth_mm", 16, 0), FRAME).where("depth_mm > 0")
+    return S.scan_depth(_encoded(spark, sf, "depth_mm", 16, 0), FRAME)
 
 
-@query(with_views("tile", "SELECT capture_id, frame_id, CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, confidence FROM tile WHERE confidence > 0"))
+@query(with_views("tile", f"{_PLACE}, CAST(coalesce(confidence, 0) AS INTEGER) AS confidence {_GRID}"))
 def scan_confidence(spark, sf):
-    return S.scan_confidence(_encoded(spark, sf, "confidence", 8, 0), FRAME).where("confidence > 0")
+    return S.scan_confidence(_encoded(spark, sf, "confidence", 8, 0), FRAME)
 
 
-@query(with_views("tile", "SELECT capture_id, frame_id, CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, confidence AS r, (confidence + 1) % 256 AS g, (confidence + 2) % 256 AS b FROM tile WHERE confidence > 0"))
+@query(with_views("tile", f"""{_PLACE}, CAST(coalesce(confidence, 0) AS INTEGER) AS r, CAST(coalesce((confidence + 1) % 256, 0) AS INTEGER) AS g,
+ CAST(coalesce((confidence + 2) % 256, 0) AS INTEGER) AS b {_GRID}"""))
 def scan_rgb(spark, sf):
-    return S.scan_rgb_png(_encoded(spark, sf, "confidence", 8, 2), FRAME).where("r > 0")
+    return S.scan_rgb_png(_encoded(spark, sf, "confidence", 8, 2), FRAME)
+
+
+@query(with_views("tile", """SELECT DISTINCT 'image_not_decodable' AS rule, capture_id || '/' || CAST(frame_id AS VARCHAR) AS entity_id FROM tile WHERE frame_id % 7 < 2"""))
+def scan_depth_findings(spark, sf):
+    """Some images end early, some are no images: a finding each, and no pixels."""
+    images = _encoded(spark, sf, "depth_mm", 16, 0)
+    broken = F.when(F.col("frame_id") % 7 == 0, F.substring("content", 1, F.length("content") - 30)).when(F.col("frame_id") % 7 == 1, F.lit(b"none")).otherwise(F.col("content"))
+    return S.check_image_bytes(images.withColumn("content", broken), FRAME, 16, 0).select("rule", "entity_id")
 
 
 @query(with_views("tile", "SELECT DISTINCT 'depth_not_16_bit_gray' AS rule, capture_id || '/' || CAST(frame_id AS VARCHAR) AS entity_id, '8/0' AS detail FROM tile WHERE capture_id = 'N'"))
@@ -135,6 +149,15 @@ def archive_manifest(spark, sf):
     return A.archive_manifest(A.expand_archive(_archives(spark, sf)))
 
 
+@query("""SELECT DISTINCT CASE WHEN doc_id // 20 % 3 = 0 THEN 'broken_archive' ELSE 'empty_archive' END AS rule, CAST(doc_id // 20 AS VARCHAR) AS entity_id FROM documents WHERE doc_id // 20 % 3 < 2""")
+def scan_archive_findings(spark, sf):
+    """Every third archive is cut, every third is empty."""
+    k = F.col("archive_id") % 3
+    empty = F.lit(b"PK\x05\x06" + bytes(18))
+    content = F.when(k == 0, F.substring("content", 1, 40)).when(k == 1, empty).otherwise(F.col("content"))
+    return A.check_archives(_archives(spark, sf).withColumn("content", content)).select("rule", "entity_id")
+
+
 # --- JSON documents ---------------------------------------------------------
 
 
@@ -142,7 +165,7 @@ def archive_manifest(spark, sf):
 def scan_strict_json(spark, sf):
     """Event properties, some with a repeated key, a NaN, or an array instead of an object."""
     k = F.col("event_id") % 4
-    rest = F.substring("props", 2, 10_000)
+    rest = F.expr("substring(props, 2)")
     text = F.when(k == 0, F.concat(F.lit('{"k": 1, '), rest)).when(k == 1, F.concat(F.lit('{"x": NaN, '), rest)).when(k == 2, F.concat(F.lit("["), F.col("props"), F.lit("]"))).otherwise(F.col("props"))
     out = D.scan_strict_json(W.table(spark, sf, "events").select("event_id", text.alias("text")))
     return out.select("event_id", "valid", F.try_variant_get("doc", "$.k", "long").alias("k"))
@@ -162,6 +185,18 @@ def scan_scene_records(spark, sf):
     return D.scan_scene_records(scenes, ["scene_id"])[0]
 
 
+@query("""SELECT CASE p_partkey % 11 WHEN 0 THEN 'not_strict_json' WHEN 1 THEN 'no_objects' ELSE 'record_does_not_fit' END AS rule, CAST(p_partkey AS VARCHAR) AS entity_id
+FROM part WHERE p_partkey % 11 < 5""")
+def scan_scene_findings(spark, sf):
+    """Scene documents with a repeated key, without objects, with an index or a vertex out of place."""
+    k = F.col("p_partkey") % 11
+    record = lambda vertices, ring: f'{{"name": "a", "vertices_world_m": {vertices}, "polygons": [{ring}], "loop_triangles": [{{"vertex_indices": [0, 1, 2], "polygon_index": 0}}]}}'
+    whole = lambda v="[[0,0,0],[1,0,0],[0,1,0]]", r="[0, 1, 2]": f'{{"objects": [{record(v, r)}]}}'
+    text = (F.when(k == 0, '{"objects": [], "objects": []}').when(k == 1, '{"other": 1}').when(k == 2, whole(r="[0, 1, 3]")).when(k == 3, whole(v="[[0,0,0],[1,0],[0,1,0]]"))
+            .when(k == 4, whole(r="[0, 1]")).otherwise(whole()))
+    return D.check_scene_documents(W.table(spark, sf, "part").select("p_partkey", text.alias("text")), ["p_partkey"]).select("rule", "entity_id")
+
+
 # --- sinks ------------------------------------------------------------------
 
 

@@ -4,43 +4,83 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
+BROKEN = (zipfile.BadZipFile, zipfile.LargeZipFile, EOFError, NotImplementedError, OSError, RuntimeError, ValueError, zlib.error)
+
+
 def scan_archive_members(archives: DataFrame, key: str = "archive_id") -> DataFrame:
-    """Members of ZIP bytes: ``name, is_dir, mode, size``.  Only the directory is read."""
+    """Members of ZIP bytes: ``name, is_dir, mode, size``.  Only the directory is read.
+
+    Archives that do not open or are empty have no rows here; :func:`check_archives` names them.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                with zipfile.ZipFile(io.BytesIO(r.content)) as archive:
-                    yield pd.DataFrame(
-                        [(getattr(r, key), m.orig_filename, m.is_dir(), m.external_attr >> 16, m.file_size) for m in archive.infolist()],
-                        columns=[key, "name", "is_dir", "mode", "size"])
+                try:
+                    with zipfile.ZipFile(io.BytesIO(r.content)) as archive:
+                        listed = archive.infolist()
+                except BROKEN:
+                    continue
+                yield pd.DataFrame(
+                    [(getattr(r, key), m.orig_filename, m.is_dir(), m.external_attr >> 16, m.file_size) for m in listed],
+                    columns=[key, "name", "is_dir", "mode", "size"])
 
     kind = archives.schema[key].dataType.simpleString()
     return archives.select(key, "content").mapInPandas(rows, f"{key} {kind}, name string, is_dir boolean, mode int, size long")
 
 
 def expand_archive(archives: DataFrame, key: str = "archive_id") -> DataFrame:
-    """File members with their bytes and SHA-256, one member in memory at a time."""
+    """File members with their bytes and SHA-256, one member in memory at a time.
+
+    Names are those of the listing, NUL included.  Members that do not unpack have no row; :func:`check_archives` names them.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                with zipfile.ZipFile(io.BytesIO(r.content)) as archive:
-                    for m in archive.infolist():
-                        if not m.is_dir():
-                            yield pd.DataFrame({key: [getattr(r, key)], "name": [m.filename], "content": [archive.read(m)]})
+                for m, data, problem in _members(r.content):
+                    if problem is None and not m.is_dir():
+                        yield pd.DataFrame({key: [getattr(r, key)], "name": [m.orig_filename], "content": [data]})
 
     kind = archives.schema[key].dataType.simpleString()
     out = archives.select(key, "content").mapInPandas(rows, f"{key} {kind}, name string, content binary")
     return out.withColumn("sha256", F.sha2("content", 256))
 
 
+def _members(content: bytes) -> Iterator[tuple[zipfile.ZipInfo | None, bytes | None, str | None]]:
+    """Members with their bytes, or with what is wrong with them or the archive."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            if not archive.infolist():
+                yield None, None, "empty_archive"
+            for m in archive.infolist():
+                try:
+                    yield m, b"" if m.is_dir() else archive.read(m), None
+                except BROKEN:
+                    yield m, None, "broken_member"
+    except BROKEN:
+        yield None, None, "broken_archive"
+
+
+def check_archives(archives: DataFrame, key: str = "archive_id") -> DataFrame:
+    """Findings: archives that do not open, hold nothing, or have members that do not unpack."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                bad = [(problem, str(getattr(r, key)), m.orig_filename if m else None) for m, _, problem in _members(r.content) if problem]
+                yield pd.DataFrame(bad, columns=["rule", "entity_id", "detail"])
+
+    return archives.select(key, "content").mapInPandas(rows, "rule string, entity_id string, detail string")
+
+
 def archive_manifest(members: DataFrame, key: str = "archive_id") -> DataFrame:
     """Files with hashes and every directory they imply, as ``path, is_dir, sha256``."""
     files = members.select(key, F.col("name").alias("path"), F.lit(False).alias("is_dir"), "sha256")

@@ -18,9 +18,9 @@ def scan_strict_json(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_json_texts(spark: SparkSession, root: str) -> DataFrame:
-    """Whole JSON files as ``path, text``."""
+    """Whole JSON files as ``path, text``; a file that is not UTF-8 has a NULL text, which no scan takes for valid."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root)
-    return files.select("path", F.decode("content", "UTF-8").alias("text"))
+    return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def scan_scene_records(documents: DataFrame, keys: list[str], text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -35,6 +35,29 @@ def scan_scene_records(documents: DataFrame, keys: list[str], text: str = "text"
     return vertices, faces, triangles
 
 
+def check_scene_documents(documents: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Findings: scene documents that are no strict JSON object or whose records do not fit; the scan has no rows of them.
+
+    A vertex has three finite numbers, a face three vertices or more, a triangle three; indices stay inside their lists.
+    """
+    entity = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    rows = scan_strict_json(documents.select(entity.alias("entity_id"), F.col(text).alias("__t")), "__t")
+    rows = rows.withColumn("__d", F.from_json("__t", f"struct<objects:array<struct<{_fields()}>>>"))
+    inside = lambda a, n: F.forall(a, lambda i: i.isNotNull() & (i >= 0) & (i < n))
+
+    def sound(o):
+        n = F.size(o["vertices_world_m"])
+        vertex = F.forall(o["vertices_world_m"], lambda p: (F.size(p) == 3) & F.forall(p, lambda x: x.isNotNull() & ~F.isnan(x)))
+        face = F.forall(o["polygons"], lambda r: (F.size(r) >= 3) & inside(r, n))
+        triangle = F.forall(o["loop_triangles"], lambda t: (F.size(t["vertex_indices"]) == 3) & inside(t["vertex_indices"], n)
+                            & (t["polygon_index"] >= 0) & (t["polygon_index"] < F.size(o["polygons"])))
+        return F.coalesce(o["name"].isNotNull() & vertex & face & triangle, F.lit(False))
+
+    rule = (F.when(~F.col("valid"), "not_strict_json").when(F.col("__d.objects").isNull(), "no_objects")
+            .when(~F.forall("__d.objects", sound), "record_does_not_fit"))
+    return rows.select(rule.alias("rule"), "entity_id", F.lit(None).cast("string").alias("detail")).where("rule IS NOT NULL")
+
+
 def _fields() -> str:
     return SCENE_SCHEMA.replace("name string", "name:string").replace("vertices_world_m array", "vertices_world_m:array").replace(
         "polygons array", "polygons:array").replace("loop_triangles array", "loop_triangles:array").replace(", ", ",")

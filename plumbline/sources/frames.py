@@ -49,7 +49,7 @@ def scan_frame_index(files: DataFrame) -> DataFrame:
 def scan_camera(documents: DataFrame, text: str = "text") -> DataFrame:
     """Camera JSON text to ``width..cy``, ``pose`` and ``tracking_segment``.
 
-    Missing or non-numeric fields become NULL for :func:`check_camera` to report; the
+    Missing or non-numeric fields, and segments that are no whole numbers, become NULL for :func:`check_camera` to report; the
     last pose row defaults to (0, 0, 0, 1) when none of it is given.
     """
     v = F.try_parse_json(F.col(text))
@@ -58,10 +58,11 @@ def scan_camera(documents: DataFrame, text: str = "text") -> DataFrame:
         F.try_variant_get(v, f"$.{name}", "double"))
     given = F.coalesce(*[number(f"t_3{j}") for j in range(4)]).isNotNull()
     rows = [number(f"t_{i}{j}") for i in range(3) for j in range(4)]
+    segment = F.try_variant_get(v, "$.tracking_segment", "variant")
     last = [F.when(given, number(f"t_3{j}")).otherwise(1.0 if j == 3 else 0.0) for j in range(4)]
     return documents.withColumns({
         **{n: number(n) for n in ("width", "height", "fx", "fy", "cx", "cy")},
-        "pose": F.array(*rows, *last), "tracking_segment": F.try_variant_get(v, "$.tracking_segment", "int")})
+        "pose": F.array(*rows, *last), "tracking_segment": F.when(F.schema_of_variant(segment).rlike("^(BIGINT|INT)"), F.try_variant_get(v, "$.tracking_segment", "int"))})
 
 
 def _pixel_rows(keys: list[str], bit_depth: int, color_type: int, names: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -102,6 +103,22 @@ def scan_depth(images: DataFrame, keys: list[str]) -> DataFrame:
     return _scan_image(images, keys, 16, 0, ["depth_mm"])
 
 
+def check_image_bytes(images: DataFrame, keys: list[str], bit_depth: int, color_type: int) -> DataFrame:
+    """Findings: images that do not decode to the last byte; the scans have no pixels of them."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bad = []
+            for row in batch.itertuples(index=False):
+                try:
+                    png.decode(bytes(row.content), bit_depth, color_type)
+                except png.UnsupportedImage as problem:
+                    bad.append(("image_not_decodable", "/".join(str(getattr(row, k)) for k in keys), str(problem)))
+            yield pd.DataFrame(bad, columns=["rule", "entity_id", "detail"])
+
+    return images.select(*keys, "content").mapInPandas(rows, "rule string, entity_id string, detail string")
+
+
 def scan_confidence(images: DataFrame, keys: list[str]) -> DataFrame:
     """8-bit gray PNG bytes to ``v, u, confidence`` rows."""
     return _scan_image(images, keys, 8, 0, ["confidence"])

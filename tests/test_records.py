@@ -53,7 +53,7 @@ def test_cycle_is_an_error_and_deep_chain_works(spark):
     pairs = H.ancestors(chain)
     assert pairs.count() == 39 * 40 // 2 and pairs.where("id - ancestor <> depth").count() == 0
     with pytest.raises(ValueError, match="cycle"):
-        H.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "id int, parent_id int"), max_depth=8)
+        H.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "id int, parent_id int"))
 
 
 def test_original_behind_a_derivative(spark):
@@ -209,3 +209,23 @@ def test_output_must_be_fresh(spark, tmp_path):
 def test_ids_end_at_the_end(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(["ok-1.a", "ok\n", "", "-x", "a/b"])], "k int, id string")
     assert sorted(int(r.entity_id) for r in C.check_ids(df, "k", ids=("id",)).collect()) == [1, 2, 3, 4]
+
+
+def test_repeated_keys_are_findings(spark, rows):
+    make = lambda *r: spark.createDataFrame(list(r), "path string, sha256 string")
+    old, new = make(("a", "1"), ("a", "2"), ("b", "1")), make(("a", "2"), ("b", "1"))
+    assert rows(I.artifact_verify(old, new), "path", "kind") == [("a", "duplicate")]
+    assert rows(I.artifact_verify(new, old), "path", "kind") == [("a", "duplicate")]
+    assert rows(I.preservation_check(old, new, ["path"], "sha256"), "path", "kind") == [("a", "duplicate")]
+    assert rows(I.inventory_diff(old, new, ["path"], "sha256"), "path", "change") == [("a", "duplicate")]
+    assert rows(I.membership_receipt(old, new, ["path"], "sha256"), "path", "kind") == [("a", "duplicate")]
+
+
+def test_nodes_without_a_root(spark, rows):
+    unit = [1.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    tree = [(1, None), (2, 1), (3, 3), (4, 3), (5, 99), (6, 5), (7, 8), (8, 7)] + [(k, k - 1 if k > 1000 else 2) for k in range(1000, 1300)]
+    world, bad = H.hierarchy_transforms(spark.createDataFrame([(i, p, unit) for i, p in tree], "id int, parent_id int, matrix array<double>"))
+    x = {r["id"]: r["world"][3] for r in world.collect()}
+    assert x == {1: 1.0, 2: 2.0} | {k: k - 997.0 for k in range(1000, 1300)}
+    assert rows(bad, "rule", "entity_id", "detail") == [
+        ("cycle", "3", None), ("cycle", "4", None), ("cycle", "7", None), ("cycle", "8", None), ("unknown_parent", "5", "99"), ("unknown_parent", "6", "99")]
