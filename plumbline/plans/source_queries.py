@@ -264,16 +264,25 @@ def _run_to_end(stream, path: str, checkpoint: str):
     running.awaitTermination()
 
 
-@query(with_views("components", """, w AS (SELECT capture_id, frame_id, count(*) AS arrivals, bool_or(component = 'rgb') AS a, bool_or(component = 'raw_camera') AS b, bool_or(component = 'raw_depth') AS c, bool_or(component = 'raw_confidence') AS d FROM components GROUP BY 1, 2)
-SELECT capture_id, frame_id, arrivals, a AND b AND c AND d AS complete, array_to_string(list_filter([CASE WHEN NOT a THEN 'rgb' END, CASE WHEN NOT b THEN 'raw_camera' END, CASE WHEN NOT c THEN 'raw_depth' END, CASE WHEN NOT d THEN 'raw_confidence' END], lambda x: x IS NOT NULL), ',') AS missing
-FROM w WHERE (frame_id + 1) * 604800 <= (SELECT floor(epoch(max(ts)) * 1000) / 1000 - 86400 FROM events)"""))
+def _daily_frames(spark, sf):
+    """Three frames a week: the frame is the day modulo three, so a window holds several frames."""
+    return _event_stream(spark, sf).withColumn("frame_id", F.floor(F.unix_timestamp("ts") / 86400) % 3)
+
+
+_FRAMES = """SELECT user_id AS capture_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) % 3 AS frame_id, CAST(floor(floor(epoch(ts)) / 604800) AS BIGINT) AS week, event_id, ts FROM events"""
+
+
+@query(with_views("components", f""", e AS ({_FRAMES}), w AS (SELECT e.capture_id, e.frame_id, week, count(*) AS arrivals, bool_or(component = 'rgb') AS a, bool_or(component = 'raw_camera') AS b,
+ bool_or(component = 'raw_depth') AS c, bool_or(component = 'raw_confidence') AS d FROM e JOIN components USING (event_id) GROUP BY 1, 2, 3)
+SELECT capture_id, frame_id, week, arrivals, a AND b AND c AND d AS complete, array_to_string(list_filter([CASE WHEN NOT a THEN 'rgb' END, CASE WHEN NOT b THEN 'raw_camera' END, CASE WHEN NOT c THEN 'raw_depth' END, CASE WHEN NOT d THEN 'raw_confidence' END], lambda x: x IS NOT NULL), ',') AS missing
+FROM w WHERE (week + 1) * 604800 <= (SELECT floor(epoch(max(ts)) * 1000) / 1000 - 86400 FROM events)"""))
 def stream_frame_completeness(spark, sf):
     """The event table as a stream: windows the watermark has passed, complete or not."""
-    out = J.stream_frame_completeness(_event_stream(spark, sf))
+    out = J.stream_frame_completeness(_daily_frames(spark, sf))
     path = fresh_path(spark, "completeness")
     _run_to_end(out, path, fresh_path(spark, "completeness-state"))
-    rows = spark.read.schema("capture_id long, window_start timestamp, arrivals long, complete boolean, missing string").parquet(path)
-    return rows.select("capture_id", F.floor(F.unix_timestamp("window_start") / 604800).alias("frame_id"), "arrivals", "complete", "missing")
+    rows = spark.read.schema("capture_id long, frame_id long, window_start timestamp, arrivals long, complete boolean, missing string").parquet(path)
+    return rows.select("capture_id", "frame_id", F.floor(F.unix_timestamp("window_start") / 604800).alias("week"), "arrivals", "complete", "missing")
 
 
 _INTAKE = """, v AS (SELECT e.user_id AS capture_id, c.component, c.frame_id, sha256(e.props) AS sha256, min(e.ts) AS ts FROM events e JOIN components c USING (event_id) GROUP BY 1, 2, 3, 4),

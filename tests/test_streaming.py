@@ -1,7 +1,6 @@
 from datetime import datetime
 
-from plumbline.plans import views as W
-from plumbline.streaming.jobs import stream_frame_completeness, stream_intake
+from plumbline.streaming.jobs import stream_frame_completeness, stream_intake, stream_late_arrivals
 
 SCHEMA = "capture_id string, component string, frame_id string, sha256 string, ts timestamp"
 
@@ -24,11 +23,36 @@ def test_repeat_intake_across_runs(spark, tmp_path):
     assert run() == ([("a", "x"), ("b", "y")], [("a", "y")])  # changed bytes need a new capture id
 
 
-def test_stream_agrees_with_batch(spark):
-    """Every window the stream emitted equals the batch account of that window."""
-    from plumbline.plans import QUERIES
+def test_fresh_checkpoint_loses_nothing(spark, tmp_path):
+    source, table = tmp_path / "in", str(tmp_path / "table")
 
-    sf = "/root/testdata/sf0.001"
-    streamed = {(r.capture_id, r.frame_id): r.complete for r in QUERIES["stream_frame_completeness"](spark, sf).collect()}
-    batch = {(r.capture_id, r.frame_id) for r in QUERIES["assemble_frames"](spark, sf).collect()}
-    assert streamed and all((k in batch) == complete for k, complete in streamed.items())
+    def run(state):
+        stream_intake(spark.readStream.schema(SCHEMA).parquet(str(source)), table, str(tmp_path / state)).awaitTermination()
+        return sorted((r.capture_id, r.sha256) for r in spark.read.schema("capture_id string, sha256 string").parquet(f"{table}/accepted").collect())
+
+    write(spark, source, ("a", "raw_depth", "1", "x", 1))
+    assert run("one") == [("a", "x")]
+    write(spark, source, ("b", "raw_depth", "1", "y", 1), ("a", "raw_depth", "1", "z", 2))
+    assert run("two") == [("a", "x"), ("b", "y")]  # both files again, on a new checkpoint
+
+
+def test_frames_and_late_rows(spark, tmp_path):
+    source, late, state = tmp_path / "in", str(tmp_path / "late"), str(tmp_path / "late-state")
+    read = lambda: spark.readStream.schema(SCHEMA).parquet(str(source))
+    parts = [("raw_depth",), ("rgb",), ("raw_camera",), ("raw_confidence",)]
+
+    def run():
+        stream_late_arrivals(read(), late, state).awaitTermination()
+        out = stream_frame_completeness(read()).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    write(spark, source, *[("a", c, "1", "x", 2) for c, in parts], ("a", "rgb", "2", "x", 2))
+    run()
+    write(spark, source, ("a", "rgb", "9", "x", 30))
+    run()
+    write(spark, source, ("a", "raw_depth", "2", "x", 3), ("a", "rgb", "3", "x", 29))
+    run()
+    got = spark.read.schema("frame_id string, complete boolean, missing string").parquet(str(tmp_path / "out"))
+    assert sorted((r.frame_id, r.complete, r.missing) for r in got.collect()) == [("1", True, ""), ("2", False, "raw_camera,raw_depth,raw_confidence")]
+    rows = spark.read.schema(SCHEMA).parquet(f"{late}/late").collect()
+    assert [(r.frame_id, r.component) for r in rows] == [("2", "raw_depth")]
