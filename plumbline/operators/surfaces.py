@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -137,7 +138,7 @@ def _solved(moments: DataFrame, keys: Sequence[str], min_inliers: int) -> DataFr
               .when(F.col("kept") < min_inliers, "too_few_inliers")
               .when(F.coalesce(flat, F.lit(True)), "no_span"))
     return eigen.select(
-        *keys, "n", "cx", "cy", "cz", e[3].alias("nx"), e[4].alias("ny"), e[5].alias("nz"),
+        *keys, "n", "kept", "cx", "cy", "cz", e[3].alias("nx"), e[4].alias("ny"), e[5].alias("nz"),
         F.array(e[9], e[10], e[11]).alias("basis_u"), F.array(e[6], e[7], e[8]).alias("basis_v"), status.alias("status"))
 
 
@@ -155,8 +156,8 @@ def plane_fit(points: DataFrame, keys: Sequence[str], rejection_m: float = 0.02,
     Each round is one aggregation of moments over all points and a join of the model
     table back to them; the model is broadcast when its counted size allows, so points
     are scanned but not shuffled and a patch of any size is spread over the cluster.
-    Once a round keeps the same points the later ones repeat it, so no early exit is
-    needed.  ``status`` is ``fitted``, ``too_few_samples``, ``no_span`` or
+    A patch whose round kept as many points and moved the plane by no more than rounding
+    is settled, as is a failed one; only the others are read again.  ``status`` is ``fitted``, ``too_few_samples``, ``no_span`` or
     ``too_few_inliers``; model columns are NULL unless fitted.
     """
     keys = list(keys)
@@ -165,11 +166,22 @@ def plane_fit(points: DataFrame, keys: Sequence[str], rejection_m: float = 0.02,
         cloud = cut_lineage(cloud)  # six passes read the points, not their derivation
     first = _moments(cloud, keys, F.lit(True), [F.lit(None).cast("string").alias("status")])
     model = _solved(first.withColumn("status", F.when(F.col("n") < min_inliers, "too_few_samples")), keys, min_inliers)
-    for _ in range(FIT_ROUNDS):
-        placed = join_model(cloud, model.select(*keys, *_MODEL), keys)
+    active, settled = cut_lineage(model), []
+    before = [F.col(c).alias(f"__{c}") for c in ("kept", "cx", "cy", "cz", "nx", "ny", "nz")]
+    for turn in range(FIT_ROUNDS):
+        placed = join_model(cloud, active.select(*keys, *_MODEL), keys)
         keep = F.col("status").isNull() & (_distance() <= rejection_m)
-        model = _solved(_moments(placed, keys, keep, [F.max("status").alias("status")]), keys, min_inliers)
-    model = cut_lineage(model)
+        solved = _solved(_moments(placed, keys, keep, [F.max("status").alias("status")]), keys, min_inliers)
+        moved = F.greatest(*[F.abs(F.col(c) - F.col(f"__{c}")) / (F.lit(1.0) + F.abs(f"__{c}")) for c in ("cx", "cy", "cz")],
+                           F.lit(1.0) - F.abs(V.dot(V.cols("nx", "ny", "nz"), V.cols("__nx", "__ny", "__nz"))))
+        done = F.col("status").isNotNull() | F.coalesce((F.col("kept") == F.col("__kept")) & (moved <= 1e-12), F.lit(False))
+        solved = cut_lineage(solved.join(active.select(*keys, *before), keys).withColumn("__done", done).drop(*[f"__{c}" for c in ("kept", "cx", "cy", "cz", "nx", "ny", "nz")]))
+        settled.append(solved.where("__done").drop("__done"))
+        active = solved.where("NOT __done").drop("__done")
+        if turn == FIT_ROUNDS - 1 or active.isEmpty():
+            settled.append(active)
+            break
+    model = cut_lineage(reduce(DataFrame.unionByName, settled)).drop("kept")
     placed = join_model(cloud, model.select(*keys, *_MODEL), keys)
     final = placed.groupBy(*keys).agg(F.count_if(F.col("status").isNull() & (_distance() <= rejection_m)).alias("inliers"))
     out = model.join(final, keys)
@@ -271,9 +283,16 @@ def nearest_support_polygon(
         spread.append(F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>")).alias(f"__c{a}"))
     carried = ["polygon_ordinal", *[f"{v}_{a}" for v in ("normal", "origin", "along", "across") for a in "xyz"],
                "__sign", "__edges", *[f"__{s}{c}" for s in ("min", "max") for c in "xy"]]
-    polygon_side = placed.select(*group, *carried, *spread)
+    polygon_side = placed.select(*group, *carried, *spread, "__cell", *[f"__lo{a}" for a in "xyz"])
     for a in "xyz":
         polygon_side = polygon_side.withColumn(f"__c{a}", F.explode(f"__c{a}"))
+    # the voxels of a tilted prism's bounding box are mostly outside the prism: keep those it can cut
+    centre = V.sub([F.col(f"__lo{a}") + (F.col(f"__c{a}") + 0.5) * F.col("__cell") for a in "xyz"], o)
+    for axis, c in (("along", "x"), ("across", "y")):
+        ext = F.col("__cell") / 2 * (F.abs(f"{axis}_x") + F.abs(f"{axis}_y") + F.abs(f"{axis}_z")) + 2 * boundary_tolerance + 1e-9 * F.col("__cell")
+        at = V.dot(centre, vec(axis))
+        polygon_side = polygon_side.where((at >= F.col(f"__min{c}") - ext) & (at <= F.col(f"__max{c}") + ext))
+    polygon_side = polygon_side.drop("__cell", *[f"__lo{a}" for a in "xyz"])
     voxels = ["__cx", "__cy", "__cz"]
     located = points.join(box, group).withColumns(
         {f"__c{a}": grid.cell_of(F.col(a) - F.col(f"__lo{a}"), F.col("__cell")) for a in "xyz"})
