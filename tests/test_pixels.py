@@ -6,29 +6,33 @@ from plumbline.functions.quantiles import exact_quantiles, residual_stats
 from plumbline.functions.ranking import bucketed_rank, range_rank
 from plumbline.operators import pixels as P
 
-EYE = [1.0, 0, 0, 2, 0, 1, 0, 3, 0, 0, 1, 4, 0, 0, 0, 1]
+# a pose turned by 90 degrees about z, then shifted
+POSE = [0.0, -1, 0, -7, 1, 0, 0, 11, 0, 0, 1, 5, 0, 0, 0, 1]
+DEPTH = [[700, 0, 31, 4200], [5000, 5001, 12, 900]]
+CONFIDENCE = [[255, 255, 255, 54], [255, 255, 0, 255]]
 
 
 def frame(spark):
-    depth = [[0, 1, 255], [256, 65535, 1000]]
-    confidence = [[255, 255, 0], [255, 255, 255]]
     px = spark.createDataFrame(
-        [("c", "f", v, u, depth[v][u], confidence[v][u]) for v in range(2) for u in range(3)],
+        [("c", "f", v, u, DEPTH[v][u], CONFIDENCE[v][u]) for v in range(2) for u in range(4)],
         "capture_id string, frame_id string, v int, u int, depth_mm int, confidence int")
-    cam = spark.createDataFrame([("f", 6, 4, 6.0, 4.0, 2.0, 0.0, [float(x) for x in EYE])],
+    cam = spark.createDataFrame([("f", 12, 10, 9.0, 15.0, 4.5, 2.5, [float(x) for x in POSE])],
                                 "frame_id string, width int, height int, fx double, fy double, cx double, cy double, pose array<double>")
     return px, cam
 
 
-def test_unproject_known_points(spark, rows):
+def test_unproject_by_the_camera_model(spark, rows):
     px, cam = frame(spark)
-    points = P.unproject(P.eligible_pixels(px, max_depth_m=70), cam, (3, 2))
+    points = P.unproject(P.eligible_pixels(px, max_depth_m=5.0), cam, (4, 2))
     got = {(r.u, r.v): (r.x, r.y, r.z) for r in points.collect()}
-    want = {(1, 0): (2, 3, 3.999), (0, 1): (2 - .256 / 3, 2.872, 3.744), (1, 1): (2, -29.7675, -61.535), (2, 1): (2 + 1 / 3, 2.5, 3)}
-    assert set(got) == set(want)
-    for k in want:
-        assert np.allclose(got[k], want[k], atol=1e-12)
-    assert P.eligible_pixels(px).count() == 3
+    kept = [(u, v) for v in range(2) for u in range(4) if CONFIDENCE[v][u] == 255 and 0 < DEPTH[v][u] <= 5000]
+    assert sorted(got) == sorted(kept)
+    pose = np.array(POSE).reshape(4, 4)
+    for u, v in kept:
+        z = DEPTH[v][u] / 1000
+        local = [(u - 4.5 * 4 / 12) * z / (9 * 4 / 12), -(v - 2.5 * 2 / 10) * z / (15 * 2 / 10), -z, 1]
+        assert np.allclose(got[u, v], (pose @ local)[:3], atol=1e-12)
+    assert P.eligible_pixels(px, max_depth_m=70).count() == len(kept) + 1
 
 
 def test_rint_breaks_ties_to_even(spark, rows):

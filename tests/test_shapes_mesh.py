@@ -17,20 +17,30 @@ def rectangles(spark, controls, u=(1.0, 0.0), fit=False):
     return rect, frames
 
 
+def fitted(quad, u):
+    """Centre, half sizes and corners of the least-squares rectangle with axes ``u`` and its normal."""
+    q, u = np.array(quad, float), np.array(u)
+    axes, signs = np.array([u, [-u[1], u[0]]]), np.array(S.SIGNS)
+    half = ((q - q.mean(0)) @ axes.T * signs).sum(0) / 4
+    return q.mean(0) + (signs * half) @ axes, 2 * half
+
+
 def test_fixed_axes_rectangle(spark):
-    r = S.rectangle_fit(*rectangles(spark, [[[0, 0], [4, 1], [5, 3], [1, 2]]])).collect()[0]
-    assert np.allclose(r.corners, [[.5, .5], [4.5, .5], [4.5, 2.5], [.5, 2.5]]) and (r.width, r.height) == (4, 2)
-    assert np.allclose(r.errors, math.sqrt(.5))
+    quad = [[-2, 1], [3, 0], [4, 6], [-1, 4]]
+    r = S.rectangle_fit(*rectangles(spark, [quad])).collect()[0]
+    corners, size = fitted(quad, (1.0, 0.0))
+    assert np.allclose(r.corners, corners) and np.allclose((r.width, r.height), size)
+    assert np.allclose(r.errors, np.sqrt(((corners - quad) ** 2).sum(1)))
 
 
 def test_fitted_orientation(spark):
-    u, v = np.array([.8, .6]), np.array([-.6, .8])
+    u, v = np.array([12, 5]) / 13, np.array([-5, 12]) / 13
     quad = lambda o, w, h: [o, o + w * u, o + w * u + h * v, o + h * v]
-    rect, frames = rectangles(spark, [quad(np.zeros(2), 4, 2), quad(np.array([9., 1.]), 2, 3)], fit=True)
+    rect, frames = rectangles(spark, [quad(np.array([1., -3.]), 6, 1), quad(np.array([-8., 2.]), 5, 7)], fit=True)
     axes = S.shared_orientation_fit(rect, frames).collect()[0]
-    assert (axes.ux, axes.uy) == pytest.approx((.8, .6))
+    assert (axes.ux, axes.uy) == pytest.approx(tuple(u))
     got = sorted((round(r.width, 9), round(r.height, 9), round(max(r.errors), 9)) for r in S.rectangle_fit(rect, frames).collect())
-    assert got == [(2, 3, 0), (4, 2, 0)]
+    assert got == [(5, 7, 0), (6, 1, 0)]
 
 
 def test_orientation_is_optimal_by_sweep(spark):
