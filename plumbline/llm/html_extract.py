@@ -57,15 +57,14 @@ class Element:
     article: bool
     block: bool
     path: str
+    root: int = 0
 
 
 @dataclass
 class Block:
-    """One block of text: pieces, path, container, and whether it may be content."""
+    """One block of text: pieces, path, number of its outermost article (0: none), and whether it is furniture."""
     path: str
-    container: str
-    tag: str
-    article: bool
+    root: int
     furniture: bool
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
@@ -85,7 +84,10 @@ def marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool,
             elif name in ("class", "id", "role"):
                 said.update(WORDS.findall(value))
                 label = label or value.split(" ")[0]
-    named = tag not in ("html", "body", "article", "main") and bool(said & FURNITURE_WORDS) and not (said & ARTICLE_WORDS and not said & {"comment", "comments", "ad", "ads", "sidebar", "footer"})
+    bad = said & FURNITURE_WORDS
+    if said & ARTICLE_WORDS:  # an article's own header holds its title
+        bad -= {"header"}
+    named = bool(bad) and tag not in ("html", "body", "article", "main")
     furniture = hidden or tag in FURNITURE or named or (tag == "header" and not inside_article)
     article = tag in ("article", "main") or (tag in ("div", "section", "td") and bool(said & ARTICLE_WORDS) and not named)
     return furniture, article and not furniture, label
@@ -96,6 +98,7 @@ def blocks(page: str) -> list[Block]:
     stack = [Element("", False, False, True, "")]
     out: list[Block] = []
     now: Block | None = None
+    articles = 0
     i, n = 0, len(page)
     while i < n:
         m = TOKEN.match(page, i)
@@ -110,7 +113,7 @@ def blocks(page: str) -> list[Block]:
             top = stack[-1]
             if now is None:
                 home = next(e for e in reversed(stack) if e.block)
-                now = Block(home.path, home.path.rpartition("/")[0], home.tag, any(e.article for e in stack), any(e.furniture for e in stack))
+                now = Block(home.path, home.root, any(e.furniture for e in stack))
                 out.append(now)
             elif top.furniture and not now.furniture:  # furniture inside a paragraph, such as a button
                 continue
@@ -150,7 +153,11 @@ def blocks(page: str) -> list[Block]:
             if tag in ("br", "wbr", "hr") and now is not None and tag != "wbr":
                 now.pieces.append(" ")
             continue
-        furniture, article, label = marks(tag, m[3], any(e.article for e in stack))
+        root = stack[-1].root
+        furniture, article, label = marks(tag, m[3], root > 0)
+        if article and not root:
+            articles += 1
+            root = articles
         home = next(e for e in reversed(stack) if e.block)
         path = f"{home.path}/{tag}{'.' + label if label else ''}" if block else home.path
         if m[4] and tag in ("svg", "math"):
@@ -159,7 +166,7 @@ def blocks(page: str) -> list[Block]:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, i)
             i = close.end() if close else n
             continue
-        stack.append(Element(tag, furniture, article, block, path))
+        stack.append(Element(tag, furniture, article, block, path, root))
     return [b for b in out if b.pieces]
 
 
@@ -199,16 +206,14 @@ def extract(page: str | None, threshold: float = THRESHOLD, sigma: float = SIGMA
         return ""
     found = [(b, b.text()) for b in blocks(page)]
     found = [(b, t) for b, t in found if t and not b.furniture]
-    inside = [(b, t) for b, t in found if b.article]
-    if inside:  # the page says where its article is; the ratios choose among several
-        found = inside
+    inside = [(b, t) for b, t in found if b.root]
+    found = inside or found
     chosen = content_paths(found, threshold, sigma)
+    if inside:  # the page says where its articles are: those with a chosen path are taken whole
+        roots = {b.root for b, _ in found if b.path in chosen}
+        return "\n".join(t for b, t in found if b.root in roots)
     homes = {p.rpartition("/")[0] for p in chosen}
-    if inside:
-        whole = [t for _, t in found]
-        return "\n".join(whole) if homes else ""
-    keep = [t for b, t in found if b.path in chosen or any(b.path == h or b.path.startswith(h + "/") for h in homes)]
-    return "\n".join(keep)
+    return "\n".join(t for b, t in found if b.path in chosen or any(b.path == h or b.path.startswith(h + "/") for h in homes))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
