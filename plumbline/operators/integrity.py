@@ -7,8 +7,11 @@ join, and neither side has to fit anywhere.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values: the components of a frame and the variant each belongs to
@@ -147,6 +150,42 @@ def content_hash(df: DataFrame, content: str, name: str = "sha256") -> DataFrame
     return df.withColumn(name, F.sha2(F.col(content), 256))
 
 
+def buffer_hash(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], kind: str = "f4") -> DataFrame:
+    """SHA-256 per key of its numbers as one little-endian buffer (``f4``, ``i4``, ``i1``, ``u1``), rows in ``order``.
+
+    ``buffer_sha256`` is NULL where a number is NULL or not finite in that kind. Rows are dealt by key, sorted and hashed as
+    they stream by, so the buffer of one object is never held.
+    """
+    keys, order, values = list(keys), list(order), list(values)
+    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        held, digest, ok = None, None, True
+        for batch in batches:
+            out = []
+            if len(batch):
+                numbers = batch[values].to_numpy(dtype=np.float64, na_value=np.nan)
+                fits = np.isfinite(numbers).all(axis=1)
+                with np.errstate(all="ignore"):
+                    coded = np.where(fits[:, None], numbers, 0).astype(f"<{kind}")
+                fits &= np.isfinite(coded.astype(np.float64)).all(axis=1)
+                names = list(batch[keys].itertuples(index=False, name=None))
+                starts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+                for a, b in zip(starts, starts[1:]):
+                    if names[a] != held or digest is None:
+                        if digest is not None:
+                            out.append((*held, digest.hexdigest() if ok else None))
+                        held, digest, ok = names[a], hashlib.sha256(), True
+                    digest.update(coded[a:b].tobytes())
+                    ok = ok and bool(fits[a:b].all())
+            yield pd.DataFrame(out, columns=[*keys, "buffer_sha256"])
+        if digest is not None:
+            yield pd.DataFrame([(*held, digest.hexdigest() if ok else None)], columns=[*keys, "buffer_sha256"])
+
+    dealt = rows.select(*dict.fromkeys([*keys, *order, *values])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInPandas(run, f"{fields}, buffer_sha256 string")
+
+
 def set_identity_hash(df: DataFrame, keys: Sequence[str], name: str, sha256: str) -> DataFrame:
     """Order-independent identity of a ``name -> sha256`` set per key.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import rules
+from plumbline.functions import text as T
 from plumbline.operators import hierarchy as H
 from plumbline.operators import integrity as I
 from plumbline.plans import views as W
@@ -431,3 +432,39 @@ def checks_rollup(spark, sf):
     found = I.component_completeness(W.components(spark, sf)).where("kind <> 'no_rgb'").withColumnRenamed("component", "rule")
     names = F.explode(F.array(*[F.lit(n) for n in ("raw_camera", "raw_depth", "raw_confidence", "corrected_camera", "clean_depth")]))
     return rules.checks_rollup(found, W.table(spark, sf, "region").select(names.alias("rule")))
+
+
+# --- text forms and buffers --------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN lower(replace(p_name, ' ', '-')) WHEN p_partkey % 4 = 1 THEN NULL
+ ELSE lower(replace(p_name, ' ', '-')) || '.tar-' || sha256(p_name)[:8] END AS capture_id FROM part""")
+def capture_ids(spark, sf):
+    """Folders, files with two suffixes, and names that begin with a character no id may begin with."""
+    k = F.col("p_partkey") % 4
+    part = W.table(spark, sf, "part")
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("_"), F.col("p_name"), F.lit(".zip"))).otherwise(F.concat("p_name", F.lit(".tar.gz")))
+    return part.select("p_partkey", T.capture_id(name, F.sha2("p_name", 256), k == 0).alias("capture_id"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, format('{:.15g}', l_extendedprice / 7 * CASE l_linenumber % 4 WHEN 0 THEN -1 WHEN 1 THEN 1e-9 WHEN 2 THEN 1e13 ELSE 1 END) AS shown FROM lineitem""")
+def fifteen_digit_numbers(spark, sf):
+    """Fixed and scientific forms, negative and large."""
+    n = F.col("l_linenumber") % 4
+    scale = F.when(n == 0, -1.0).when(n == 1, 1e-9).when(n == 2, 1e13).otherwise(1.0)
+    return W.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.fifteen_digits(F.col("l_extendedprice") / 7 * scale).alias("shown"))
+
+
+@query("""SELECT p_partkey, '{"a b": "' || p_name || '", "brand": "x\\"' || p_brand || '\\\\", "z": "\\u00e9\\n"}' AS dumped FROM part""")
+def canonical_dump(spark, sf):
+    """Keys come out sorted, quotes, line ends and non-ASCII characters escaped."""
+    entries = F.create_map(F.lit("z"), F.lit("\u00e9\n"), F.lit("brand"), F.concat(F.lit('x"'), F.col("p_brand"), F.lit("\\")), F.lit("a b"), F.col("p_name"))
+    return W.table(spark, sf, "part").select("p_partkey", T.canonical_json(entries).alias("dumped"))
+
+
+@query()
+def buffer_hash(spark, sf):
+    """Vectors of each label as one buffer of 32-bit numbers, in id order."""
+    e = lambda i: F.element_at("embedding", i).alias(f"e{i}")
+    rows = W.table(spark, sf, "embeddings").select("label", "vec_id", e(1), e(2), e(3))
+    return I.buffer_hash(rows, ["label"], ["vec_id"], ["e1", "e2", "e3"])

@@ -229,3 +229,30 @@ def test_nodes_without_a_root(spark, rows):
     assert x == {1: 1.0, 2: 2.0} | {k: k - 997.0 for k in range(1000, 1300)}
     assert rows(bad, "rule", "entity_id", "detail") == [
         ("cycle", "3", None), ("cycle", "4", None), ("cycle", "7", None), ("cycle", "8", None), ("unknown_parent", "5", "99"), ("unknown_parent", "6", "99")]
+
+
+def test_text_forms(spark):
+    import json
+
+    from plumbline.functions import text as T
+
+    numbers = [0.0, -0.0, 1.0, 100.0, 123456789012345.0, 1234567890123456.0, 1e15, 999999999999999.9, 1e-4, 1e-5, 0.1, 1 / 3, -2.5e-7, 1e100, 3e-200, float("inf"), float("-inf"), float("nan")]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    assert [r.s for r in frame.orderBy("i").select(T.fifteen_digits(F.col("x")).alias("s")).collect()] == [format(x, ".15g") for x in numbers]
+    texts = {"b": 'q"\\/', "a": "\u00e9\U0001d518\x01\n", "": "\x7f", "c": None}
+    frame = spark.createDataFrame([(texts,)], "m map<string,string>")
+    assert frame.select(T.canonical_json(F.col("m")).alias("j")).first().j == json.dumps(texts, sort_keys=True)
+    frame = spark.createDataFrame([("My Scan.v2.zip", "ab" * 32, False), ("My Scan", "x", True), (".zip", "cd" * 32, False), ("a\n", "x", True)], "n string, h string, d boolean")
+    assert [r.c for r in frame.select(T.capture_id(F.col("n"), F.col("h"), F.col("d")).alias("c")).collect()] == ["my-scan.v2-abababab", "my-scan", None, None]
+
+
+def test_buffer_hash(spark):
+    import hashlib
+
+    import numpy as np
+
+    data = [(k % 3, k, k * 0.5, -k / 3) for k in range(50)] + [(7, 0, float("nan"), 0.0), (8, 0, 1e300, 0.0)]
+    frame = spark.createDataFrame(data, "g int, i int, x double, y double").repartition(4)
+    got = {r.g: r.buffer_sha256 for r in I.buffer_hash(frame, ["g"], ["i"], ["x", "y"]).collect()}
+    want = {g: hashlib.sha256(np.array([[x, y] for h, _, x, y in data if h == g], "<f4").tobytes()).hexdigest() for g in range(3)}
+    assert got == want | {7: None, 8: None}
