@@ -31,7 +31,10 @@ def eligible_pixels(px: DataFrame, confidence_value: int = 255, max_depth_m: flo
 
 
 def join_depth_confidence(depth: DataFrame, confidence: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
-    """One pixel row from separately decoded depth and confidence grids."""
+    """One pixel row from separately decoded depth and confidence grids.
+
+    A pixel that one grid lacks has no row; ``rules.unmatched`` in both directions names its frame.
+    """
     return depth.join(confidence, [*keys, "v", "u"])
 
 
@@ -39,10 +42,12 @@ def unproject(
     px: DataFrame,
     cameras: DataFrame,
     depth_size: tuple[int, int] | None = None,
-    on: Sequence[str] = ("frame_id",),
+    on: Sequence[str] = FRAME,
 ) -> DataFrame:
     """Pixel rows to world points ``x, y, z`` in metres.
 
+    Pixels without a camera have no point; ``rules.unmatched`` names their frames.
+
     Intrinsics are scaled from the camera image to the depth grid; ``depth_size``
     is ``(width, height)``, or the cameras carry ``depth_width, depth_height``.
     The camera side is small per frame; Catalyst broadcasts it when its measured
@@ -176,7 +181,10 @@ def confidence_map(px: DataFrame, keys: Sequence[str]) -> DataFrame:
 def project_to_camera(
     points: DataFrame, cameras: DataFrame, on: Sequence[str], near_m: float = 0.001
 ) -> DataFrame:
-    """World points to image ``px_u, px_v``, ``depth_m`` and the in-image flag ``visible``."""
+    """World points to image ``px_u, px_v``, ``depth_m`` and the in-image flag ``visible``.
+
+    Points without a camera are left out; ``rules.unmatched`` names their keys.
+    """
     pose = F.col("__pose")
     cam = cameras.select(*on, *[F.col(c).alias(f"__{c}") for c in ("width", "height", "fx", "fy", "cx", "cy", "pose")])
     local = V.rotate_back(pose, V.sub(V.cols("x", "y", "z"), V.translation(pose)))

@@ -104,14 +104,17 @@ def patch_summary(selected: DataFrame, confidence_value: int = 255, max_depth_m:
 
 
 def transform_points(points: DataFrame, transforms: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Apply a rigid ``matrix`` per key to ``x, y, z``."""
+    """Apply a rigid ``matrix`` per key to ``x, y, z``; keys without one are left out, ``rules.unmatched`` names them."""
     x, y, z = V.apply_rigid(F.col("__m"), V.cols("x", "y", "z"))
     joined = points.join(transforms.select(*on, F.col("matrix").alias("__m")), list(on))
     return joined.withColumns({"x": x, "y": y, "z": z}).drop("__m")
 
 
 def transform_plane(planes: DataFrame, transforms: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Move planes ``normal · p = offset`` (``nx, ny, nz, plane_offset``) with a rigid matrix."""
+    """Move planes ``normal · p = offset`` (``nx, ny, nz, plane_offset``) with a rigid matrix.
+
+    Planes without one are left out; ``rules.unmatched`` names their keys.
+    """
     joined = planes.join(transforms.select(*on, F.col("matrix").alias("__m")), list(on))
     n = V.rotate(F.col("__m"), V.cols("nx", "ny", "nz"))
     shifted = F.col("plane_offset") + V.dot(n, V.translation(F.col("__m")))

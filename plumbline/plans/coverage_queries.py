@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from plumbline.functions import png
 from plumbline.operators import coverage as C
 from plumbline.plans import views as W
 from plumbline.plans.pixel_queries import rounded
 from plumbline.plans.registry import query
 from plumbline.plans.views import with_views
+from plumbline.sources.frames import image_facts
 
 W.SQL["raster"] = """SELECT l_suppkey % 20 AS view_id, l_orderkey % 240 AS y, l_partkey % 320 AS x, max(l_linenumber % 7) AS object_idx, max(CAST(l_quantity AS INTEGER) % 5) AS material_idx
  FROM lineitem GROUP BY 1, 2, 3"""
@@ -218,9 +222,19 @@ def model_levels(spark, sf):
 @query("""WITH d AS (SELECT doc_id AS id, doc_id % 12 AS t FROM documents) SELECT 'file_missing' AS rule, CAST(id AS VARCHAR) AS entity_id FROM d WHERE t = 1 UNION ALL SELECT 'size_differs', CAST(id AS VARCHAR) FROM d WHERE t = 2
 UNION ALL SELECT 'sha256_differs', CAST(id AS VARCHAR) FROM d WHERE t = 3 UNION ALL SELECT 'not_decodable', CAST(id AS VARCHAR) FROM d WHERE t = 4 UNION ALL SELECT 'fully_transparent', CAST(id AS VARCHAR) FROM d WHERE t = 5""")
 def check_sample_images(spark, sf):
-    """Documents as image files: declared size and hash against the bytes."""
-    t = F.col("doc_id") % 12
-    docs = W.table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("sha"))
-    declared = docs.select(F.col("doc_id").alias("frame_id"), F.col("doc_id").alias("path"), (F.col("n") + F.when(t == 2, 1).otherwise(0)).alias("bytes"), F.when(t == 3, "0").otherwise(F.col("sha")).alias("sha256"))
-    images = docs.where(t != 1).select(F.col("doc_id").alias("path"), F.col("n").alias("length"), F.col("sha").alias("sha256"), (t != 4).alias("decoded"), F.when(t == 5, 0).otherwise(255).alias("max_alpha"))
-    return C.check_sample_images(declared, images).select("rule", "entity_id")
+    """A small RGBA image per document, some cut and some transparent: declared size and hash against the bytes."""
+
+    def build(batches):
+        for batch in batches:
+            out = []
+            for k in batch["doc_id"]:
+                grid = np.full((3, 4, 4), k % 251, np.uint16)
+                grid[:, :, 3] = 0 if k % 12 == 5 else 1 + k % 255
+                data = png.encode(grid, 8, 6, np.arange(3) + k % 3)
+                out.append((k, data[:-25] if k % 12 == 4 else data))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    t = F.col("path") % 12
+    images = image_facts(W.table(spark, sf, "documents").select("doc_id").mapInPandas(build, "path long, content binary"))
+    declared = images.select(F.col("path").alias("frame_id"), "path", (F.col("length") + F.when(t == 2, 1).otherwise(0)).alias("bytes"), F.when(t == 3, "0").otherwise(F.col("sha256")).alias("sha256"))
+    return C.check_sample_images(declared, images.where(t != 1)).select("rule", "entity_id")

@@ -9,6 +9,7 @@ from plumbline.operators import pixels as P
 from plumbline.plans import views as W
 from plumbline.plans.registry import query
 from plumbline.plans.views import with_views
+from plumbline.rules import unmatched
 
 PIXEL = ("capture_id", "frame_id", "v", "u")
 
@@ -27,6 +28,13 @@ def unproject(spark, sf):
     return rounded(W.pts(spark, sf).select(*PIXEL, "x", "y", "z"), "x", "y", "z")
 
 
+@query(with_views("px cam", """SELECT 'no_camera' AS rule, CAST(frame_id AS VARCHAR) AS entity_id, CAST(count(*) AS VARCHAR) AS detail FROM px
+WHERE frame_id NOT IN (SELECT frame_id FROM cam WHERE frame_id % 3 <> 0) GROUP BY frame_id"""))
+def unmatched_cameras(spark, sf):
+    """Frames whose pixels would have no point, a third of the cameras being absent."""
+    return unmatched(W.px(spark, sf), W.cam(spark, sf).where("frame_id % 3 <> 0"), ["frame_id"], "no_camera")
+
+
 @query(with_views("px", """, ranked AS (
  SELECT *, row_number() OVER (PARTITION BY capture_id, frame_id ORDER BY v, u) - 1 AS r
  FROM px WHERE confidence = 255 AND depth_mm > 0 AND depth_mm <= 5000)
@@ -44,7 +52,7 @@ FROM ranked WHERE r % 4 = 0 GROUP BY capture_id"""))
 def reference_cloud(spark, sf):
     """The headline path: eligible pixels, stride, unprojection, cloud bounds."""
     sampled = P.sample_every_nth_point(P.eligible_pixels(W.px(spark, sf)), 4)
-    cloud = P.unproject(sampled, W.cam(spark, sf), W.DEPTH_SIZE)
+    cloud = P.unproject(sampled, W.cam(spark, sf), W.DEPTH_SIZE, ["frame_id"])
     axes = [f"{side}_{a}" for side in ("min", "max") for a in "xyz"]
     # frames are counted from per-frame partial counts, so no task sees a capture's points
     spans = cloud.groupBy("capture_id", "frame_id").agg(

@@ -102,7 +102,7 @@ SQL["pts"] = """SELECT p.capture_id, p.frame_id, p.v, p.u, p.depth_mm, p.confide
 def pts(spark: SparkSession, sf: str) -> DataFrame:
     from plumbline.operators.pixels import eligible_pixels, unproject
 
-    return unproject(eligible_pixels(px(spark, sf)), cam(spark, sf), DEPTH_SIZE)
+    return unproject(eligible_pixels(px(spark, sf)), cam(spark, sf), DEPTH_SIZE, ["frame_id"])
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,6 +29,18 @@ def findings(df: DataFrame, entity: Column, rules: dict[str, tuple[Column, Colum
     )
 
 
+def unmatched(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
+    """A finding per key of ``rows`` that ``lookup`` lacks, with the number of rows it would cost an inner join.
+
+    Rows are counted per key before anything is joined, so a key with very many rows is one row here. NULL keys match nothing.
+    """
+    keys = list(keys)
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    lost = counted.join(lookup.select(*keys).distinct(), keys, "left_anti")
+    entity = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+    return lost.select(F.lit(rule).alias("rule"), entity.alias("entity_id"), F.col("__n").cast("string").alias("detail"))
+
+
 def union_findings(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

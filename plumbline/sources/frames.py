@@ -119,6 +119,36 @@ def check_image_bytes(images: DataFrame, keys: list[str], bit_depth: int, color_
     return images.select(*keys, "content").mapInPandas(rows, "rule string, entity_id string, detail string")
 
 
+def image_facts(images: DataFrame, key: str = "path") -> DataFrame:
+    """What the bytes of PNG images say: ``length, sha256, decoded, max_alpha`` per ``key``.
+
+    An image is decoded to its last sample; ``max_alpha`` is 255 without an alpha channel, and 16-bit
+    alpha is scaled to 8 bits without becoming 0 above 0. NULL and broken bytes are not decoded.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, content in zip(batch[key], batch["content"]):
+                try:
+                    _, _, depth, color = png.header(bytes(content))
+                    if depth not in (8, 16) or color not in png.SAMPLES_PER_PIXEL:
+                        raise png.UnsupportedImage(f"bit depth {depth} color type {color}")
+                    grid = png.decode(bytes(content), depth, color)
+                    alpha = int(grid[:, :, -1].max(initial=0)) if color in (4, 6) else 255
+                    out.append((name, grid.size > 0, -(-alpha * 255 // 65535) if depth == 16 and color in (4, 6) else alpha))
+                except (png.UnsupportedImage, TypeError):
+                    out.append((name, False, None))
+            frame = pd.DataFrame(out, columns=[key, "decoded", "max_alpha"])
+            frame["max_alpha"] = frame["max_alpha"].astype("Int32")
+            frame["length"], frame["sha256"] = batch["length"].to_numpy(), batch["sha256"].to_numpy()
+            yield frame
+
+    kind = images.schema[key].dataType.simpleString()
+    sized = images.select(key, "content", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
+    return sized.mapInPandas(rows, f"{key} {kind}, decoded boolean, max_alpha int, length long, sha256 string")
+
+
 def scan_confidence(images: DataFrame, keys: list[str]) -> DataFrame:
     """8-bit gray PNG bytes to ``v, u, confidence`` rows."""
     return _scan_image(images, keys, 8, 0, ["confidence"])

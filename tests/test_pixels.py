@@ -16,8 +16,8 @@ def frame(spark):
     px = spark.createDataFrame(
         [("c", "f", v, u, DEPTH[v][u], CONFIDENCE[v][u]) for v in range(2) for u in range(4)],
         "capture_id string, frame_id string, v int, u int, depth_mm int, confidence int")
-    cam = spark.createDataFrame([("f", 12, 10, 9.0, 15.0, 4.5, 2.5, [float(x) for x in POSE])],
-                                "frame_id string, width int, height int, fx double, fy double, cx double, cy double, pose array<double>")
+    cam = spark.createDataFrame([("c", "f", 12, 10, 9.0, 15.0, 4.5, 2.5, [float(x) for x in POSE])],
+                                "capture_id string, frame_id string, width int, height int, fx double, fy double, cx double, cy double, pose array<double>")
     return px, cam
 
 

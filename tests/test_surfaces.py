@@ -87,7 +87,7 @@ def test_patch_fit_counts(spark):
     px = patch_case(spark)
     cam = spark.createDataFrame([("f", 8, 8, 8.0, 8.0, 4.0, 4.0, [float(i % 5 == 0) for i in range(16)])],
                                 "frame_id string, width int, height int, fx double, fy double, cx double, cy double, pose array<double>")
-    cloud = P.unproject(P.eligible_pixels(px), cam, (8, 8)).withColumn("patch_id", F.lit("wide"))
+    cloud = P.unproject(P.eligible_pixels(px), cam, (8, 8), ["frame_id"]).withColumn("patch_id", F.lit("wide"))
     small = cloud.where("v = 0 AND u < 2").withColumn("patch_id", F.lit("small"))
     fits = {r.patch_id: r for r in S.plane_fit(cloud.unionByName(small), ["patch_id"]).collect()}
     assert (fits["wide"].status, fits["wide"].n, fits["wide"].inlier_count) == ("fitted", 60, 60)
