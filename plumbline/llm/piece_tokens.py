@@ -18,6 +18,7 @@ Uncovered characters become byte pieces, or the unknown id where the model has n
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -31,7 +32,7 @@ from plumbline.llm.common import slices
 MARK = "▁"
 WORDS = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNKNOWN_COST = 10.0
-KEPT_WORDS = 400_000  # encodings a task keeps between slices; it starts anew beyond, with equal results
+KEPT_WORDS = 500_000  # encodings a task keeps between slices; it starts anew beyond, with equal results
 KEPT_PAIRS = 1_000_000
 # fixed values of the model format: kinds of pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -49,7 +50,11 @@ class Vocabulary:
     unknown_score: float
     data: list[bytes]  # what each id decodes to
     dummy_prefix: bool
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    fits: dict[str, dict[str, bool] | None] = field(default_factory=dict)  # per piece what may stand before it; None for other ends
+    pairs: int = 0
+
+    def __post_init__(self) -> None:
+        self.fits = {end: {} if k >= 0 else None for end, k in self.ends.items()}
 
     def merges(self, text: str) -> list[str]:
         """BPE by definition: the best-scored neighbours first, the leftmost on ties."""
@@ -66,12 +71,13 @@ class Vocabulary:
         return out
 
     def side_by_side(self, left: str, right: str) -> bool:
-        """Whether merging ``left + right`` gives just the two."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) > KEPT_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merges(left + right) == ([left, right] if left else [right])
+        """Whether merging ``left + right`` gives just the two; remembered in ``fits``."""
+        self.pairs += 1
+        if self.pairs > KEPT_PAIRS:
+            self.pairs = 1
+            for known in filter(None, self.fits.values()):
+                known.clear()
+        found = self.fits[right][left] = self.merges(left + right) == ([left, right] if left else [right])
         return found
 
 
@@ -141,21 +147,22 @@ def extend_by_score(word: str, start: int, v: Vocabulary, best: list[float], bac
 
 
 def extend_by_merges(word: str, start: int, v: Vocabulary, last: list[str], back: list[int]) -> None:
-    ends, pairs, check = v.ends, v.pairs, v.side_by_side
+    fits, check = v.fits, v.side_by_side
     for i in range(start + 1, len(word) + 1):
-        at, piece = i - 1, word[i - 1]
-        for j in range(i - 1, -1, -1):
-            end = word[j:i]
-            k = ends.get(end)
-            if k is None and j < i - 1:
-                break
-            if k is None or k >= 0 or j == i - 1:
-                fits = pairs.get((last[j], end))
-                if fits or fits is None and check(last[j], end):
-                    at, piece = j, end
+        j, end = i - 1, word[i - 1]
+        known = fits.get(end)
+        if known is None:  # a character is a symbol even where it is no piece
+            known = fits[end] = {}
+        while True:
+            if known is not None:
+                fit = known.get(last[j])
+                if fit or fit is None and check(last[j], end):
                     break
-        last.append(piece)
-        back.append(at)
+            j -= 1
+            end = word[j:i]
+            known = fits[end]
+        last.append(end)
+        back.append(j)
 
 
 def encode_words(words: Iterable[str], v: Vocabulary) -> Iterator[tuple[str, list[int]]]:
@@ -190,14 +197,14 @@ def marked(text: str, vocabulary: Vocabulary) -> str:
     return MARK + text if vocabulary.dummy_prefix and text else text
 
 
-def encode_texts(texts: Iterable[str | None], vocabulary: Vocabulary, known: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """Ids of each text. ``known`` holds encodings met before and is filled; null and empty texts have none."""
+def encode_texts(texts: Iterable[str | None], vocabulary: Vocabulary, known: dict[str, bytes]) -> list[np.ndarray]:
+    """Ids of each text. ``known`` holds encodings met before, as bytes, and is filled; null and empty texts have none."""
     split = [WORDS.findall(marked(t, vocabulary)) if t else [] for t in texts]
     new = set().union(*split).difference(known) if split else set()
     for word, pieces in encode_words(new, vocabulary):
-        known[word] = np.array(pieces, dtype=np.int32)
+        known[word] = array("i", pieces).tobytes()
     get = known.__getitem__
-    return [np.concatenate(list(map(get, words))) if words else np.empty(0, np.int32) for words in split]
+    return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
 
 
 def decode_ids(ids: Iterable[int], vocabulary: Vocabulary) -> str:
