@@ -84,10 +84,8 @@ class Vocabulary:
 @lru_cache(maxsize=2)
 def load(model_file: str) -> Vocabulary:
     """Pieces, scores and kinds of a model file. Each process reads it once."""
-    import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
 
-    del sentencepiece
     model = proto.ModelProto()
     with open(model_file, "rb") as f:
         model.ParseFromString(f.read())
@@ -160,6 +158,10 @@ def extend_by_merges(word: str, start: int, v: Vocabulary, last: list[str], back
                     break
             j -= 1
             end = word[j:i]
+            if end not in fits:  # no piece reaches further back: ask the definition
+                end = v.merges(word[:i])[-1]
+                j = i - len(end)
+                break
             known = fits[end]
         last.append(end)
         back.append(j)
