@@ -27,6 +27,7 @@ INSULTS = frozenset("""idiot idiots moron morons stupid dumb loser losers scum t
     arschloch connard basura basta tonto inútil""".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie ihnen tu te toi ton ta vous votre usted ustedes ti tus vosotros".split())
 LEET = str.maketrans("013457@$!|", "oieastasil")
+EDGES = "!?.,;:*#|()[]\"'"  # marks around a word that spell no letter of it
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"\S+")
@@ -82,7 +83,7 @@ def features(text: str, odds: dict[str, float]) -> list[float]:
     tokens = WORD.findall(lower)
     mixed = MIXED.findall(text)
     if mixed:
-        tokens += [w for t in TOKEN.findall(lower) if MIXED.search(t) for w in WORD.findall(t.translate(LEET))]
+        tokens += [w for t in TOKEN.findall(lower) if MIXED.search(t) for w in WORD.findall(t.strip(EDGES).translate(LEET))]
     weight: dict[str, float] = {}
     for w in set(tokens):
         v = max([odds.get(w, 0.0), *(odds.get(w[:k] + "*", 0.0) for k in STEMS if len(w) > k)])
