@@ -21,7 +21,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.common import slices, stored
 
@@ -193,7 +193,7 @@ def compare(cells: DataFrame, texts: DataFrame, size: int, share: int) -> DataFr
     return cells.join(texts, "id").groupBy("cell").applyInPandas(run, "u long, v long")
 
 
-def chunk_of(chunks: str):
+def chunk_of(chunks: str) -> Column:
     return F.pmod(F.xxhash64("id"), F.col(chunks))
 
 
@@ -236,22 +236,28 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = split.select("key", (-F.col("top.col2")).alias("host"), "roots")
     guest = stored(known.join(split, "key").filter("root <> host").select("key", "id", "root", "host", "roots"), "minhash-guests")
 
-    # guests against the whole component
-    hosts = guest.select("host").distinct()
-    inside = known.select("id", "root").distinct().join(hosts.withColumnRenamed("host", "root"), "root")
-    per = inside.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"))
-    left = inside.join(per, "root").select(F.struct(F.lit(0).cast("long").alias("key"), F.col("root").alias("a"), chunk_of("chunks").alias("b")).alias("cell"), F.lit(True).alias("left"), "id", "root")
-    asked = guest.select("host", "id", "root").distinct().join(per.withColumnRenamed("root", "host"), "host")
-    right = asked.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    right = right.select(F.struct(F.lit(0).cast("long").alias("key"), F.col("host").alias("a"), "b").alias("cell"), F.lit(False).alias("left"), "id", "root")
+    # guests against the whole component, both in blocks
+    def blocks(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    asked = guest.select("host", "id", "root").distinct()
+    guests = asked.groupBy("host").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("guest_chunks"))
+    inside = known.select(F.col("root").alias("host"), "id").distinct().join(guests, "host")
+    per = inside.groupBy("host").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"), F.first("guest_chunks").alias("guest_chunks"))
+    cell = F.struct("host", "a", "b").alias("cell")
+    left = inside.join(per.select("host", "chunks"), "host").withColumn("a", chunk_of("chunks")).withColumn("b", blocks("guest_chunks"))
+    left = left.select(cell, F.lit(True).alias("left"), "id", F.col("host").alias("root"))
+    right = asked.join(per, "host").withColumn("b", chunk_of("guest_chunks")).withColumn("a", blocks("chunks"))
+    right = right.select(cell, F.lit(False).alias("left"), "id", "root")
     # guests of one bucket against each other
     again = guest.filter("roots > 2")
     per = again.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"))
-    again = again.join(per, "key").withColumn("mine", chunk_of("chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cell = F.struct("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).alias("cell")
+    again = again.join(per, "key").withColumn("mine", chunk_of("chunks")).withColumn("other", blocks("chunks"))
+    cell = F.struct(F.col("key").alias("host"), F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).alias("cell")
     sides = F.when(F.col("mine") == F.col("other"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.col("mine") < F.col("other")))
     again = again.select(cell, F.explode(sides).alias("left"), "id", "root")
-    more = stored(compare(left.unionByName(right).unionByName(again), texts, size, share), "minhash-more")
+    more = compare(left.unionByName(right), texts, size, share).unionByName(compare(again, texts, size, share))
+    more = stored(more, "minhash-more")
     if not more.isEmpty():
         roots = stored(stars(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "minhash-final")
 
