@@ -3,11 +3,13 @@
 A page is a sequence of text nodes, each with its root-to-leaf path of block tags. For every path the text
 length, punctuation, words inside links and number of nodes are summed. Two ratios, text per node
 and punctuation per node, are smoothed along the page, fused by their product, and paths above a threshold
-relative to the page are content. Headings and short blocks next to content paths, under the same container, go
-with them, so that an article keeps its title and its one-line paragraphs.
+relative to the page are content. Headings and short blocks with few links next to content paths, under the same container (in a
+named article: under any container between it and the path), go with them, so that an article keeps its title and its one-line paragraphs.
 
-Elements that are furniture by name (scripts, menus, footers, forms) or by the words of
-their class, id or role (adverts, notices, comments) never count; where the page names its article, only paths inside it compete.
+Where the page names its articles, only paths inside them compete. Elements that are furniture by name (scripts, menus, footers) never
+count. Forms and elements whose class, id or role has a token made of furniture words (adverts, comments; articles too) do not count
+either, unless they hold the largest article or more than half of the page's unlinked text. A furniture word among others, or one that may
+be a section's subject, only lowers a path's ratio, and only outside articles.
 """
 
 from __future__ import annotations
@@ -43,11 +45,18 @@ FURNITURE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisi
     comments commentlist reply replies respond disqus discussion form search widget widgets pagination pager copyright legal disclaimer
     hidden skip complementary contentinfo""".split())
 ARTICLE_WORDS = frozenset("article main content story post entry".split())
+# furniture words that may be a section's subject, and words that leave a token's meaning as it is
+SUBJECTS = frozenset("""alert alerts banner banners consent copyright disclaimer discussion form legal login navigation notice notices overlay promotion register related
+    reply replies search share sharing skip social subscription""".split())
+PLACES = frozenset("site page global top bottom left right wrapper wrap container section area box list block bar links inner outer button buttons".split())
+# elements that give text its form; a block below them is as near to a container as they are
+FORMS = HEADINGS | frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote figure figcaption pre p header hgroup section address details summary".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡\"'()«»„“”–—]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORDS = re.compile(r"[a-z]+")
 THRESHOLD, SIGMA = 0.1, 1.0
+WEAK, SHORT, LINKED = 0.3, 200, 0.3  # weight of a path with a furniture word; characters of a short block; share of links in one with few
 
 
 @dataclass
@@ -58,14 +67,21 @@ class Element:
     block: bool
     path: str
     root: int = 0
+    top: str = ""
+    named: tuple[int, ...] = ()
+    weak: tuple[int, ...] = ()
 
 
 @dataclass
 class Block:
-    """One block of text: pieces, path, number of its outermost article (0: none), and whether it is furniture."""
+    """One block of text: pieces, path, number and path of its outermost article (0: none), whether it is furniture by name, and the
+    numbers of the open elements that furniture words name or only weigh on."""
     path: str
     root: int
     furniture: bool
+    top: str = ""
+    named: tuple[int, ...] = ()
+    weak: tuple[int, ...] = ()
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -73,24 +89,29 @@ class Block:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
 
-def marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, str]:
-    """Whether an element is furniture, whether it is the article, and its first class for the path."""
-    said, label, hidden = set(), "", False
+def marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool, bool, str]:
+    """Whether an element is furniture by name, is the article, is named furniture by a token, has a furniture word, and its first class for the path."""
+    tokens, label, hidden = [], "", False
     if attributes.strip():
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 hidden = True
             elif name in ("class", "id", "role"):
-                said.update(WORDS.findall(value))
-                label = label or value.split(" ")[0]
-    bad = said & FURNITURE_WORDS
-    if said & ARTICLE_WORDS:  # an article's own header holds its title
-        bad -= {"header"}
-    named = bool(bad) and tag not in ("html", "body", "article", "main")
-    furniture = hidden or tag in FURNITURE or named or (tag == "header" and not inside_article)
-    article = tag in ("article", "main") or (tag in ("div", "section", "td") and bool(said & ARTICLE_WORDS) and not named)
-    return furniture, article and not furniture, label
+                tokens += [set(WORDS.findall(x)) for x in value.split()]
+                label = label or value.split(" ")[0].replace("/", "_")
+    said = set().union(*tokens)
+    furniture = hidden or tag in FURNITURE - {"form"} or (tag == "header" and not inside_article)
+    named, weak, article = tag == "form", False, tag in ("article", "main")
+    if tag not in ("html", "body") and tag not in HEADINGS:
+        for words in tokens:
+            bad = words & FURNITURE_WORDS
+            if said & ARTICLE_WORDS:  # an article's own header holds its title
+                bad -= {"header"}
+            weak = weak or bool(bad)
+            named = named or (bool(bad - SUBJECTS) and words <= FURNITURE_WORDS | ARTICLE_WORDS | PLACES)
+            article = article or (tag in ("div", "section", "td") and bool(words & ARTICLE_WORDS) and not bad)
+    return furniture, article and not furniture and not (named and tag not in ("article", "main")), named, weak, label
 
 
 def blocks(page: str) -> list[Block]:
@@ -98,7 +119,7 @@ def blocks(page: str) -> list[Block]:
     stack = [Element("", False, False, True, "")]
     out: list[Block] = []
     now: Block | None = None
-    articles = 0
+    articles = elements = 0
     i, n = 0, len(page)
     while i < n:
         m = TOKEN.match(page, i)
@@ -113,13 +134,17 @@ def blocks(page: str) -> list[Block]:
             top = stack[-1]
             if now is None:
                 home = next(e for e in reversed(stack) if e.block)
-                now = Block(home.path, home.root, any(e.furniture for e in stack))
+                now = Block(home.path, home.root, any(e.furniture for e in stack), home.top, top.named, top.weak)
                 out.append(now)
             elif top.furniture and not now.furniture:  # furniture inside a paragraph, such as a button
                 continue
-            now.pieces.append(text)
+            into = now
+            if len(top.named) > len(now.named):  # a block of its own, as its mark may not stand
+                into = Block(now.path, now.root, now.furniture, now.top, top.named, top.weak)
+                out.append(into)
+            into.pieces.append(text)
             if any(e.tag == "a" for e in stack):
-                now.linked += len(text)
+                into.linked += len(text)
             continue
         tag = tag.lower()
         if m[1]:  # an end tag closes its element and what is open in it; a stray one does nothing
@@ -153,20 +178,22 @@ def blocks(page: str) -> list[Block]:
             if tag in ("br", "wbr", "hr") and now is not None and tag != "wbr":
                 now.pieces.append(" ")
             continue
-        root = stack[-1].root
-        furniture, article, label = marks(tag, m[3], root > 0)
-        if article and not root:
-            articles += 1
-            root = articles
+        root, top = stack[-1].root, stack[-1].top
+        furniture, article, named, weak, label = marks(tag, m[3], root > 0)
+        elements += 1
         home = next(e for e in reversed(stack) if e.block)
         path = f"{home.path}/{tag}{'.' + label if label else ''}" if block else home.path
+        if article and not root:
+            articles += 1
+            root, top = articles, path
         if m[4] and tag in ("svg", "math"):
             continue
         if tag in RAW:  # its content is no markup
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, i)
             i = close.end() if close else n
             continue
-        stack.append(Element(tag, furniture, article, block, path, root))
+        mine = (elements,)
+        stack.append(Element(tag, furniture, article, block, path, root, top, stack[-1].named + mine * named, stack[-1].weak + mine * weak))
     return [b for b in out if b.pieces]
 
 
@@ -181,21 +208,45 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
     return out
 
 
-def content_paths(found: list[tuple[Block, str]], threshold: float, sigma: float) -> set[str]:
-    """Paths whose fused ratio reaches ``threshold`` of the page's highest."""
+def unlinked(block: Block, text: str) -> int:
+    return max(0, len(text) - block.linked)
+
+
+def standing(found: list[tuple[Block, str]]) -> set[int]:
+    """The elements with furniture words that hold neither the largest article nor more than half of the unlinked text."""
+    roots: dict[int, list[int]] = {}
+    held: dict[int, int] = {}
+    over: dict[int, set[int]] = {}
+    for block, text in found:
+        size = unlinked(block, text)
+        for e in {*block.named, *block.weak}:
+            held[e] = held.get(e, 0) + size
+        if block.root:
+            roots.setdefault(block.root, [0, 0])[1] += size
+            roots[block.root][0] += size * (not block.named)
+            mine = {*block.named, *block.weak}
+            over[block.root] = over[block.root] & mine if block.root in over else mine
+    largest = max(roots, key=lambda r: roots[r], default=0)
+    most = sum(unlinked(*x) for x in found) / 2
+    return {e for e, n in held.items() if n <= most and e not in over.get(largest, ())}
+
+
+def content_paths(found: list[tuple[Block, str]], threshold: float, sigma: float, marked: set[int] = frozenset()) -> set[str]:
+    """Paths whose fused ratio reaches ``threshold`` of the page's highest; ``marked`` elements outside articles lower it."""
     sums: dict[str, list[float]] = {}
     for block, text in found:
-        s = sums.setdefault(block.path, [0, 0, 0, 0])
+        s = sums.setdefault(block.path, [0, 0, 0, 0, 0])
         s[0] += len(text)
         s[1] += len(PUNCTUATION.findall(text))
         s[2] += min(len(text), block.linked)
         s[3] += 1
+        s[4] += len(text) * (WEAK if not block.root and marked.intersection(block.weak) else 1)
     order = list(sums)
     free = [1 - sums[p][2] / max(1, sums[p][0]) for p in order]
     length = smoothed([f * sums[p][0] / sums[p][3] for p, f in zip(order, free)], sigma)
     points = smoothed([f * (1 + sums[p][1]) / sums[p][3] for p, f in zip(order, free)], sigma)
     # smoothing carries content to its neighbours; a path's own share of unlinked text still decides
-    fused = {p: a * b * f * math.log1p(sums[p][0]) for p, a, b, f in zip(order, length, points, free)}
+    fused = {p: a * b * f * math.log1p(sums[p][0]) * sums[p][4] / max(1, sums[p][0]) for p, a, b, f in zip(order, length, points, free)}
     most = max(fused.values(), default=0.0)
     return {p for p, v in fused.items() if v > 0 and v >= threshold * most}
 
@@ -206,9 +257,11 @@ def extract(page: str | None, threshold: float = THRESHOLD, sigma: float = SIGMA
         return ""
     found = [(b, b.text()) for b in blocks(page)]
     found = [(b, t) for b, t in found if t and not b.furniture]
+    marked = standing(found) if any(b.named or b.weak for b, _ in found) else set()
+    found = [(b, t) for b, t in found if not marked.intersection(b.named)]
     inside = [(b, t) for b, t in found if b.root]
     found = inside or found
-    chosen = content_paths(found, threshold, sigma)
+    chosen = content_paths(found, threshold, sigma, marked)
     if inside:  # the page says where its articles are: those with a chosen path are taken whole
         roots = {b.root for b, _ in found if b.path in chosen}
         return "\n".join(t for b, t in found if b.root in roots)

@@ -34,6 +34,23 @@ def test_ratios_find_unnamed_content():
     assert got.count("\n") == 4 and "Link" not in got
 
 
+REAL = "".join(f"<p>Sentence {k}, with words, and more words. Then, another one.</p>" for k in range(5))
+REAL_TEXT = "\n".join(f"Sentence {k}, with words, and more words. Then, another one." for k in range(5))
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="page no-sidebar">%s</div>', '<div id="main-content" class="has-sidebar">%s</div>', '<div class="overflow-hidden">%s</div>', '<div class="sidebar-left">%s</div>',
+                                     '<div class="w-1/2">%s</div>', '<form id="form">%s</form>', '<main class="skip"><div class="widget">%s</div></main>'])
+@pytest.mark.parametrize("home", ["<article>%s</article>", "<div>%s</div>", "%s"])
+def test_a_furniture_word_never_takes_the_page(wrapper, home):
+    assert h.extract("<body><div class=ad>Buy this, now.</div>" + wrapper % (home % REAL) + "</body>") == REAL_TEXT
+
+
+def test_subjects_named_like_furniture_stay():
+    page = f"""<article><h1>T</h1>{REAL}<section id="discussion"><h2 id="related-work">Related work</h2><p>Others did so, and well.</p></section>
+        <div id="legal-history"><p>It was, in short, legal. Then it was not, and so on, for years.</p></div></article>"""
+    assert h.extract(page) == f"T\n{REAL_TEXT}\nRelated work\nOthers did so, and well.\nIt was, in short, legal. Then it was not, and so on, for years."
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav><a>x</a></nav>"), (4, "u", "plain text, no tags"), (4, "u", "plain text, no tags"), (None, "u", "<p>&lt;p&gt; &#233;&nbsp;x"), (6, "u", "<" * 1000),
             (7, "u", "<p>" + "long words, " * 20000)]
