@@ -262,11 +262,32 @@ def extract(page: str | None, threshold: float = THRESHOLD, sigma: float = SIGMA
     inside = [(b, t) for b, t in found if b.root]
     found = inside or found
     chosen = content_paths(found, threshold, sigma, marked)
-    if inside:  # the page says where its articles are: those with a chosen path are taken whole
-        roots = {b.root for b, _ in found if b.path in chosen}
-        return "\n".join(t for b, t in found if b.root in roots)
-    homes = {p.rpartition("/")[0] for p in chosen}
-    return "\n".join(t for b, t in found if b.path in chosen or any(b.path == h or b.path.startswith(h + "/") for h in homes))
+    if inside and not chosen:  # an article that is all links
+        return "\n".join(t for _, t in found)
+    homes: set[tuple[int, str]] = set()
+    for b, _ in found:
+        if b.path in chosen:
+            home = b.path.rpartition("/")[0]
+            homes.add((b.root, home))
+            while b.root and len(home) > len(b.top):
+                home = home.rpartition("/")[0]
+                homes.add((b.root, home))
+    texts = [len(t) for b, t in found if b.path in chosen]
+    short = max(SHORT, sum(texts) / max(1, len(texts)))
+
+    def beside(b: Block, text: str) -> bool:
+        parts = b.path.split("/")
+        tags = [x.partition(".")[0] for x in parts]
+        if unlinked(b, text) < (1 - LINKED) * len(text) or (len(text) > short and tags[-1] not in HEADINGS):
+            return False
+        for k in range(len(parts) - 1, -1, -1):
+            if k < len(parts) - 1 and tags[k] not in FORMS:
+                return False
+            if (b.root, "/".join(parts[:k])) in homes:
+                return True
+        return False
+
+    return "\n".join(t for b, t in found if b.path in chosen or beside(b, t))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

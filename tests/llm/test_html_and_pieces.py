@@ -51,6 +51,14 @@ def test_subjects_named_like_furniture_stay():
     assert h.extract(page) == f"T\n{REAL_TEXT}\nRelated work\nOthers did so, and well.\nIt was, in short, legal. Then it was not, and so on, for years."
 
 
+def test_paths_decide_inside_and_outside_articles():
+    links = "<div class=more><ul>" + "".join(f"<li><a href=/{k}>Link number {k} to somewhere</a></li>" for k in range(20)) + "</ul></div>"
+    comment = "<article class='comment'><p>I disagree, strongly. This comment is long, and has commas.</p></article>"
+    assert h.extract(f"<article><header><h1>T</h1></header><div class=text>{REAL}</div>{links}</article>{comment}") == f"T\n{REAL_TEXT}"
+    assert h.extract(f"<body><h1>T</h1>{REAL}{links}</body>") == f"T\n{REAL_TEXT}"
+    assert h.extract("<main><a href=/>All of it, linked.</a></main>") == "All of it, linked."
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav><a>x</a></nav>"), (4, "u", "plain text, no tags"), (4, "u", "plain text, no tags"), (None, "u", "<p>&lt;p&gt; &#233;&nbsp;x"), (6, "u", "<" * 1000),
             (7, "u", "<p>" + "long words, " * 20000)]
