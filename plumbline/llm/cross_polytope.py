@@ -56,17 +56,30 @@ def nearest_axes(units: np.ndarray, table: int, seed: int, probes: int) -> np.nd
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(signed, some, 1), axis=1, kind="stable"), 1)
 
 
+def places(ids: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """A number for each row by its id and its vector, so that an id with many vectors is spread."""
+    odd = np.random.default_rng(5).integers(0, 1 << 62, data.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mixed = (np.ascontiguousarray(data).view(np.uint64) * odd).sum(axis=1, dtype=np.uint64) ^ ids.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(33)).astype(np.int64)
+
+
 def best_in_cell(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """Each query's ``k`` nearest rows but its own, ties to the smaller id."""
+    """Each query's ``k`` nearest ids but its own by the best of their rows, ties to the smaller id."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, rows = ids[by_id], rows[by_id]
+    firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     norms = np.sqrt((rows * rows).sum(axis=1))
     rough = (queries / np.sqrt((queries * queries).sum(axis=1))[:, None]) @ (rows / norms[:, None]).T
     out = []
     for q, (query_id, query) in enumerate(zip(query_ids, queries)):
         line = np.where(ids == query_id, -np.inf, rough[q])
-        least = -np.inf if len(line) <= k else np.partition(line, len(line) - k)[len(line) - k]
+        best = line if len(firsts) == len(line) else np.maximum.reduceat(line, firsts)
+        least = -np.inf if len(best) <= k else np.partition(best, len(best) - k)[len(best) - k]
         near = np.flatnonzero((line >= least - TIE) & (line > -np.inf))
         score = (rows[near] * query).sum(axis=1) / (norms[near] * np.sqrt((query * query).sum()))
-        order = np.lexsort((ids[near], -score))[:k]
+        order = np.lexsort((ids[near], -score))
+        order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])[:k]]
         out += [(int(query_id), int(ids[near[j]]), float(score[j])) for j in order]
     return out
 
@@ -82,11 +95,12 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     """``query_id, rank, vec_id, score``: the ``k`` nearest vectors found by cosine for each row that ``is_query`` selects.
 
     Every usable vector with an id is indexed, and a candidate of every query but its own id. Vectors of another dimension than the
-    most common one take no part, nor do null ids. Rows repeated with their id count once; fewer than ``k`` candidates are all
+    most common one take no part, nor do null ids. Rows repeated with their id count once; an id with several vectors scores by its best. Fewer than ``k`` candidates are all
     returned if they share a probed bucket. Tables with fewer vectors than ``10 * k`` are probed in full.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector").cast("array<double>")))
+    rows = stored(rows.groupBy("vec_id", "vector").agg(F.max("query").alias("query")), "vectors").withColumn("vector", F.col("vector").cast("array<double>"))
     sizes = rows.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
     shape = "query_id long, vec_id long, score double"
     if sizes is None:
@@ -121,7 +135,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def spread(ids, data, bucket, query):
-            mixed = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+            mixed = places(ids, data)
             own, other = (asks, parts) if query else (parts, asks)
             copies = other[bucket]
             at = np.repeat(np.arange(len(ids)), copies)

@@ -44,6 +44,28 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert [r["vec_id"] for r in same.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_repeats_take_no_places(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(60)]
+    query = np.array(rows[0][1])
+    near = [(100 + k, (query + 0.01 * (k + 1) * rng.normal(size=8)).tolist()) for k in range(3)]
+    several = [(200, (query + 0.001 * rng.normal(size=8)).tolist()) for _ in range(40)]  # one id, many vectors
+    frame = spark.createDataFrame(rows + near * 12 + several, "vec_id long, embedding array<double>")
+    for cells in (4096, 7):
+        got = [(r["vec_id"], r["score"]) for r in cp.nearest(frame, F.col("vec_id") == 0, probes=16, cell_rows=cells).orderBy("rank").collect()]
+        best = {}
+        for k, v in rows[1:] + near + several:
+            best[k] = max(best.get(k, -2), float(np.dot(v, query) / np.linalg.norm(v) / np.linalg.norm(query)))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+
+
+def test_vectors_of_one_id_are_spread():
+    data = np.random.default_rng(1).normal(size=(700, 4)).astype(np.float32).astype(float)
+    counts = np.bincount(cp.places(np.full(700, 5), data) % 7, minlength=7)
+    assert counts.min() > 50 and counts.max() < 160
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 48))
     y = cp.rotated(x, 3, 1)
