@@ -1,11 +1,11 @@
 """Quality classifier by co-training of two views.
 
 The text view sees what the characters and words of a text are; the metadata view sees language, source and layout.
-Each round both logistic models score a pool of unlabelled documents, and each hands its most confident pseudo-labels to the
-other's training set. After the rounds, each view is calibrated on labels that no round has seen, and their log odds are
+Each round both logistic models score every unlabelled document, and each hands confident pseudo-labels to the other's training
+set, from every language and source. After the rounds, each view is calibrated on labels that no round has seen, and their log odds are
 added around the prior to score every document.
 
-Fitting uses bounded samples (parameters below); scoring covers all documents with column expressions over one feature row.
+Features are taken once and stored. Fits use bounded draws (parameters below); scoring covers all documents with column expressions over one feature row.
 """
 
 from __future__ import annotations
@@ -94,48 +94,69 @@ def calibrated(held: DataFrame, z: Column) -> tuple[float, float]:
     return max(0.0, weights[0]) if weights else 0.0, intercept
 
 
+def confident(pool: DataFrame, models: dict[str, tuple[list[float], float]], confidence: float) -> DataFrame:
+    """``pool`` with ``view, label`` for each view that gives the document a label of at least ``confidence``."""
+    says = [F.struct(F.lit(view).alias("view"), probability(log_odds(view, model)).alias("p")) for view, model in models.items()]
+    sure = pool.withColumn("said", F.explode(F.array(*says))).filter(F.greatest("said.p", 1 - F.col("said.p")) >= confidence)
+    return sure.withColumn("view", F.col("said.view")).withColumn("label", (F.col("said.p") >= 0.5).cast("double")).drop("said")
+
+
+def drawn(sure: DataFrame, size: int, least: int, salt: str) -> DataFrame:
+    """A draw of about ``size`` rows of each view in which every row has a chance, by a hash of the id and ``salt``.
+
+    Groups of one view, language, source and label share ``size`` by the roots of their counts, so that a hot source leaves room for the
+    others; a group has ``least`` rows on average, or all it has. The counts are at most 4 * LANGS * SOURCES numbers.
+    """
+    group = ["view", "lang", "source", "label"]
+    counts = sure.groupBy(*group).count().collect()
+    roots: dict[str, float] = {}
+    for r in counts:
+        roots[r["view"]] = roots.get(r["view"], 0.0) + math.sqrt(r["count"])
+    rates = [(*(r[g] for g in group), min(1.0, max(least, size * math.sqrt(r["count"]) / roots[r["view"]]) / r["count"])) for r in counts]
+    rates = sure.sparkSession.createDataFrame(rates, "view string, lang int, source int, label double, rate double")
+    place = share_of(F.concat_ws(" ", F.col("doc_id").cast("string"), F.xxhash64("text_view", "meta_view").cast("string")), salt)
+    return sure.join(F.broadcast(rates), group).filter(place < F.col("rate"))
+
+
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality",
-           rounds: int = 3, max_labelled: int = 12_000, max_pool: int = 12_000, exchanged: int = 2_000, confidence: float = 0.97) -> DataFrame:
-    """``row`` (the input row as a struct), ``text_score, meta_score, score`` of every document; ``score`` is the chance of quality 1.
+           rounds: int = 3, max_labelled: int = 12_000, exchanged: int = 2_000, least: int = 20, confidence: float = 0.97, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``row`` (the input row as a struct, or its columns in ``keep``), ``text_score, meta_score, score`` of every document; ``score`` is the chance of quality 1.
 
-    At most ``max_labelled`` labelled and ``max_pool`` unlabelled ids, chosen by a hash of the id, fit the views; a fifth of the labelled
-    ones are kept for calibration. Each round a view hands over at most ``exchanged`` more pseudo-labels of at least ``confidence``. Ids labelled twice count as
+    At most ``max_labelled`` labelled ids, chosen by a hash of the id, fit the views; a fifth of them are kept for calibration. Each round
+    both views score every unlabelled document with an id, and each hands over a draw of about ``exchanged`` more of its pseudo-labels of at
+    least ``confidence``: about ``least`` of every language, source and class, or all there are, and another draw each round. Ids labelled twice count as
     1 if any label does; null labels and ids do not count. Without labels, or with labels of one kind, every score is the smoothed share. Repeated rows are scored each.
     """
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null")
              .groupBy("doc_id").agg((F.max("label") > 0).cast("double").alias("label")))
-    ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct().withColumn("place", share_of(F.col("doc_id"), "quality"))
-    labelled = ids.join(known, "doc_id").orderBy("place", "doc_id").limit(max_labelled)
-    pool = ids.join(known, "doc_id", "left_anti").orderBy("place", "doc_id").limit(max_pool).withColumn("label", F.lit(None).cast("double"))
-    chosen = stored(labelled.unionByName(pool), "quality-chosen")
-    # at most max_labelled + max_pool ids
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")).join(F.broadcast(chosen), "doc_id")
-    views = viewed(texts, "text", "lang", "source").select("row.doc_id", "row.place", "row.label", "text_view", "meta_view", F.lit(1.0).alias("weight"))
-    views = stored(views, "quality-views")
+    row = F.col("row") if keep is None else F.struct(*[F.col("row").getField(c).alias(c) for c in keep])
+    seen = stored(viewed(docs, text_col, lang_col, source_col).select(row.alias("row"), F.col("row").getField(id_col).alias("doc_id"), "lang", "source", "text_view", "meta_view"), "quality-views")
+    features = seen.drop("row").filter("doc_id is not null")
+    ids = features.select("doc_id").distinct().withColumn("place", share_of(F.col("doc_id"), "quality"))
+    chosen = stored(ids.join(known, "doc_id").orderBy("place", "doc_id").limit(max_labelled), "quality-chosen")
     columns = ["doc_id", "text_view", "meta_view", "label", "weight"]
+    labelled = stored(features.join(F.broadcast(chosen), "doc_id").withColumn("weight", F.lit(1.0)).select(columns), "quality-labelled")
+    pool = stored(features.join(known, "doc_id", "left_anti").distinct(), "quality-pool")
     is_held = share_of(F.col("doc_id"), "held") < 0.2
-    labelled, pool = views.filter("label is not null"), views.filter("label is null")
-    start, held = labelled.filter(~is_held).select(columns), labelled.filter(is_held).select(columns)
+    start, held = labelled.filter(~is_held), labelled.filter(is_held)
     if held.select("label").distinct().count() < 2:  # too few labels to keep some back
-        start = held = labelled.select(columns)
-    extra = {"text_view": None, "meta_view": None}
-    models = {}
+        start = held = labelled
+    views = ("text_view", "meta_view")
+    extra, models = {}, {}
     for turn in range(rounds + 1):
-        models = {view: fit(start if extra[view] is None else start.unionByName(extra[view]), view) for view in extra}
-        if turn == rounds:
+        models = {view: fit(start.unionByName(extra[view]) if view in extra else start, view) for view in views}
+        if turn == rounds or not any(weights for weights, _ in models.values()):  # views that learned nothing teach nothing
             break
-        for view, other in (("text_view", "meta_view"), ("meta_view", "text_view")):
-            p = probability(log_odds(view, models[view]))
-            sure = pool.withColumn("p", p).withColumn("sure", F.greatest("p", 1 - F.col("p"))).filter(F.col("sure") >= confidence)
-            sure = sure.orderBy(F.desc("sure"), "place", "doc_id").limit(exchanged * (turn + 1))
-            extra[other] = stored(sure.select("doc_id", "text_view", "meta_view", (F.col("p") >= 0.5).cast("double").alias("label"), F.lit(0.5).alias("weight")), "quality-pseudo")
+        draw = drawn(confident(pool, models, confidence), exchanged * (turn + 1), least, f"turn {turn}").withColumn("weight", F.lit(0.5))
+        draw = stored(draw.select("view", *columns), "quality-pseudo")
+        extra = {view: draw.filter(F.col("view") != view).select(columns) for view in views}
     odds = {}
     for view, model in models.items():
         slope, offset = calibrated(held, log_odds(view, model))
         odds[view] = log_odds(view, model) * F.lit(slope) + F.lit(offset)
     counts = start.agg(F.coalesce(F.sum("label"), F.lit(0.0)).alias("one"), F.count("*").alias("n")).first()
     prior = math.log((counts["one"] + 1) / (counts["n"] - counts["one"] + 1))
-    out = viewed(docs, text_col, lang_col, source_col).select("row", odds["text_view"].alias("t"), odds["meta_view"].alias("m"))
+    out = seen.select("row", odds["text_view"].alias("t"), odds["meta_view"].alias("m"))
     return out.select("row", probability(F.col("t")).alias("text_score"), probability(F.col("m")).alias("meta_score"), probability(F.col("t") + F.col("m") - F.lit(prior)).alias("score"))
 
 

@@ -118,5 +118,5 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
     return scored.select("row.doc_id", "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("kept"))

@@ -63,6 +63,25 @@ def test_views_teach_each_other(spark):
     assert sum((r["meta_score"] >= 0.5) == bool(r["doc_id"] % 2) for r in got) >= 0.95 * len(got)
 
 
+def test_every_source_hands_over_pseudo_labels(spark):
+    """A small source beside a hot one, all of one confidence, is drawn from; another draw takes other documents."""
+    rows = [(k, 0, 0 if k % 500 else 1, [1.0], [1.0], "text_view", 1.0) for k in range(20_000)]
+    sure = spark.createDataFrame(rows, "doc_id long, lang int, source int, text_view array<double>, meta_view array<double>, view string, label double").repartition(4)
+    one, two = ([(r["doc_id"], r["source"]) for r in co.drawn(sure, 400, 20, salt).collect()] for salt in ("turn 0", "turn 1"))
+    assert all(10 <= sum(s for _, s in x) <= 40 and 300 <= len(x) <= 520 for x in (one, two))
+    assert len({k for k, _ in one} & {k for k, _ in two}) < 100
+
+
+def test_the_pool_is_every_unlabelled_document(spark, docs, monkeypatch):
+    seen = []
+    confident = co.confident
+    monkeypatch.setattr(co, "confident", lambda pool, *rest: (seen.append(pool.count()), confident(pool, *rest))[1])
+    words = "plain words that people write in order".split()
+    rows = docs([(k, " ".join(words[(k + j) % 7] + ("" if k % 2 else "***") for j in range(5)), f"s{k % 3}") for k in range(14_000)])
+    co.scored(rows, spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int"), keep=("doc_id",))
+    assert seen == [13_900] * 3
+
+
 def test_quality_edges(spark, docs):
     rows = docs([(1, None), (2, ""), (3, "fine words"), (3, "fine words"), (None, "x")]).withColumn("source", F.lit(None).cast("string"))
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
