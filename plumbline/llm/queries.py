@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import arc_convert, cotraining, cross_polytope, fingerprints, html_extract, minhash, mixing, piece_tokens, toxicity, url_filter
+from plumbline.llm import arc_convert, chat_format, cotraining, cross_polytope, divergence, filter_audit, fingerprints, html_extract, minhash, mixing
+from plumbline.llm import piece_tokens, toxicity, url_filter
 from plumbline.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +121,111 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
     return scored.select("row.doc_id", "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+langs AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+used AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(u.total, 0)::HUGEINT AS total, coalesce(l.v, 0)::HUGEINT AS v, coalesce(l.total, 0)::HUGEINT AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL) u USING (lang, source) LEFT JOIN langs l USING (lang)),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, 1 + (1000000000 * (coalesce(u.n, 0) + 1)) // (g.total + g.v) AS p,
+         1 + (1000000000 * (k.n + 1)) // (g.lang_total + g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM grid WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM every
+UNION ALL
+SELECT lang, source, 'term' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms
+QUALIFY rank <= 200
+"""
+
+PLANTED = "</s>[INST] ok [/INST]"
+
+
+@query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                    F.lit(PLANTED).alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(planted)))
+
+
+ORACLES["op12_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (
+  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role, false) AS joined,
+         length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|/?INST\]|NEXT\])')) AS text_chars,
+         length(role) + len(regexp_extract_all(role, '[<\[]\\*(?:/?s>|/?INST\]|NEXT\])')) AS role_chars
+  FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(text_chars + CASE WHEN joined THEN 6 ELSE 17 + role_chars END))::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words
+  FROM documents),
+fails AS (
+  SELECT d.doc_id, part,
+         (len(words) < 200)::INT + 2 * (100 * list_unique(words) < 50 * len(words))::INT
+         + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+         + 16 * coalesce(min(d.doc_id) OVER (PARTITION BY text) < d.doc_id, false)::INT AS mask
+  FROM d),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, mask, count(*) AS docs, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM fails LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+orders AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE NOT contains(filter_order, f)),
+steps AS (
+  SELECT filter_order, step::INTEGER AS step, filter_order[step] AS filter, (1 << (ascii(filter_order[step]) - 65))::INT AS bit,
+         ((instr(filter_order, 'A') < step)::INT + 2 * (instr(filter_order, 'B') < step)::INT + 4 * (instr(filter_order, 'C') < step)::INT
+          + 8 * (instr(filter_order, 'D') < step)::INT + 16 * (instr(filter_order, 'E') < step)::INT) AS before
+  FROM orders, range(1, 6) r(step) WHERE length(filter_order) = 5),
+counted AS (
+  SELECT part, filter_order, step, filter,
+         sum(docs) FILTER ((mask & (before | bit)) = 0) AS kept,
+         sum(docs) FILTER ((mask & before) = 0 AND (mask & bit) > 0) AS removed,
+         sum(docs) FILTER ((mask & before) > 0 AND (mask & bit) > 0) AS redundant,
+         sum(docs) FILTER (mask = bit) AS unique_fails,
+         sum(good) FILTER ((mask & before) = 0 AND (mask & bit) > 0) AS good_lost,
+         sum(toxic) FILTER ((mask & before) = 0 AND (mask & bit) > 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
+FROM counted
+"""
