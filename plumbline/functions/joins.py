@@ -1,4 +1,4 @@
-"""A join that broadcasts only after counting."""
+"""A join that broadcasts only what has been measured."""
 
 from __future__ import annotations
 
@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.session import cut_lineage
 
-BROADCAST_ROWS = 200_000  # models are about 200 bytes a row, so at most some 40 MB
+BROADCAST_BYTES = 32 << 20
 
 
-def join_model(rows: DataFrame, model: DataFrame, on: Sequence[str], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a per-key model table to its many rows.
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of ``df``, written as JSON, take at most ``limit`` bytes. Reads ``df`` once: give it a stored one."""
+    size = F.octet_length(F.to_json(F.struct(*[df[c] for c in df.columns])))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit
 
-    The model is written out, counted, and broadcast when the count allows; a larger
-    one is joined by shuffling both sides, where adaptive execution splits hot keys.
-    """
-    model = cut_lineage(model)
-    small = model.limit(limit + 1).count() <= limit
-    return rows.join(F.broadcast(model) if small else model, list(on))
+
+def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored ``df`` marked for broadcast if it is small; a larger one is joined by shuffling both sides, where adaptive execution splits hot keys."""
+    return F.broadcast(df) if small(df, limit) else df
+
+
+def join_model(rows: DataFrame, model: DataFrame, on: Sequence[str], limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a per-key model table to its many rows. The model is written out and measured first."""
+    return rows.join(measured(cut_lineage(model), limit), list(on))

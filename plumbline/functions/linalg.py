@@ -6,8 +6,6 @@ summed by Spark with map-side combining first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -55,31 +53,3 @@ def hull_ring(points: np.ndarray) -> np.ndarray:
 
     lower, upper = chain(unique), chain(unique[::-1])
     return np.array(lower[:-1] + upper[:-1])
-
-
-HULL_STATE_LIMIT = 50_000  # hull corners kept by one task before they are handed on
-
-
-def partial_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task, reduce ``(key, px, py)`` rows to the hull corners of each key."""
-    held: dict = {}
-
-    def flush() -> pd.DataFrame:
-        frames = [pd.DataFrame({"key": k, "px": h[:, 0], "py": h[:, 1]}) for k, h in held.items()]
-        held.clear()
-        return pd.concat(frames) if frames else pd.DataFrame({"key": [], "px": [], "py": []})
-
-    for batch in batches:
-        for key, part in batch.groupby("key", sort=False):
-            points = part[["px", "py"]].to_numpy(float)
-            held[key] = hull_ring(np.concatenate([held[key], points]) if key in held else points)
-        if sum(map(len, held.values())) > HULL_STATE_LIMIT:
-            yield flush()
-    if held:
-        yield flush()
-
-
-def merge_hull(part: pd.DataFrame) -> pd.DataFrame:
-    """Hull of the partial hulls of one key as one row of flat coordinates."""
-    ring = hull_ring(part[["px", "py"]].to_numpy(float))
-    return pd.DataFrame({"key": [part["key"].iloc[0]], "hull": [ring.reshape(-1).tolist()]})

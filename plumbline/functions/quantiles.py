@@ -1,100 +1,133 @@
-"""Exact interpolated quantiles that never hold one group in one task.
+"""Exact interpolated quantiles that never hold one large group in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer.  Here
-a sketch brackets each wanted rank, everything outside the brackets collapses to a
-count before the shuffle, and only the few candidates inside are ranked.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer.  Here small
+groups are sorted as they are, and large ones go through distributed selection: rounds of
+counted histograms narrow a bracket around each wanted rank until a fixed number of rows is left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumbline.functions.joins import measured
+from plumbline.session import cut_lineage
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probabilities: dict[str, float],
-    accuracy: int = 10_000,
-) -> DataFrame:
+GROUP_ROWS = 10_000  # rows of one group that are sorted together; beyond, brackets are narrowed first
+BINS = 1024
+WIDE = 16.0  # a bracket whose ends differ by more than this factor is divided by magnitude, else evenly
+
+
+def _magnitude(v: Column) -> Column:
+    """A number that grows with ``v`` and spreads its orders of magnitude evenly; infinities and NaN have their places at the ends."""
+    size = F.ln(F.abs(v)) + 800.0
+    finite = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0.0))
+    return F.when(F.isnan(v), 1700.0).when(v == float("inf"), 1600.0).when(v == float("-inf"), -1600.0).otherwise(finite)
+
+
+def _bin(v: Column, low: Column, high: Column) -> Column:
+    """The bin of ``v`` between ``low`` and ``high``: never falls as ``v`` grows, and differs for the two ends."""
+    even = ((low > 0) & (high <= low * WIDE) | (high < 0) & (low >= high * WIDE)) & (F.abs(low) < 1e300) & (F.abs(high) < 1e300)
+
+    def share(of) -> Column:
+        return F.floor((of(v) - of(low)) / (of(high) - of(low)) * BINS)
+
+    # the smallest numbers are taken as they are: their logarithms and differences lose digits
+    tiny = (F.abs(low) < 1e-300) & (F.abs(high) < 1e-300)
+    scaled = F.floor((v * 1e300 * 1e8 - low * 1e300 * 1e8) / (high * 1e300 * 1e8 - low * 1e300 * 1e8) * BINS)
+    place = F.when(tiny, scaled).when(even, share(lambda x: x)).otherwise(share(_magnitude))
+    # the ends have bins of their own, so that every round takes something away
+    return F.when(v == low, -1).when(v == high, BINS).otherwise(F.greatest(F.least(place, F.lit(BINS - 1)), F.lit(0))).cast("int")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which null ones are keys too; the keys come once."""
+    other = right.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"__k{i}"]) for i, k in enumerate(keys)])
+    return left.join(other, on, how).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def order_statistics(data: DataFrame, ranks: DataFrame, keys: Sequence[str], value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The values at given ranks: ``ranks(*keys, __rank)``, counted from 0, gain ``__value``.
+
+    Each round counts the rows of every open bracket in ``BINS`` bins with map-side combining; the bin that holds the
+    rank becomes the bracket, with the bin's own least and greatest value as ends. What is left of a bracket when it
+    holds ``group_rows`` rows or one value is sorted. ``value`` is a double without nulls.
+    """
+    v, by = F.col("__v"), [*keys, "__rank"]
+    rows = data.select(*keys, F.col(value).alias("__v"))
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    open_ = cut_lineage(_null_safe(ranks.select(*by).distinct(), ends, keys).withColumn("__below", F.lit(0).cast("long")))
+    settled, done = [], (F.col("__n") <= group_rows) | (F.col("__lo") == F.col("__hi"))
+    while True:
+        settled.append(open_.where(done))
+        open_ = open_.where(~done)
+        if open_.isEmpty():
+            break
+        bins = (_null_safe(rows, measured(open_), keys).where((v >= F.col("__lo")) & (v <= F.col("__hi")))
+                .groupBy(*by, "__below", _bin(v, F.col("__lo"), F.col("__hi")).alias("__bin"))
+                .agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
+        upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS + 2 rows
+        bins = bins.withColumn("__start", F.col("__below") + F.coalesce(F.sum("__n").over(upto), F.lit(0)))
+        held = (F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__start") + F.col("__n"))
+        open_ = cut_lineage(bins.where(held).select(*by, "__n", "__lo", "__hi", F.col("__start").alias("__below")))
+    brackets = reduce(DataFrame.unionByName, settled)
+    single = brackets.where("__lo = __hi").select(*by, F.col("__lo").alias("__value"))
+    rest = brackets.where("__lo != __hi")
+    counted = (_null_safe(rows, measured(rest), keys).where((v >= F.col("__lo")) & (v <= F.col("__hi")))
+               .groupBy(*by, "__below", "__v").agg(F.count("*").alias("__c")))
+    upto = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most group_rows rows
+    ranked = counted.withColumn("__end", F.col("__below") + F.sum("__c").over(upto))
+    found = ranked.where((F.col("__rank") < F.col("__end")) & (F.col("__rank") >= F.col("__end") - F.col("__c")))
+    return single.unionByName(found.select(*by, F.col("__v").alias("__value")))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], group_rows: int = GROUP_ROWS) -> DataFrame:
     """``keys`` + one column per ``{name: probability}``, linear interpolation.
 
-    NULL values are ignored; groups without values are absent.  A bracket spans
-    ``8 / accuracy`` of the group's ranks (the sketch promises ``1 / accuracy``),
-    so a group of ``n`` rows ranks about ``8 n / accuracy`` distinct candidates:
-    raise ``accuracy`` with the size of the largest group.  Groups of up to
-    ``accuracy`` rows are ranked whole.
+    NULL values are ignored, NaN is above all numbers; groups without values are absent, a NULL key is a key. Groups of up to
+    ``group_rows`` rows are sorted each in a list; larger ones by :func:`order_statistics`, of which there are at most rows / group_rows.
     """
     if not keys:
         whole = df.select(F.lit(0).alias("__all"), F.col(value))
-        return exact_quantiles(whole, ["__all"], value, probabilities, accuracy).drop("__all")
-    names = sorted(probabilities, key=probabilities.get)
-    margin = 4.0 / accuracy
-    marks: list[float] = []
-    for name in names:
-        p = probabilities[name]
-        marks += [max(p - margin, 0.0), min(p + margin, 1.0)]
+        return exact_quantiles(whole, ["__all"], value, probabilities, group_rows).drop("__all")
+    keys, names = list(keys), list(probabilities)
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    brackets = data.groupBy(*keys).agg(
-        F.count("*").alias("__n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", marks, F.lit(accuracy)).alias("__q"),
-    )
-
-    def low(i: int) -> Column:
-        return F.when((F.col("__n") <= accuracy) | F.lit(marks[2 * i] <= 0.0), F.col("__min")).otherwise(F.col("__q")[2 * i])
-
-    def high(i: int) -> Column:
-        return F.when((F.col("__n") <= accuracy) | F.lit(marks[2 * i + 1] >= 1.0), F.col("__max")).otherwise(F.col("__q")[2 * i + 1])
-
-    segment = F.lit(2 * len(names))
-    for i in reversed(range(len(names))):
-        segment = F.when(F.col("__v") < low(i), 2 * i).when(F.col("__v") <= high(i), 2 * i + 1).otherwise(segment)
-    collapsed = (
-        data.join(brackets, list(keys))
-        .select(*keys, "__n", "__v", segment.alias("__s"))
-        .groupBy(*keys, "__s", F.when(F.col("__s") % 2 == 1, F.col("__v")).alias("__v"))
-        .agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
-    )
-    upto = Window.partitionBy(*keys).orderBy("__s", F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = collapsed.withColumn("__hi", F.sum("__c").over(upto)).withColumn("__lo", F.col("__hi") - F.col("__c"))
-
-    def pick(rank: Column) -> Column:
-        return F.max(F.when((F.col("__lo") <= rank) & (rank < F.col("__hi")), F.col("__v")))
-
-    aggregates = []
-    for name in names:
-        position = F.lit(probabilities[name]) * (F.col("__n") - 1)
-        lower = F.floor(position)
-        upper = F.ceil(position)
-        aggregates += [
-            pick(lower).alias(f"__{name}_lo"),
-            pick(upper).alias(f"__{name}_hi"),
-            F.max(position - lower).alias(f"__{name}_f"),
-        ]
-    picked = ranked.groupBy(*keys).agg(*aggregates)
-    out = []
-    for name in names:
-        lo, hi, f = (F.col(f"__{name}_{s}") for s in ("lo", "hi", "f"))
-        out.append(
-            F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit(f"quantile bracket missed for {name}; raise accuracy")).cast("double"))
-            .otherwise(lo + (hi - lo) * f)
-            .alias(name)
-        )
-    return picked.select(*keys, *out)
-
-
-def residual_stats(df: DataFrame, keys: Sequence[str], value: str, accuracy: int = 10_000) -> DataFrame:
+    large = cut_lineage(data.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > group_rows))
+
+    def between(low: Column, high: Column, at: Column) -> Column:
+        return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
+
+    def sorted_whole(rows: DataFrame) -> DataFrame:
+        every = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("__v")).alias("__s"))
+        at = {n: F.lit(probabilities[n]) * (F.size("__s") - 1) for n in names}
+        return every.select(*keys, *[between(F.get("__s", F.floor(a).cast("int")), F.get("__s", F.ceil(a).cast("int")), a).alias(n) for n, a in at.items()])
+
+    if large.isEmpty():
+        return sorted_whole(data)
+    named = measured(large.select(*keys))
+    small = sorted_whole(_null_safe(data, named, keys, "left_anti"))
+    most = cut_lineage(_null_safe(data, named, keys, "left_semi"))  # read once a round
+    spots = [F.struct(F.lit(n).alias("__name"), (F.lit(probabilities[n]) * (F.col("__n") - 1)).alias("__at")) for n in names]
+    wanted = large.select(*keys, F.inline(F.array(*spots)))
+    wanted = wanted.select(*keys, "__name", "__at", F.explode(F.array(F.floor("__at"), F.ceil("__at"))).alias("__rank"))
+    found = order_statistics(most, wanted, keys, "__v", group_rows)
+    valued = _null_safe(wanted, found, [*keys, "__rank"])
+    picked = valued.groupBy(*keys).agg(*[between(F.min(F.when(F.col("__name") == n, F.col("__value"))), F.max(F.when(F.col("__name") == n, F.col("__value"))),
+                                                 F.max(F.when(F.col("__name") == n, F.col("__at")))).alias(n) for n in names])
+    return small.unionByName(picked)
+
+
+def residual_stats(df: DataFrame, keys: Sequence[str], value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``n, median, p95, max`` of ``value`` per key; NULL statistics for empty groups."""
     if not keys:
         whole = df.select(F.lit(0).alias("__all"), F.col(value))
-        return residual_stats(whole, ["__all"], value, accuracy).drop("__all")
+        return residual_stats(whole, ["__all"], value, group_rows).drop("__all")
     totals = df.groupBy(*keys).agg(F.count(value).alias("n"), F.max(value).cast("double").alias("max"))
-    quantiles = exact_quantiles(df, keys, value, {"median": 0.5, "p95": 0.95}, accuracy)
-    return totals.join(quantiles, list(keys), "left").select(*keys, "n", "median", "p95", "max")
+    quantiles = exact_quantiles(df, keys, value, {"median": 0.5, "p95": 0.95}, group_rows)
+    return _null_safe(totals, quantiles, list(keys), "left").select(*keys, "n", "median", "p95", "max")
 
 
 def counted_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

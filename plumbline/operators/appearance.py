@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import grid, vectors as V
 from plumbline.operators.surfaces import UNROLLED, edges_of, few_edges, inside_edges
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, spread_out
 
 # fixed values: acceptance of a photo sample
 MIN_COSINE, MAX_DARKEST, MIN_DISTANCE = 0.3, 248, 0.1
@@ -154,28 +154,51 @@ def source_contributions(contributions: DataFrame, keys: Sequence[str], toleranc
     return photo_weights(contributions, tolerance_m).groupBy(*keys, "source_id").agg(F.count_if(F.col("weight") > 0).alias("texels"))
 
 
-def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_id", cell_m: float = 1.0, scene: Sequence[str] = ()) -> DataFrame:
+def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_id", cell_m: float = 1.0, scene: Sequence[str] = (),
+                  slab_m: float = 1.0) -> DataFrame:
     """Lowest face height above ``floor_z`` at ``x, y``; NULL when no face covers the point.
 
-    ``faces(polygon)``; near-vertical faces are ignored.  Points meet only the faces
-    of their scene (columns named in ``scene``, on both tables) whose footprint touches
-    their grid cell.
+    ``faces(polygon)``; near-vertical faces are ignored.  Faces lie in a quadtree of their scene (columns named in
+    ``scene``, on both tables): a face is kept on the level of its size, in 25 cells at most, and on the level of its
+    rise, in two slabs of height at most.  A point first meets the slab of its floor and the next one; what it finds within
+    ``slab_m`` above its floor is the lowest there is.  Only points that found nothing so near meet all faces of their cells.
     """
-    rows = V.once(faces.select(*scene, "polygon"), {"__n": V.fan_normal(F.col("polygon"))})
+    rows = V.once(faces.select(*scene, F.col("polygon").alias("__p")), {"polygon": F.col("__p")}).drop("__p")
+    rows = V.once(rows, {"__n": V.fan_normal(F.col("polygon"))})
     rows = V.once(rows, {"__len": V.norm(V.items("__n"))}).where(F.col("__len") > 1e-10)
-    xs, ys = F.transform("polygon", lambda p: p[0]), F.transform("polygon", lambda p: p[1])
+    xs, ys, zs = F.transform("polygon", lambda p: p[0]), F.transform("polygon", lambda p: p[1]), F.transform("polygon", lambda p: p[2])
     flat = rows.select(
         *scene, *[F.col("polygon")[0][i].alias(f"__o{c}") for i, c in enumerate("xyz")], *[V.over(F.col("__n")[i], F.col("__len")).alias(f"__n{c}") for i, c in enumerate("xyz")],
-        F.array_min(xs).alias("__x0"), F.array_max(xs).alias("__x1"), F.array_min(ys).alias("__y0"), F.array_max(ys).alias("__y1"),
-        edges_of(F.transform("polygon", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("__edges"))
-    flat = cut_lineage(flat).where(F.abs("__nz") >= 0.01)  # plain numbers, read several times below
-    celled = grid.cover(flat, [F.col("__x0"), F.col("__y0")], [F.col("__x1"), F.col("__y1")], cell_m, ["__i", "__j"])
-    located = points.withColumns({"__i": grid.cell_of(F.col("x"), cell_m), "__j": grid.cell_of(F.col("y"), cell_m)})
+        *[f(v).alias(f"__{c}{e}") for c, v in zip("xyz", (xs, ys, zs)) for e, f in ((0, F.array_min), (1, F.array_max))],
+        edges_of(F.transform("polygon", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("__edges")).where(F.abs("__nz") >= 0.01)
+    flat = spread_out(cut_lineage(flat))  # plain numbers, read several times below
+    celled = grid.level_cover(flat, [F.col("__x0"), F.col("__y0")], [F.col("__x1"), F.col("__y1")], cell_m, ["__i", "__j"], "__level")
+    # a polygon that is not quite flat can reach its plane a little outside its corners' heights
+    slack = 1e-6 + 1e-9 * F.greatest(F.abs("__z0"), F.abs("__z1"))
+    slabbed = grid.level_cover(celled, [F.col("__z0") - slack], [F.col("__z1") + slack], slab_m, ["__slab"], "__rise", 1)
+    sought = spread_out(cut_lineage(points.select(*scene, point_key, "x", "y", "floor_z").distinct()))
     x, y = F.col("x"), F.col("y")
     height = F.col("__oz") - V.over((x - F.col("__ox")) * F.col("__nx") + (y - F.col("__oy")) * F.col("__ny"), F.col("__nz"))
-    met = located.join(celled, [*scene, "__i", "__j"]).where((x >= F.col("__x0")) & (x <= F.col("__x1")) & (y >= F.col("__y0")) & (y <= F.col("__y1")))
-    met = met.withColumn("__h", height).where((F.col("__h") > F.col("floor_z")) & strictly_inside(x, y, F.col("__edges")))
-    best = met.groupBy(*scene, point_key).agg(F.min("__h").alias("ceiling_z"))
+    place = [*scene, point_key, "x", "y", "floor_z"]
+
+    def lowest(located: DataFrame, sides: DataFrame, keys: Sequence[str]) -> DataFrame:
+        met = located.join(sides, [*scene, *keys]).where((x >= F.col("__x0")) & (x <= F.col("__x1")) & (y >= F.col("__y0")) & (y <= F.col("__y1")))
+        met = met.withColumn("__h", height).where((F.col("__h") > F.col("floor_z")) & strictly_inside(x, y, F.col("__edges")))
+        return met.groupBy(*place).agg(F.min("__h").alias("__h"))
+
+    def on_levels(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+        used = grid.levels_of(slabbed if len(names) > 1 else celled, *names)
+        every = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(u, names)]) for u in used]) if used else F.array().cast(
+            "array<struct<" + ",".join(f"{n}:int" for n in names) + ">>")
+        return grid.level_points(rows.select("*", F.inline(every)), [x, y], cell_m, ["__i", "__j"], "__level")
+
+    floor_slab = grid.cell_of(F.col("floor_z"), slab_m * F.pow(F.lit(2.0), F.col("__rise")), grid.ORIGIN)
+    near = on_levels(sought, ["__level", "__rise"]).withColumn("__slab", F.explode(F.array(floor_slab, floor_slab + 1)))
+    found = lowest(near, slabbed, ["__level", "__i", "__j", "__rise", "__slab"])
+    found = spread_out(cut_lineage(sought.join(found, place, "left")))
+    close = F.coalesce(F.col("__h") <= F.col("floor_z") + slab_m, F.lit(False))
+    far = lowest(on_levels(found.where(~close).select(*place), ["__level"]), celled, ["__level", "__i", "__j"])
+    best = found.where(close).select(*place, "__h").unionByName(far).groupBy(*scene, point_key).agg(F.min("__h").alias("ceiling_z"))
     return points.join(best, [*scene, point_key], "left")
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions import grid, vectors as V
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, spread_out
 
 TOLERANCE = 1e-5
 OPPOSED = -0.99999  # fixed value: outward normals this opposite are a contact, not an overlap
@@ -85,12 +85,15 @@ def inverted_closed_mesh(faces: DataFrame, triangles: DataFrame, vertices: DataF
 
 
 def coplanar_overlap_pairs(triangles: DataFrame, vertices: DataFrame, tolerance: float = TOLERANCE, cell_m: float = 1.0,
-                           scene: Sequence[str] = ()) -> DataFrame:
+                           scene: Sequence[str] = (), offset_m: float = 0.01) -> DataFrame:
     """Triangle pairs of different faces that share a plane and whose boxes touch.
 
     Triangles meet only inside the same scene (the columns named in ``scene``, on both
-    tables), rounded normal and grid cell; the pair is kept by the one cell that owns
-    it.  ``cell_m`` should be near the triangle size.
+    tables), rounded normal, bin of the plane's offset along that normal, and grid cell; the pair is kept
+    by the one bin and cell that own it.  ``cell_m`` should be near the triangle size.
+
+    Offsets are taken along the rounded normal, which both triangles share; it is off by 1e-4 at most, so a triangle's
+    offsets are widened by that share of its own size and no pair is lost between bins.
     """
     points = triangle_points(triangles, vertices, scene)
     a, b, c = _corner("a"), _corner("b"), _corner("c")
@@ -107,11 +110,18 @@ def coplanar_overlap_pairs(triangles: DataFrame, vertices: DataFrame, tolerance:
         *[F.bround(F.col(f"n{k}") * 10_000).cast("long").alias(f"__k{k}") for k in "xyz"],
         *[F.least(*[F.col(f"{p}{k}") for p in "abc"]).alias(f"lo{k}") for k in "xyz"],
         *[F.greatest(*[F.col(f"{p}{k}") for p in "abc"]).alias(f"hi{k}") for k in "xyz"])
-    rows = cut_lineage(rows)  # both sides of the self-join read these rows, not their derivation
+    along = [sum((F.col(f"__k{k}") / 10_000 * F.col(f"{p}{k}") for k in "yz"), F.col("__kx") / 10_000 * F.col(f"{p}x")) for p in "abc"]
+    pad = tolerance + 1e-4 * V.norm([F.col(f"hi{k}") - F.col(f"lo{k}") for k in "xyz"])
+    rows = rows.withColumns({"loo": F.least(*along) - pad, "hio": F.greatest(*along) + pad})
+    rows = spread_out(cut_lineage(rows))  # both sides of the self-join read these rows, not their derivation
     lows, highs = [F.col(f"lo{k}") - tolerance for k in "xyz"], [F.col(f"hi{k}") + tolerance for k in "xyz"]
     celled = grid.cover(rows, lows, highs, cell_m, ["__ix", "__iy", "__iz"])
-    keys = ["__kx", "__ky", "__kz", "__ix", "__iy", "__iz"]
-    own = [x for x in rows.columns if not x.startswith("__k") and x not in scene]
+    celled = grid.cover(celled, [F.col("loo")], [F.col("hio")], offset_m, ["__io"], grid.ORIGIN)
+    keys = ["__kx", "__ky", "__kz", "__io", "__ix", "__iy", "__iz"]
+    # normals and corners travel as one array: a join of some fifty columns is too long a method to be compiled
+    shape = ["nx", "ny", "nz", *[f"{p}{k}" for p in "abc" for k in "xyz"]]
+    celled = celled.withColumn("shape", F.array(*shape)).drop(*shape)
+    own = ["object_id", "face", "triangle", "outward", "shape", *[f"{e}{k}" for e in ("lo", "hi") for k in "xyz"], "loo"]
     first = celled.select(*scene, *keys, *[F.col(x).alias(f"p_{x}") for x in own])
     second = celled.select(*scene, *keys, *[F.col(x).alias(f"q_{x}") for x in own])
     met = first.join(second, [*scene, *keys])
@@ -123,10 +133,13 @@ def coplanar_overlap_pairs(triangles: DataFrame, vertices: DataFrame, tolerance:
         met = met.where((F.col(f"p_hi{k}") >= F.col(f"q_lo{k}") - tolerance) & (F.col(f"q_hi{k}") >= F.col(f"p_lo{k}") - tolerance))
     met = met.where(grid.owner_cell([F.col(f"p_lo{k}") - tolerance for k in "xyz"], [F.col(f"q_lo{k}") - tolerance for k in "xyz"],
                                     [F.col(f"__i{k}") for k in "xyz"], cell_m))
-    qn, qa = V.cols("q_nx", "q_ny", "q_nz"), V.cols("q_ax", "q_ay", "q_az")
-    for p in "abc":
-        met = met.where(F.abs(V.dot(V.sub(V.cols(*[f"p_{p}{k}" for k in "xyz"]), qa), qn)) <= tolerance)
-    return met.drop(*keys)
+    met = met.where(grid.owner_cell([F.col("p_loo")], [F.col("q_loo")], [F.col("__io")], offset_m, grid.ORIGIN))
+    at = lambda s, i: [F.get(f"{s}_shape", F.lit(i + k)) for k in range(3)]
+    for i in (3, 6, 9):
+        met = met.where(F.abs(V.dot(V.sub(at("p", i), at("q", 3)), at("q", 0))) <= tolerance)
+    plain = [F.get(f"{s}_shape", F.lit(i)).alias(f"{s}_{x}") for s in "pq" for i, x in enumerate(shape)]
+    kept = [f"{s}_{x}" for s in "pq" for x in own if x not in ("shape", "loo")]
+    return met.select(*scene, *kept, *plain)
 
 
 def clip_areas(first: np.ndarray, second: np.ndarray) -> np.ndarray:

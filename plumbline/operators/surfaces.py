@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import grid, vectors as V
 from plumbline.functions.joins import join_model
-from plumbline.functions.linalg import eig3, merge_hull, partial_hulls
+from plumbline.functions.hulls import hulls, inside_hull
+from plumbline.functions.linalg import eig3
 from plumbline.functions.quantiles import residual_stats
 from plumbline.operators.pixels import display_pixel
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, spread_out
 
 # fixed values: fit acceptance
 MIN_INLIERS = 30
@@ -227,7 +228,8 @@ def _entries(points: str, i: int) -> Column:
 
 def polygon_frames(polygons: DataFrame) -> DataFrame:
     """Adds the plane frame of 3-D rings: origin, unit normal, in-plane axes, 2-D ring."""
-    raw = V.once(polygons, {"__area": V.fan_normal(F.col("vertices"))})
+    raw = V.once(polygons.withColumnRenamed("vertices", "__v"), {"vertices": F.col("__v")}).drop("__v")
+    raw = V.once(raw, {"__area": V.fan_normal(F.col("vertices"))})
     raw = V.once(raw, {"normal": F.array(*V.unit(V.items("__area")))})
     n = V.items("normal")
     size = [F.abs(c) for c in n]
@@ -245,33 +247,81 @@ def polygon_frames(polygons: DataFrame) -> DataFrame:
     return V.once(raw, {"origin": F.col("vertices")[0], "ring": F.transform("vertices", flat)}).drop("__area", "__axis")
 
 
+_FRAME = [f"{v}_{a}" for v in ("normal", "origin", "along", "across") for a in "xyz"]
+_LIMITS = [f"__{s}{c}" for s in ("min", "max") for c in "xy"]
+
+
 def nearest_support_polygon(
     points: DataFrame, polygons: DataFrame, group: Sequence[str], point_key: Sequence[str],
-    source_normal: Sequence[float] | None = None, boundary_tolerance: float = 1e-9, cells: int = 32,
+    source_normal: Sequence[float] | None = None, boundary_tolerance: float = 1e-9, cells: int = 32, first_reach: float | None = None,
 ) -> DataFrame:
     """Closest supporting polygon per point, signed distance kept, unmatched points kept.
 
-    A point is supported when its orthogonal projection falls in the polygon.  The
-    prism a polygon sweeps along its normal is cut into the voxels of the group's
-    bounding box, and points meet only the polygons of their own voxel: an equi-join,
-    however many points one group holds.  Ties go to the lower ``polygon_ordinal``.
+    A point is supported when its orthogonal projection falls in the polygon.  Nearest first: a polygon sweeps a
+    short prism of ``first_reach`` to both sides of its plane (by default a 64th of its group's bounding box), kept in at most 27 cells on the level
+    of its size, and a point that finds a polygon within that reach is done.  Only the others meet
+    the whole prisms, cut into the voxels of the bounding box.  Both are equi-joins, however
+    many points one group holds.  Ties go to the lower ``polygon_ordinal``.
     """
     group, point_key = list(group), list(point_key)
     box = points.groupBy(*group).agg(*[f(a).alias(f"__{s}{a}") for s, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"])
     box = box.withColumn("__cell", F.greatest(*[F.col(f"__hi{a}") - F.col(f"__lo{a}") for a in "xyz"], F.lit(1e-6)) / cells)
+    box = cut_lineage(box.withColumn("__reach", F.lit(first_reach) if first_reach else F.col("__cell") / 2))
     framed = polygon_frames(polygons)
     limits = [f(F.col(f"ring.{c}")).alias(f"__{s}{c}") for s, f in (("min", F.array_min), ("max", F.array_max)) for c in "xy"]
     spans = [f(_entries("vertices", i)).alias(f"__{s}{a}") for s, f in (("low", F.array_min), ("high", F.array_max)) for i, a in enumerate("xyz")]
     scalars = [F.col(v)[i].alias(f"{v}_{a}") for v in ("normal", "origin", "along", "across") for i, a in enumerate("xyz")]
-    # written out once as plain numbers: the voxel rows below read the frame many times
-    framed = cut_lineage(framed.select(*group, "polygon_ordinal", *scalars, *spans, *limits, edges_of(F.col("ring")).alias("__edges")))
-    vec = lambda v: V.cols(*[f"{v}_{a}" for a in "xyz"])
-    n, o = vec("normal"), vec("origin")
+    n, o = V.cols(*[f"normal_{a}" for a in "xyz"]), V.cols(*[f"origin_{a}" for a in "xyz"])
+    sign = F.lit(1.0)
     if source_normal is not None:
         sign = F.when(V.dot(n, [F.lit(float(c)) for c in source_normal]) < 0, -1.0).otherwise(1.0)
-    else:
-        sign = F.lit(1.0)
-    placed = framed.withColumn("__sign", sign).join(box, group)
+    # written out once as plain numbers: the rows below read the frame many times
+    framed = spread_out(cut_lineage(framed.select(*group, "polygon_ordinal", *scalars, *spans, *limits, edges_of(F.col("ring")).alias("__edges")).withColumn("__sign", sign).join(box, group)))
+    located = spread_out(cut_lineage(points.select(*group, *point_key, "x", "y", "z").join(box, group)))
+
+    near = _supports(*_short_prisms(located, framed, group, boundary_tolerance), boundary_tolerance)
+    near = closest_support(near, [*group, *point_key])
+    close = F.abs("residual_m") <= F.col("__reach")
+    near = near.join(box.select(*group, "__reach"), group).where(close).drop("__reach")
+    near = cut_lineage(near)
+    rest = located.join(near.select(*group, *point_key), [*group, *point_key], "left_anti")
+    far = _supports(*_whole_prisms(rest, framed, group, boundary_tolerance), boundary_tolerance)
+    best = near.unionByName(closest_support(far, [*group, *point_key]))
+    chosen = best.withColumnRenamed("polygon_ordinal", "supporting_polygon")
+    return points.join(chosen, [*group, *point_key], "left").withColumn("overlap", F.col("supporting_polygon").isNotNull())
+
+
+def _supports(located: DataFrame, prisms: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+    """Points with the polygons of their cell that they project into, with ``residual_m``."""
+    n, o = V.cols(*[f"normal_{a}" for a in "xyz"]), V.cols(*[f"origin_{a}" for a in "xyz"])
+    met = located.join(prisms, list(keys))
+    rel = V.sub(V.cols("x", "y", "z"), o)
+    at = {"residual_m": V.dot(rel, n) * F.col("__sign"), **{f"__p{c}": V.dot(rel, V.cols(*[f"{axis}_{a}" for a in "xyz"])) for c, axis in (("x", "along"), ("y", "across"))}}
+    met = met.withColumns(at)
+    for c in "xy":  # plain comparisons first: the ring test is the costly part
+        met = met.where((F.col(f"__p{c}") >= F.col(f"__min{c}") - tolerance) & (F.col(f"__p{c}") <= F.col(f"__max{c}") + tolerance))
+    return met.where(inside_edges(F.col("__px"), F.col("__py"), F.col("__edges"), tolerance))
+
+
+def _short_prisms(located: DataFrame, framed: DataFrame, group: Sequence[str], tolerance: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points and polygons by the cells of levels of size, polygons swept by their reach."""
+    names = ["__cx", "__cy", "__cz"]
+    lows = [F.col(f"__low{a}") - F.abs(f"normal_{a}") * F.col("__reach") - tolerance for a in "xyz"]
+    highs = [F.col(f"__high{a}") + F.abs(f"normal_{a}") * F.col("__reach") + tolerance for a in "xyz"]
+    placed = cut_lineage(grid.level_cover(framed, lows, highs, F.col("__reach"), names, "__level", 2))
+    used = grid.levels_of(placed, "__level")
+    levels = F.array(*[F.lit(k) for k, in used]) if used else F.array().cast("array<int>")
+    spread = grid.level_points(located.withColumn("__level", F.explode(levels)), V.cols("x", "y", "z"), F.col("__reach"), names, "__level")
+    keys = [*group, "__level", *names]
+    return (spread.drop(*_BOX), placed.select(*keys, "polygon_ordinal", *_FRAME, "__sign", "__edges", *_LIMITS), keys)
+
+
+_BOX = ["__cell", "__reach", *[f"__{s}{a}" for s in ("lo", "hi") for a in "xyz"]]
+
+
+def _whole_prisms(located: DataFrame, framed: DataFrame, group: Sequence[str], tolerance: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points and polygons by the voxels of the group's bounding box, polygons swept through all of it."""
+    n, o = V.cols(*[f"normal_{a}" for a in "xyz"]), V.cols(*[f"origin_{a}" for a in "xyz"])
     half = [(F.col(f"__hi{a}") - F.col(f"__lo{a}")) / 2 for a in "xyz"]
     mid = [(F.col(f"__hi{a}") + F.col(f"__lo{a}")) / 2 for a in "xyz"]
     middle = V.dot(n, V.sub(mid, o))
@@ -279,35 +329,24 @@ def nearest_support_polygon(
     near, far = middle - reach, middle + reach
     spread = []
     for i, a in enumerate("xyz"):
-        low = F.col(f"__low{a}") + F.least(n[i] * near, n[i] * far) - boundary_tolerance
-        high = F.col(f"__high{a}") + F.greatest(n[i] * near, n[i] * far) + boundary_tolerance
+        low = F.col(f"__low{a}") + F.least(n[i] * near, n[i] * far) - tolerance
+        high = F.col(f"__high{a}") + F.greatest(n[i] * near, n[i] * far) + tolerance
         start = grid.cell_of(F.greatest(low, F.col(f"__lo{a}")) - F.col(f"__lo{a}"), F.col("__cell"))
         stop = grid.cell_of(F.least(high, F.col(f"__hi{a}")) - F.col(f"__lo{a}"), F.col("__cell"))
         spread.append(F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>")).alias(f"__c{a}"))
-    carried = ["polygon_ordinal", *[f"{v}_{a}" for v in ("normal", "origin", "along", "across") for a in "xyz"],
-               "__sign", "__edges", *[f"__{s}{c}" for s in ("min", "max") for c in "xy"]]
-    polygon_side = placed.select(*group, *carried, *spread, "__cell", *[f"__lo{a}" for a in "xyz"])
+    carried = ["polygon_ordinal", *_FRAME, "__sign", "__edges", *_LIMITS]
+    prisms = framed.select(*group, *carried, *spread, "__cell", *[f"__lo{a}" for a in "xyz"])
     for a in "xyz":
-        polygon_side = polygon_side.withColumn(f"__c{a}", F.explode(f"__c{a}"))
+        prisms = prisms.withColumn(f"__c{a}", F.explode(f"__c{a}"))
     # the voxels of a tilted prism's bounding box are mostly outside the prism: keep those it can cut
     centre = V.sub([F.col(f"__lo{a}") + (F.col(f"__c{a}") + 0.5) * F.col("__cell") for a in "xyz"], o)
     for axis, c in (("along", "x"), ("across", "y")):
-        ext = F.col("__cell") / 2 * (F.abs(f"{axis}_x") + F.abs(f"{axis}_y") + F.abs(f"{axis}_z")) + 2 * boundary_tolerance + 1e-9 * F.col("__cell")
-        at = V.dot(centre, vec(axis))
-        polygon_side = polygon_side.where((at >= F.col(f"__min{c}") - ext) & (at <= F.col(f"__max{c}") + ext))
-    polygon_side = polygon_side.drop("__cell", *[f"__lo{a}" for a in "xyz"])
+        ext = F.col("__cell") / 2 * (F.abs(f"{axis}_x") + F.abs(f"{axis}_y") + F.abs(f"{axis}_z")) + 2 * tolerance + 1e-9 * F.col("__cell")
+        at = V.dot(centre, V.cols(*[f"{axis}_{a}" for a in "xyz"]))
+        prisms = prisms.where((at >= F.col(f"__min{c}") - ext) & (at <= F.col(f"__max{c}") + ext))
     voxels = ["__cx", "__cy", "__cz"]
-    located = points.join(box, group).withColumns(
-        {f"__c{a}": grid.cell_of(F.col(a) - F.col(f"__lo{a}"), F.col("__cell")) for a in "xyz"})
-    met = located.select(*group, *point_key, "x", "y", "z", *voxels).join(polygon_side, [*group, *voxels])
-    rel = V.sub(V.cols("x", "y", "z"), o)
-    met = met.withColumns({"__s": V.dot(rel, n) * F.col("__sign"), "__px": V.dot(rel, vec("along")), "__py": V.dot(rel, vec("across"))})
-    for a in "xy":  # plain comparisons first: the ring test is the costly part
-        met = met.where((F.col(f"__p{a}") >= F.col(f"__min{a}") - boundary_tolerance) & (F.col(f"__p{a}") <= F.col(f"__max{a}") + boundary_tolerance))
-    held = met.where(inside_edges(F.col("__px"), F.col("__py"), F.col("__edges"), boundary_tolerance))
-    best = closest_support(held.withColumnRenamed("__s", "residual_m"), [*group, *point_key])
-    chosen = best.withColumnRenamed("polygon_ordinal", "supporting_polygon")
-    return points.join(chosen, [*group, *point_key], "left").withColumn("overlap", F.col("supporting_polygon").isNotNull())
+    placed = located.withColumns({f"__c{a}": grid.cell_of(F.col(a) - F.col(f"__lo{a}"), F.col("__cell")) for a in "xyz"})
+    return placed.drop(*_BOX), prisms.drop("__cell", *[f"__lo{a}" for a in "xyz"]), [*group, *voxels]
 
 
 def closest_support(candidates: DataFrame, keys: Sequence[str], residual: str = "residual_m", ordinal: str = "polygon_ordinal") -> DataFrame:
@@ -323,27 +362,14 @@ def closest_support(candidates: DataFrame, keys: Sequence[str], residual: str =
 def convex_overlap(first: DataFrame, second: DataFrame, key: str, tolerance: float = 1e-9) -> DataFrame:
     """Rows of ``first(key, px, py)`` inside the convex hull of ``second(key, px, py)``.
 
-    Hull corners are reduced inside each task before the shuffle, so the last step
-    sees corners only.  Hulls without area select nothing.
+    Hull corners are merged as a tree and points meet one edge of their key's ring, see
+    :mod:`plumbline.functions.hulls`.  Hulls without area select nothing; NULL is a key.
     """
-    corners = second.select(F.col(key).alias("key"), "px", "py")
-    reduced = corners.mapInPandas(partial_hulls, corners.schema)
-    key_type = first.schema[key].dataType.simpleString()
-    hulls = reduced.groupBy("key").applyInPandas(merge_hull, f"key {key_type}, hull array<double>").where(F.size("hull") >= 6)
-    joined = first.join(hulls.withColumnRenamed("key", key), key)
-    n = F.size("hull") / 2
-
-    def left_of(i: Column) -> Column:
-        j = ((i + 1) % n).cast("int")
-        ax, ay = F.get("hull", 2 * i), F.get("hull", 2 * i + 1)
-        bx, by = F.get("hull", 2 * j), F.get("hull", 2 * j + 1)
-        turn = (bx - ax) * (F.col("py") - ay) - (by - ay) * (F.col("px") - ax)
-        return V.over(turn, F.hypot(bx - ax, by - ay)) >= -tolerance
-
-    return joined.where(F.forall(F.sequence(F.lit(0), (n - 1).cast("int")), left_of)).drop("hull")
+    rings = hulls(second.select(F.col(key).alias("key"), "px", "py"))
+    return inside_hull(first, rings, key, tolerance)
 
 
-def compare_patches(pairs: DataFrame, planes: DataFrame, inliers: DataFrame, accuracy: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def compare_patches(pairs: DataFrame, planes: DataFrame, inliers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Repeat measurements of one physical surface.
 
     ``pairs(pair_id, first, second)``; ``planes(patch_id, physical_surface,
@@ -373,7 +399,7 @@ def compare_patches(pairs: DataFrame, planes: DataFrame, inliers: DataFrame, acc
     site = [F.col("px") * F.col("a_basis_u")[i] + F.col("py") * F.col("a_basis_v")[i] + F.col(f"a_c{a}") for i, a in enumerate("xyz")]
     gap = F.abs(V.dot(V.sub(site, V.cols("b_cx", "b_cy", "b_cz")), V.cols("b_nx", "b_ny", "b_nz")))
     gaps = shared.join(model, "pair_id").select("pair_id", gap.alias("gap"))
-    stats = residual_stats(gaps, ["pair_id"], "gap", accuracy).select(
+    stats = residual_stats(gaps, ["pair_id"], "gap").select(
         "pair_id", F.col("n").alias("overlap_samples"), F.col("median").alias("separation_median_m"),
         F.col("p95").alias("separation_p95_m"), F.col("max").alias("separation_max_m"))
     angle = F.degrees(F.acos(V.clamp(F.abs(V.dot(V.cols("a_nx", "a_ny", "a_nz"), V.cols("b_nx", "b_ny", "b_nz"))), 0.0, 1.0)))

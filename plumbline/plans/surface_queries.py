@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from plumbline.operators import pixels as P
 from plumbline.operators import registration as R
@@ -275,7 +275,13 @@ def closest_support(spark, sf):
     return S.closest_support(c, ["point_id"])
 
 
-_HULL = """, pair AS (SELECT DISTINCT label AS a, label + 1 AS b FROM vec WHERE label < 9),
+def label_pairs(spark, sf):
+    """Each label with the next one that exists."""
+    labels = W.table(spark, sf, "embeddings").select("label").distinct()
+    return labels.select(F.col("label").alias("first"), F.lead("label").over(Window.orderBy("label")).alias("second")).where("second IS NOT NULL")
+
+
+_HULL = """, pair AS (SELECT a, b FROM (SELECT label AS a, lead(label) OVER (ORDER BY label) AS b FROM (SELECT DISTINCT label FROM vec)) WHERE b IS NOT NULL),
 {points},
 edge AS (SELECT i.pair_id, i.px AS ax, i.py AS ay, j.px AS bx, j.py AS by FROM bp i JOIN bp j ON i.pair_id = j.pair_id AND i.vec_id <> j.vec_id
  WHERE NOT EXISTS (SELECT 1 FROM bp k WHERE k.pair_id = i.pair_id AND k.vec_id <> i.vec_id AND k.vec_id <> j.vec_id
@@ -290,28 +296,24 @@ bp AS (SELECT a AS pair_id, vec_id, sx AS px, sy AS py FROM pair JOIN vec ON lab
 def convex_overlap(spark, sf):
     """Vectors of one label inside the hull of the next label's vectors."""
     flat = vectors(spark, sf).select("vec_id", "label", F.col("sx").alias("px"), F.col("sy").alias("py"))
-    first = flat.where("label < 9").withColumnRenamed("label", "pair_id")
-    second = flat.where("label > 0").withColumn("pair_id", F.col("label") - 1).select("pair_id", "px", "py")
+    pairs = label_pairs(spark, sf)
+    first = flat.join(pairs.select(F.col("first").alias("label")), "label").withColumnRenamed("label", "pair_id")
+    second = flat.join(pairs.select(F.col("second").alias("label"), F.col("first").alias("pair_id")), "label").select("pair_id", "px", "py")
     return S.convex_overlap(first, second, "pair_id").select("pair_id", "vec_id")
 
 
-_PATCH_PLANE = """plane AS (SELECT DISTINCT label, label % 2 AS odd, CASE WHEN label < 9 THEN 1 END AS fitted, CASE WHEN label < 5 THEN 'wall' ELSE 'floor' END AS surface FROM vec),
+_PATCH_PLANE = """plane AS (SELECT label, (row_number() OVER (ORDER BY label) - 1) % 2 AS odd, CASE WHEN label < (SELECT max(label) FROM vec) THEN 1 END AS fitted,
+ CASE WHEN label < 5 THEN 'wall' ELSE 'floor' END AS surface FROM (SELECT DISTINCT label FROM vec)),
 sound AS (SELECT p.a, p.b, x.odd FROM pair p JOIN plane x ON x.label = p.a JOIN plane y ON y.label = p.b WHERE x.fitted = 1 AND y.fitted = 1 AND x.surface = y.surface),
 ap AS (SELECT a AS pair_id, vec_id, sx AS px, CASE WHEN odd = 0 THEN sy ELSE 0.8 * sy - 0.6 * sz END AS py, odd FROM sound JOIN vec ON label = a),
 bp AS (SELECT a AS pair_id, vec_id, sx AS px, CASE WHEN odd = 0 THEN sy ELSE 0.8 * sy - 0.6 * sz END AS py FROM sound JOIN vec ON label = b)"""
 
 
-@query(with_views("vec", _HULL.format(points=_PATCH_PLANE) + """, gap AS (SELECT pair_id, abs(CASE WHEN odd = 0 THEN 0.6 * py ELSE -0.6 * py END) AS g FROM inside),
-st AS (SELECT pair_id, count(*) AS n, round(quantile_cont(g, 0.5), 8) AS med, round(quantile_cont(g, 0.95), 8) AS p95, round(max(g), 8) AS mx FROM gap GROUP BY pair_id)
-SELECT p.a AS pair_id, p.a AS first, p.b AS second, CASE WHEN x.fitted = 1 AND y.fitted = 1 THEN 'measured' ELSE 'not measured' END AS status,
- CASE WHEN x.fitted = 1 AND y.fitted = 1 THEN coalesce(st.n, 0) END AS overlap_samples, med AS separation_median_m, p95 AS separation_p95_m, mx AS separation_max_m,
- CASE WHEN x.fitted = 1 AND y.fitted = 1 THEN round(degrees(acos(0.8)), 6) END AS normal_angle_degrees
-FROM pair p JOIN plane x ON x.label = p.a JOIN plane y ON y.label = p.b LEFT JOIN st ON st.pair_id = p.a
-WHERE NOT coalesce(x.fitted = 1 AND y.fitted = 1 AND x.surface <> y.surface, false)"""))
-def compare_patches(spark, sf):
-    """Labels as patches on two alternating planes; one pair crosses surfaces, one is unfitted."""
+def _compared(spark, sf):
     labels = W.table(spark, sf, "embeddings").select("label").distinct()
-    odd, fitted = F.col("label") % 2 == 1, F.col("label") < 9
+    up, down = Window.orderBy("label"), Window.orderBy(F.desc("label"))
+    labels = labels.select("label", F.row_number().over(up).alias("place"), F.row_number().over(down).alias("left"))
+    odd, fitted = F.col("place") % 2 == 0, F.col("left") > 1
     pick = lambda even, other: F.when(fitted, F.when(odd, F.array(*map(F.lit, other))).otherwise(F.array(*map(F.lit, even))))
     number = lambda even, other: F.when(fitted, F.when(odd, F.lit(other)).otherwise(F.lit(even)))
     planes = labels.select(
@@ -319,8 +321,27 @@ def compare_patches(spark, sf):
         number(0.0, 0.0).alias("cx"), number(0.0, 0.0).alias("cy"), number(0.0, 0.0).alias("cz"),
         number(0.0, 0.0).alias("nx"), number(0.0, 0.6).alias("ny"), number(1.0, 0.8).alias("nz"),
         pick((1.0, 0.0, 0.0), (1.0, 0.0, 0.0)).alias("basis_u"), pick((0.0, 1.0, 0.0), (0.0, 0.8, -0.6)).alias("basis_v"))
-    pairs = labels.where("label < 9").select(F.col("label").alias("pair_id"), F.col("label").alias("first"), (F.col("label") + 1).alias("second"))
+    pairs = label_pairs(spark, sf).select(F.col("first").alias("pair_id"), "first", "second")
     points = vectors(spark, sf).select(F.col("label").alias("patch_id"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"))
-    out, _ = S.compare_patches(pairs, planes, points)
+    return S.compare_patches(pairs, planes, points)
+
+
+@query(with_views("vec", _HULL.format(points=_PATCH_PLANE) + """, gap AS (SELECT pair_id, abs(CASE WHEN odd = 0 THEN 0.6 * py ELSE -0.6 * py END) AS g FROM inside),
+st AS (SELECT pair_id, count(*) AS n, round(quantile_cont(g, 0.5), 8) AS med, round(quantile_cont(g, 0.95), 8) AS p95, round(max(g), 8) AS mx FROM gap GROUP BY pair_id)
+SELECT p.a AS pair_id, p.a AS first, p.b AS second, CASE WHEN x.fitted = 1 AND y.fitted = 1 THEN 'measured' ELSE 'not measured' END AS status,
+ CASE WHEN x.fitted = 1 AND y.fitted = 1 THEN coalesce(st.n, 0) END AS overlap_samples, med AS separation_median_m, p95 AS separation_p95_m, mx AS separation_max_m,
+ CASE WHEN x.fitted = 1 AND y.fitted = 1 THEN round(degrees(acos(0.8)), 6) END AS normal_angle_degrees
+FROM pair p JOIN plane x ON x.label = p.a JOIN plane y ON y.label = p.b LEFT JOIN st ON st.pair_id = p.a
+WHERE NOT coalesce(x.fitted = 1 AND y.fitted = 1 AND x.surface <> y.surface, false)"""))
+def compare_patches(spark, sf):
+    """Labels as patches on two alternating planes; one pair crosses surfaces, one is unfitted."""
+    out, _ = _compared(spark, sf)
     out = rounded(out, "separation_median_m", "separation_p95_m", "separation_max_m", places=8)
     return rounded(out, "normal_angle_degrees")
+
+
+@query("""WITH l AS (SELECT DISTINCT label FROM embeddings), p AS (SELECT label AS a, lead(label) OVER (ORDER BY label) AS b FROM l), m AS (SELECT max(label) AS last FROM l)
+SELECT 'different_surface' AS rule, CAST(a AS VARCHAR) AS entity_id, CAST(a AS VARCHAR) || '/' || CAST(b AS VARCHAR) AS detail FROM p, m WHERE b < last AND a < 5 AND b >= 5""")
+def compare_patches_findings(spark, sf):
+    """The pairs that the comparison refuses: fitted patches of different surfaces."""
+    return _compared(spark, sf)[1]

@@ -54,3 +54,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread_out(stored: DataFrame) -> DataFrame:
+    """A table without lineage, dealt out anew if it has fewer partitions than the cluster has cores.
+
+    For small tables whose rows meet many others: adaptive execution counts their bytes, not the work to come.
+    """
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored.repartition(cores) if stored.rdd.getNumPartitions() < cores else stored

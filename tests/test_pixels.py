@@ -71,7 +71,7 @@ def test_exact_quantiles_against_numpy(spark, n):
     rng = np.random.default_rng(n)
     values = np.round(rng.exponential(size=n) ** 3, 3)
     df = spark.createDataFrame([(0 if i % 3 else 1, float(v)) for i, v in enumerate(values)], "k int, v double")
-    got = {r.k: r for r in residual_stats(df, ["k"], "v", accuracy=500).collect()}
+    got = {r.k: r for r in residual_stats(df, ["k"], "v", group_rows=500).collect()}
     for k in got:
         part = np.array([v for i, v in enumerate(values) if (0 if i % 3 else 1) == k])
         assert got[k].n == len(part)
@@ -82,7 +82,7 @@ def test_exact_quantiles_against_numpy(spark, n):
 
 def test_quantiles_of_heavy_ties_and_whole_frame(spark):
     df = spark.createDataFrame([(1.0,)] * 4000 + [(2.0,)] * 3000 + [(float(i),) for i in range(3, 30)], "v double")
-    got = exact_quantiles(df, [], "v", {"q": 0.5, "r": 0.999}, accuracy=200).collect()[0]
+    got = exact_quantiles(df, [], "v", {"q": 0.5, "r": 0.999}, group_rows=200).collect()[0]
     want = np.array([1.0] * 4000 + [2.0] * 3000 + list(range(3, 30)))
     assert got.q == np.percentile(want, 50) and got.r == pytest.approx(np.percentile(want, 99.9))
 
