@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -16,12 +17,14 @@ from plumbline.plans import views as W
 from plumbline.plans.pixel_queries import rounded
 from plumbline.plans.registry import query
 from plumbline.plans.views import with_views
-from plumbline.session import fresh_path
+from plumbline.session import cut_lineage, fresh_path
+from plumbline.sources import archive_ranges as AR
 from plumbline.sources import archives as A
 from plumbline.sources import documents as D
 from plumbline.sources import frames as S
 from plumbline.sources import sinks as K
 from plumbline.streaming import jobs as J
+from plumbline.streaming import keyed as KS
 
 # --- file listings and cameras ----------------------------------------------
 
@@ -158,6 +161,66 @@ def scan_archive_findings(spark, sf):
     return A.check_archives(_archives(spark, sf).withColumn("content", content)).select("rule", "entity_id")
 
 
+def _archive_files(spark, sf, archives):
+    """The archives as files of the shared folder, named by their id."""
+    folder = fresh_path(spark, "archives")
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                path = f"{folder}/{row.archive_id}.zip"
+                store, inner = AR.store_of(folder)
+                store.create_dir(inner, recursive=True)
+                with store.open_output_stream(f"{inner}/{row.archive_id}.zip") as out:
+                    out.write(row.content)
+                yield pd.DataFrame({"archive_id": [row.archive_id], "path": [path]})
+
+    return cut_lineage(archives.mapInPandas(write, "archive_id long, path string"))
+
+
+@query("""SELECT doc_id // 20 AS archive_id, 'scan/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS name, false AS is_dir, CAST(33188 AS INTEGER) AS mode, octet_length(encode(text)) AS size FROM documents
+UNION ALL SELECT DISTINCT doc_id // 20, 'scan/', true, CAST(0 AS INTEGER), 0 FROM documents""")
+def archive_directories(spark, sf):
+    """Members of archive files, from the directory at each file's end."""
+    files = _archive_files(spark, sf, _archives(spark, sf))
+    members = AR.archive_directories(files).join(files, "path")
+    return members.select("archive_id", "name", "is_dir", F.when(F.col("is_dir"), 0).otherwise(F.col("mode")).alias("mode"), "size")
+
+
+@query("SELECT doc_id // 20 AS archive_id, 'scan/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS name, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM documents")
+def expand_members(spark, sf):
+    """Files of archive files by byte ranges: groups of 256 KB here, so that an archive is several groups."""
+    files = _archive_files(spark, sf, _archives(spark, sf))
+    members = cut_lineage(AR.archive_directories(files))
+    return AR.expand_members(members, 256 << 10).join(files, "path").select("archive_id", "name", "size", "sha256")
+
+
+@query("SELECT doc_id // 20 AS archive_id, 'scan/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS name, 0 AS piece, sha256(text) AS sha256 FROM documents")
+def member_pieces(spark, sf):
+    """Contents of archive files in pieces; no document here is longer than one."""
+    files = _archive_files(spark, sf, _archives(spark, sf))
+    pieces = AR.member_pieces(AR.archive_directories(files)).join(files, "path")
+    return pieces.select("archive_id", "name", "piece", F.sha2("content", 256).alias("sha256"))
+
+
+@query("""WITH a AS (SELECT DISTINCT doc_id // 20 AS k FROM documents)
+SELECT CASE k % 4 WHEN 0 THEN 'broken_archive' ELSE 'empty_archive' END AS rule, k AS archive_id, CAST(NULL AS VARCHAR) AS name FROM a WHERE k % 4 < 2
+UNION ALL SELECT 'broken_member', k, 'scan/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' FROM documents, a
+WHERE k = doc_id // 20 AND k % 4 = 2 AND doc_id = (SELECT min(d.doc_id) FROM documents d WHERE d.doc_id // 20 = k)""")
+def archive_file_findings(spark, sf):
+    """A quarter of the archives is cut, a quarter is empty, and in a quarter the local header of the first file is overwritten."""
+    k = F.col("archive_id") % 4
+    empty = F.lit(b"PK\x05\x06" + bytes(18))
+    start = len("scan/") + AR.HEADER  # the first file follows the header and name of its directory
+    spoiled = F.concat(F.substring("content", 1, start), F.lit(bytes(4)), F.expr(f"substring(content, {start + 5}, length(content))"))
+    content = F.when(k == 0, F.substring("content", 1, 40)).when(k == 1, empty).when(k == 2, spoiled).otherwise(F.col("content"))
+    files = _archive_files(spark, sf, _archives(spark, sf).withColumn("content", content))
+    members = cut_lineage(AR.archive_directories(files))
+    found = AR.check_archive_files(members, AR.expand_members(members))
+    return found.join(files, found.entity_id == files.path).select("rule", "archive_id", F.col("detail").alias("name"))
+
+
+
 # --- JSON documents ---------------------------------------------------------
 
 
@@ -307,3 +370,87 @@ def stream_intake(spark, sf):
 def stream_intake_rejected(spark, sf):
     """Changed content under a known key needs a new capture id."""
     return spark.read.option("recursiveFileLookup", True).schema("capture_id long, component string, frame_id long, sha256 string, kept_sha256 string").parquet(f"{_intake(spark, sf)}/rejected")
+
+
+# --- streams with state by key -----------------------------------------------
+
+
+@query(with_views("components", f""", e AS ({_FRAMES}), w AS (SELECT e.capture_id, e.frame_id, week, count(*) AS arrivals, bool_or(component = 'rgb') AS a, bool_or(component = 'raw_camera') AS b,
+ bool_or(component = 'raw_depth') AS c, bool_or(component = 'raw_confidence') AS d FROM e JOIN components USING (event_id) GROUP BY 1, 2, 3)
+SELECT capture_id, frame_id, week, arrivals, a AND b AND c AND d AS complete, array_to_string(list_filter([CASE WHEN NOT a THEN 'rgb' END, CASE WHEN NOT b THEN 'raw_camera' END, CASE WHEN NOT c THEN 'raw_depth' END, CASE WHEN NOT d THEN 'raw_confidence' END], lambda x: x IS NOT NULL), ',') AS missing
+FROM w WHERE (a AND b AND c AND d) OR (week + 1) * 604800 <= (SELECT floor(epoch(max(ts)) * 1000) / 1000 - 86400 FROM events)"""))
+def stream_frames(spark, sf):
+    """Complete frames at once, whatever their window; the others when their timer fires."""
+    return _frame_rows(_frame_runs(spark, sf, 1))
+
+
+def _frame_runs(spark, sf, runs: int):
+    """The events in ``runs`` arrivals by their id, each taken up by a new start of the stream on one checkpoint."""
+    source, path, state = (fresh_path(spark, f"frames-{n}") for n in ("in", "out", "state"))
+    events = cut_lineage(_batch_frames(spark, sf))
+    for k in range(runs):
+        events.where(F.col("event_id") % runs == k).drop("event_id").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.drop("event_id").schema).parquet(source)
+        _run_to_end(KS.stream_frames(stream, late_for=timedelta(days=60)), path, state)
+    return spark.read.schema("capture_id long, frame_id long, window_ms long, kind string, component string, ts timestamp, arrivals long, complete boolean, missing string").parquet(path)
+
+
+def _batch_frames(spark, sf):
+    """Three frames a week as in the daily stream, with the event's id."""
+    return W.table(spark, sf, "events").select(
+        F.col("user_id").alias("capture_id"), W.component_name(F.col("event_type")).alias("component"), (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400) % 3).alias("frame_id"),
+        F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+def _frame_rows(rows):
+    return rows.where("kind = 'frame'").select("capture_id", "frame_id", F.floor(F.col("window_ms") / 604800000).alias("week"), "arrivals", "complete", "missing")
+
+
+_RUNS = f""", e AS ({_FRAMES}), p AS (SELECT e.*, event_id % 3 AS run, component FROM e JOIN components USING (event_id)),
+clock AS (SELECT r.run, (SELECT floor(epoch(max(p.ts)) * 1000) / 1000 - 86400 FROM p WHERE p.run <= r.run) AS passed FROM range(3) r(run)),
+upto AS (SELECT capture_id, frame_id, week, c.run, count(*) AS arrivals, bool_or(component = 'rgb') AS a, bool_or(component = 'raw_camera') AS b, bool_or(component = 'raw_depth') AS c,
+ bool_or(component = 'raw_confidence') AS d, (week + 1) * 604800 <= any_value(passed) AS closed FROM p JOIN clock c ON p.run <= c.run GROUP BY 1, 2, 3, 4),
+told AS (SELECT * FROM upto WHERE closed OR (a AND b AND c AND d) QUALIFY row_number() OVER (PARTITION BY capture_id, frame_id, week ORDER BY run) = 1)
+"""
+
+
+@query(with_views("components", _RUNS + """SELECT capture_id, frame_id, week, arrivals, a AND b AND c AND d AS complete, array_to_string(list_filter([CASE WHEN NOT a THEN 'rgb' END, CASE WHEN NOT b THEN 'raw_camera' END,
+ CASE WHEN NOT c THEN 'raw_depth' END, CASE WHEN NOT d THEN 'raw_confidence' END], lambda x: x IS NOT NULL), ',') AS missing FROM told"""))
+def stream_frames_restarted(spark, sf):
+    """A third of the events at a time, with a restart between: each frame is reported once."""
+    return _frame_rows(_frame_runs(spark, sf, 3))
+
+
+@query(with_views("components", _RUNS + """SELECT capture_id, frame_id, week, component, epoch_us(p.ts) AS at_us FROM p JOIN told t USING (capture_id, frame_id, week) WHERE p.run > t.run"""))
+def stream_late_pieces(spark, sf):
+    """The pieces of the same three runs that came after their frame's report."""
+    rows = _frame_runs(spark, sf, 3).where("kind = 'late'")
+    return rows.select("capture_id", "frame_id", F.floor(F.col("window_ms") / 604800000).alias("week"), "component", F.unix_micros("ts").alias("at_us"))
+
+
+_RUN_CONTENTS = """, v AS (SELECT e.user_id AS capture_id, c.component, c.frame_id, sha256(e.props) AS sha256, event_id % 3 AS run, min(e.ts) AS ts FROM events e JOIN components c USING (event_id) GROUP BY 1, 2, 3, 4, 5),
+f AS (SELECT *, first_value(sha256) OVER (PARTITION BY capture_id, component, frame_id ORDER BY run, ts, sha256) AS kept FROM v)
+"""
+
+
+def _content_runs(spark, sf):
+    """The events in three arrivals, each taken up by a new start of the stream on one checkpoint."""
+    source, path, state = (fresh_path(spark, f"contents-{n}") for n in ("in", "out", "state"))
+    rows = cut_lineage(W.components(spark, sf).join(W.table(spark, sf, "events").select("event_id", F.sha2("props", 256).alias("sha256")), "event_id")
+                       .select("capture_id", "component", "frame_id", "sha256", F.col("ts").cast("timestamp").alias("ts"), "event_id"))
+    for k in range(3):
+        rows.where(F.col("event_id") % 3 == k).drop("event_id").write.mode("append").parquet(source)
+        KS.stream_first_contents(spark.readStream.schema(rows.drop("event_id").schema).parquet(source), path, state).awaitTermination()
+    return path
+
+
+@query(with_views("components", _RUN_CONTENTS + "SELECT DISTINCT capture_id, component, frame_id, sha256 FROM f WHERE sha256 = kept"))
+def stream_first_contents(spark, sf):
+    """First content per component over three runs; repeats of it are absorbed by the state."""
+    return spark.read.option("recursiveFileLookup", True).schema("capture_id long, component string, frame_id long, sha256 string").parquet(f"{_content_runs(spark, sf)}/accepted")
+
+
+@query(with_views("components", _RUN_CONTENTS + "SELECT capture_id, component, frame_id, sha256, kept AS kept_sha256 FROM f WHERE sha256 <> kept"))
+def stream_refused_contents(spark, sf):
+    """Other contents under a known key, once per run that brings them."""
+    return spark.read.option("recursiveFileLookup", True).schema("capture_id long, component string, frame_id long, sha256 string, kept_sha256 string").parquet(f"{_content_runs(spark, sf)}/rejected")
