@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types
 
 # fixed values: characters that JSON escapes by letter
@@ -20,14 +20,14 @@ def capture_id(name: Column, sha256: Column, is_dir: Column) -> Column:
     return F.when(whole.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"), whole)
 
 
-@F.pandas_udf(types.StringType())
-def fifteen_digits(x: pd.Series) -> pd.Series:
-    """A double to fifteen significant digits as C prints it.
+@F.arrow_udf(types.StringType())
+def fifteen_digits(x: pa.Array) -> pa.Array:
+    """A double to fifteen significant digits as C prints it; NULL stays NULL, NaN is ``nan``.
 
     The JVM's formatter rounds the shortest decimal form, which is wrong for one number in sixty, so this is
-    done in Arrow batches. NaN that stands for NULL cannot be told apart by pandas: wrap the call where NULL can occur.
+    done in Arrow batches.
     """
-    return pd.Series([format(v, ".15g") for v in x], dtype="object")
+    return pa.array([None if v is None else format(v, ".15g") for v in x.to_pylist()], pa.string())
 
 
 def json_string(text: Column) -> Column:

@@ -82,9 +82,13 @@ def hierarchy_transforms(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``up`` down to itself; a round multiplies by ``up``'s product and takes over
     its pointer, so depth ``d`` needs ``log2(d)`` rounds.  A node whose chain ends
     at an absent id is ``unknown_parent``; what still points somewhere after as many
-    rounds as the node count can need hangs in a cycle.
+    rounds as the node count can need hangs in a cycle.  An id that comes several times is one node, with the least
+    ``(parent_id, matrix)`` of its rows, and a ``duplicate``.
     """
-    state = cut_lineage(nodes.select("id", F.col("parent_id").alias("up"), "matrix", F.lit(False).alias("lost")))
+    single = nodes.groupBy("id").agg(F.count("*").alias("__n"), F.min(F.struct("parent_id", "matrix")).alias("__row"))
+    state = cut_lineage(single.select("id", F.col("__row.parent_id").alias("up"), F.col("__row.matrix").alias("matrix"), F.lit(False).alias("lost"), "__n"))
+    repeated = state.where("__n > 1").select(F.lit("duplicate").alias("rule"), F.col("id").cast("string").alias("entity_id"), F.col("__n").cast("string").alias("detail"))
+    state = state.drop("__n")
     rounds = max(1, state.count()).bit_length() + 1
     for _ in range(rounds):
         if state.where("up IS NOT NULL AND NOT lost").isEmpty():
@@ -99,4 +103,4 @@ def hierarchy_transforms(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = state.where("up IS NOT NULL").select(
         F.when(F.col("lost"), "unknown_parent").otherwise("cycle").alias("rule"), F.col("id").cast("string").alias("entity_id"),
         F.when(F.col("lost"), F.col("up").cast("string")).alias("detail"))
-    return state.where("up IS NULL").select("id", F.col("matrix").alias("world")), bad
+    return state.where("up IS NULL").select("id", F.col("matrix").alias("world")), bad.unionByName(repeated)

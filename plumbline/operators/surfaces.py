@@ -13,6 +13,7 @@ from plumbline.functions.hulls import hulls, inside_hull
 from plumbline.functions.linalg import eig3
 from plumbline.functions.quantiles import residual_stats
 from plumbline.operators.pixels import display_pixel
+from plumbline.rules import findings
 from plumbline.session import cut_lineage, spread_out
 
 # fixed values: fit acceptance
@@ -95,6 +96,30 @@ def polygon_select_pixels(px: DataFrame, patches: DataFrame, keys: Sequence[str]
         "orientation", "rgb_height", "__edges", "__minx", "__maxx", "__miny", "__maxy")
 
 
+def check_patch_polygons(patches: DataFrame) -> DataFrame:
+    """Findings: polygons that are no ring of finite corners, or leave the image as it is shown.
+
+    ``patches`` as in :func:`polygon_select_pixels`, with ``rgb_width``; an upright image swaps width and height.  The image is
+    half open: a corner at its width or height is outside.  Patches named here give no pixels that can be trusted.
+    """
+    turned = F.col("orientation") == "upright90cw"
+    width = F.when(turned, F.col("rgb_height")).otherwise(F.col("rgb_width"))
+    height = F.when(turned, F.col("rgb_width")).otherwise(F.col("rgb_height"))
+    ring = F.coalesce((F.size("polygon") >= 3) & F.forall("polygon", lambda p: V.finite(p["x"]) & V.finite(p["y"])), F.lit(False))
+    inside = F.forall("polygon", lambda p: (p["x"] >= 0) & (p["y"] >= 0) & (p["x"] < width) & (p["y"] < height))
+    return findings(patches, F.col("patch_id"), {
+        "polygon_invalid": (~ring, None),
+        "polygon_outside_image": (ring & ~F.coalesce(inside, F.lit(False)), F.concat_ws("x", width.cast("string"), height.cast("string")))})
+
+
+def check_support_normals(polygons: DataFrame, group: Sequence[str], source_normal: Sequence[float], tolerance: float = 1e-12) -> DataFrame:
+    """Findings: polygons whose normal is at right angles to the source normal, so that a distance from them has no sign."""
+    framed = polygon_frames(polygons)
+    facing = V.dot(V.items("normal"), [F.lit(float(c)) for c in source_normal])
+    entity = F.concat_ws("/", *[F.col(c).cast("string") for c in (*group, "polygon_ordinal")])
+    return findings(framed, entity, {"normal_at_right_angles": (F.abs(facing) <= tolerance, None)})
+
+
 def patch_summary(selected: DataFrame, confidence_value: int = 255, max_depth_m: float = 5.0) -> DataFrame:
     """Native and eligible pixel counts per patch."""
     from plumbline.operators.pixels import eligible

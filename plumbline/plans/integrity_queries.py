@@ -381,21 +381,44 @@ def renderable_objects(spark, sf):
     return H.renderable_objects(H.collection_closure(collections, links, 0), objects)
 
 
-@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL ELSE CAST(floor(p_partkey / 2.0) AS BIGINT) END AS parent_id,
+_WORLDS = """WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL ELSE CAST(floor(p_partkey / 2.0) AS BIGINT) END AS parent_id,
  p_partkey % 4 AS k, p_size AS x, p_partkey % 5 AS y, 1 AS z FROM part),
 w AS (SELECT id, k AS k, x AS x, y AS y, CAST(z AS BIGINT) AS z FROM n WHERE parent_id IS NULL
  UNION ALL SELECT n.id, (w.k + n.k) % 4, w.x + CASE w.k WHEN 0 THEN n.x WHEN 1 THEN -n.y WHEN 2 THEN -n.x ELSE n.y END,
   w.y + CASE w.k WHEN 0 THEN n.y WHEN 1 THEN n.x WHEN 2 THEN -n.y ELSE -n.x END, w.z + n.z FROM w JOIN n ON n.parent_id = w.id)
 SELECT id, CAST(CASE k WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS BIGINT) AS m00, CAST(CASE k WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS BIGINT) AS m10,
- CAST(x AS BIGINT) AS tx, CAST(y AS BIGINT) AS ty, CAST(z AS BIGINT) AS tz FROM w""")
+ CAST(x AS BIGINT) AS tx, CAST(y AS BIGINT) AS ty, CAST(z AS BIGINT) AS tz FROM w"""
+
+
+@query(_WORLDS)
 def hierarchy_transforms(spark, sf):
     """Quarter turns and integer shifts down the part tree, so products are exact."""
     part = F.col("p_partkey")
-    w = H.hierarchy_transforms(_turned_parts(spark, sf, F.when(part != 0, F.floor(part / 2))))[0]
+    return _worlds(H.hierarchy_transforms(_turned_parts(spark, sf, F.when(part != 0, F.floor(part / 2))))[0])
+
+
+def _worlds(w):
     entry = lambda i, name: F.col("world")[i].cast("long").alias(name)
     return w.select("id", entry(0, "m00"), entry(4, "m10"), entry(3, "tx"), entry(7, "ty"), entry(11, "tz"))
 
 
+def _repeated_parts(spark, sf):
+    """The part tree with every ninth part twice, once from a parent and matrix that are later in order."""
+    nodes = _turned_parts(spark, sf, F.when(F.col("p_partkey") != 0, F.floor(F.col("p_partkey") / 2)))
+    return nodes.unionByName(nodes.where("id % 9 = 4").withColumn("parent_id", F.col("parent_id") + 1))
+
+
+@query(_WORLDS)
+def hierarchy_transforms_repeated(spark, sf):
+    """Repeated ids neither multiply the rows below them nor move them."""
+    return _worlds(H.hierarchy_transforms(_repeated_parts(spark, sf))[0])
+
+
+@query("SELECT 'duplicate' AS rule, CAST(p_partkey AS VARCHAR) AS entity_id, '2' AS detail FROM part WHERE p_partkey % 9 = 4")
+def hierarchy_duplicates(spark, sf):
+    return H.hierarchy_transforms(_repeated_parts(spark, sf))[1]
+
+
 def _turned_parts(spark, sf, parent):
     k = F.col("p_partkey") % 4
     c = F.when(k == 0, 1.0).when(k == 2, -1.0).otherwise(0.0)
@@ -455,6 +478,12 @@ def fifteen_digit_numbers(spark, sf):
     return W.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.fifteen_digits(F.col("l_extendedprice") / 7 * scale).alias("shown"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 <> 0 THEN format('{:.15g}', l_extendedprice / 7) END AS shown FROM lineitem""")
+def fifteen_digit_nulls(spark, sf):
+    """A number that is missing stays missing."""
+    return W.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.fifteen_digits(F.when(F.col("l_linenumber") % 3 != 0, F.col("l_extendedprice") / 7)).alias("shown"))
+
+
 @query("""SELECT p_partkey, '{"a b": "' || p_name || '", "brand": "x\\"' || p_brand || '\\\\", "z": "\\u00e9\\n"}' AS dumped FROM part""")
 def canonical_dump(spark, sf):
     """Keys come out sorted, quotes, line ends and non-ASCII characters escaped."""

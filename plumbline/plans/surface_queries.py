@@ -43,6 +43,29 @@ def polygon_select_pixels(spark, sf):
     return selected(spark, sf).select("patch_id", *PIXEL, "depth_mm", "confidence")
 
 
+@query(with_views("patches", """, moved AS (SELECT patch_id, orientation, patch_id % 13 = 6 AS broken, x1 + CASE WHEN patch_id % 7 = 3 THEN 60 ELSE 0 END AS right_x, y0 - CASE WHEN patch_id % 11 = 5 THEN 30 ELSE 0 END AS top_y FROM patches)
+SELECT 'polygon_invalid' AS rule, CAST(patch_id AS VARCHAR) AS entity_id, CAST(NULL AS VARCHAR) AS detail FROM moved WHERE broken
+UNION ALL SELECT 'polygon_outside_image', CAST(patch_id AS VARCHAR), CASE WHEN orientation = 'raw' THEN '384x256' ELSE '256x384' END FROM moved
+WHERE NOT broken AND (top_y < 0 OR right_x >= CASE WHEN orientation = 'raw' THEN 384 ELSE 256 END)"""))
+def check_patch_polygons(spark, sf):
+    """Patches of which some are moved over an edge of their image, and some have lost a number."""
+    k = F.col("patch_id")
+    moved = lambda p: F.struct((p["x"] + F.when(k % 7 == 3, 60).otherwise(0)).alias("x"), (p["y"] - F.when(k % 11 == 5, 30).otherwise(0)).alias("y"))
+    broken = F.array(F.struct(F.lit(float("nan")).alias("x"), F.lit(1.0).alias("y")))
+    rows = patches(spark, sf).withColumn("rgb_width", F.lit(W.RGB_SIZE[0]))
+    ring = F.transform("polygon", moved)
+    return S.check_patch_polygons(rows.withColumn("polygon", F.when(k % 13 == 6, F.concat(F.slice(ring, 1, 3), broken)).otherwise(ring)))
+
+
+@query("""SELECT 'normal_at_right_angles' AS rule, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END || '/' || CAST(c_custkey AS VARCHAR) AS entity_id, CAST(NULL AS VARCHAR) AS detail
+FROM customer WHERE c_custkey % 4 = 1""")
+def check_support_normals(spark, sf):
+    """The floors, a quarter of them stood upright."""
+    upright = F.transform("vertices", lambda p: F.array(p[0], p[2], p[1]))
+    rows = floors(spark, sf).withColumn("vertices", F.when(F.col("polygon_ordinal") % 4 == 1, upright).otherwise(F.col("vertices")))
+    return S.check_support_normals(rows, ["capture_id"], (0.0, 1.0, 0.0))
+
+
 @query(with_views("px patches selected", """SELECT patch_id, count(*) AS native_patch_pixels, count(*) FILTER (WHERE confidence = 255 AND depth_mm > 0 AND depth_mm <= 5000) AS eligible_pixels,
  round(count(*) FILTER (WHERE confidence = 255 AND depth_mm > 0 AND depth_mm <= 5000) / CAST(count(*) AS DOUBLE), 6) AS eligible_fraction FROM selected GROUP BY patch_id"""))
 def patch_summary(spark, sf):
