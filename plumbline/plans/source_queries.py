@@ -248,16 +248,31 @@ def scan_scene_records(spark, sf):
     return D.scan_scene_records(scenes, ["scene_id"])[0]
 
 
-@query("""SELECT CASE p_partkey % 11 WHEN 0 THEN 'not_strict_json' WHEN 1 THEN 'no_objects' ELSE 'record_does_not_fit' END AS rule, CAST(p_partkey AS VARCHAR) AS entity_id
-FROM part WHERE p_partkey % 11 < 5""")
-def scan_scene_findings(spark, sf):
-    """Scene documents with a repeated key, without objects, with an index or a vertex out of place."""
+def _mixed_scenes(spark, sf):
+    """Scene documents of a record that may be out of place and a sound one; with a repeated key, without objects, with an index or a vertex out of place."""
     k = F.col("p_partkey") % 11
-    record = lambda vertices, ring: f'{{"name": "a", "vertices_world_m": {vertices}, "polygons": [{ring}], "loop_triangles": [{{"vertex_indices": [0, 1, 2], "polygon_index": 0}}]}}'
-    whole = lambda v="[[0,0,0],[1,0,0],[0,1,0]]", r="[0, 1, 2]": f'{{"objects": [{record(v, r)}]}}'
-    text = (F.when(k == 0, '{"objects": [], "objects": []}').when(k == 1, '{"other": 1}').when(k == 2, whole(r="[0, 1, 3]")).when(k == 3, whole(v="[[0,0,0],[1,0],[0,1,0]]"))
+    record = lambda name, vertices, ring: f'{{"name": "{name}", "vertices_world_m": {vertices}, "polygons": [{ring}], "loop_triangles": [{{"vertex_indices": [0, 1, 2], "polygon_index": 0}}]}}'
+    flat, ring = "[[0,0,0],[1,0,0],[0,1,0]]", "[0, 1, 2]"
+    whole = lambda v=flat, r=ring: f'{{"objects": [{record("a", v, r)}, {record("b", flat, ring)}]}}'
+    text = (F.when(k == 0, whole()[:-1] + ', "objects": []}').when(k == 1, '{"other": 1}').when(k == 2, whole(r="[0, 1, 3]")).when(k == 3, whole(v="[[0,0,0],[1,0],[0,1,0]]"))
             .when(k == 4, whole(r="[0, 1]")).otherwise(whole()))
-    return D.check_scene_documents(W.table(spark, sf, "part").select("p_partkey", text.alias("text")), ["p_partkey"]).select("rule", "entity_id")
+    return W.table(spark, sf, "part").select("p_partkey", text.alias("text"))
+
+
+@query("""SELECT CASE p_partkey % 11 WHEN 0 THEN 'not_strict_json' WHEN 1 THEN 'no_objects' ELSE 'record_does_not_fit' END AS rule, CAST(p_partkey AS VARCHAR) AS entity_id,
+ CASE WHEN p_partkey % 11 > 1 THEN '0' END AS detail FROM part WHERE p_partkey % 11 < 5""")
+def scan_scene_findings(spark, sf):
+    return D.check_scene_documents(_mixed_scenes(spark, sf), ["p_partkey"])
+
+
+@query("""WITH r AS (SELECT p_partkey, unnest(CASE WHEN p_partkey % 11 < 2 THEN [] WHEN p_partkey % 11 < 5 THEN ['b'] ELSE ['a', 'b'] END) AS object_id FROM part)
+SELECT 'vertex' AS part, p_partkey, object_id, i AS place FROM r, (SELECT unnest([0, 1, 2]) AS i)
+UNION ALL SELECT 'face', p_partkey, object_id, 0 FROM r UNION ALL SELECT 'triangle', p_partkey, object_id, 0 FROM r""")
+def scan_scene_records_mixed(spark, sf):
+    """All three tables: sound records stay where their neighbour is refused, and nothing of refused ones comes out."""
+    vertices, faces, triangles = D.scan_scene_records(_mixed_scenes(spark, sf), ["p_partkey"])
+    out = [df.select(F.lit(part).alias("part"), "p_partkey", "object_id", F.col(part).alias("place")) for part, df in (("vertex", vertices), ("face", faces), ("triangle", triangles))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 # --- sinks ------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SCENE_SCHEMA = (
     "name string, vertices_world_m array<array<double>>, polygons array<array<int>>, "
@@ -23,9 +23,32 @@ def read_json_texts(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
+def _scene_documents(documents: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``*keys, problem, objects``: what is wrong with a document as a whole, else its records."""
+    rows = scan_strict_json(documents.select(*keys, F.col(text).alias("__t")), "__t")
+    rows = rows.withColumn("__d", F.from_json("__t", f"struct<objects:array<struct<{_fields()}>>>"))
+    problem = F.when(~F.col("valid"), "not_strict_json").when(F.col("__d.objects").isNull(), "no_objects")
+    return rows.select(*keys, problem.alias("problem"), F.col("__d.objects").alias("objects"))
+
+
+def _sound(o: Column) -> Column:
+    """Whether a record fits: a vertex has three finite numbers, a face three vertices or more, a triangle three; indices stay inside their lists."""
+    inside = lambda a, n: F.forall(a, lambda i: i.isNotNull() & (i >= 0) & (i < n))
+    n = F.size(o["vertices_world_m"])
+    vertex = F.forall(o["vertices_world_m"], lambda p: (F.size(p) == 3) & F.forall(p, lambda x: x.isNotNull() & ~F.isnan(x)))
+    face = F.forall(o["polygons"], lambda r: (F.size(r) >= 3) & inside(r, n))
+    triangle = F.forall(o["loop_triangles"], lambda t: (F.size(t["vertex_indices"]) == 3) & inside(t["vertex_indices"], n)
+                        & (t["polygon_index"] >= 0) & (t["polygon_index"] < F.size(o["polygons"])))
+    return F.coalesce(o["name"].isNotNull() & vertex & face & triangle, F.lit(False))
+
+
 def scan_scene_records(documents: DataFrame, keys: list[str], text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scene object records to vertex, face and triangle tables."""
-    objects = documents.select(*keys, F.from_json(text, f"struct<objects:array<struct<{_fields()}>>>").alias("d")).select(*keys, F.explode("d.objects").alias("o"))
+    """Scene object records to vertex, face and triangle tables: the records that fit, of documents that are strict JSON.
+
+    :func:`check_scene_documents` names all the others, by the same rules.
+    """
+    sound = _scene_documents(documents, keys, text).where("problem IS NULL").select(*keys, F.explode("objects").alias("o")).where(_sound(F.col("o")))
+    objects = sound.select(*keys, "o")
     name = F.col("o.name").alias("object_id")
     vertices = objects.select(*keys, name, F.posexplode("o.vertices_world_m").alias("vertex", "p")).select(
         *keys, "object_id", "vertex", *[F.col("p")[i].alias(c) for i, c in enumerate("xyz")])
@@ -36,26 +59,15 @@ def scan_scene_records(documents: DataFrame, keys: list[str], text: str = "text"
 
 
 def check_scene_documents(documents: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Findings: scene documents that are no strict JSON object or whose records do not fit; the scan has no rows of them.
+    """Findings: scene documents that are no strict JSON object or hold no objects, and each record that does not fit, with its place.
 
-    A vertex has three finite numbers, a face three vertices or more, a triangle three; indices stay inside their lists.
+    The scan has no rows of these, and rows of every other record.
     """
-    entity = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    rows = scan_strict_json(documents.select(entity.alias("entity_id"), F.col(text).alias("__t")), "__t")
-    rows = rows.withColumn("__d", F.from_json("__t", f"struct<objects:array<struct<{_fields()}>>>"))
-    inside = lambda a, n: F.forall(a, lambda i: i.isNotNull() & (i >= 0) & (i < n))
-
-    def sound(o):
-        n = F.size(o["vertices_world_m"])
-        vertex = F.forall(o["vertices_world_m"], lambda p: (F.size(p) == 3) & F.forall(p, lambda x: x.isNotNull() & ~F.isnan(x)))
-        face = F.forall(o["polygons"], lambda r: (F.size(r) >= 3) & inside(r, n))
-        triangle = F.forall(o["loop_triangles"], lambda t: (F.size(t["vertex_indices"]) == 3) & inside(t["vertex_indices"], n)
-                            & (t["polygon_index"] >= 0) & (t["polygon_index"] < F.size(o["polygons"])))
-        return F.coalesce(o["name"].isNotNull() & vertex & face & triangle, F.lit(False))
-
-    rule = (F.when(~F.col("valid"), "not_strict_json").when(F.col("__d.objects").isNull(), "no_objects")
-            .when(~F.forall("__d.objects", sound), "record_does_not_fit"))
-    return rows.select(rule.alias("rule"), "entity_id", F.lit(None).cast("string").alias("detail")).where("rule IS NOT NULL")
+    entity = F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("entity_id")
+    rows = _scene_documents(documents, keys, text)
+    whole = rows.where("problem IS NOT NULL").select(F.col("problem").alias("rule"), entity, F.lit(None).cast("string").alias("detail"))
+    records = rows.where("problem IS NULL").select(entity, F.posexplode("objects").alias("place", "o")).where(~_sound(F.col("o")))
+    return whole.unionByName(records.select(F.lit("record_does_not_fit").alias("rule"), "entity_id", F.col("place").cast("string").alias("detail")))
 
 
 def _fields() -> str:
