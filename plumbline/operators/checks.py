@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 import pandas as pd
 
-from plumbline.functions import vectors as V
+from plumbline.functions import grid, vectors as V
 from plumbline.rules import findings
 
 # fixed values: accepted vocabularies, id patterns and tolerances
@@ -71,32 +71,61 @@ def check_depth_frame(frames: DataFrame, entity: str = "frame_id") -> DataFrame:
     })
 
 
+SHORT_RING = 32  # rings of up to this many edges compare all of them in one expression
+
+
 def check_polygon_ring(polygons: DataFrame, entity: str = "polygon_id", planarity: float = 1e-7, boundary: float = 1e-9) -> DataFrame:
-    """At least three finite, coplanar vertices forming a simple, non-degenerate ring."""
+    """At least three finite, coplanar vertices forming a simple, non-degenerate ring.
+
+    Edges of a longer ring than ``SHORT_RING`` are rows that meet in cells of their mean length, so its cost grows with its edges and not with their pairs.
+    """
     from plumbline.operators.surfaces import polygon_frames
-    from plumbline.session import cut_lineage
+    from plumbline.session import cut_lineage, spread_out
 
+    # rings that are still an expression would be computed again for each of their vertices
+    polygons = V.once(polygons.select(entity, F.col("vertices").alias("__v")), {"vertices": F.col("__v")}).drop("__v")
     finite = F.coalesce((F.size("vertices") >= 3) & F.forall("vertices", lambda p: V.finite_array(p, 3)), F.lit(False))
     shape = findings(polygons, F.col(entity), {"ring_not_finite": (~finite, None)})
     usable = polygons.where(finite).withColumn("__area", V.let(V.fan_normal(F.col("vertices")), lambda n: V.norm(V.items(n))))
     longest = F.array_max(F.transform(V.ring_edges(F.col("vertices")), lambda e: V.distance(e["a"], e["b"])))
     usable = cut_lineage(usable.withColumn("__flat", F.col("__area") <= 1e-12 * longest * longest))
     degenerate = findings(usable, F.col(entity), {"ring_degenerate": (F.col("__flat"), None)})
-    framed = cut_lineage(polygon_frames(usable.where(~F.col("__flat")).select(entity, "vertices")))
+    framed = polygon_frames(usable.where(~F.col("__flat")).select(entity, "vertices"))
+    framed = cut_lineage(framed.withColumn("__ring_id", F.monotonically_increasing_id()))
     off = F.array_max(F.transform("vertices", lambda p: F.abs(V.dot(V.sub(V.items(p), V.items("origin")), V.items("normal")))))
     n = F.size("ring")
     edges = F.transform("ring", lambda p, i: F.struct(i.alias("i"), p.alias("a"), F.col("ring")[(i + 1) % n].alias("b")))
 
-    def apart(first: Column, second: Column) -> Column:
+    def apart(first: Column, second: Column, count: Column = n) -> Column:
         """Two edges of the ring that are not neighbours."""
         gap = second["i"] - first["i"]
-        return (gap > 1) & ~((first["i"] == 0) & (second["i"] == n - 1))
+        return (gap > 1) & ~((first["i"] == 0) & (second["i"] == count - 1))
 
     crossing = F.exists(edges, lambda e: F.exists(edges, lambda g: apart(e, g) & segments_touch(e["a"], e["b"], g["a"], g["b"], boundary)))
     flat = F.coalesce(off <= planarity, F.lit(False))
     ring = findings(framed, F.col(entity), {
-        "ring_not_coplanar": (~flat, None), "ring_not_simple": (flat & crossing, None)})
-    return shape.unionByName(degenerate).unionByName(ring)
+        "ring_not_coplanar": (~flat, None), "ring_not_simple": (flat & (n <= SHORT_RING) & crossing, None)})
+
+    # long rings: edges as rows
+    span = F.greatest(*[F.array_max(F.transform("ring", lambda p: p[c])) - F.array_min(F.transform("ring", lambda p: p[c])) for c in "xy"])
+    around = F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
+    cell = F.greatest(around / n, span / n, F.lit(4 * boundary))
+    rings = V.once(framed.where(flat & (n > SHORT_RING)), {"__n": n, "__cell": cell, "__edges": edges})  # not once per edge
+    rows = spread_out(cut_lineage(rings.select("__ring_id", entity, "__n", "__cell", F.explode("__edges").alias("e"))))
+    # an edge lies in the cells of its pieces, each no longer than a cell: all edges together have at most twice as many pieces as edges
+    pieces = F.greatest(F.ceil(F.hypot(F.col("e.b.x") - F.col("e.a.x"), F.col("e.b.y") - F.col("e.a.y")) / F.col("__cell")), F.lit(1)).cast("int")
+    rows = rows.select("*", pieces.alias("__m"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("__k"))
+    ends = {c: [F.col("e.a")[c] + (F.col("e.b")[c] - F.col("e.a")[c]) * (F.col("__k") + j) / F.col("__m") for j in (0, 1)] for c in "xy"}
+    pad = boundary + F.col("__cell") * 1e-6
+    low = [F.least(*ends[c]) - pad for c in "xy"]
+    high = [F.greatest(*ends[c]) + pad for c in "xy"]
+    celled = grid.cover(rows, low, high, F.col("__cell"), ["__cx", "__cy"])
+    celled = celled.drop("__k", "__m")
+    other = celled.select("__ring_id", "__cx", "__cy", F.col("e").alias("g"))
+    met = celled.join(other, ["__ring_id", "__cx", "__cy"]).where(apart(F.col("e"), F.col("g"), F.col("__n")))
+    crossed = met.where(segments_touch(F.col("e.a"), F.col("e.b"), F.col("g.a"), F.col("g.b"), boundary)).select("__ring_id", entity).distinct()
+    long = crossed.select(F.lit("ring_not_simple").alias("rule"), F.col(entity).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("detail"))
+    return shape.unionByName(degenerate).unionByName(ring).unionByName(long)
 
 
 def segments_touch(a: Column, b: Column, c: Column, d: Column, tolerance: float) -> Column:

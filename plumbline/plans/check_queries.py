@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import checks as C
@@ -71,6 +73,18 @@ def check_polygon_ring(spark, sf):
     return C.check_polygon_ring(W.table(spark, sf, "part").select(k.alias("polygon_id"), ring.alias("vertices"))).select("rule", "entity_id")
 
 
+@query("SELECT 'ring_not_simple' AS rule, CAST(p_partkey AS VARCHAR) AS entity_id FROM part WHERE p_partkey % 3 = 1")
+def check_long_rings(spark, sf):
+    """Cogs of 80 to 120 edges around a part, a third of them with a tooth that crosses the far side."""
+    k = F.col("p_partkey")
+    teeth = 40 + F.col("p_size") % 21
+    angle = lambda i: i * (2 * math.pi) / (2 * teeth)
+    corner = lambda i: F.array(F.cos(angle(i)) * F.when(i % 2 == 0, 5.0).otherwise(4.5), F.sin(angle(i)) * F.when(i % 2 == 0, 5.0).otherwise(4.5), F.lit(1.0))
+    ring = F.transform(F.sequence(F.lit(0), 2 * teeth - 1), corner)
+    thrust = F.transform(ring, lambda p, i: F.when((k % 3 == 1) & (i == 7), F.array(p[0] * -2, p[1] * -2, p[2])).otherwise(p))
+    return C.check_polygon_ring(W.table(spark, sf, "part").select(k.alias("polygon_id"), thrust.alias("vertices"))).select("rule", "entity_id")
+
+
 def _observations(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     kind = F.when(k % 4 == 0, "point").when(k % 4 == 1, "polyline").when(k % 4 == 2, "polygon").otherwise("circle")

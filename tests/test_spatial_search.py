@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import hulls
 from plumbline.functions.linalg import hull_ring
 from plumbline.functions.quantiles import exact_quantiles, order_statistics
-from plumbline.operators import appearance as A, mesh as M, surfaces as S
+from plumbline.operators import appearance as A, checks as C, mesh as M, surfaces as S
+from plumbline.session import cut_lineage
 
 
 @pytest.mark.parametrize("shape", ["disc", "circle", "needle", "grid"])
@@ -153,3 +154,13 @@ def test_coplanar_pairs_far_from_the_origin(spark):
     want = {(i, j) for i in range(80) for j in range(i) if boxes[i][0] == boxes[j][0] and (boxes[i][1] <= boxes[j][2] + 1e-5).all() and (boxes[j][1] <= boxes[i][2] + 1e-5).all()}
     assert got == {tuple(sorted(x)) for x in want}
 
+
+def test_rings_of_many_edges(spark):
+    n = 50_000
+    corner = lambda i: F.array(F.cos(i * (2 * np.pi / n)) * 9, F.sin(i * (2 * np.pi / n)) * 9, F.lit(2.0))
+    circle = cut_lineage(spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), corner).alias("vertices")))
+    dent = F.transform("vertices", lambda p, i: F.when(i == 777, F.array(p[0] * -1.5, p[1] * -1.5, p[2])).otherwise(p))
+    rings = circle.select(F.lit(1).alias("polygon_id"), "vertices").unionByName(circle.select(F.lit(2).alias("polygon_id"), dent.alias("vertices")))
+    rings = cut_lineage(rings.unionByName(circle.select(F.lit(1).alias("polygon_id"), "vertices")))  # the same id again is another ring
+    got = C.check_polygon_ring(rings).select("rule", "entity_id").collect()
+    assert [tuple(r) for r in got] == [("ring_not_simple", "2")]
