@@ -37,7 +37,7 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_terms(batches: Iterator[pa.RecordBatch], held_terms: int = HELD_TERMS) -> Iterator[pa.RecordBatch]:
     """``lang, source, term, n, df`` for the rows of a task, given ``lang, text, source``; a key comes again where the held counts were handed on."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
@@ -62,7 +62,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.update(terms)
                 df.update(set(terms))
                 size += len(n) - before
-                if size > HELD_TERMS:
+                if size > held_terms:
                     yield from hand_on()
                     size = 0
     yield from hand_on()
@@ -80,9 +80,9 @@ def distance(p, q):
     return d * d // q
 
 
-def term_index(base: DataFrame, least_docs: int) -> DataFrame:
+def term_index(base: DataFrame, least_docs: int, held_terms: int = HELD_TERMS) -> DataFrame:
     """The term-major index: ``lang, term, postings (source, n), total`` of terms in at least ``least_docs`` documents of their language."""
-    partial = base.mapInArrow(count_terms, "lang string, source string, term binary, n long, df long")
+    partial = base.mapInArrow(lambda batches: count_terms(batches, held_terms), "lang string, source string, term binary, n long, df long")
     dealt = partial.repartition("lang", "term")  # one exchange serves both groupings
     per = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     return (per.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("postings"), F.sum("n").alias("total"), F.sum("df").alias("df"))
@@ -99,7 +99,7 @@ def group_table(base: DataFrame, index: DataFrame) -> DataFrame:
             .withColumn("p0", smoothed(F.lit(0), F.col("total"), F.col("kept"))))
 
 
-def accumulate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def accumulate_rows(batches: Iterator[pa.RecordBatch], block_postings: int = BLOCK_POSTINGS) -> Iterator[pa.RecordBatch]:
     """Gustavson over postings ``lang, term, no, p, p0`` sorted by language and term: ``lang, no, peer, value`` per block of whole terms."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -130,7 +130,7 @@ def accumulate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             reach = np.cumsum(lengths[term[mine]])
             at = 0
             while at < len(mine):  # a bounded number of postings at a time
-                to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + BLOCK_POSTINGS, "right")))
+                to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + block_postings, "right")))
                 some = mine[at:to]
                 many = lengths[term[some]]
                 ends = np.cumsum(many)
@@ -148,7 +148,7 @@ def accumulate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         while batch.num_rows:
-            if rows >= BLOCK_POSTINGS:  # close the block where the next term begins
+            if rows >= block_postings:  # close the block where the next term begins
                 last = held[-1].slice(held[-1].num_rows - 1)
                 key = last.column(0)[0].as_py(), last.column(1)[0].as_py()
                 go_on = 0
@@ -162,7 +162,7 @@ def accumulate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     yield from block(pa.Table.from_batches(held))
                     held, rows = [], 0
             else:
-                take = min(batch.num_rows, BLOCK_POSTINGS - rows)
+                take = min(batch.num_rows, block_postings - rows)
                 held.append(batch.slice(0, take))
                 rows += take
                 batch = batch.slice(take)
@@ -170,7 +170,7 @@ def accumulate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from block(pa.Table.from_batches(held))
 
 
-def baselines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def baselines(batches: Iterator[pa.RecordBatch], block: int = BLOCK_POSTINGS) -> Iterator[pa.RecordBatch]:
     """Per group ``lang, no, kept, p0, values (p, m), peers (no, p0)``: its whole row against each peer's absent term, for the
     pair (group, peer), and each peer's absent term against its row less the absent terms, for the pair (peer, group)."""
     for batch in batches:
@@ -180,7 +180,7 @@ def baselines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             absent = row["kept"] - m.sum()
             peers = np.array([x["no"] for x in row["peers"]], np.int32)
             theirs = np.array([x["p0"] for x in row["peers"]], np.int64)
-            step = max(1, BLOCK_POSTINGS // max(1, len(p)))
+            step = max(1, block // max(1, len(p)))
             whole, back = [], []
             for lo in range(0, len(peers), step):
                 q = theirs[lo:lo + step]
@@ -194,7 +194,8 @@ def baselines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.r_[whole, back])], ["lang", "no", "peer", "value"])
 
 
-def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
+               held_terms: int = HELD_TERMS, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
     """``lang, source, part, item, value, rank``: each group's distance to its peers, and the terms that set it apart from its language.
 
     Part ``pair``: item is another source of the language, all ranks. Part ``term``: item is a kept term that the group uses more than its
@@ -202,13 +203,13 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, lang_col: s
 
     Null texts, languages and sources read as ''. Repeated rows count each. A language without kept terms has values 0. Other columns
     are not read. Empty input gives an empty result. Counts are combined per task before they are dealt by term, so a group with a third of
-    all rows is no hot key; only tables of groups are ever gathered by group.
+    all rows is no hot key; only tables of groups are ever gathered by group. ``held_terms`` and ``block_postings`` bound what a task holds, and change no result.
     """
     def text(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
     base = docs.select(text(lang_col).alias("lang"), text(text_col).cast("binary").alias("text"), text(source_col).alias("source"))
-    index = stored(term_index(base, least_docs), "divergence-index")
+    index = stored(term_index(base, least_docs, held_terms), "divergence-index")
     groups = stored(group_table(base, index), "divergence-groups")
     rows = (index.select("lang", "term", F.col("total").alias("all"), F.inline("postings"))
             .join(groups, ["lang", "source"])
@@ -224,12 +225,12 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, lang_col: s
 
     names = "lang string, no int, peer int, value long"
     shared = (rows.select("lang", "term", "no", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term", "no")
-              .mapInArrow(accumulate_rows, names))
+              .mapInArrow(lambda batches: accumulate_rows(batches, block_postings), names))
     values = rows.groupBy("lang", "no", "p").agg(F.count(F.lit(1)).alias("m"))
     values = values.groupBy("lang", "no").agg(F.collect_list(F.struct("p", "m")).alias("values"))
     peers = groups.groupBy("lang").agg(F.collect_list(F.struct("no", "p0")).alias("peers"))
     alone = (groups.select("lang", "no", "kept", "p0").join(values, ["lang", "no"], "left").join(peers, "lang")
-             .select("lang", "no", "kept", "p0", "values", "peers").mapInArrow(baselines, names))
+             .select("lang", "no", "kept", "p0", "values", "peers").mapInArrow(lambda batches: baselines(batches, block_postings), names))
     sums = (shared.unionByName(alone).groupBy("lang", "no", "peer").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value")))
     own = groups.select("lang", "no", "source")
     pairs = sums.join(own, ["lang", "no"]).join(own.select("lang", F.col("no").alias("peer"), F.col("source").alias("item")), ["lang", "peer"])

@@ -57,12 +57,10 @@ def test_divergence_equals_brute_force(spark):
 
 
 @pytest.mark.parametrize("held, block", [(3, 2), (1, 1), (50, 7)])
-def test_divergence_in_small_blocks(spark, monkeypatch, held, block):
-    monkeypatch.setattr(divergence, "HELD_TERMS", held)
-    monkeypatch.setattr(divergence, "BLOCK_POSTINGS", block)
+def test_divergence_in_small_blocks(spark, held, block):
     rng = np.random.default_rng(5)
     rows = [(" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"], 9)), "en", f"s{k % 5}") for k in range(40)]
-    got = divergence.divergence(documents(spark, rows), top=3)
+    got = divergence.divergence(documents(spark, rows), top=3, held_terms=held, block_postings=block)
     assert sorted(tuple(r) for r in got.collect()) == brute_divergence(rows, top=3)
 
 
