@@ -15,6 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,7 +41,20 @@ def share_of(key: Column, salt: str) -> Column:
     return (F.pmod(F.xxhash64(key.cast("string"), F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
 
 
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
+BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in small batches: whole texts vary from a few bytes to many millions, and a batch lies in memory on both sides.
+
+    Set for the session where it allows more, and left so, since frames are run later than they are made.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def slices(batch: pa.RecordBatch, text: pa.Array | None = None, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -60,6 +74,7 @@ def with_features(docs: DataFrame, text_col: str, names: tuple[str, ...], comput
     ``compute(text, row)`` gives the lists of one row, from its whole text (null: empty). Rows stay as they are, so names cannot clash
     and nothing is joined back.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keep)
     floats = pa.list_(pa.float64())
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in names)])
