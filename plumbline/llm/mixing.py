@@ -122,38 +122,53 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
             .select("doc_id", "carried", "size", "source_size", "target", "taken", "start", "schedule"))
 
 
+def with_positions(plan: DataFrame, schedules: Sequence = (FADING, FLAT, RISING)) -> DataFrame:
+    """The plan with ``positions``: the training time in [0, 1] at which each copy of the document begins, first copy first.
+
+    A document that is not taken has an empty list.
+    """
+    def begins(epoch: Column) -> Column:
+        share = (F.col("start") + epoch * F.col("source_size")) / F.col("target")
+        at = F.lit(None).cast("double")
+        for k, knots in enumerate(schedules):
+            at = F.when(F.col("schedule") == k, time_at(share, knots)).otherwise(at)
+        return at
+
+    many = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    epochs = F.when(F.col("taken") > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
+    return plan.withColumn("positions", F.transform(epochs, begins))
+
+
 def copies(plan: DataFrame, schedules: Sequence = (FADING, FLAT, RISING)) -> DataFrame:
-    """One row per copy that the mix takes: the plan's columns with ``epoch, words, position``.
+    """One row per copy that the mix takes: the plan's columns with ``epoch, position, words``.
 
     ``position`` is the training time in [0, 1] at which the copy begins; ``words`` is below the
     document's size only for the copy at the boundary of its source.
     """
-    many = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    out = (plan.filter("taken > 0")
-           .withColumn("epoch", F.explode(F.sequence(F.lit(0), many - 1)))
-           .withColumn("words", F.least("size", F.col("taken") - F.col("epoch") * F.col("size"))))
-    share = (F.col("start") + F.col("epoch") * F.col("source_size")) / F.col("target")
-    at = F.lit(None).cast("double")
-    for k, knots in enumerate(schedules):
-        at = F.when(F.col("schedule") == k, time_at(share, knots)).otherwise(at)
-    return out.withColumn("position", at)
+    kept = [c for c in plan.columns if c != "positions"]
+    return (with_positions(plan, schedules).select(*kept, F.posexplode("positions").alias("epoch", "position"))
+            .withColumn("words", F.least("size", F.col("taken") - F.col("epoch") * F.col("size"))))
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to its n-th word."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), 1, n.cast("int")), "")
+def mix_in_order(docs: DataFrame, **options) -> DataFrame:
+    """The plan of every document, range-sorted by the position of its first copy; documents that are not taken come last.
+
+    Adds ``copies`` and ``first_position, last_position`` (null if not taken) to ``plan_mix``. Ties go by ``doc_id``.
+    """
+    placed = with_positions(plan_mix(docs, **options), options.get("schedules", (FADING, FLAT, RISING)))
+    placed = (placed.withColumn("copies", F.size("positions").cast("long"))
+              .withColumn("first_position", F.get("positions", F.lit(0)))
+              .withColumn("last_position", F.get("positions", F.size("positions") - 1)).drop("positions", "carried"))
+    order = (F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mixed_documents(docs: DataFrame, columns: Sequence[str] = ("doc_id", "text", "lang", "source", "n_chars"), **options) -> DataFrame:
-    """The mix itself: a row per copy taken, range-sorted by training position.
+    """The mix itself: a row per copy taken, range-sorted by training position. Columns other than the named ones are left out.
 
-    A copy cut at its source's boundary holds its first words, with ``n_chars`` counted anew. Columns other than the named ones are left out.
+    Texts stay whole: the copy at its source's boundary comes if at least half of its words are taken, so a source's words
+    differ from its target by at most half a document, and a source of one document whose target is below half of it is absent.
     """
-    plan = copies(plan_mix(docs, carry=columns, **options))
-    cut = F.col("words") < F.col("size")
-    text = F.when(cut, first_words(F.col("carried.text"), F.col("words"))).otherwise(F.col("carried.text"))
-    out = [F.col(f"carried.{c}").alias(c) for c in columns]
-    placed = plan.select("position", "epoch", "cut" if "cut" in plan.columns else cut.alias("cut"), *out, text.alias("cut_text"))
-    ordered = placed.repartitionByRange("position", "doc_id", "epoch").sortWithinPartitions("position", "doc_id", "epoch")
-    shown = {"text": F.col("cut_text"), "n_chars": F.when(F.col("cut"), F.length("cut_text").cast("long")).otherwise(F.col("n_chars"))}
-    return ordered.select(*[shown.get(c, F.col(c)).alias(c) for c in columns])
+    plan = copies(plan_mix(docs, carry=columns, **options), options.get("schedules", (FADING, FLAT, RISING)))
+    placed = plan.filter(2 * F.col("words") >= F.col("size")).select("position", "epoch", *[F.col(f"carried.{c}").alias(c) for c in columns])
+    return placed.repartitionByRange("position", "doc_id", "epoch").sortWithinPartitions("position", "doc_id", "epoch").select(*columns)

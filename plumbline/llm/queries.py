@@ -46,7 +46,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix of all documents in training order: words taken, copies, and the times at which the first and the last copy begin."""
+    return mixing.mix_in_order(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", "first_position", "last_position")
 
 
 ORACLES["op5_mixing"] = r"""
@@ -56,7 +58,7 @@ WITH d AS (
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 ranked AS (
-  SELECT source, source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+  SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn, [5.0, 2.0, 1.0][1 + turn]::DOUBLE AS weight
   FROM per),
 caps AS (SELECT *, 3.0::DOUBLE * source_size AS ceiling, 3.0::DOUBLE * source_size / weight AS ratio FROM ranked),
 level AS (
@@ -64,17 +66,27 @@ level AS (
          sum(source_size) OVER () AS total
   FROM caps WINDOW r AS (ORDER BY ratio RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 targets AS (
-  SELECT source, source_size, CASE WHEN full_up THEN ceiling
+  SELECT source, source_size, turn, CASE WHEN full_up THEN ceiling
     ELSE (total - coalesce(sum(ceiling) FILTER (full_up) OVER (), 0)) * weight / sum(weight) FILTER (NOT full_up) OVER () END AS target
   FROM level),
 placed AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS whole,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.turn, round(t.target)::BIGINT AS whole,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (CASE WHEN source_size = 0 THEN 0 ELSE (whole // source_size) * size
-         + least(greatest(whole - (whole // source_size) * source_size - start, 0), size) END)::BIGINT AS taken
-FROM placed
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+mix AS (
+  SELECT *, (CASE WHEN source_size = 0 THEN 0 ELSE (whole // source_size) * size
+         + least(greatest(whole - (whole // source_size) * source_size - start, 0), size) END)::BIGINT AS taken,
+         CASE WHEN taken > 0 THEN ceil(taken / size)::BIGINT ELSE 0 END AS copies
+  FROM placed),
+shares AS (
+  SELECT *, CASE WHEN copies > 0 THEN start::DOUBLE / target END AS a, CASE WHEN copies > 0 THEN (start + (copies - 1) * source_size)::DOUBLE / target END AS z
+  FROM mix)
+SELECT doc_id, size, source_size, target, taken, copies,
+       CASE WHEN a IS NULL THEN NULL WHEN turn = 0 THEN least(2 * a / (1.5 + sqrt(greatest(2.25 - 2 * a, 0))), 1) WHEN turn = 1 THEN least(2 * a / 2, 1)
+         ELSE least(2 * a / (0.5 + sqrt(0.25 + 2 * a)), 1) END::DOUBLE AS first_position,
+       CASE WHEN z IS NULL THEN NULL WHEN turn = 0 THEN least(2 * z / (1.5 + sqrt(greatest(2.25 - 2 * z, 0))), 1) WHEN turn = 1 THEN least(2 * z / 2, 1)
+         ELSE least(2 * z / (0.5 + sqrt(0.25 + 2 * z)), 1) END::DOUBLE AS last_position
+FROM shares
 """
 
 

@@ -55,12 +55,31 @@ def test_positions_follow_the_schedule(spark, docs):
     assert flat.agg(F.min("position"), F.max("position")).first()[1] < 1
 
 
+def test_stage_takes_whole_documents_near_targets(spark, docs):
+    random.seed(9)
+    rows = [(k, f"d{k} " * random.randint(1, 60), random.choice("aaaaabbc")) for k in range(300)]
+    text, source = {k: t for k, t, _ in rows}, {k: s for k, _, s in rows}
+    words, times = {}, {}
+    for r in mixing.mixed_documents(docs(rows)).collect():
+        assert r["text"] == text[r["doc_id"]]
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+        times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+    target = {source[r["doc_id"]]: r["target"] for r in mixing.plan_mix(docs(rows)).collect()}
+    assert max(times.values()) <= 3 and all(abs(words[s] - target[s]) <= 31 for s in target)
+
+
 def test_mixed_documents_edges(spark, docs):
     rows = [(1, "one two three", "a"), (1, "one two three", "a"), (2, None, "a"), (None, "lone words", None), (3, "", "b"), (4, "x " * 50, "b")]
     out = mixing.mixed_documents(docs(rows)).collect()
     assert {r["doc_id"] for r in out} <= {1, None, 4}
-    plan = mixing.plan_mix(docs(rows))
-    assert plan.agg(F.sum("taken")).first()[0] == sum(len(r["text"].split()) for r in out)
+    whole = {k: t for k, t, _ in rows}
+    assert all(r["text"] == whole[r["doc_id"]] for r in out)
+    planned = mixing.mix_in_order(docs(rows)).collect()
+    assert [r["first_position"] for r in planned] == sorted((r["first_position"] for r in planned), key=lambda x: (x is None, x or 0))
+    assert all((r["copies"] > 0) == (r["taken"] > 0) == (r["first_position"] is not None) for r in planned)
+    want = sum(r["taken"] // r["size"] + (2 * (r["taken"] % r["size"]) >= r["size"] > 0 and r["taken"] % r["size"] > 0) for r in planned if r["size"])
+    assert len(out) == want
+    assert mixing.mix_in_order(docs([])).count() == 0
     assert mixing.plan_mix(docs([])).count() == 0 and mixing.mixed_documents(docs([])).count() == 0
     zero = mixing.plan_mix(docs([(1, None), (2, " ")])).collect()
     assert [r["taken"] for r in zero] == [0, 0]

@@ -27,7 +27,9 @@ def test_stages_and_their_decisions(spark):
             taken = collections.Counter()
             for r in rows:
                 taken[r["source"]] += len(r["text"].split())
-            assert sum(taken.values()) <= sum(size.values()) + len(size) and all(taken[s] <= 3 * size[s] for s in size)
+            longest = max(len((r["text"] or "").split()) for r in before)
+            assert sum(taken.values()) <= sum(size.values()) + len(size) * longest and all(taken[s] <= 3 * size[s] for s in size)
+            assert {(r["doc_id"], r["text"]) for r in rows} <= {(r["doc_id"], r["text"]) for r in before}
         if name == "tokens":
             assert len(rows) == len(before)
         before = rows
