@@ -160,6 +160,18 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return out.select("row", probability(F.col("t")).alias("text_score"), probability(F.col("m")).alias("meta_score"), probability(F.col("t") + F.col("m") - F.lit(prior)).alias("score"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, **options) -> DataFrame:
-    """The documents with a score of at least ``keep_from``, with all their columns."""
-    return scored(docs, labels, **options).filter(F.col("score") >= keep_from).select("row.*")
+def good_documents(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+                   **options) -> DataFrame:
+    """The documents with a score of at least ``keep_from``, with all their columns.
+
+    Texts are not stored: rows are scored under a 128-bit key of what the views read, and those with a rejected key go. Rows equal in it have
+    one score.
+    """
+    read = [docs[c] for c in (text_col, lang_col, source_col)]
+    parts = [x for c in read for x in (c.isNull(), c)]
+    key = F.struct(F.xxhash64(F.lit("one"), *parts).alias("one"), F.xxhash64(F.lit("two"), *parts).alias("two"))
+    slim = docs.select(docs[id_col], *read, key.alias("__key"))
+    found = scored(slim, labels, id_col, text_col, lang_col, source_col, keep=("__key",), **options)
+    gone = stored(found.filter(~(F.col("score") >= keep_from)).select("row.__key.one", "row.__key.two").distinct(), "quality-rejected")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.getField("one").alias("one"), key.getField("two").alias("two"))
+    return rows.join(gone, ["one", "two"], "left_anti").select("row.*")
