@@ -88,3 +88,17 @@ def test_quality_edges(spark, docs):
     assert {r["score"] for r in co.scored(rows, none).collect()} == {0.5}
     assert co.good_documents(rows, none).count() == 5 and co.good_documents(rows, none).columns == rows.columns
     assert co.scored(docs([]), none).count() == 0
+
+
+def test_good_documents_are_those_that_score(spark):
+    rows = [(k, None if k % 17 == 0 else "" if k % 13 == 0 else f"word{k} and more words, {k}. " * (k % 9 + 1), None if k % 11 == 0 else "en", "s" if k % 3 else None, 7, 8, "x") for k in range(120)]
+    rows += rows[:20] + [(None, "a text without an id", "en", "s", 7, 8, "x"), (5, "another text of id 5", "en", "s", 7, 8, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, one long, two long, row string")
+    labels = spark.createDataFrame([(k, int(k % 9 > 3)) for k in range(0, 120, 2)], "doc_id long, quality int")
+    got = co.good_documents(docs, labels)
+    assert got.columns == docs.columns
+    scores = co.scored(docs, labels)
+    want = scores.filter("score >= 0.5").select("row.*")
+    assert 0 < want.count() < len(rows)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert co.good_documents(docs.limit(0), labels).count() == 0
