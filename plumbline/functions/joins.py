@@ -1,4 +1,4 @@
-"""A join that broadcasts only what has been measured."""
+"""Joins that broadcast only what has been measured."""
 
 from __future__ import annotations
 
@@ -25,3 +25,8 @@ def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def join_model(rows: DataFrame, model: DataFrame, on: Sequence[str], limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join a per-key model table to its many rows. The model is written out and measured first."""
     return rows.join(measured(cut_lineage(model), limit), list(on))
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` marked to be joined by sorting both sides. Spark guesses sizes from files, which say little about arrays and exploded rows made of them."""
+    return df.hint("merge")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import grid, vectors as V
+from plumbline.functions.joins import by_shuffle
 from plumbline.rules import findings
 from plumbline.session import cut_lineage
 
@@ -127,11 +128,11 @@ def view_cut_pipeline(views: DataFrame, subjects: DataFrame, polygons: DataFrame
     """
     v = views.select("view_id", "kind", "right_frame", "up_frame", "cut", F.col("clips").alias("__view_clips"))
     chosen = subjects.join(v, "view_id").withColumn("__clips", F.concat("__view_clips", "clips")).drop("__view_clips", "clips")
-    faces = chosen.join(polygons, ["object_id", "face"])
+    faces = chosen.join(by_shuffle(polygons), ["object_id", "face"])
     off_plane = F.exists("polygon", lambda p: F.abs(F.get(p, F.col("cut")["axis"]) - F.col("cut")["value_m"]) > EPS)
     split = F.coalesce((F.col("kind") == SECTION) & off_plane, F.lit(False))
     whole = faces.where(~split)
-    parts = faces.where(split).drop("polygon").join(triangles, ["object_id", "face"])
+    parts = faces.where(split).drop("polygon").join(by_shuffle(triangles), ["object_id", "face"])
     pieces = whole.unionByName(parts.select(whole.columns))
     cut = F.col("cut")
     shaped = (
@@ -166,8 +167,8 @@ def view_emission(views: DataFrame, subjects: DataFrame, segments: DataFrame, co
     per_object = per_face.groupBy("view_id", "object_id").agg(
         F.sum("n").alias("segments"), F.sum("len").alias("emitted_m"), F.count_if(F.col("best") > MIN_EMITTED).alias("faces_used"))
     flagged = collapsed.select("view_id", "object_id", F.lit(True).alias("__collapsed")).distinct()
-    rows = subjects.select("view_id", "object_id").distinct().join(per_object, ["view_id", "object_id"], "left").join(
-        flagged, ["view_id", "object_id"], "left")
+    rows = subjects.select("view_id", "object_id").distinct().join(by_shuffle(per_object), ["view_id", "object_id"], "left").join(
+        by_shuffle(flagged), ["view_id", "object_id"], "left")
     status = (F.when(F.col("__collapsed"), "selected_polygon_vertices_coincident")
               .when(F.col("segments").isNull(), "selected_faces_emitted_no_segments_after_cuts_or_clips")
               .when(F.col("faces_used") == 0, "selected_faces_have_no_segments_inside_declared_bounds").otherwise("drawn"))

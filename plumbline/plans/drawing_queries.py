@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.joins import by_shuffle
 from plumbline.operators import drawing as D
 from plumbline.plans import views as W
 from plumbline.plans.pixel_queries import rounded
@@ -165,7 +166,7 @@ obj AS (SELECT v, object_id, count(*) AS segments, sum(len) AS emitted, max(len)
 def view_emission(spark, sf):
     views, subjects, polygons, triangles = view_tables(spark, sf)
     segments = D.view_cut_pipeline(views, subjects, polygons, triangles)
-    corners = subjects.join(polygons, ["object_id", "face"]).select("view_id", "object_id", F.explode("polygon").alias("p")).select(
+    corners = subjects.join(by_shuffle(polygons), ["object_id", "face"]).select("view_id", "object_id", F.explode("polygon").alias("p")).select(
         "view_id", "object_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), F.col("p")[2].alias("z"))
     collapsed = D.point_collapse(corners, ["view_id", "object_id"]).where("all_vertices_coincident")
     objects, _ = D.view_emission(views, subjects, segments, collapsed)
