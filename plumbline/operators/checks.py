@@ -79,6 +79,7 @@ def check_polygon_ring(polygons: DataFrame, entity: str = "polygon_id", planarit
 
     Edges of a longer ring than ``SHORT_RING`` are rows that meet in cells of their mean length, so its cost grows with its edges and not with their pairs.
     """
+    from plumbline.functions.joins import by_shuffle
     from plumbline.operators.surfaces import polygon_frames
     from plumbline.session import cut_lineage, spread_out
 
@@ -122,7 +123,7 @@ def check_polygon_ring(polygons: DataFrame, entity: str = "polygon_id", planarit
     celled = grid.cover(rows, low, high, F.col("__cell"), ["__cx", "__cy"])
     celled = celled.drop("__k", "__m")
     other = celled.select("__ring_id", "__cx", "__cy", F.col("e").alias("g"))
-    met = celled.join(other, ["__ring_id", "__cx", "__cy"]).where(apart(F.col("e"), F.col("g"), F.col("__n")))
+    met = celled.join(by_shuffle(other), ["__ring_id", "__cx", "__cy"]).where(apart(F.col("e"), F.col("g"), F.col("__n")))
     crossed = met.where(segments_touch(F.col("e.a"), F.col("e.b"), F.col("g.a"), F.col("g.b"), boundary)).select("__ring_id", entity).distinct()
     long = crossed.select(F.lit("ring_not_simple").alias("rule"), F.col(entity).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("detail"))
     return shape.unionByName(degenerate).unionByName(ring).unionByName(long)

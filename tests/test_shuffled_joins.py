@@ -17,3 +17,15 @@ def broadcast_keys(df):
 @pytest.mark.parametrize("name", ["view_cut_pipeline", "view_emission"])
 def test_only_the_table_of_views_is_broadcast(spark, name):
     assert not [k for k in broadcast_keys(QUERIES[name](spark, SF)) if "object_id" in k]
+
+
+def test_edges_of_long_rings_meet_by_shuffling(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.checks import check_polygon_ring
+
+    at = lambda i: F.array(F.cos(i * 0.1), F.sin(i * 0.1), F.lit(0.0))
+    rings = spark.range(3).select(F.col("id").alias("polygon_id"), F.transform(F.sequence(F.lit(0), F.lit(60)), at).alias("vertices"))
+    found = check_polygon_ring(rings)
+    assert not [k for k in broadcast_keys(found) if "__ring_id" in k]
+    assert found.isEmpty()
