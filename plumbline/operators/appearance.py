@@ -81,6 +81,7 @@ def depth_visibility(
 
     ``projected`` carries ``px_u, px_v, depth_m, visible``; ``depth(on.., v, u,
     depth_mm, confidence)``.  The optional ``mask(on.., v, u)`` lists usable photo pixels.
+    Depths are compared to the nanometre, so that the last bits of a projection do not decide at the tolerance.
     """
     def pixel(name: str, i: int, size: tuple[int, int]) -> Column:
         scaled = F.rint(F.col(name) * F.lit(size[i] / image_size[i]))
@@ -88,7 +89,7 @@ def depth_visibility(
 
     rows = projected.withColumns({"__u": pixel("px_u", 0, depth_size), "__v": pixel("px_v", 1, depth_size)})
     seen = depth.select(*on, F.col("v").cast("long").alias("__v"), F.col("u").cast("long").alias("__u"), F.col("depth_mm").alias("__mm"), F.col("confidence").alias("__conf"))
-    j = rows.join(seen, [*on, "__v", "__u"], "left").withColumn("residual_m", F.abs(F.col("__mm") / F.lit(1000.0) - F.col("depth_m")))
+    j = rows.join(seen, [*on, "__v", "__u"], "left").withColumn("residual_m", F.abs(F.col("__mm") / F.lit(1000.0) - F.round("depth_m", 9)))
     accepted = F.col("visible") & (F.col("__conf") == confidence_value) & (F.col("__mm") > 0) & (F.col("residual_m") <= tolerance_m)
     out = j.withColumn("accepted", F.coalesce(accepted, F.lit(False))).drop("__u", "__v", "__mm", "__conf")
     if mask is not None:

@@ -15,6 +15,7 @@ from plumbline.functions import vectors as V
 from plumbline.functions.ranking import bucketed_rank, range_rank
 
 FRAME = ("capture_id", "frame_id")
+EDGE_PX = 1e-6  # fixed value: what projecting a border pixel's own point may miss it by, a kilometre from the origin
 
 
 def eligible(confidence_value: int = 255, max_depth_m: float = 5.0) -> Column:
@@ -195,8 +196,8 @@ def project_to_camera(
         "px_v": F.col("__cy") - F.col("__fy") * F.col("__ly") / safe,
     })
     visible = (
-        (F.col("depth_m") > near_m) & (F.col("px_u") >= 0) & (F.col("px_v") >= 0)
-        & (F.col("px_u") <= F.col("__width") - 1) & (F.col("px_v") <= F.col("__height") - 1)
+        (F.col("depth_m") > near_m) & (F.col("px_u") >= -EDGE_PX) & (F.col("px_v") >= -EDGE_PX)
+        & (F.col("px_u") <= F.col("__width") - 1 + EDGE_PX) & (F.col("px_v") <= F.col("__height") - 1 + EDGE_PX)
     )
     return joined.withColumn("visible", visible).drop(
         "__lx", "__ly", *[f"__{c}" for c in ("width", "height", "fx", "fy", "cx", "cy", "pose")])
