@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.joins import by_shuffle
 from plumbline.operators import mesh as M
 from plumbline.plans import views as W
 from plumbline.plans.pixel_queries import rounded
@@ -78,7 +79,7 @@ def signed_volume(spark, sf):
 def inverted_closed_mesh(spark, sf):
     vertices, triangles = boxes(spark, sf)
     broken = M.nonfinite_mesh(vertices)
-    drop = lambda df: df.join(broken, "object_id", "left_anti")
+    drop = lambda df: df.join(by_shuffle(broken), "object_id", "left_anti")
     faces = triangles.select("object_id", "face", "vertices")
     return M.inverted_closed_mesh(drop(faces), drop(triangles), drop(vertices)).select("object_id")
 
