@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.functions.joins import by_shuffle
 from plumbline.session import cut_lineage
 
 
@@ -54,14 +55,14 @@ def collection_closure(collections: DataFrame, links: DataFrame, root) -> DataFr
     """
     shown = collections.where(~F.col("hide_render")).select("id")
     steps = cut_lineage(links.where(F.col("parent_id") != F.col("child_id")).join(
-        shown.withColumnRenamed("id", "child_id"), "child_id", "left_semi"))
+        by_shuffle(shown.withColumnRenamed("id", "child_id")), "child_id", "left_semi"))
     seen = [cut_lineage(shown.where(F.col("id") == root))]
     frontier = seen[0]
     while not frontier.isEmpty():
         known = reduce(DataFrame.unionByName, seen)
         frontier = cut_lineage(
-            frontier.withColumnRenamed("id", "parent_id").join(steps, "parent_id")
-            .select(F.col("child_id").alias("id")).distinct().join(known, "id", "left_anti"))
+            frontier.withColumnRenamed("id", "parent_id").join(by_shuffle(steps), "parent_id")
+            .select(F.col("child_id").alias("id")).distinct().join(by_shuffle(known), "id", "left_anti"))
         seen.append(frontier)
     return reduce(DataFrame.unionByName, seen)
 
@@ -71,7 +72,8 @@ def renderable_objects(closure: DataFrame, objects: DataFrame) -> DataFrame:
 
     ``objects(object_id, collection_id, hide_render)``.
     """
-    return objects.where(~F.col("hide_render")).join(closure.withColumnRenamed("id", "collection_id"), "collection_id", "left_semi").select("object_id").distinct()
+    return objects.where(~F.col("hide_render")).join(
+        by_shuffle(closure.withColumnRenamed("id", "collection_id")), "collection_id", "left_semi").select("object_id").distinct()
 
 
 def hierarchy_transforms(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
