@@ -292,6 +292,8 @@ def nearest_support_polygon(
     box = points.groupBy(*group).agg(*[f(a).alias(f"__{s}{a}") for s, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"])
     box = box.withColumn("__cell", F.greatest(*[F.col(f"__hi{a}") - F.col(f"__lo{a}") for a in "xyz"], F.lit(1e-6)) / cells)
     box = cut_lineage(box.withColumn("__reach", F.lit(first_reach) if first_reach else F.col("__cell") / 2))
+    # of exact copies in a group the lowest ordinal wins every tie, so only that one can support a point
+    polygons = polygons.groupBy(*group, "vertices").agg(F.min("polygon_ordinal").alias("polygon_ordinal"))
     framed = polygon_frames(polygons)
     limits = [f(F.col(f"ring.{c}")).alias(f"__{s}{c}") for s, f in (("min", F.array_min), ("max", F.array_max)) for c in "xy"]
     spans = [f(_entries("vertices", i)).alias(f"__{s}{a}") for s, f in (("low", F.array_min), ("high", F.array_max)) for i, a in enumerate("xyz")]
