@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import grid, vectors as V
+from plumbline.functions.joins import by_shuffle
 from plumbline.operators.surfaces import UNROLLED, edges_of, few_edges, inside_edges
 from plumbline.session import cut_lineage, spread_out
 
@@ -164,7 +165,7 @@ def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_i
     rise, in two slabs of height at most.  A point first meets the slab of its floor and the next one; what it finds within
     ``slab_m`` above its floor is the lowest there is.  Only points that found nothing so near meet all faces of their cells.
     """
-    rows = V.once(faces.select(*scene, F.col("polygon").alias("__p")), {"polygon": F.col("__p")}).drop("__p")
+    rows = faces.select(*scene, "polygon").distinct()
     rows = V.once(rows, {"__n": V.fan_normal(F.col("polygon"))})
     rows = V.once(rows, {"__len": V.norm(V.items("__n"))}).where(F.col("__len") > 1e-10)
     xs, ys, zs = F.transform("polygon", lambda p: p[0]), F.transform("polygon", lambda p: p[1]), F.transform("polygon", lambda p: p[2])
@@ -177,10 +178,10 @@ def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_i
     # a polygon that is not quite flat can reach its plane a little outside its corners' heights
     slack = 1e-6 + 1e-9 * F.greatest(F.abs("__z0"), F.abs("__z1"))
     slabbed = grid.level_cover(celled, [F.col("__z0") - slack], [F.col("__z1") + slack], slab_m, ["__slab"], "__rise", 1)
-    sought = spread_out(cut_lineage(points.select(*scene, point_key, "x", "y", "floor_z").distinct()))
+    place = [*scene, "x", "y", "floor_z"]  # points of one place share their ceiling
+    sought = spread_out(cut_lineage(points.select(*place).distinct()))
     x, y = F.col("x"), F.col("y")
     height = F.col("__oz") - V.over((x - F.col("__ox")) * F.col("__nx") + (y - F.col("__oy")) * F.col("__ny"), F.col("__nz"))
-    place = [*scene, point_key, "x", "y", "floor_z"]
 
     def lowest(located: DataFrame, sides: DataFrame, keys: Sequence[str]) -> DataFrame:
         met = located.join(sides, [*scene, *keys]).where((x >= F.col("__x0")) & (x <= F.col("__x1")) & (y >= F.col("__y0")) & (y <= F.col("__y1")))
@@ -199,8 +200,8 @@ def ceiling_above(points: DataFrame, faces: DataFrame, point_key: str = "point_i
     found = spread_out(cut_lineage(sought.join(found, place, "left")))
     close = F.coalesce(F.col("__h") <= F.col("floor_z") + slab_m, F.lit(False))
     far = lowest(on_levels(found.where(~close).select(*place), ["__level"]), celled, ["__level", "__i", "__j"])
-    best = found.where(close).select(*place, "__h").unionByName(far).groupBy(*scene, point_key).agg(F.min("__h").alias("ceiling_z"))
-    return points.join(best, [*scene, point_key], "left")
+    best = found.where(close).select(*place, F.col("__h").alias("ceiling_z")).unionByName(far.withColumnRenamed("__h", "ceiling_z"))
+    return points.join(by_shuffle(best), place, "left")
 
 
 def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
