@@ -85,6 +85,27 @@ def test_mixed_documents_edges(spark, docs):
     assert [r["taken"] for r in zero] == [0, 0]
 
 
+def in_order(docs):
+    """Ids in training order, from the plan's copies."""
+    kept = mixing.copies(mixing.plan_mix(docs)).filter(2 * F.col("words") >= F.col("size")).collect()
+    return [r["doc_id"] for r in sorted(kept, key=lambda r: (r["position"], r["doc_id"], r["epoch"]))]
+
+
+@pytest.mark.parametrize("slots", [1, 7, 1024])
+def test_stage_is_in_order_whatever_the_slots(docs, slots):
+    random.seed(11)
+    rows = [(k if k % 5 else 1000 + k % 3, "w " * random.choice((0, 1, 4, 4, 4, 90)), random.choice("aaaaabbc")) for k in range(400)]
+    assert [r["doc_id"] for r in mixing.mixed_documents(docs(rows), slots=slots).collect()] == in_order(docs(rows))
+    one = [(1, "w " * (k % 4), "a") for k in range(50)]
+    assert [r["doc_id"] for r in mixing.mixed_documents(docs(one), slots=slots).collect()] == in_order(docs(one))
+
+
+def test_stage_deals_texts_out_once(docs):
+    plan = mixing.mixed_documents(docs([(k, "w " * 9, "ab"[k % 2]) for k in range(40)]))._jdf.queryExecution().executedPlan().toString()
+    whole = plan.split("BroadcastExchange")[0]  # what is sent to all tasks holds no texts
+    assert whole.count("Exchange ") == 1 and "Exchange rangepartitioning(slot" in whole
+
+
 def test_rules_and_parts(spark):
     urls = ["http://A.Example.NET/en/x?q", "https://example.net/de", "x://example.com/de/1#a", "http://notexample.com/de/", "http://org/fr/", "http://b.org/fr", "no scheme", None, "",
             "http://h?x=/a", "ftp://net", "http://sub.example.com/de/", "a://b://c/d"]
