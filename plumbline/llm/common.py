@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.session import fresh_path
+from plumbline.session import BATCH_BYTES, BATCH_ROWS, fresh_path, small_batches  # noqa: F401  (operators take them from here)
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,19 +42,6 @@ def share_of(key: Column, salt: str) -> Column:
 
 
 SLICE_CHARS = 1_000_000
-BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python in small batches: whole texts vary from a few bytes to many millions, and a batch lies in memory on both sides.
-
-    Set for the session where it allows more, and left so, since frames are run later than they are made.
-    """
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, None)
-        if now is None or not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
 
 
 def slices(batch: pa.RecordBatch, text: pa.Array | None = None, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

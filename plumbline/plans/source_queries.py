@@ -17,7 +17,7 @@ from plumbline.plans import views as W
 from plumbline.plans.pixel_queries import rounded
 from plumbline.plans.registry import query
 from plumbline.plans.views import with_views
-from plumbline.session import cut_lineage, fresh_path
+from plumbline.session import cut_lineage, fresh_path, small_batches
 from plumbline.sources import archive_ranges as AR
 from plumbline.sources import archives as A
 from plumbline.sources import documents as D
@@ -130,6 +130,7 @@ def _archives(spark, sf):
                 archive.writestr(info, row.text.encode())
         return pd.DataFrame({"archive_id": [part["archive_id"].iloc[0]], "content": [buffer.getvalue()]})
 
+    small_batches(spark)
     docs = W.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 20).alias("archive_id"), "doc_id", "lang", "text")
     return docs.groupBy("archive_id").applyInPandas(build, "archive_id long, content binary")
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.session import BATCH_BYTES, BATCH_ROWS, small_batches
 
 BROKEN = (zipfile.BadZipFile, zipfile.LargeZipFile, EOFError, NotImplementedError, OSError, RuntimeError, ValueError, zlib.error)
 
@@ -32,23 +33,32 @@ def scan_archive_members(archives: DataFrame, key: str = "archive_id") -> DataFr
                     [(getattr(r, key), m.orig_filename, m.is_dir(), m.external_attr >> 16, m.file_size) for m in listed],
                     columns=[key, "name", "is_dir", "mode", "size"])
 
+    small_batches(archives.sparkSession)
     kind = archives.schema[key].dataType.simpleString()
     return archives.select(key, "content").mapInPandas(rows, f"{key} {kind}, name string, is_dir boolean, mode int, size long")
 
 
 def expand_archive(archives: DataFrame, key: str = "archive_id") -> DataFrame:
-    """File members with their bytes and SHA-256, one member in memory at a time.
+    """File members with their bytes and SHA-256, handed on in batches of about ``BATCH_BYTES``.
 
     Names are those of the listing, NUL included.  Members that do not unpack have no row; :func:`check_archives` names them.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for r in batch.itertuples(index=False):
                 for m, data, problem in _members(r.content):
                     if problem is None and not m.is_dir():
-                        yield pd.DataFrame({key: [getattr(r, key)], "name": [m.orig_filename], "content": [data]})
-
+                        held.append((getattr(r, key), m.orig_filename, data))
+                        size += len(data)
+                        if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                            yield pd.DataFrame(held, columns=[key, "name", "content"])
+                            held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=[key, "name", "content"])
+
+    small_batches(archives.sparkSession)
     kind = archives.schema[key].dataType.simpleString()
     out = archives.select(key, "content").mapInPandas(rows, f"{key} {kind}, name string, content binary")
     return out.withColumn("sha256", F.sha2("content", 256))
@@ -78,13 +88,17 @@ def check_archives(archives: DataFrame, key: str = "archive_id") -> DataFrame:
                 bad = [(problem, str(getattr(r, key)), m.orig_filename if m else None) for m, _, problem in _members(r.content) if problem]
                 yield pd.DataFrame(bad, columns=["rule", "entity_id", "detail"])
 
+    small_batches(archives.sparkSession)
     return archives.select(key, "content").mapInPandas(rows, "rule string, entity_id string, detail string")
 
 
 def archive_manifest(members: DataFrame, key: str = "archive_id") -> DataFrame:
-    """Files with hashes and every directory they imply, as ``path, is_dir, sha256``."""
-    files = members.select(key, F.col("name").alias("path"), F.lit(False).alias("is_dir"), "sha256")
+    """Files with hashes and every directory they imply, as ``path, is_dir, sha256``. Members are read once; repeated files keep their rows."""
     parts = F.split("name", "/")
-    folders = members.where(F.size(parts) > 1).select(
-        key, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path")).distinct()
-    return files.unionByName(folders.select(key, "path", F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("sha256")))
+    row = lambda path, is_dir, sha256: F.struct(path.alias("path"), F.lit(is_dir).alias("is_dir"), sha256.alias("sha256"))
+    ends = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    folders = F.transform(ends, lambda i: row(F.array_join(F.slice(parts, 1, i), "/"), True, F.lit(None).cast("string")))
+    rows = members.select(key, F.explode(F.concat(F.array(row(F.col("name"), False, F.col("sha256"))), folders)).alias("row"))
+    counted = rows.groupBy(key, "row").agg(F.count("*").cast("int").alias("n"))
+    times = F.when(F.col("row.is_dir"), 1).otherwise(F.col("n"))
+    return counted.select(key, "row", F.explode(F.sequence(F.lit(1), times))).select(key, "row.*")

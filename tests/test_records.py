@@ -12,6 +12,7 @@ from plumbline.operators import checks as C
 from plumbline.operators import coverage as V
 from plumbline.operators import hierarchy as H
 from plumbline.operators import integrity as I
+from plumbline.session import BATCH_BYTES
 from plumbline.sources import archives, documents, frames, sinks
 
 
@@ -188,6 +189,24 @@ def test_archives(spark, rows):
     assert {(r.path, r.is_dir) for r in manifest.collect()} == {("scan/keyframes/images/1.jpg", False), ("scan/notes.txt", False), ("scan", True), ("scan/keyframes", True), ("scan/keyframes/images", True)}
 
 
+def test_archives_reach_python_in_small_batches(spark):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    good = zipped(("a/b.txt", b"x" * 3_000_000), ("a/b.txt", b"x" * 3_000_000), ("c.txt", b"y"), ("a/d.txt", b"z" * 7_000_000))
+    df = spark.createDataFrame([(k, good) for k in range(4)], "archive_id int, content binary")
+    members = archives.expand_archive(df)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES
+    assert members.groupBy("name").count().collect() and members.count() == 16
+    manifest = archives.archive_manifest(members).groupBy("path", "is_dir").count().collect()
+    assert {tuple(r) for r in manifest} == {("a/b.txt", False, 8), ("c.txt", False, 4), ("a/d.txt", False, 4), ("a", True, 4)}
+
+
+def test_manifest_reads_members_once(spark):
+    df = spark.createDataFrame([(1, zipped(("a/b.txt", b"x")))], "archive_id int, content binary")
+    plan = archives.archive_manifest(archives.expand_archive(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
 def test_unicode_alias(spark):
     df = spark.createDataFrame([("Straße",), ("café",)], "n string")
     assert [r.f for r in df.select(C.nfc_casefold("n").alias("f")).collect()] == ["strasse", "café"]
