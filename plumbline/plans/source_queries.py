@@ -60,18 +60,20 @@ def scan_camera(spark, sf):
 # --- images -----------------------------------------------------------------
 
 
-def _encoded(spark, sf, column: str, bit_depth: int, color_type: int):
-    """One PNG per frame of the small tiles, its rows under all five filters; a frame has at most 24x16 pixels."""
+def _encoded(spark, sf, column: str, bit_depth: int, color_type: int, where: str = "true"):
+    """One PNG per frame of the small tiles, its rows under all five filters; a frame has at most 24x16 pixels, 32 frames are coded at a time."""
     width, height = W.TILE_SIZE
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((height, width, png.SAMPLES_PER_PIXEL[color_type]), np.uint16)
+        frames, at = np.unique(part["frame_id"], return_inverse=True)
+        grid = np.zeros((len(frames), height, width, png.SAMPLES_PER_PIXEL[color_type]), np.uint16)
         values = part[column].to_numpy()
-        for channel in range(grid.shape[2]):
-            grid[part["v"], part["u"], channel] = (values + channel) % (1 << bit_depth)
-        return pd.DataFrame({"capture_id": [part["capture_id"].iloc[0]], "frame_id": [part["frame_id"].iloc[0]], "content": [png.encode(grid, bit_depth, color_type, np.arange(height) % 5)]})
+        for channel in range(grid.shape[3]):
+            grid[at, part["v"], part["u"], channel] = (values + channel) % (1 << bit_depth)
+        return pd.DataFrame({"capture_id": part["capture_id"].iloc[0], "frame_id": frames, "content": png.encode_all(grid, bit_depth, color_type, np.arange(height) % 5)})
 
-    return W.tile(spark, sf).groupBy("capture_id", "frame_id").applyInPandas(build, "capture_id string, frame_id long, content binary")
+    tiles = W.tile(spark, sf).where(where).withColumn("shelf", F.floor(F.col("frame_id") / 32))
+    return tiles.groupBy("capture_id", "shelf").applyInPandas(build, "capture_id string, frame_id long, content binary")
 
 
 FRAME = ["capture_id", "frame_id"]
@@ -109,8 +111,8 @@ def scan_depth_findings(spark, sf):
 @query(with_views("tile", "SELECT DISTINCT 'depth_not_16_bit_gray' AS rule, capture_id || '/' || CAST(frame_id AS VARCHAR) AS entity_id, '8/0' AS detail FROM tile WHERE capture_id = 'N'"))
 def check_depth_images(spark, sf):
     """One capture delivers 8-bit depth images, which must be refused."""
-    good = _encoded(spark, sf, "depth_mm", 16, 0).where("capture_id <> 'N'")
-    bad = _encoded(spark, sf, "confidence", 8, 0).where("capture_id = 'N'")
+    good = _encoded(spark, sf, "depth_mm", 16, 0, "capture_id <> 'N'")
+    bad = _encoded(spark, sf, "confidence", 8, 0, "capture_id = 'N'")
     return S.check_depth_images(good.unionByName(bad), F.concat_ws("/", "capture_id", F.col("frame_id").cast("string")), FRAME)
 
 

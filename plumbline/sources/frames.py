@@ -20,7 +20,7 @@ COMPONENT_PATTERNS = {
     "raw_camera": r"keyframes/cameras/([^/]+)\.json\z",
     "corrected_camera": r"keyframes/corrected_cameras/([^/]+)\.json\z",
 }
-IMAGE_ROWS_PER_BATCH = 200_000  # pixel rows handed to Spark at a time
+IMAGE_BYTES_PER_BATCH = 400_000  # unpacked bytes of images that are decoded and handed to Spark at a time, an image at least
 
 
 def read_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -68,26 +68,30 @@ def scan_camera(documents: DataFrame, text: str = "text") -> DataFrame:
 def _pixel_rows(keys: list[str], bit_depth: int, color_type: int, names: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """A ``mapInPandas`` function from image bytes to pixel rows; broken images are skipped."""
 
+    def rows(held: list[tuple[tuple, np.ndarray]]) -> pd.DataFrame:
+        grids = png.samples(np.stack([image for _, image in held]), bit_depth, color_type)
+        count, height, width, channels = grids.shape
+        v, u = np.divmod(np.arange(height * width, dtype=np.int32), width)
+        named = pd.DataFrame([key for key, _ in held], columns=keys)
+        frame = {k: np.repeat(named[k].to_numpy(), height * width) for k in keys} | {"v": np.tile(v, count).astype(np.int32), "u": np.tile(u, count).astype(np.int32)}
+        flat = grids.reshape(-1, channels).astype(np.int32)
+        return pd.DataFrame(frame | {n: flat[:, i] for i, n in enumerate(names)})
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, size = [], 0  # images of one size
         for batch in batches:
             for row in batch.itertuples(index=False):
                 try:
-                    grid = png.decode(bytes(row.content), bit_depth, color_type)
+                    image = png.lines(bytes(row.content), bit_depth, color_type)
                 except png.UnsupportedImage:
                     continue
-                height, width, channels = grid.shape
-                v, u = np.divmod(np.arange(height * width, dtype=np.int32), width)
-                frame = {k: np.repeat(getattr(row, k), height * width) for k in keys} | {"v": v.astype(np.int32), "u": u.astype(np.int32)}
-                flat = grid.reshape(-1, channels).astype(np.int32)
-                frame |= {n: flat[:, i] for i, n in enumerate(names)}
-                held.append(pd.DataFrame(frame))
-                size += height * width
-                if size >= IMAGE_ROWS_PER_BATCH:
-                    yield pd.concat(held)
+                if held and (held[0][1].shape != image.shape or size + image.size > IMAGE_BYTES_PER_BATCH):
+                    yield rows(held)
                     held, size = [], 0
+                held.append((tuple(getattr(row, k) for k in keys), image))
+                size += image.size
         if held:
-            yield pd.concat(held)
+            yield rows(held)
 
     return decode
 
@@ -111,7 +115,7 @@ def check_image_bytes(images: DataFrame, keys: list[str], bit_depth: int, color_
             bad = []
             for row in batch.itertuples(index=False):
                 try:
-                    png.decode(bytes(row.content), bit_depth, color_type)
+                    png.lines(bytes(row.content), bit_depth, color_type)
                 except png.UnsupportedImage as problem:
                     bad.append(("image_not_decodable", "/".join(str(getattr(row, k)) for k in keys), str(problem)))
             yield pd.DataFrame(bad, columns=["rule", "entity_id", "detail"])

@@ -3,6 +3,7 @@ import json
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,22 @@ def test_archives(spark, rows):
     assert {(r.path, r.is_dir) for r in manifest.collect()} == {("scan/keyframes/images/1.jpg", False), ("scan/notes.txt", False), ("scan", True), ("scan/keyframes", True), ("scan/keyframes/images", True)}
 
 
+def test_images_of_one_size_are_decoded_together(monkeypatch):
+    random = np.random.default_rng(5)
+    grids = [random.integers(0, 1 << 16, (h, w, 1)) for h, w in [(4, 6)] * 5 + [(3, 2)] * 2 + [(4, 6)]]
+    contents = [png.encode(g, 16, 0, np.arange(len(g)) % 5) for g in grids]
+    contents.insert(2, contents[0][:-20])
+    calls, whole = [], png._unfiltered
+    monkeypatch.setattr(png, "_unfiltered", lambda filters, body: calls.append(len(body)) or whole(filters, body))
+    batch = pd.DataFrame({"k": np.arange(len(contents)), "content": contents})
+    got = pd.concat(frames._pixel_rows(["k"], 16, 0, ["d"])(iter([batch, batch[:0]])))
+    assert calls == [5, 2, 1]
+    for k, grid in zip((0, 1, 3, 4, 5, 6, 7, 8), grids):
+        mine = got[got["k"] == k]
+        assert [tuple(r) for r in mine[["v", "u", "d"]].to_numpy()] == [(v, u, grid[v, u, 0]) for v in range(grid.shape[0]) for u in range(grid.shape[1])]
+    assert len(got) == sum(g.size for g in grids)
+
+
 def test_archives_reach_python_in_small_batches(spark):
     for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
         spark.conf.unset(f"spark.sql.execution.arrow.{name}")
