@@ -1,17 +1,18 @@
 """Streaming jobs that keep state by key: frames as they fill up, and first contents of components.
 
 Both keep their state in Spark's state store, so a batch looks up its own keys and nothing else, and a
-restart goes on from the checkpoint.
+restart goes on from the checkpoint. A few keys share an entry (a shelf, by their hash), since every look-up
+is a message between Python and Spark; columns of keys must be plain values (no arrays or structs).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import timedelta
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from plumbline.operators.integrity import RAW_COMPONENTS
@@ -28,57 +29,78 @@ def _ms(span: timedelta) -> int:
     return int(span.total_seconds() * 1000)
 
 
+def _shelf(columns: Sequence[str], shelves: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(shelves)).alias("__shelf")
+
+
+def _getter(row: Row, columns: Sequence[str]) -> Callable[[Row], tuple]:
+    at = [row.__fields__.index(c) for c in columns]
+    return lambda r: tuple(r[k] for k in at)
+
+
 class FrameState(StatefulProcessor):
-    """One frame in one arrival window: which components came, and whether the frame was reported."""
+    """The frames of a shelf in one arrival window: which components came, and whether the frame was reported."""
 
-    def __init__(self, required: Sequence[str], window_ms: int, late_ms: int, columns: Sequence[str]) -> None:
+    def __init__(self, required: Sequence[str], window_ms: int, late_ms: int, frame: T.StructType, columns: Sequence[str]) -> None:
         self.required, self.window_ms, self.late_ms = list(required), window_ms, late_ms
-        self.out = Row(*columns)
+        self.frame, self.out = frame, Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("frame", "arrivals long, seen long, reported boolean")
+        one = T.StructType([*self.frame.fields, T.StructField("__arrivals", T.LongType()), T.StructField("__seen", T.LongType()), T.StructField("__reported", T.BooleanType())])
+        # ``waiting``: a timer for the report of frames that are not complete is set
+        self.state = handle.getValueState("frames", T.StructType([T.StructField("waiting", T.BooleanType()), T.StructField("frames", T.ArrayType(one))]))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.state.get()
+        held, end = self.state.get(), key[-1] + self.window_ms
+        waiting, frames = (False, {}) if held is None else (held[0], {tuple(f[:-3]): list(f[-3:]) for f in held[1]})
+        late, touched, of = {f for f, (_, _, reported) in frames.items() if reported}, {}, None
+        for row in rows:
+            of = of or _getter(row, self.frame.names)
+            frame = of(row)
+            if frame in late:
+                yield self.out(*frame, key[-1], "late", row.component, row.ts, None, None, None)
+                continue
+            state = touched[frame] = frames.setdefault(frame, [0, 0, False])
+            state[0] += 1
+            if row.component in self.required:
+                state[1] |= 1 << self.required.index(row.component)
+        for frame, state in touched.items():
+            if state[1] == (1 << len(self.required)) - 1:
+                state[2] = True
+                yield self._frame(frame, key, state)
         if held is None:
-            end = key[-1] + self.window_ms
+            self.handle.registerTimer(end)
+        if self.late_ms and not waiting and not all(reported for _, _, reported in frames.values()):
             self.handle.registerTimer(end - self.late_ms)
-            if self.late_ms:
-                self.handle.registerTimer(end)
-        arrivals, seen, reported = held if held is not None else (0, 0, False)
-        late = reported
-        for row in rows:
-            if late:
-                yield self.out(*key, "late", row.component, row.ts, None, None, None)
-            else:
-                arrivals += 1
-                if row.component in self.required:
-                    seen |= 1 << self.required.index(row.component)
-        if not late and seen == (1 << len(self.required)) - 1:
-            reported = True
-            yield self._frame(key, arrivals, seen)
-        self.state.update((arrivals, seen, reported))
+            waiting = True
+        self._keep(waiting, frames)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         held = self.state.get()
         if held is None:
             return
-        arrivals, seen, reported = held
-        if not reported:
-            yield self._frame(key, arrivals, seen)
-            self.state.update((arrivals, seen, True))
+        frames = {tuple(f[:-3]): list(f[-3:]) for f in held[1]}
+        for frame, state in frames.items():
+            if not state[2]:
+                state[2] = True
+                yield self._frame(frame, key, state)
         if expiredTimerInfo.getExpiryTimeInMs() >= key[-1] + self.window_ms:
             self.state.clear()  # Spark lets no row of this window through any more
+        else:
+            self._keep(False, frames)
+
+    def _keep(self, waiting: bool, frames: dict) -> None:
+        self.state.update((waiting, [(*frame, *state) for frame, state in frames.items()]))
 
-    def _frame(self, key: Any, arrivals: int, seen: int) -> Row:
-        missing = [c for k, c in enumerate(self.required) if not seen >> k & 1]
-        return self.out(*key, "frame", None, None, arrivals, not missing, ",".join(missing))
+    def _frame(self, frame: tuple, key: Any, state: list) -> Row:
+        missing = [c for k, c in enumerate(self.required) if not state[1] >> k & 1]
+        return self.out(*frame, key[-1], "frame", None, None, state[0], not missing, ",".join(missing))
 
 
 def stream_frames(arrivals: DataFrame, window: timedelta = timedelta(days=7), delay: timedelta = timedelta(days=1),
                   late_for: timedelta = timedelta(days=7), required: Sequence[str] = RAW_COMPONENTS,
-                  frame: Sequence[str] = ("capture_id", "frame_id")) -> DataFrame:
+                  frame: Sequence[str] = ("capture_id", "frame_id"), shelves: int = 1 << 13) -> DataFrame:
     """Frames as soon as their last component arrives, the others at a timer, and pieces that come after.
 
     ``arrivals(*frame, component, ts)``; a frame counts per arrival window of ``ts``. Returns ``*frame, window_ms, kind, component, ts,
@@ -86,18 +108,19 @@ def stream_frames(arrivals: DataFrame, window: timedelta = timedelta(days=7), de
     time seen is ``delay`` past the window's end. Kind ``late`` is a piece in a later batch than its frame's report. State is three numbers a
     frame; it is dropped ``delay + late_for`` after the window, and pieces later than that are dropped by Spark's watermark and counted
     in the query's progress (``numRowsDroppedByWatermark``). A frame first met after its timer is reported at once.
-    Rows without a ``ts`` belong to no window and are left out. Components that are not required count as arrivals only.
+    The frames of a window share ``shelves`` state entries by their hash. Rows without a ``ts`` belong to no window and are left out. Components that are not required count as arrivals only.
     """
     keyed_state(arrivals.sparkSession)
     frame, span = list(frame), _ms(window)
     start = (F.floor(F.unix_millis("ts") / span) * span).cast("long").alias("window_ms")
     rows = (arrivals.where(F.col("ts").isNotNull()).withWatermark("ts", f"{_ms(delay) + _ms(late_for)} milliseconds")
-            .select(*frame, "component", "ts", start))
+            .select(*frame, "component", "ts", start, _shelf(frame, shelves)))
     fields = [rows.schema[c] for c in (*frame, "window_ms")]
     out = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("kind", T.StringType()), T.StructField("component", T.StringType()),
                         T.StructField("ts", T.TimestampType()), T.StructField("arrivals", T.LongType()), T.StructField("complete", T.BooleanType()),
                         T.StructField("missing", T.StringType())])
-    return rows.groupBy(*frame, "window_ms").transformWithState(FrameState(required, span, _ms(late_for), out.names), out, "append", "EventTime")
+    held = T.StructType([T.StructField(f.name, f.dataType) for f in fields[:-1]])
+    return rows.groupBy("__shelf", "window_ms").transformWithState(FrameState(required, span, _ms(late_for), held, out.names), out, "append", "EventTime")
 
 
 class FirstContent(StatefulProcessor):

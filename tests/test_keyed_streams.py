@@ -13,12 +13,20 @@ def write(spark, path, *rows):
 
 
 def test_frames_as_they_fill_up(spark, tmp_path):
+    frames_fill_up(spark, tmp_path, 1 << 13)
+
+
+def test_frames_that_share_a_state_entry(spark, tmp_path):
+    frames_fill_up(spark, tmp_path, 1)
+
+
+def frames_fill_up(spark, tmp_path, shelves):
     source = tmp_path / "in"
     seen: list = []
 
     def run(*rows):
         write(spark, source, *rows)
-        out = stream_frames(spark.readStream.schema(SCHEMA).parquet(str(source)), late_for=timedelta(days=20)).writeStream.format("parquet")
+        out = stream_frames(spark.readStream.schema(SCHEMA).parquet(str(source)), late_for=timedelta(days=20), shelves=shelves).writeStream.format("parquet")
         running = out.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         running.awaitTermination()
         rows = spark.read.parquet(str(tmp_path / "out")).collect()
