@@ -124,49 +124,56 @@ def stream_frames(arrivals: DataFrame, window: timedelta = timedelta(days=7), de
 
 
 class FirstContent(StatefulProcessor):
-    """The first content of a component; every other content of it is refused."""
+    """The first contents of the components of a shelf; every other content of them is refused."""
 
-    def __init__(self, columns: Sequence[str]) -> None:
-        self.out = Row(*columns)
+    def __init__(self, keys: T.StructType, columns: Sequence[str]) -> None:
+        self.keys, self.out = keys, Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("kept", "sha256 string")
+        one = T.StructType([*self.keys.fields, T.StructField("__sha256", T.StringType())])
+        self.state = handle.getValueState("kept", T.StructType([T.StructField("kept", T.ArrayType(one))]))
 
     def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
-        self.state.update((initialState.sha256,))
+        self.state.update(([tuple(k[c] for c in (*self.keys.names, "sha256")) for k in initialState.kept],))  # Arrow hands structs over as dicts
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        contents: dict = {}  # distinct contents of this key in this batch, each with its first time
+        contents: dict = {}  # distinct contents of each component in this batch, each with its first time
+        of = None
         for row in rows:
-            at = (row.ts is not None, row.ts)
-            if row.sha256 not in contents or at < contents[row.sha256]:
-                contents[row.sha256] = at
-        if self.state.exists():
-            kept, fresh = self.state.get()[0], False
-        else:
-            kept = min(contents, key=lambda c: (contents[c], c is not None, c))
-            fresh = True
-            self.state.update((kept,))
-        for content, (_, ts) in contents.items():
-            if content == kept:
-                if fresh:
-                    yield self.out(*key, content, ts, content, True)
-            else:
-                yield self.out(*key, content, ts, kept, False)
+            of = of or _getter(row, self.keys.names)
+            mine, at = contents.setdefault(of(row), {}), (row.ts is not None, row.ts)
+            if row.sha256 not in mine or at < mine[row.sha256]:
+                mine[row.sha256] = at
+        held = self.state.get()
+        kept = {} if held is None else {tuple(k[:-1]): k[-1] for k in held[0]}
+        fresh = [component for component in contents if component not in kept]
+        for component in fresh:
+            mine = contents[component]
+            kept[component] = min(mine, key=lambda c: (mine[c], c is not None, c))
+        if fresh:
+            self.state.update(([(*component, content) for component, content in kept.items()],))
+        fresh = set(fresh)
+        for component, mine in contents.items():
+            first = kept[component]
+            for content, (_, ts) in mine.items():
+                if content != first:
+                    yield self.out(*component, content, ts, first, False)
+                elif component in fresh:
+                    yield self.out(*component, content, ts, first, True)
 
 
 def stream_first_contents(arrivals: DataFrame, table_path: str, checkpoint: str, available_now: bool = True,
-                          keys: Sequence[str] = ("capture_id", "component", "frame_id")) -> StreamingQuery:
+                          keys: Sequence[str] = ("capture_id", "component", "frame_id"), shelves: int = 1 << 18) -> StreamingQuery:
     """Accepted and rejected components as tables, with accepted contents in the state store.
 
     ``arrivals`` is a stream with ``keys``, ``sha256`` and ``ts``. The earliest content of a key goes to ``accepted``; unchanged repeats are absorbed; other
-    contents go to ``rejected`` with ``kept_sha256``. A batch reads its own rows and the state of its own keys, never what was
+    contents go to ``rejected`` with ``kept_sha256``. Components share ``shelves`` state entries by their hash. A batch reads its own rows and the state of its own keys, never what was
     written. Folders are named by the stream's own id and the batch, so a replay overwrites itself. A stream on a fresh checkpoint
     takes what earlier streams accepted in this table as its initial state, once.
     """
     spark, keys = arrivals.sparkSession, list(keys)
     keyed_state(spark)
-    rows = arrivals.select(*keys, "sha256", "ts")
+    rows = arrivals.select(*keys, "sha256", "ts", _shelf(keys, shelves))
     key_fields = [T.StructField(k, rows.schema[k].dataType) for k in keys]
     accepted = T.StructType([*key_fields, T.StructField("sha256", T.StringType()), T.StructField("ts", T.TimestampType())])
     spark.createDataFrame([], accepted).write.mode("overwrite").parquet(f"{table_path}/accepted/run=none/batch=-1")
@@ -175,8 +182,9 @@ def stream_first_contents(arrivals: DataFrame, table_path: str, checkpoint: str,
     if own is not None:  # a first batch that is replayed must not find its own rows
         known = known.where(F.col("run") != own)
     known = known.groupBy(*keys).agg(F.min_by("sha256", F.struct("ts", "sha256")).alias("sha256"))
+    known = known.groupBy(_shelf(keys, shelves)).agg(F.collect_list(F.struct(*keys, "sha256")).alias("kept"))
     out = T.StructType([*accepted.fields, T.StructField("kept_sha256", T.StringType()), T.StructField("accepted", T.BooleanType())])
-    judged = rows.groupBy(*keys).transformWithState(FirstContent(out.names), out, "append", "None", initialState=known.groupBy(*keys))
+    judged = rows.groupBy("__shelf").transformWithState(FirstContent(T.StructType(key_fields), out.names), out, "append", "None", initialState=known.groupBy("__shelf"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")

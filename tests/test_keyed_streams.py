@@ -55,10 +55,18 @@ def contents(spark, table, part):
 
 
 def test_first_contents_over_runs(spark, tmp_path):
+    first_contents_over_runs(spark, tmp_path, 1 << 18)
+
+
+def test_first_contents_that_share_a_state_entry(spark, tmp_path):
+    first_contents_over_runs(spark, tmp_path, 1)
+
+
+def first_contents_over_runs(spark, tmp_path, shelves):
     source, table = tmp_path / "in", str(tmp_path / "table")
 
     def run(state):
-        stream_first_contents(spark.readStream.schema(SCHEMA).parquet(str(source)), table, str(tmp_path / state)).awaitTermination()
+        stream_first_contents(spark.readStream.schema(SCHEMA).parquet(str(source)), table, str(tmp_path / state), shelves=shelves).awaitTermination()
         return contents(spark, table, "accepted"), contents(spark, table, "rejected")
 
     write(spark, source, ("a", "rgb", "1", "x", 2), ("a", "rgb", "1", "w", 3), ("a", "rgb", "1", "x", 1), (None, "rgb", "1", None, 1))
