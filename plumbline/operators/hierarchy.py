@@ -76,33 +76,56 @@ def renderable_objects(closure: DataFrame, objects: DataFrame) -> DataFrame:
         by_shuffle(closure.withColumnRenamed("id", "collection_id")), "collection_id", "left_semi").select("object_id").distinct()
 
 
+def _followed(nodes: DataFrame, matrices: bool) -> tuple[DataFrame, DataFrame]:
+    """Every node after its chain was followed to the end, with the way it ended, and the ids that come several times.
+
+    Pointers double: a node holds an ancestor ``up``, the least id ``low`` of the ancestors up to there and, with ``matrices``, the
+    product from just below ``up`` down to itself. A node that is its own ``low`` is on a cycle, and so hangs every node that has it as
+    ``low`` or points to one that hangs. Depth and cycle length ``d`` take ``log2(d)`` rounds.
+    """
+    carried = ["matrix"] if matrices else []
+    single = nodes.groupBy("id").agg(F.count("*").alias("__n"), F.min(F.struct("parent_id", *carried)).alias("__row"))
+    row = {"up": F.col("__row.parent_id"), "low": F.col("__row.parent_id"), "matrix": F.col("__row.matrix")}
+    ended = F.when(row["up"].isNull(), "root").when(row["up"] == F.col("id"), "cycle")
+    state = cut_lineage(single.select("id", *[row[c].alias(c) for c in ("up", "low", *carried)], ended.alias("ended"), "__n"))
+    repeated = state.where("__n > 1").select(F.lit("duplicate").alias("rule"), F.col("id").cast("string").alias("entity_id"), F.col("__n").cast("string").alias("detail"))
+    state = state.drop("__n")
+    while not state.where("ended IS NULL").isEmpty():
+        target = state.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("low").alias("__low"), F.col("ended").alias("__ended"),
+                              *[F.col(c).alias("__m") for c in carried], F.lit(True).alias("__there"))
+        met = state.where("ended IS NULL").join(by_shuffle(target), "up", "left")
+        there, end = F.coalesce("__there", F.lit(False)), F.col("__ended")
+        onwards = there & (end.isNull() | (end != "cycle"))
+        moved = met.select(
+            "id", F.when(onwards, F.col("__up")).otherwise(F.col("up")).alias("up"), F.least("low", "__low").alias("low"),
+            *[F.when(onwards, V.multiply4(F.col("__m"), F.col("matrix"))).otherwise(F.col("matrix")).alias("matrix") for _ in carried],
+            F.when(~there, "unknown_parent").otherwise(end).alias("ended"))
+        moved = cut_lineage(moved)
+        rings = moved.where("ended IS NULL AND low = id").select(F.col("id").alias("low"), F.lit(True).alias("__ring"))
+        hung = moved.join(by_shuffle(rings), "low", "left").select(
+            "id", "up", "low", *carried, F.coalesce("ended", F.when(F.col("__ring"), "cycle")).alias("ended"))
+        state = cut_lineage(state.where("ended IS NOT NULL").unionByName(hung))
+    return state, repeated
+
+
+def _tree_findings(state: DataFrame, repeated: DataFrame) -> DataFrame:
+    lost = F.col("ended") == "unknown_parent"
+    return state.where("ended <> 'root'").select(
+        F.col("ended").alias("rule"), F.col("id").cast("string").alias("entity_id"), F.when(lost, F.col("up").cast("string")).alias("detail")).unionByName(repeated)
+
+
+def hierarchy_findings(nodes: DataFrame) -> DataFrame:
+    """The findings of :func:`hierarchy_transforms`, from ids alone."""
+    return _tree_findings(*_followed(nodes, matrices=False))
+
+
 def hierarchy_transforms(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """World matrix of every node, and findings on the nodes that have none.
 
     ``nodes(id, parent_id, matrix)`` with row-major 16-element matrices; roots have
-    a NULL parent.  Every node holds the product of the matrices from just below
-    ``up`` down to itself; a round multiplies by ``up``'s product and takes over
-    its pointer, so depth ``d`` needs ``log2(d)`` rounds.  A node whose chain ends
-    at an absent id is ``unknown_parent``; what still points somewhere after as many
-    rounds as the node count can need hangs in a cycle.  An id that comes several times is one node, with the least
+    a NULL parent.  A node whose chain ends at an absent id is ``unknown_parent``; one whose chain
+    never ends is ``cycle``. An id that comes several times is one node, with the least
     ``(parent_id, matrix)`` of its rows, and a ``duplicate``.
     """
-    single = nodes.groupBy("id").agg(F.count("*").alias("__n"), F.min(F.struct("parent_id", "matrix")).alias("__row"))
-    state = cut_lineage(single.select("id", F.col("__row.parent_id").alias("up"), F.col("__row.matrix").alias("matrix"), F.lit(False).alias("lost"), "__n"))
-    repeated = state.where("__n > 1").select(F.lit("duplicate").alias("rule"), F.col("id").cast("string").alias("entity_id"), F.col("__n").cast("string").alias("detail"))
-    state = state.drop("__n")
-    rounds = max(1, state.count()).bit_length() + 1
-    for _ in range(rounds):
-        if state.where("up IS NOT NULL AND NOT lost").isEmpty():
-            break
-        target = state.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("matrix").alias("__m"), F.col("lost").alias("__lost"), F.lit(True).alias("__there"))
-        moving = state.where("up IS NOT NULL AND NOT lost").join(target, "up", "left")
-        there = F.coalesce("__there", F.lit(False))
-        moved = moving.select(
-            "id", F.when(there, F.col("__up")).otherwise(F.col("up")).alias("up"),
-            F.when(there, V.multiply4(F.col("__m"), F.col("matrix"))).otherwise(F.col("matrix")).alias("matrix"), (~there | F.coalesce("__lost", F.lit(False))).alias("lost"))
-        state = cut_lineage(state.where("up IS NULL OR lost").unionByName(moved))
-    bad = state.where("up IS NOT NULL").select(
-        F.when(F.col("lost"), "unknown_parent").otherwise("cycle").alias("rule"), F.col("id").cast("string").alias("entity_id"),
-        F.when(F.col("lost"), F.col("up").cast("string")).alias("detail"))
-    return state.where("up IS NULL").select("id", F.col("matrix").alias("world")), bad.unionByName(repeated)
+    state, repeated = _followed(nodes, matrices=True)
+    return state.where("ended = 'root'").select("id", F.col("matrix").alias("world")), _tree_findings(state, repeated)

@@ -416,7 +416,7 @@ def hierarchy_transforms_repeated(spark, sf):
 
 @query("SELECT 'duplicate' AS rule, CAST(p_partkey AS VARCHAR) AS entity_id, '2' AS detail FROM part WHERE p_partkey % 9 = 4")
 def hierarchy_duplicates(spark, sf):
-    return H.hierarchy_transforms(_repeated_parts(spark, sf))[1]
+    return H.hierarchy_findings(_repeated_parts(spark, sf))
 
 
 def _turned_parts(spark, sf, parent):
@@ -441,7 +441,7 @@ SELECT CASE WHEN l.id IS NULL THEN 'cycle' ELSE 'unknown_parent' END AS rule, CA
 FROM n LEFT JOIN lost l ON l.id = n.id WHERE n.id NOT IN (SELECT id FROM down)""")
 def hierarchy_findings(spark, sf):
     """Chains of fifty parts, with a cycle and an absent parent in each."""
-    return H.hierarchy_transforms(_turned_parts(spark, sf, F.expr(_BROKEN_TREE)))[1]
+    return H.hierarchy_findings(_turned_parts(spark, sf, F.expr(_BROKEN_TREE)))
 
 
 @query(with_views("components", _FLAGS + """, f AS (

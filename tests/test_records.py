@@ -81,6 +81,10 @@ def test_feature_must_be_met_in_one_sample(spark):
     vis = lambda *r: spark.createDataFrame(list(r), "frame_id string, object_id string, visible_pixels long, projected_area_px2 double")
     assert V.feature_coverage(feature, samples, vis(("a", "o", 20, 1.0), ("b", "o", 5, 9.0)), found).count() == 1
     assert V.feature_coverage(feature, samples, vis(("a", "o", 20, 1.0), ("b", "o", 10, 5.0)), found).count() == 0
+    # wanted rows are read past a list per combination: not joined to themselves, not shuffled, not broadcast; repeated ones stay
+    wanted = feature.unionByName(feature).unionByName(feature.withColumn("finding_id", F.lit(None).cast("string")))
+    found = V.feature_coverage(wanted, samples, vis(("a", "o", 20, 1.0), ("b", "o", 5, 9.0)), found)
+    assert found.count() == 3 and "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_raster_colocation(spark):
@@ -267,6 +271,20 @@ def test_nodes_without_a_root(spark, rows):
         ("cycle", "3", None), ("cycle", "4", None), ("cycle", "7", None), ("cycle", "8", None), ("unknown_parent", "5", "99"), ("unknown_parent", "6", "99")]
 
 
+def test_cycles_end_early(spark, rows, monkeypatch):
+    """Rounds follow depth and cycle length, not the number of nodes."""
+    from plumbline.operators import hierarchy
+
+    unit, rounds, cut = [1.0] * 16, [], hierarchy.cut_lineage
+    tree = [(k, 0 if k else None) for k in range(5000)] + [(5001, 5003), (5002, 5001), (5003, 5002), (5004, 5003), (5000, 5004), (5005, 9000)]
+    nodes = spark.createDataFrame([(i, p, unit) for i, p in tree], "id int, parent_id int, matrix array<double>")
+    monkeypatch.setattr(hierarchy, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    want = [("cycle", str(k), None) for k in range(5000, 5005)] + [("unknown_parent", "5005", "9000")]
+    assert rows(H.hierarchy_transforms(nodes)[1], "rule", "entity_id", "detail") == want
+    assert len(rounds) < 10
+    assert rows(H.hierarchy_findings(nodes), "rule", "entity_id", "detail") == want
+
+
 def test_text_forms(spark):
     import json
 
