@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.functions.joins import measured
 from plumbline.rules import findings
+from plumbline.session import cut_lineage
 
 EYE_TOLERANCE = 1e-6  # fixed value, metres
 
@@ -147,10 +149,10 @@ def feature_coverage(features: DataFrame, samples: DataFrame, visibility: DataFr
     larger = Window.partitionBy(*combo).orderBy(F.col("visible_pixels").desc()).rowsBetween(Window.unboundedPreceding, -1)
     evidence = levels.withColumn("__best", F.max("projected_area_px2").over(larger)).where(
         F.col("__best").isNull() | (F.col("projected_area_px2") > F.col("__best"))).drop("__best")
-    met = wanted.join(evidence, ["object_id", "intent", "finding_id"]).where(
-        (F.col("visible_pixels") >= F.col("minimum_visible_pixels")) & (F.col("projected_area_px2") >= F.col("minimum_projected_area_px2")))
-    keys = ["feature_id", "object_id", "intent"]
-    return wanted.select(*keys).join(met.select(*keys).distinct(), keys, "left_anti")
+    # what is left of a combination is one short list, so wanted rows meet one row each and are not shuffled
+    fronts = cut_lineage(evidence.groupBy(*combo).agg(F.collect_list(F.struct("visible_pixels", "projected_area_px2")).alias("__front")))
+    met = F.exists("__front", lambda e: (e["visible_pixels"] >= F.col("minimum_visible_pixels")) & (e["projected_area_px2"] >= F.col("minimum_projected_area_px2")))
+    return wanted.join(measured(fronts), combo, "left").where(~F.coalesce(met, F.lit(False))).select("feature_id", "object_id", "intent")
 
 
 def missing_intents(features: DataFrame, shots: DataFrame) -> DataFrame:
