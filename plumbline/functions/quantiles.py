@@ -84,25 +84,32 @@ def order_statistics(data: DataFrame, ranks: DataFrame, keys: Sequence[str], val
     return single.unionByName(found.select(*by, F.col("__v").alias("__value")))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], group_rows: int = GROUP_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], group_rows: int = GROUP_ROWS,
+                    upto: dict[str, float] | None = None) -> DataFrame:
     """``keys`` + one column per ``{name: probability}``, linear interpolation.
 
     NULL values are ignored, NaN is above all numbers; groups without values are absent, a NULL key is a key. Groups of up to
     ``group_rows`` rows are sorted each in a list; larger ones by :func:`order_statistics`, of which there are at most rows / group_rows.
+    A name in ``upto`` is the quantile of the values up to that bound, NULL if there are none; all names are found in the same rounds.
     """
     if not keys:
         whole = df.select(F.lit(0).alias("__all"), F.col(value))
-        return exact_quantiles(whole, ["__all"], value, probabilities, group_rows).drop("__all")
-    keys, names = list(keys), list(probabilities)
+        return exact_quantiles(whole, ["__all"], value, probabilities, group_rows, upto).drop("__all")
+    keys, names, upto = list(keys), list(probabilities), upto or {}
+    bounds = {b: f"__n{i}" for i, b in enumerate(sorted(set(upto.values())))}
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    large = cut_lineage(data.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > group_rows))
+    held = [F.count_if(F.col("__v") <= b).alias(c) for b, c in bounds.items()]
+    large = cut_lineage(data.groupBy(*keys).agg(F.count("*").alias("__n"), *held).where(F.col("__n") > group_rows))
 
     def between(low: Column, high: Column, at: Column) -> Column:
         return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
 
     def sorted_whole(rows: DataFrame) -> DataFrame:
         every = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("__v")).alias("__s"))
-        at = {n: F.lit(probabilities[n]) * (F.size("__s") - 1) for n in names}
+        for b, c in bounds.items():
+            every = every.withColumn(c, F.size(F.filter("__s", lambda x: x <= F.lit(b))))
+        among = {n: F.col(bounds[upto[n]]) if n in upto else F.size("__s") for n in names}
+        at = {n: F.when(among[n] > 0, F.lit(probabilities[n]) * (among[n] - 1)) for n in names}
         return every.select(*keys, *[between(F.get("__s", F.floor(a).cast("int")), F.get("__s", F.ceil(a).cast("int")), a).alias(n) for n, a in at.items()])
 
     if large.isEmpty():
@@ -110,8 +117,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     named = measured(large.select(*keys))
     small = sorted_whole(_null_safe(data, named, keys, "left_anti"))
     most = cut_lineage(_null_safe(data, named, keys, "left_semi"))  # read once a round
-    spots = [F.struct(F.lit(n).alias("__name"), (F.lit(probabilities[n]) * (F.col("__n") - 1)).alias("__at")) for n in names]
-    wanted = large.select(*keys, F.inline(F.array(*spots)))
+    among = {n: F.col(bounds[upto[n]] if n in upto else "__n") for n in names}
+    spots = [F.struct(F.lit(n).alias("__name"), F.when(among[n] > 0, F.lit(probabilities[n]) * (among[n] - 1)).alias("__at")) for n in names]
+    wanted = large.select(*keys, F.inline(F.array(*spots))).where("__at IS NOT NULL")
     wanted = wanted.select(*keys, "__name", "__at", F.explode(F.array(F.floor("__at"), F.ceil("__at"))).alias("__rank"))
     found = order_statistics(most, wanted, keys, "__v", group_rows)
     valued = _null_safe(wanted, found, [*keys, "__rank"])

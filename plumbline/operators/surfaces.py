@@ -11,7 +11,7 @@ from plumbline.functions import grid, vectors as V
 from plumbline.functions.joins import join_model
 from plumbline.functions.hulls import hulls, inside_hull
 from plumbline.functions.linalg import eig3
-from plumbline.functions.quantiles import residual_stats
+from plumbline.functions.quantiles import exact_quantiles, residual_stats
 from plumbline.operators.pixels import display_pixel
 from plumbline.rules import findings
 from plumbline.session import cut_lineage, spread_out
@@ -235,16 +235,20 @@ def plane_residuals(points: DataFrame, planes: DataFrame, keys: Sequence[str], r
 def plane_attributes(points: DataFrame, planes: DataFrame, keys: Sequence[str], rejection_m: float = 0.02,
                      up: Sequence[float] = (0.0, 1.0, 0.0)) -> DataFrame:
     """Tilt, inlier counts and bounds, and residual statistics of all and of inlier points."""
-    keys = list(keys)
-    placed = plane_residuals(points, planes, keys, rejection_m)
-    named = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("median", "p95", "max")])
-    every = named(residual_stats(placed, keys, "residual_m"), "all")
-    kept = named(residual_stats(placed.where("inlier"), keys, "residual_m"), "inlier")
-    box = placed.where("inlier").groupBy(*keys).agg(
-        *[f(a).alias(f"{s}_{a}") for s, f in (("min", F.min), ("max", F.max)) for a in "xyz"])
+    keys, planes = list(keys), cut_lineage(planes)  # one row a patch; its rounds are not run again for every use
+    placed = cut_lineage(plane_residuals(points, planes, keys, rejection_m).select(*keys, "x", "y", "z", "residual_m", "inlier"))
+    inlier = F.col("inlier")
+    totals = placed.groupBy(*keys).agg(
+        F.max("residual_m").cast("double").alias("all_max"), F.max(F.when(inlier, F.col("residual_m"))).cast("double").alias("inlier_max"),
+        F.count_if(inlier).alias("__inliers"), *[f(F.when(inlier, F.col(a))).alias(f"{s}_{a}") for s, f in (("min", F.min), ("max", F.max)) for a in "xyz"])
+    # inliers are the least residuals, so their quantiles are other ranks of the same order
+    shares = {f"{p}_{n}": at for p in ("all", "inlier") for n, at in (("median", 0.5), ("p95", 0.95))}
+    spread = exact_quantiles(placed, keys, "residual_m", shares, upto={f"inlier_{n}": rejection_m for n in ("median", "p95")})
     tilt = F.degrees(F.acos(V.clamp(F.abs(V.dot(V.cols("nx", "ny", "nz"), [F.lit(float(c)) for c in up])), 0.0, 1.0)))
     base = planes.where("status = 'fitted'").select(*keys, "inlier_count", "rejected_count", tilt.alias("tilt_degrees"))
-    return base.join(every, keys).join(kept, keys).join(box, keys)
+    out = base.join(totals.where("__inliers > 0"), keys).join(spread, keys)
+    stats = [f"{p}_{n}" for p in ("all", "inlier") for n in ("median", "p95", "max")]
+    return out.select(*keys, "inlier_count", "rejected_count", "tilt_degrees", *stats, *[f"{s}_{a}" for s in ("min", "max") for a in "xyz"])
 
 
 def _entries(points: str, i: int) -> Column:

@@ -80,6 +80,17 @@ def test_one_hot_key_of_many_rows(spark):
     assert got["cold"] == (2.0, 3.8) and got["hot"] == pytest.approx(((n - 1) * 0.5, (n - 1) * 0.95), abs=1e-6)
 
 
+@pytest.mark.parametrize("group_rows", [10_000, 100])
+def test_quantiles_up_to_a_bound(spark, group_rows):
+    rng = np.random.default_rng(4)
+    data = {"many": rng.random(3000), "none": 1 + rng.random(500)}
+    rows = spark.createDataFrame([(k, float(v)) for k, d in data.items() for v in d], "k string, v double").repartition(4)
+    got = {r.k: (r.a, r.b, r.c) for r in exact_quantiles(rows, ["k"], "v", {"a": 0.5, "b": 0.5, "c": 0.95}, group_rows, upto={"b": 0.3, "c": 0.3}).collect()}
+    low = data["many"][data["many"] <= 0.3]
+    assert got["many"] == pytest.approx((np.quantile(data["many"], 0.5), np.quantile(low, 0.5), np.quantile(low, 0.95)), abs=1e-12)
+    assert got["none"][0] == pytest.approx(np.quantile(data["none"], 0.5), abs=1e-12) and got["none"][1:] == (None, None)
+
+
 def ring_of(rng, x, y, size, lift, slope):
     xs, ys = [x, x + size, x + size, x], [y, y, y + size * 0.7, y + size * 0.7]
     return [[float(a), float(b), float(lift + slope * (a - x))] for a, b in zip(xs, ys)]
