@@ -243,26 +243,32 @@ def axes_to_web(df: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> Data
 def nearest_vertex_match(native: DataFrame, exported: DataFrame, tolerance: float = 2e-5, key: str = "object_id") -> DataFrame:
     """Per object: largest nearest-vertex error both ways and vertices without a counterpart.
 
-    Positions repeat in exported files, so both sides are reduced to distinct
-    positions before the neighbour-cell join.
+    Positions repeat in exported files, so both sides are reduced to distinct positions in one aggregation; a position
+    of both sides has its nearest vertex in itself. Only the others are searched, in neighbour cells of the other side, both ways in one join.
     """
-    axes = ("x", "y", "z")
-    a = native.select(key, *axes).distinct()
-    b = exported.select(key, *[F.col(c).alias(f"e{c}") for c in axes]).distinct()
-    cells = ["__ix", "__iy", "__iz"]
+    axes, cells = ["x", "y", "z"], ["__ix", "__iy", "__iz"]
     size = 32 * tolerance
-    home = a.withColumns({n: grid.cell_of(F.col(c), size) for n, c in zip(cells, axes)})
-    around = grid.neighbours(b, [F.col(f"e{c}") for c in axes], tolerance, size, cells)
+    sides = native.select(key, *axes, F.lit(True).alias("a"), F.lit(False).alias("b")).unionByName(
+        exported.select(key, *axes, F.lit(False).alias("a"), F.lit(True).alias("b")))
+    places = cut_lineage(sides.groupBy(key, *axes).agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b")))
+    whole = V.finite(F.col("x")) & V.finite(F.col("y")) & V.finite(F.col("z"))
+    alike = F.col("a") & F.col("b") & whole & F.col(key).isNotNull()
+    alone = places.where(~alike & whole & F.col(key).isNotNull()).select(key, F.col("a").alias("of_native"), *[F.col(c).alias(f"e{c}") for c in axes])
+    around = grid.neighbours(alone, [F.col(f"e{c}") for c in axes], tolerance, size, cells)
+    home = places.where(whole).withColumns({n: grid.cell_of(F.col(c), size) for n, c in zip(cells, axes)})
     gap = V.norm(V.sub(V.cols(*axes), V.cols("ex", "ey", "ez")))
-    close = home.join(around, [key, *cells]).withColumn("gap", gap).where(F.col("gap") < tolerance)
-    per_native = close.groupBy(key, *axes).agg(F.min("gap").alias("gap")).groupBy(key).agg(F.max("gap").alias("g1"), F.count("*").alias("m1"))
-    per_export = close.groupBy(key, "ex", "ey", "ez").agg(F.min("gap").alias("gap")).groupBy(key).agg(F.max("gap").alias("g2"), F.count("*").alias("m2"))
-    totals = a.groupBy(key).agg(F.count("*").alias("n1")).join(b.groupBy(key).agg(F.count("*").alias("n2")), key, "full")
-    joined = totals.join(per_native, key, "left").join(per_export, key, "left")
+    other = F.when(F.col("of_native"), F.col("b")).otherwise(F.col("a"))
+    close = around.join(home, [key, *cells]).where(other).withColumn("gap", gap).where(F.col("gap") < tolerance)
+    nearest = close.groupBy(key, "of_native", "ex", "ey", "ez").agg(F.min("gap").alias("gap"))
+    count = lambda c: F.count_if(c).alias
+    found = nearest.groupBy(key).agg(F.max("gap").alias("gap"), count(F.col("of_native"))("m1"), count(~F.col("of_native"))("m2"))
+    totals = places.groupBy(key).agg(
+        count(F.col("a") & ~alike)("n1"), count(F.col("b") & ~alike)("n2"), F.max(F.when(alike, 0.0)).alias("same"))
+    joined = totals.join(found, key, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return joined.select(
-        key, F.greatest("g1", "g2").alias("max_vertex_error_m"),
-        (zero("n1") - zero("m1")).alias("native_unmatched"), (zero("n2") - zero("m2")).alias("exported_unmatched"))
+        key, F.greatest("same", "gap").alias("max_vertex_error_m"),
+        (F.col("n1") - zero("m1")).alias("native_unmatched"), (F.col("n2") - zero("m2")).alias("exported_unmatched"))
 
 
 def oriented_triangle(i: Column, j: Column, k: Column) -> tuple[Column, Column, Column]:

@@ -161,3 +161,13 @@ def test_sloped_ceiling_and_triangle_texels(spark):
     texels = A.texel_grid(A.face_frame(tri), 8.0)
     assert texels.where("inside").count() / texels.count() == pytest.approx(.5, abs=.03)
     assert texels.where("inside AND (x < -1e-9 OR y < -1e-9 OR x / 3 + y / 4 > 1 + 1e-9)").count() == 0
+
+
+def test_nearest_vertices_in_one_search(spark):
+    native = [(1, 0.0), (1, 0.0), (1, 1.0), (1, 2.0), (2, 0.0), (3, 5.0), (3, 5.00001), (5, float("nan"))]
+    exported = [(1, 0.0), (1, 1.00001), (1, 2.5), (3, 5.0), (4, 7.0)]
+    make = lambda rows: spark.createDataFrame([(k, x, 0.0, 0.0) for k, x in rows], "object_id int, x double, y double, z double")
+    found = M.nearest_vertex_match(make(native), make(exported))
+    got = {r[0]: (r[1] and round(r[1], 9), r[2], r[3]) for r in found.collect()}
+    assert got == {1: (1e-5, 1, 1), 2: (None, 1, 0), 3: (1e-5, 0, 0), 4: (None, 0, 1), 5: (None, 1, 0)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
