@@ -10,6 +10,7 @@ from plumbline.operators import checks as C
 from plumbline.plans import views as W
 from plumbline.plans.registry import query
 from plumbline.plans.views import with_views
+from plumbline.session import spread_out
 
 
 def _union(*parts: str) -> str:
@@ -82,7 +83,8 @@ def check_long_rings(spark, sf):
     corner = lambda i: F.array(F.cos(angle(i)) * F.when(i % 2 == 0, 5.0).otherwise(4.5), F.sin(angle(i)) * F.when(i % 2 == 0, 5.0).otherwise(4.5), F.lit(1.0))
     ring = F.transform(F.sequence(F.lit(0), 2 * teeth - 1), corner)
     thrust = F.transform(ring, lambda p, i: F.when((k % 3 == 1) & (i == 7), F.array(p[0] * -2, p[1] * -2, p[2])).otherwise(p))
-    return C.check_polygon_ring(W.table(spark, sf, "part").select(k.alias("polygon_id"), thrust.alias("vertices"))).select("rule", "entity_id")
+    parts = spread_out(W.table(spark, sf, "part").select("p_partkey", "p_size"))  # a small file is one task, and each of its rows becomes a hundred edges
+    return C.check_polygon_ring(parts.select(k.alias("polygon_id"), thrust.alias("vertices"))).select("rule", "entity_id")
 
 
 def _observations(spark, sf):
