@@ -287,15 +287,17 @@ def nearest_support_polygon(
     """Closest supporting polygon per point, signed distance kept, unmatched points kept.
 
     A point is supported when its orthogonal projection falls in the polygon.  Nearest first: a polygon sweeps a
-    short prism of ``first_reach`` to both sides of its plane (by default a 64th of its group's bounding box), kept in at most 27 cells on the level
-    of its size, and a point that finds a polygon within that reach is done.  Only the others meet
-    the whole prisms, cut into the voxels of the bounding box.  Both are equi-joins, however
-    many points one group holds.  Ties go to the lower ``polygon_ordinal``.
+    short prism of ``first_reach`` to both sides of its plane (by default a quarter of the length of its group's usual polygon, a 64th of the points' bounding box at
+    most), kept in at most 27 cells on the level of its size, and a point that finds a polygon within that reach is done.  Only the others meet
+    the whole prisms, swept through the bounding box and cut into cells half as long as the polygon (a 32nd of the prism at least).
+    So cells follow the polygons and not the extent of the points, and points outside the box of all prisms meet nothing.
+    Both are equi-joins, however many points one group holds.  Ties go to the lower ``polygon_ordinal``.  The points are stored once.
     """
     group, point_key = list(group), list(point_key)
-    box = points.groupBy(*group).agg(*[f(a).alias(f"__{s}{a}") for s, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"])
-    box = box.withColumn("__cell", F.greatest(*[F.col(f"__hi{a}") - F.col(f"__lo{a}") for a in "xyz"], F.lit(1e-6)) / cells)
-    box = cut_lineage(box.withColumn("__reach", F.lit(first_reach) if first_reach else F.col("__cell") / 2))
+    points = cut_lineage(points)
+    whole = V.finite(F.col("x")) & V.finite(F.col("y")) & V.finite(F.col("z"))  # others project into nothing
+    box = points.where(whole).groupBy(*group).agg(*[f(a).alias(f"__{s}{a}") for s, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"])
+    box = cut_lineage(box.withColumn("__cell", F.greatest(*[F.col(f"__hi{a}") - F.col(f"__lo{a}") for a in "xyz"], F.lit(1e-6)) / cells))
     # of exact copies in a group the lowest ordinal wins every tie, so only that one can support a point
     polygons = polygons.groupBy(*group, "vertices").agg(F.min("polygon_ordinal").alias("polygon_ordinal"))
     framed = polygon_frames(polygons)
@@ -307,21 +309,53 @@ def nearest_support_polygon(
     if source_normal is not None:
         sign = F.when(V.dot(n, [F.lit(float(c)) for c in source_normal]) < 0, -1.0).otherwise(1.0)
     # written out once as plain numbers: the rows below read the frame many times
-    framed = spread_out(cut_lineage(framed.select(*group, "polygon_ordinal", *scalars, *spans, *limits, edges_of(F.col("ring")).alias("__edges")).withColumn("__sign", sign).join(box, group)))
-    located = spread_out(cut_lineage(points.select(*group, *point_key, "x", "y", "z").join(box, group)))
+    framed = framed.select(*group, "polygon_ordinal", *scalars, *spans, *limits, edges_of(F.col("ring")).alias("__edges")).withColumn("__sign", sign).join(box, group)
+    framed = cut_lineage(_swept(framed, boundary_tolerance))
+    extent = F.greatest(*[F.col(f"__high{a}") - F.col(f"__low{a}") for a in "xyz"])
+    reach = F.lit(float(first_reach)) if first_reach else F.least(F.first("__cell") / 2, F.exp(F.avg(F.ln(F.when(extent > 0, extent)))) / 4)
+    scale = cut_lineage(framed.groupBy(*group).agg(
+        reach.alias("__reach"), *[f(f"__{s}{a}").alias(f"__{s}{a}") for s, f in (("from", F.min), ("to", F.max)) for a in "xyz"]))
+    framed = spread_out(cut_lineage(framed.join(scale.select(*group, "__reach"), group)))
+    reached = whole
+    for a in "xyz":
+        reached = reached & F.col(a).between(F.col(f"__from{a}"), F.col(f"__to{a}"))
+    points = spread_out(points)
+    located = points.select(*group, *point_key, "x", "y", "z").join(scale, group).where(reached).select(*group, *point_key, "x", "y", "z", "__reach")
 
-    near = _supports(*_short_prisms(located, framed, group, boundary_tolerance), boundary_tolerance)
+    near = _supports(*_short_prisms(located, framed, group), boundary_tolerance)
     near = closest_support(near, [*group, *point_key])
     close = F.abs("residual_m") <= F.col("__reach")
-    near = near.join(box.select(*group, "__reach"), group).where(close).drop("__reach")
+    near = near.join(scale.select(*group, "__reach"), group).where(close).drop("__reach")
     near = cut_lineage(near)
     rest = located.join(near.select(*group, *point_key), [*group, *point_key], "left_anti")
-    far = _supports(*_whole_prisms(rest, framed, group, boundary_tolerance), boundary_tolerance)
+    far = _supports(*_whole_prisms(rest, framed, group, boundary_tolerance, cells), boundary_tolerance)
     best = near.unionByName(closest_support(far, [*group, *point_key]))
     chosen = best.withColumnRenamed("polygon_ordinal", "supporting_polygon")
     return points.join(chosen, [*group, *point_key], "left").withColumn("overlap", F.col("supporting_polygon").isNotNull())
 
 
+def _swept(framed: DataFrame, tolerance: float) -> DataFrame:
+    """Polygons whose prism, swept through the box of their group's points, meets that box, with ``__from`` and ``__to`` of the part inside.
+
+    ``__pad`` is what bounds are widened by: the tolerance, and rounding of coordinates far from the origin.
+    """
+    n, o = V.cols(*[f"normal_{a}" for a in "xyz"]), V.cols(*[f"origin_{a}" for a in "xyz"])
+    far_out = F.greatest(*[F.abs(f"__{s}{a}") for s in ("lo", "hi", "low", "high") for a in "xyz"])
+    framed = framed.withColumn("__pad", F.lit(tolerance) + 1e-12 * far_out)
+    half = [(F.col(f"__hi{a}") - F.col(f"__lo{a}")) / 2 for a in "xyz"]
+    mid = [(F.col(f"__hi{a}") + F.col(f"__lo{a}")) / 2 for a in "xyz"]
+    middle = V.dot(n, V.sub(mid, o))
+    reach = sum((F.abs(c) * h for c, h in zip(n[1:], half[1:])), F.abs(n[0]) * half[0])
+    near, far = middle - reach, middle + reach
+    for i, a in enumerate("xyz"):
+        low = F.col(f"__low{a}") + F.least(n[i] * near, n[i] * far) - F.col("__pad")
+        high = F.col(f"__high{a}") + F.greatest(n[i] * near, n[i] * far) + F.col("__pad")
+        framed = framed.withColumns({f"__from{a}": F.greatest(low, F.col(f"__lo{a}")), f"__to{a}": F.least(high, F.col(f"__hi{a}"))})
+    for a in "xyz":
+        framed = framed.where(F.col(f"__from{a}") <= F.col(f"__to{a}"))
+    return framed
+
+
 def _supports(located: DataFrame, prisms: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
     """Points with the polygons of their cell that they project into, with ``residual_m``."""
     n, o = V.cols(*[f"normal_{a}" for a in "xyz"]), V.cols(*[f"origin_{a}" for a in "xyz"])
@@ -334,50 +368,44 @@ def _supports(located: DataFrame, prisms: DataFrame, keys: Sequence[str], tolera
     return met.where(inside_edges(F.col("__px"), F.col("__py"), F.col("__edges"), tolerance))
 
 
-def _short_prisms(located: DataFrame, framed: DataFrame, group: Sequence[str], tolerance: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Points and polygons by the cells of levels of size, polygons swept by their reach."""
-    names = ["__cx", "__cy", "__cz"]
-    lows = [F.col(f"__low{a}") - F.abs(f"normal_{a}") * F.col("__reach") - tolerance for a in "xyz"]
-    highs = [F.col(f"__high{a}") + F.abs(f"normal_{a}") * F.col("__reach") + tolerance for a in "xyz"]
-    placed = cut_lineage(grid.level_cover(framed, lows, highs, F.col("__reach"), names, "__level", 2))
+_CARRIED = ["polygon_ordinal", *_FRAME, "__sign", "__edges", *_LIMITS]
+
+
+def _on_levels(located: DataFrame, placed: DataFrame, group: Sequence[str], names: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points on every level that polygons use, the polygons, and the keys they meet by."""
     used = grid.levels_of(placed, "__level")
     levels = F.array(*[F.lit(k) for k, in used]) if used else F.array().cast("array<int>")
     spread = grid.level_points(located.withColumn("__level", F.explode(levels)), V.cols("x", "y", "z"), F.col("__reach"), names, "__level")
     keys = [*group, "__level", *names]
-    return (spread.drop(*_BOX), placed.select(*keys, "polygon_ordinal", *_FRAME, "__sign", "__edges", *_LIMITS), keys)
-
-
-_BOX = ["__cell", "__reach", *[f"__{s}{a}" for s in ("lo", "hi") for a in "xyz"]]
+    return spread.drop("__reach"), placed.select(*keys, *_CARRIED), keys
 
 
-def _whole_prisms(located: DataFrame, framed: DataFrame, group: Sequence[str], tolerance: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Points and polygons by the voxels of the group's bounding box, polygons swept through all of it."""
-    n, o = V.cols(*[f"normal_{a}" for a in "xyz"]), V.cols(*[f"origin_{a}" for a in "xyz"])
-    half = [(F.col(f"__hi{a}") - F.col(f"__lo{a}")) / 2 for a in "xyz"]
-    mid = [(F.col(f"__hi{a}") + F.col(f"__lo{a}")) / 2 for a in "xyz"]
-    middle = V.dot(n, V.sub(mid, o))
-    reach = sum((F.abs(c) * h for c, h in zip(n[1:], half[1:])), F.abs(n[0]) * half[0])
-    near, far = middle - reach, middle + reach
-    spread = []
-    for i, a in enumerate("xyz"):
-        low = F.col(f"__low{a}") + F.least(n[i] * near, n[i] * far) - tolerance
-        high = F.col(f"__high{a}") + F.greatest(n[i] * near, n[i] * far) + tolerance
-        start = grid.cell_of(F.greatest(low, F.col(f"__lo{a}")) - F.col(f"__lo{a}"), F.col("__cell"))
-        stop = grid.cell_of(F.least(high, F.col(f"__hi{a}")) - F.col(f"__lo{a}"), F.col("__cell"))
-        spread.append(F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>")).alias(f"__c{a}"))
-    carried = ["polygon_ordinal", *_FRAME, "__sign", "__edges", *_LIMITS]
-    prisms = framed.select(*group, *carried, *spread, "__cell", *[f"__lo{a}" for a in "xyz"])
-    for a in "xyz":
-        prisms = prisms.withColumn(f"__c{a}", F.explode(f"__c{a}"))
-    # the voxels of a tilted prism's bounding box are mostly outside the prism: keep those it can cut
-    centre = V.sub([F.col(f"__lo{a}") + (F.col(f"__c{a}") + 0.5) * F.col("__cell") for a in "xyz"], o)
+def _short_prisms(located: DataFrame, framed: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points and polygons by the cells of levels of size, polygons swept by their reach."""
+    names = ["__cx", "__cy", "__cz"]
+    lows = [F.col(f"__low{a}") - F.abs(f"normal_{a}") * F.col("__reach") - F.col("__pad") for a in "xyz"]
+    highs = [F.col(f"__high{a}") + F.abs(f"normal_{a}") * F.col("__reach") + F.col("__pad") for a in "xyz"]
+    placed = cut_lineage(grid.level_cover(framed, lows, highs, F.col("__reach"), names, "__level", 2))
+    return _on_levels(located, placed, group, names)
+
+
+def _whole_prisms(located: DataFrame, framed: DataFrame, group: Sequence[str], tolerance: float, cells: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points and polygons by the cells that polygons cut when swept through the points' box, on the level of half the polygon or a part of the prism."""
+    names, o = ["__cx", "__cy", "__cz"], V.cols(*[f"origin_{a}" for a in "xyz"])
+    across = F.greatest(*[F.col(f"__high{a}") - F.col(f"__low{a}") for a in "xyz"]) / 2
+    length = F.greatest(*[F.col(f"__to{a}") - F.col(f"__from{a}") for a in "xyz"]) / cells
+    least = F.greatest(across, length)
+    level = F.ceil(F.log2(F.when(least > 0, least / F.col("__reach"))))
+    prisms = framed.withColumn("__level", F.greatest(F.coalesce(level, F.lit(0)), F.lit(0)).cast("int"))
+    size = F.col("__reach") * F.pow(F.lit(2.0), F.col("__level"))
+    prisms = grid.cover(prisms, V.cols(*[f"__from{a}" for a in "xyz"]), V.cols(*[f"__to{a}" for a in "xyz"]), size, names, grid.ORIGIN)
+    # the cells of a tilted prism's bounding box are mostly outside the prism: keep those it can cut
+    centre = V.sub([(F.col(c) + (0.5 - grid.ORIGIN)) * size for c in names], o)
     for axis, c in (("along", "x"), ("across", "y")):
-        ext = F.col("__cell") / 2 * (F.abs(f"{axis}_x") + F.abs(f"{axis}_y") + F.abs(f"{axis}_z")) + 2 * tolerance + 1e-9 * F.col("__cell")
+        ext = size / 2 * (F.abs(f"{axis}_x") + F.abs(f"{axis}_y") + F.abs(f"{axis}_z")) + 2 * F.col("__pad") + 1e-9 * size
         at = V.dot(centre, V.cols(*[f"{axis}_{a}" for a in "xyz"]))
         prisms = prisms.where((at >= F.col(f"__min{c}") - ext) & (at <= F.col(f"__max{c}") + ext))
-    voxels = ["__cx", "__cy", "__cz"]
-    placed = located.withColumns({f"__c{a}": grid.cell_of(F.col(a) - F.col(f"__lo{a}"), F.col("__cell")) for a in "xyz"})
-    return placed.drop(*_BOX), prisms.drop("__cell", *[f"__lo{a}" for a in "xyz"]), [*group, *voxels]
+    return _on_levels(located, cut_lineage(prisms.select(*group, "__level", *names, *_CARRIED)), group, names)
 
 
 def closest_support(candidates: DataFrame, keys: Sequence[str], residual: str = "residual_m", ordinal: str = "polygon_ordinal") -> DataFrame:
