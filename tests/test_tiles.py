@@ -46,3 +46,12 @@ def test_pairs_of_shapes_are_gathered_by_tiles(spark, monkeypatch):
     assert M.coplanar_overlap_area(*tables(spark, faces_of(rects))).count() == 60 * 59 // 2
     assert stored[-1].count() == 1 and len(stored[-1].first()["codes"]) == 30 * 31 // 2
 
+
+def test_few_broken_objects_are_left_out_without_a_shuffle(spark, monkeypatch):
+    plans, shapes = [], M.face_shapes
+    monkeypatch.setattr(M, "face_shapes", lambda triangles, *rest: plans.append(triangles._jdf.queryExecution().sparkPlan().toString()) or shapes(triangles, *rest))
+    triangles, vertices = tables(spark, {**faces_of({0: (0.0, 0.0, 2.0, 1.0, 0.0), 1: (1.0, 0.0, 3.0, 1.0, 0.0)}), 2: [[(0, 0, float("inf")), (1, 0, 0), (1, 1, 0)]]})
+    faces = triangles.where("triangle = 0").select("object_id", "face", "vertices")
+    found = {(r.rule, r.entity_id) for r in M.review_meshes(vertices, faces, triangles)[0].collect()}
+    assert {("nonfinite_vertices", "2"), ("coplanar_overlap", "0/0/1/0")} == found
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
