@@ -47,6 +47,23 @@ def test_pairs_of_shapes_are_gathered_by_tiles(spark, monkeypatch):
     assert stored[-1].count() == 1 and len(stored[-1].first()["codes"]) == 30 * 31 // 2
 
 
+@pytest.mark.parametrize("bits, piece", [(8, 1024), (1, 2)])
+def test_overlaps_are_ordered_by_shuffling_lists(spark, monkeypatch, bits, piece):
+    for name, value in (("TILE_BITS", bits), ("TILE", 1 << bits), ("PIECE", piece)):
+        monkeypatch.setattr(M, name, value)
+    triangles, vertices = tables(spark, faces_of(rectangles(80, 5)))
+    # the same faces as another face of some objects of a second scene
+    triangles = triangles.selectExpr("0 AS scene", "*").unionByName(triangles.where("object_id < 40").selectExpr("1 AS scene", "object_id % 7 AS object_id", "object_id AS face", "triangle", "transform(vertices, v -> v + 10 * object_id) AS vertices"))
+    vertices = vertices.selectExpr("0 AS scene", "*").unionByName(vertices.where("object_id < 40").selectExpr("1 AS scene", "object_id % 7 AS object_id", "vertex + 10 * object_id AS vertex", "x", "y", "z"))
+    ordered = M.sorted_overlaps(triangles, vertices, cell_m=2.0, scene=["scene"], by=["scene"])
+    columns = ["scene", "object_a", "face_a", "object_b", "face_b", "area_m2"]
+    got = [tuple(r) for r in ordered.select(*columns).collect()]
+    want = sorted(tuple(r) for r in M.coplanar_overlap_area(triangles, vertices, cell_m=2.0, scene=["scene"]).where("NOT opposed").select(*columns).collect())
+    assert got == want and len({r[:1] for r in got}) == 2 and any(r[1] == r[3] for r in got)
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("Generate posexplode(__o") < plan.find("rangepartitioning")  # lists are shuffled, rows made of them afterwards
+
+
 def test_few_broken_objects_are_left_out_without_a_shuffle(spark, monkeypatch):
     plans, shapes = [], M.face_shapes
     monkeypatch.setattr(M, "face_shapes", lambda triangles, *rest: plans.append(triangles._jdf.queryExecution().sparkPlan().toString()) or shapes(triangles, *rest))
